@@ -56,7 +56,13 @@ def _pairs_by_band(nodes: DataFrame, key: Column, t: float) -> DataFrame:
     # JVM bound: Levenshtein <= Indel <= D (one unit of slack for float ties)
     d = F.floor((F.lit(100.0 - t) * (F.col("la") + F.col("lb"))) / F.lit(100.0)).cast("int") + 1
     j = j.withColumn("_d", d).where(F.expr("levenshtein(ka, kb, _d)") >= 0)
-    return j.select("group_key", "a", "b", "ua", "ub")
+    # canonical orientation a < b, shared by every candidate generator
+    swap = F.col("a") > F.col("b")
+    return j.select("group_key",
+                    F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+                    F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+                    F.when(swap, F.col("ub")).otherwise(F.col("ua")).alias("ua"),
+                    F.when(swap, F.col("ua")).otherwise(F.col("ub")).alias("ub"))
 
 
 def _pairs_by_tokens(nodes: DataFrame, tokens: Column, only: Column | None = None) -> DataFrame:
