@@ -4,9 +4,10 @@
 may hold a third of all rows.  Here the rows are range-partitioned on
 ``(g, o)`` (a hot group spans many partitions), numbered locally after the
 sort, and a small table of per-(partition, group) counts supplies offsets.
-``(g, o)`` must be unique; the result is deterministic (range bounds are
-fixed in the shuffle dependency, the sort key is total), so a recomputed task
-reproduces the same numbers.
+``(g, o)`` must be unique.  The locally numbered rows are checkpointed
+once (shared checkpoint directory): both the counts and the final join read
+that one copy, so two evaluations can never see different range bounds, and
+a lost executor recomputes from the checkpoint.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canonspark.session import ensure_checkpoint_dir
+
 
 def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                       out: str, start: int = 1, num_partitions: int | None = None) -> DataFrame:
@@ -24,6 +27,8 @@ def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id()
                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                 F.min("_li").alias("_lmin"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

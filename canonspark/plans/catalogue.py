@@ -322,3 +322,88 @@ def q_spell_corrections(spark, sf):
              .select(F.explode(T.words(T.normalize("value"))).alias("word")).distinct())
     return SP.correct_words(words, TB.dictionary(spark, sf)).select(
         "word", "correction", F.col("tier").cast("int").alias("tier"))
+
+
+# ------------------------------------------------------------------ wave 4
+
+def fixture_overrides(g: CL.Grouping):
+    """Overrides a person could have made, derived by rule from the grouping
+    (same rule as ``oracle.override_ctes``)."""
+    s = g.suggestions
+    multi = (g.clustered.groupBy("group_key", "cluster_id").agg(F.count(F.lit(1)).alias("ndist"))
+             .where(F.col("ndist") > 1).select("group_key", "cluster_id"))
+    members = g.members().join(multi, ["group_key", "cluster_id"], "left_semi")
+    member_ov = (members.join(s.select("group_key", "cluster_id", "size"), ["group_key", "cluster_id"])
+                 .where(F.col("member_idx") == F.col("size") - 1)
+                 .select("group_key", "cluster_id", "member_idx", F.col("norm").alias("value")))
+    single = F.col("suggestion_mode") == "single_member"
+    gear = F.col("suggestion").contains("gear")
+    bolt = F.col("suggestion").contains("bolt")
+    sugg_ov = (s.where(single | gear | bolt)
+               .select("group_key", "cluster_id",
+                       F.when(single, F.upper("suggestion")).when(gear, F.lit("Gear"))
+                       .otherwise(F.lit("Bolt")).alias("suggestion"),
+                       F.when(single, F.lit("custom")).when(gear, F.lit("google_kg"))
+                       .otherwise(F.lit("llm_suggest")).alias("suggestion_mode")))
+    return member_ov, sugg_ov
+
+
+def _applied(spark, sf, mode):
+    raw = TB.messy_part(spark, sf)
+    g = (CL.group_in_column(raw, MESSY_COLS) if mode == "direct"
+         else CL.group_by_category(raw, MESSY_COLS, "category"))
+    mo, so = fixture_overrides(g)
+    return CL.apply_cleaning(g, mo, so)
+
+
+def _apply_sql(mode: str, tail: str) -> str:
+    long_sql = MESSY_LONG_DIRECT if mode == "direct" else MESSY_LONG_CATEGORY
+    algorithm = "first_fit" if mode == "direct" else "leader"
+    groups = ("SELECT DISTINCT col_name AS group_key FROM lng" if mode == "direct"
+              else "SELECT DISTINCT group_key FROM lng WHERE group_key IS NOT NULL")
+    if mode == "direct":
+        groups = "SELECT unnest(['name_a', 'name_b']) AS group_key"
+    return f"""WITH RECURSIVE {O.node_ctes(long_sql, mode)}, {O.edge_ctes('ratio', 75)},
+{O.cluster_ctes(algorithm)}, {O.suggestion_ctes()}, {O.override_ctes()}, {O.summary_select(mode, groups)}
+{tail}"""
+
+
+CLEANED_TAIL = f"""
+SELECT m.row_id, m.category, m.name_a, a.cleaned AS name_a_cleaned, m.name_b, b.cleaned AS name_b_cleaned
+FROM ({TB.MESSY_PART_SQL}) m
+LEFT JOIN lc a ON a.row_id = m.row_id AND a.col_name = 'name_a'
+LEFT JOIN lc b ON b.row_id = m.row_id AND b.col_name = 'name_b'"""
+
+OVERALL_TAIL = """
+SELECT CAST(coalesce(round_even(avg(acceptance_ratio), 3), 0.0) AS DOUBLE) AS acceptance_ratio,
+       count(*) AS num_groups FROM summ"""
+
+
+@query("apply_direct", _apply_sql("direct", CLEANED_TAIL))
+def q_apply_direct(spark, sf):
+    return _applied(spark, sf, "direct").cleaned
+
+
+@query("apply_category", _apply_sql("category", CLEANED_TAIL))
+def q_apply_category(spark, sf):
+    return _applied(spark, sf, "category").cleaned
+
+
+@query("cleaning_summary", _apply_sql("direct", "SELECT * FROM summ"))
+def q_cleaning_summary(spark, sf):
+    return _applied(spark, sf, "direct").summary
+
+
+@query("category_summary", _apply_sql("category", "SELECT * FROM summ"))
+def q_category_summary(spark, sf):
+    return _applied(spark, sf, "category").summary
+
+
+@query("overall_acceptance", _apply_sql("direct", OVERALL_TAIL))
+def q_overall_acceptance(spark, sf):
+    return _applied(spark, sf, "direct").overall
+
+
+@query("overall_acceptance_category", _apply_sql("category", OVERALL_TAIL))
+def q_overall_acceptance_category(spark, sf):
+    return _applied(spark, sf, "category").overall

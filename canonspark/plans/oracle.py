@@ -169,3 +169,79 @@ def suggestion_ctes() -> str:
                          WHEN s.ndist = s.size THEN 0.9
                          ELSE round_even(s.top_k / s.size, 2) END AS confidence
              FROM cstats s JOIN cvote v USING (group_key, cluster_id))"""
+
+
+def override_ctes() -> str:
+    """Fixture overrides over ``sugg`` / ``cstats`` / ``nlf`` / ``clustered``:
+    the last member of every cluster with more than one distinct value keeps
+    its own value; single-member clusters get a custom upper-case suggestion,
+    clusters about gears a knowledge-graph one, about bolts a model one."""
+    return """
+    members AS MATERIALIZED (
+        SELECT n.group_key, n.row_id, n.col_name, n.value, n.norm, n.okey, c.cluster_id,
+               row_number() OVER (PARTITION BY n.group_key, c.cluster_id ORDER BY n.okey) - 1 AS member_idx
+        FROM nlf n JOIN clustered c USING (group_key, norm)),
+    mo AS (SELECT m.group_key, m.cluster_id, m.member_idx, m.norm AS value
+           FROM members m JOIN cstats s USING (group_key, cluster_id)
+           WHERE s.ndist > 1 AND m.member_idx = s.size - 1),
+    so AS (SELECT group_key, cluster_id,
+                  CASE WHEN suggestion_mode = 'single_member' THEN upper(suggestion)
+                       WHEN contains(suggestion, 'gear') THEN 'Gear' ELSE 'Bolt' END AS suggestion,
+                  CASE WHEN suggestion_mode = 'single_member' THEN 'custom'
+                       WHEN contains(suggestion, 'gear') THEN 'google_kg' ELSE 'llm_suggest' END AS suggestion_mode
+           FROM sugg
+           WHERE suggestion_mode = 'single_member' OR contains(suggestion, 'gear') OR contains(suggestion, 'bolt')),
+    sugg2 AS (SELECT s.group_key, s.cluster_id, s.size,
+                     CASE WHEN o.cluster_id IS NOT NULL THEN o.suggestion ELSE s.suggestion END AS suggestion,
+                     CASE WHEN o.cluster_id IS NOT NULL THEN o.suggestion_mode ELSE s.suggestion_mode END AS suggestion_mode
+              FROM sugg s LEFT JOIN so o USING (group_key, cluster_id)),
+    resolved AS (SELECT m.row_id, m.col_name, m.group_key,
+                        CASE WHEN mo.member_idx IS NOT NULL THEN mo.value ELSE s.suggestion END AS cleaned,
+                        mo.member_idx IS NOT NULL AS overridden
+                 FROM members m JOIN sugg2 s USING (group_key, cluster_id)
+                 LEFT JOIN mo USING (group_key, cluster_id, member_idx)),
+    lc AS (SELECT l.row_id, l.col_name,
+                  CASE WHEN r.row_id IS NOT NULL THEN r.cleaned ELSE l.value END AS cleaned
+           FROM lng l LEFT JOIN resolved r USING (row_id, col_name))"""
+
+
+def summary_select(mode: str, groups_sql: str) -> str:
+    counted = "suggestion IS NOT NULL" + (" AND suggestion <> ''" if mode == "category" else "")
+    modes = [("majority", "num_of_majority"), ("single_member", "total_num_of_single"),
+             ("spell_checker", "num_of_spell_check"), ("custom", "num_of_global_manual"),
+             ("google_kg", "num_of_gkg"), ("llm_suggest", "num_of_llm")]
+    sums = ",\n".join(
+        f"CAST(coalesce(sum(CASE WHEN {counted} AND suggestion_mode = '{m}' THEN size ELSE 0 END), 0) AS BIGINT) AS {c}"
+        for m, c in modes)
+    manual = ("CAST(coalesce(mc.manual, 0) AS BIGINT)" if mode == "direct" else "CAST(NULL AS BIGINT)")
+    return f"""
+    per AS (SELECT group_key, CAST(count(*) AS BIGINT) AS num_of_clusters,
+                   CAST(count(DISTINCT CASE WHEN {counted} THEN suggestion END) AS BIGINT) AS num_of_after_unique,
+                   {sums}
+            FROM sugg2 GROUP BY group_key),
+    st AS (SELECT group_key, count(*) AS total_values, count(DISTINCT value) AS num_of_before_unique
+           FROM lng WHERE group_key IS NOT NULL AND {strip('value')} <> '' GROUP BY group_key),
+    mc AS (SELECT col_name AS group_key, sum(CASE WHEN overridden THEN 1 ELSE 0 END) AS manual
+           FROM resolved GROUP BY col_name),
+    grp AS ({groups_sql}),
+    summ AS (
+      SELECT g.group_key AS "column",
+             CAST(coalesce(st.total_values, 0) AS BIGINT) AS total_values,
+             CAST(coalesce(st.num_of_before_unique, 0) AS BIGINT) AS num_of_before_unique,
+             coalesce(p.num_of_after_unique, 0) AS num_of_after_unique,
+             {manual} AS manual_corrections,
+             coalesce(p.num_of_clusters, 0) AS num_of_clusters,
+             coalesce(p.num_of_majority, 0) AS num_of_majority,
+             coalesce(p.total_num_of_single, 0) AS total_num_of_single,
+             coalesce(p.num_of_spell_check, 0) AS num_of_spell_check,
+             coalesce(p.num_of_global_manual, 0) AS num_of_global_manual,
+             coalesce(p.num_of_gkg, 0) AS num_of_gkg,
+             coalesce(p.num_of_llm, 0) AS num_of_llm,
+             CASE WHEN coalesce(p.num_of_majority + p.num_of_spell_check + p.total_num_of_single
+                                + p.num_of_global_manual + p.num_of_gkg + p.num_of_llm, 0) > 0
+                  THEN round_even((p.num_of_majority + p.num_of_spell_check + p.total_num_of_single)
+                        / (p.num_of_majority + p.num_of_spell_check + p.total_num_of_single
+                           + p.num_of_global_manual + p.num_of_gkg + p.num_of_llm), 3) * 100.0
+                  ELSE 0.0 END AS acceptance_ratio
+      FROM grp g LEFT JOIN per p USING (group_key) LEFT JOIN st USING (group_key)
+      LEFT JOIN mc USING (group_key))"""
