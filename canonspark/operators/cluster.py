@@ -8,6 +8,11 @@ which cuts the lineage and lets a lost executor be recomputed from there.
 Only values that have an edge take part in the rounds; isolated values are
 their own cluster.
 
+Small graphs: when every group has at most ``LOCAL_EDGE_CAP`` edges (checked
+with one aggregation), each group's edge list is solved by the sequential
+rule inside one ``applyInPandas`` task -- memory is bounded by the cap.
+Otherwise every group goes through the distributed fixpoint.
+
 C1 (leader): take the first unassigned value as base, every later unassigned
 value similar to the base joins it.  Leaders are the greedy independent set
 in rank order: a value becomes a leader once no lower neighbour is undecided
@@ -23,9 +28,13 @@ and never below the true label, so the fixpoint is the sequential result.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Largest edge list of one group that a single task may solve; checked before use
+LOCAL_EDGE_CAP = 1_000_000
+
 from canonspark.session import ensure_checkpoint_dir
 from canonspark.operators.rank import row_number_within
 
@@ -97,6 +106,56 @@ def leader_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
             .withColumn("leader", F.coalesce(F.col("lab"), F.col("occ"))).drop("lab"))
 
 
+def _solve_group(algorithm: str):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(zip(pdf.u_c, pdf.u_r)) | set(zip(pdf.v_c, pdf.v_r)))
+        rank = {n: i for i, n in enumerate(nodes)}
+        lower: list[list[int]] = [[] for _ in nodes]
+        for uc, ur, vc, vr in zip(pdf.u_c, pdf.u_r, pdf.v_c, pdf.v_r):
+            lower[rank[(vc, vr)]].append(rank[(uc, ur)])
+        label = [0] * len(nodes)
+        for i in range(len(nodes)):
+            if algorithm == "first_fit":
+                label[i] = min((label[j] for j in lower[i]), default=i)
+            else:
+                label[i] = min((j for j in lower[i] if label[j] == j), default=i)
+        gk = pdf.group_key.iloc[0]
+        return pd.DataFrame({
+            "group_key": [gk] * len(nodes),
+            "v_c": [n[0] for n in nodes], "v_r": [n[1] for n in nodes],
+            "l_c": [nodes[label[i]][0] for i in range(len(nodes))],
+            "l_r": [nodes[label[i]][1] for i in range(len(nodes))],
+        })
+    return solve
+
+
+def _local_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
+    flat = edges.select("group_key", F.col("u.col_ord").alias("u_c"), F.col("u.row_id").alias("u_r"),
+                        F.col("v.col_ord").alias("v_c"), F.col("v.row_id").alias("v_r"))
+    lab = (flat.groupBy("group_key")
+           .applyInPandas(_solve_group(algorithm),
+                          "group_key string, v_c int, v_r long, l_c int, l_r long")
+           .select("group_key",
+                   F.struct(F.col("v_c").alias("col_ord"), F.col("v_r").alias("row_id")).alias("occ"),
+                   F.struct(F.col("l_c").alias("col_ord"), F.col("l_r").alias("row_id")).alias("lab")))
+    return (nodes.join(lab, ["group_key", "occ"], "left")
+            .withColumn("leader", F.coalesce(F.col("lab"), F.col("occ"))).drop("lab"))
+
+
+def assign_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str,
+                   local_edge_cap: int = LOCAL_EDGE_CAP) -> DataFrame:
+    """Pick the in-task solver when every group's edge list is proven small."""
+    if algorithm not in ("leader", "first_fit"):
+        raise ValueError(f"unknown clustering algorithm {algorithm!r}")
+    e = _ckpt(edges.select("group_key", "u", "v"))
+    largest = e.groupBy("group_key").count().agg(F.max("count")).first()[0] or 0
+    if largest <= local_edge_cap:
+        return _local_leaders(nodes, e, algorithm)
+    if algorithm == "leader":
+        return leader_leaders(nodes, e)
+    return first_fit_leaders(nodes, e)
+
+
 def number_clusters(assigned: DataFrame) -> DataFrame:
     """``cluster_id`` 1.. per group in order of formation (leader order),
     tag ``cluster_<n>``."""
@@ -108,10 +167,5 @@ def number_clusters(assigned: DataFrame) -> DataFrame:
 
 def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
     """Distinct values with ``leader``, ``cluster_id`` and ``cluster_tag``."""
-    if algorithm == "leader":
-        assigned = leader_leaders(nodes, edges)
-    elif algorithm == "first_fit":
-        assigned = first_fit_leaders(nodes, edges)
-    else:
-        raise ValueError(f"unknown clustering algorithm {algorithm!r}")
-    return number_clusters(assigned)
+    # reused by suggestions, members and the value map: materialise once
+    return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm)))

@@ -18,9 +18,19 @@ from pyspark.sql import functions as F
 from canonspark.session import ensure_checkpoint_dir
 
 
+# Largest group (rows) that one window task may take; checked before use
+WINDOW_CAP = 2_000_000
+
+
 def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                      out: str, start: int = 1, num_partitions: int | None = None) -> DataFrame:
+                      out: str, start: int = 1, num_partitions: int | None = None,
+                      window_cap: int = WINDOW_CAP) -> DataFrame:
     spark = df.sparkSession
+    largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_cap:
+        # every group is proven small: one plain window, one shuffle
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(out, (F.row_number().over(w) - 1 + start).cast("long"))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

@@ -52,7 +52,8 @@ class Grouping:
             m = self.norm_long.join(
                 self.clustered.select("group_key", "norm", "cluster_id", "cluster_tag"),
                 ["group_key", "norm"])
-            self._members = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0)
+            self._members = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx",
+                                              start=0).checkpoint(eager=True)
         return self._members
 
     def value_map(self) -> DataFrame:
@@ -72,7 +73,7 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
         clustered = CL.cluster_values(nodes, edges, algorithm)
-    suggestions = SG.suggest(clustered, dictionary)
+    suggestions = SG.suggest(clustered, dictionary).checkpoint(eager=True)
     stats = SM.value_stats(long)
     return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered, suggestions,
                     stats, category)
