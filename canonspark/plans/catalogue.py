@@ -407,3 +407,96 @@ def q_overall_acceptance(spark, sf):
 @query("overall_acceptance_category", _apply_sql("category", OVERALL_TAIL))
 def q_overall_acceptance_category(spark, sf):
     return _applied(spark, sf, "category").overall
+
+
+# ------------------------------------------------------------------ wave 5
+
+def _tfidf_sql(long_sql: str, mode: str) -> str:
+    grams = " , ".join(
+        f"list_transform(range(1, length(doc) - {n - 1} + 1), lambda i: substr(doc, i::BIGINT, {n}))"
+        for n in (2, 3, 4))
+    return f"""WITH {O.node_ctes(long_sql, mode)},
+d AS (SELECT group_key, norm, n, regexp_replace(lower(norm), '[{O.WS}][{O.WS}]+', ' ', 'g') AS doc FROM nodes),
+g AS (SELECT group_key, norm, n, gram, count(*) AS tf
+      FROM (SELECT group_key, norm, n, unnest(list_concat({grams})) AS gram FROM d) GROUP BY ALL),
+dfs AS (SELECT group_key, gram, sum(n) AS df FROM g GROUP BY ALL),
+docs AS (SELECT group_key, sum(n) AS big_n FROM nodes GROUP BY ALL),
+w AS (SELECT g.group_key, g.norm, g.gram, g.tf, dfs.df,
+             ln((1.0 + docs.big_n) / (1.0 + dfs.df)) + 1.0 AS idf
+      FROM g JOIN dfs USING (group_key, gram) JOIN docs USING (group_key)),
+l2 AS (SELECT group_key, norm, sqrt(sum((tf * idf) * (tf * idf))) AS l2 FROM w GROUP BY ALL)
+SELECT w.group_key, w.norm, w.gram, CAST(w.tf AS BIGINT) AS tf, CAST(w.df AS BIGINT) AS df,
+       round_even(w.idf, 9) AS idf, round_even((w.tf * w.idf) / l2.l2, 9) AS weight
+FROM w JOIN l2 USING (group_key, norm)"""
+
+
+@query("tfidf_char_ngrams", _tfidf_sql(MESSY_LONG_CATEGORY, "category"))
+def q_tfidf(spark, sf):
+    from canonspark.operators import kmeans as KM
+    nodes = R.distinct_values(R.normalise_long(
+        R.melt(TB.messy_part(spark, sf), MESSY_COLS, category="category"), "category"))
+    t = KM.tfidf(nodes)
+    return t.select("group_key", "norm", "gram", "tf", "df", F.bround("idf", 9).alias("idf"),
+                    F.bround("weight", 9).alias("weight"))
+
+
+@query("kmeans_clusters")
+def q_kmeans(spark, sf):
+    """Rows-only: every value labelled; properties are tested in tests/."""
+    g = CL.group_in_column(_part_raw(spark, sf), ["p_name"], ml=True)
+    return _cluster_out(g)
+
+
+def _nation_entities(spark, sf):
+    return TB.load(spark, sf, "nation").select(F.col("n_name").alias("name"),
+                                               F.col("n_nationkey").alias("ent_ord"))
+
+
+@query("entity_match")
+def q_entity_match(spark, sf):
+    """Rows-only (partial_ratio has no SQL form): canonical nation per supplier text."""
+    from canonspark.operators import entity as EN
+    q = TB.messy_supplier_nation(spark, sf).select(F.col("nation_text").alias("query"))
+    return EN.canonical_names(q, _nation_entities(spark, sf))
+
+
+@query("kg_suggestions")
+def q_kg_suggestions(spark, sf):
+    """Rows-only: knowledge-source suggestion per cluster of supplier nation texts."""
+    from canonspark.operators import entity as EN
+    raw = TB.messy_supplier_nation(spark, sf)
+    g = CL.group_in_column(raw, ["nation_text"])
+    return EN.kg_suggestion_overrides(g.clustered, _nation_entities(spark, sf))
+
+
+HISTORY_COLS = ["file_name", "cleaning_mode", "acceptance_ratio", "user_id", "column", "total_values",
+                "num_of_before_unique", "num_of_after_unique", "manual_corrections", "num_of_clusters",
+                "num_of_majority", "total_num_of_single", "num_of_spell_check", "num_of_global_manual",
+                "num_of_gkg", "num_of_llm", "summary_acceptance_ratio"]
+
+
+def _history_sql() -> str:
+    parts = []
+    for mode in ("direct", "category"):
+        tail = f"""
+SELECT 'messy_part.csv' AS file_name, '{mode}' AS cleaning_mode,
+       (SELECT CAST(coalesce(round_even(avg(acceptance_ratio), 3), 0.0) AS DOUBLE) FROM summ) AS acceptance_ratio,
+       CAST(1 AS BIGINT) AS user_id, "column", total_values, num_of_before_unique, num_of_after_unique,
+       manual_corrections, num_of_clusters, num_of_majority, total_num_of_single, num_of_spell_check,
+       num_of_global_manual, num_of_gkg, num_of_llm, acceptance_ratio AS summary_acceptance_ratio
+FROM summ"""
+        parts.append(f"SELECT * FROM ({_apply_sql(mode, tail)}) h_{mode}")
+    return " UNION ALL ".join(parts)
+
+
+@query("history_runs", _history_sql())
+def q_history_runs(spark, sf):
+    import uuid
+
+    from canonspark.session import ensure_checkpoint_dir
+    from canonspark.sources import history as H
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/canonspark-history-{uuid.uuid4()}"
+    for mode in ("direct", "category"):
+        a = _applied(spark, sf, mode)
+        H.save_run(base, 1, "messy_part.csv", mode, a.overall, a.summary)
+    return H.history(spark, base, 1).select(*HISTORY_COLS)
