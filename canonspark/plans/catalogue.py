@@ -500,3 +500,24 @@ def q_history_runs(spark, sf):
         a = _applied(spark, sf, mode)
         H.save_run(base, 1, "messy_part.csv", mode, a.overall, a.summary)
     return H.history(spark, base, 1).select(*HISTORY_COLS)
+
+
+# ------------------------------------------------------------------ wave 6 (streaming)
+
+@query("stream_apply_map", f"""
+SELECT event_id, event_type, {O.norm('event_type')} AS event_type_cleaned FROM events""")
+def q_stream_apply_map(spark, sf):
+    """Learn the value map of ``events.event_type`` in batch, then clean the
+    events table read as a stream; returns what the stream wrote."""
+    import uuid
+
+    from canonspark.session import ensure_checkpoint_dir
+    from canonspark.streaming import apply_stream as ST
+    events = TB.load(spark, sf, "events")
+    vmap = CL.group_in_column(events.withColumn("row_id", F.col("event_id")), ["event_type"]).value_map()
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/canonspark-stream-{uuid.uuid4()}"
+    stream = (spark.readStream.schema(events.schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    ST.run_to_parquet(stream.select("event_id", "event_type"), vmap, "event_type",
+                      f"{base}/out", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/out")
