@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from canonspark.functions import text as T
 from canonspark.operators.topk import top_k_per_group
+from canonspark.session import ensure_checkpoint_dir
 
 # Profile thresholds of the reference
 NUMERIC_SHARE = 0.8
@@ -34,6 +35,9 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
     per_value = (long.select("name", "_rid", v.alias("v"))
                  .groupBy("name", "v")
                  .agg(F.count(F.lit(1)).alias("n"), F.min("_rid").alias("first_row")))
+    # both the counts and the samples read this table: one scan of the source
+    ensure_checkpoint_dir(df.sparkSession)
+    per_value = per_value.checkpoint(eager=True)
     kept = F.col("v").isNotNull()
     per_col = per_value.groupBy("name").agg(
         F.sum("n").alias("total_rows"),

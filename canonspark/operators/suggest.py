@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canonspark.functions import text as TX
 from canonspark.operators import spell as SP
 
 # Suggestion modes and the confidence of a corrected vote
@@ -42,11 +43,17 @@ def suggest(clustered: DataFrame, dictionary: DataFrame | None = None) -> DataFr
     # only the members of all-distinct clusters go through the dictionary path
     spell_members = c.join(alld, ["group_key", "cluster_id"], "left_semi")
     if dictionary is None:
-        dictionary = c.sparkSession.createDataFrame([], "word string, freq long")
-    flagged = SP.in_dictionary(spell_members, dictionary)
-    dict_pick = (flagged.where("in_dict").groupBy("group_key", "cluster_id")
-                 .agg(F.min_by("norm", "occ").alias("dict_word")))
-    corr = SP.correct_phrases(spell_members.select("norm"), dictionary)
+        # no dictionary: no value is a known word and no word has a correction,
+        # so the corrected phrase is the phrase with its words re-joined
+        dict_pick = alld.withColumn("dict_word", F.lit(None).cast("string")).where(F.lit(False))
+        corr = spell_members.select("norm").distinct().withColumn(
+            "corrected", F.when(F.array_join(TX.words("norm"), " ") == "", F.col("norm"))
+            .otherwise(F.array_join(TX.words("norm"), " ")))
+    else:
+        flagged = SP.in_dictionary(spell_members, dictionary)
+        dict_pick = (flagged.where("in_dict").groupBy("group_key", "cluster_id")
+                     .agg(F.min_by("norm", "occ").alias("dict_word")))
+        corr = SP.correct_phrases(spell_members.select("norm"), dictionary)
     voted = (spell_members.join(corr, "norm")
              .groupBy("group_key", "cluster_id", "corrected")
              .agg(F.count(F.lit(1)).alias("k"), F.min("occ").alias("o"))
