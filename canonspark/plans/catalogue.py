@@ -207,13 +207,15 @@ for _name, _scorer in [("fuzzy_pairs_category", "ratio"), ("fuzzy_pairs_qratio",
     QUERIES[_name] = _pairs_query(TB.messy_part, MESSY_COLS, "category", _scorer)
     ORACLES[_name] = _pairs_sql(MESSY_LONG_CATEGORY, "category", _scorer)
 
-# scorers without an SQL form: rows-only check here, brute force in tests
+# partial family and WRatio: the oracle scores every pair of a group
 for _name, _scorer in [("fuzzy_pairs_partial", "partial_ratio"),
                        ("fuzzy_pairs_partial_token_sort", "partial_token_sort_ratio"),
                        ("fuzzy_pairs_partial_token_set", "partial_token_set_ratio"),
                        ("fuzzy_pairs_partial_token", "partial_token_ratio"),
                        ("fuzzy_pairs_wratio", "WRatio")]:
     QUERIES[_name] = _pairs_query(TB.messy_part, MESSY_COLS, "category", _scorer)
+    ORACLES[_name] = f"""WITH {O.node_ctes(MESSY_LONG_CATEGORY, 'category')}, {O.partial_edge_ctes(_scorer, 75)}
+SELECT group_key, a, b, score FROM edges"""
 
 
 def _clusters_sql(long_sql: str, mode: str, algorithm: str, scorer: str = "ratio") -> str:

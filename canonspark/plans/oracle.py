@@ -245,3 +245,55 @@ def summary_select(mode: str, groups_sql: str) -> str:
                   ELSE 0.0 END AS acceptance_ratio
       FROM grp g LEFT JOIN per p USING (group_key) LEFT JOIN st USING (group_key)
       LEFT JOIN mc USING (group_key))"""
+
+
+def partial_ratio(a: str, b: str) -> str:
+    """Best ratio of the shorter text against every window of the longer one
+    (clipped windows at both ends included); equal lengths try both ways."""
+    def best(s: str, l: str) -> str:
+        ls, ll = f"length({s})", f"length({l})"
+        wins = (f"list_concat(list_transform(range(1, {ls}), lambda p: substr({l}, 1, p::BIGINT)), "
+                f"list_transform(range(1, {ll} - {ls} + 2), lambda p: substr({l}, p::BIGINT, {ls})), "
+                f"list_transform(range({ll} - {ls} + 2, {ll} + 1), lambda p: substr({l}, p::BIGINT)))")
+        return f"list_max(list_transform({wins}, lambda w: {ratio(s, 'w')}))"
+    la, lb = f"length({a})", f"length({b})"
+    return (f"(CASE WHEN {la} = 0 AND {lb} = 0 THEN 100.0 WHEN {la} = 0 OR {lb} = 0 THEN 0.0 "
+            f"WHEN {la} < {lb} THEN {best(a, b)} WHEN {la} > {lb} THEN {best(b, a)} "
+            f"ELSE greatest({best(a, b)}, {best(b, a)}) END)")
+
+
+def partial_edge_ctes(scorer: str, t: float) -> str:
+    """``edges`` for the partial-family scorers and WRatio (all pairs, plain)."""
+    pairs = ("SELECT x.group_key, x.idx AS ui, y.idx AS vi, x.norm AS a, y.norm AS b "
+             "FROM nodes x JOIN nodes y ON x.group_key = y.group_key AND x.idx < y.idx")
+    dist = "list_distinct"
+    dab = f"array_to_string(list_sort(list_filter({dist}(a_w), lambda q: NOT list_contains(b_w, q))), ' ')"
+    dba = f"array_to_string(list_sort(list_filter({dist}(b_w), lambda q: NOT list_contains(a_w, q))), ' ')"
+    shared = "len(list_intersect(a_w, b_w)) > 0"
+    p_sort = partial_ratio("sa", "sb")
+    p_diff = partial_ratio("dab", "dba")
+    scores = {
+        "partial_ratio": partial_ratio("a", "b"),
+        "partial_token_sort_ratio": p_sort,
+        "partial_token_set_ratio": (f"(CASE WHEN len(a_w) = 0 OR len(b_w) = 0 THEN 0.0 "
+                                    f"WHEN {shared} THEN 100.0 ELSE {p_diff} END)"),
+        "partial_token_ratio": f"(CASE WHEN {shared} THEN 100.0 ELSE greatest({p_sort}, {p_diff}) END)",
+    }
+    if scorer == "WRatio":
+        lr = "(greatest(length(a), length(b)) / least(length(a), length(b)))"
+        ptr = scores["partial_token_ratio"]
+        tset = token_set("a", "b")
+        tok = f"greatest({tset}, {ratio('sa', 'sb')})"
+        score = (f"(CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 "
+                 f"WHEN {lr} < 1.5 THEN greatest({ratio('a', 'b')}, {tok} * 0.95) "
+                 f"ELSE greatest({ratio('a', 'b')}, {partial_ratio('a', 'b')} * "
+                 f"(CASE WHEN {lr} < 8.0 THEN 0.9 ELSE 0.6 END), "
+                 f"{ptr} * 0.95 * (CASE WHEN {lr} < 8.0 THEN 0.9 ELSE 0.6 END)) END)")
+    else:
+        score = scores[scorer]
+    return f"""
+    pw AS (SELECT *, {words('a')} AS a_w, {words('b')} AS b_w,
+                  {sorted_tokens('a')} AS sa, {sorted_tokens('b')} AS sb FROM ({pairs})),
+    pt AS (SELECT *, {dab} AS dab, {dba} AS dba, {token_parts('a', 'b')} FROM pw),
+    edges AS MATERIALIZED (SELECT group_key, ui, vi, a, b, score
+              FROM (SELECT *, {score} AS score FROM pt) WHERE score >= {t})"""
