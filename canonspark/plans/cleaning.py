@@ -41,10 +41,18 @@ class Grouping:
     nodes: DataFrame               # distinct values per group
     edges: DataFrame
     clustered: DataFrame           # nodes + leader, cluster_id, cluster_tag
-    suggestions: DataFrame
     stats: DataFrame
     category: str | None = None
+    dictionary: DataFrame | None = field(default=None, repr=False)
     _members: DataFrame | None = field(default=None, repr=False)
+    _suggestions: DataFrame | None = field(default=None, repr=False)
+
+    @property
+    def suggestions(self) -> DataFrame:
+        """G1, built on first use and checkpointed (apply and summary reuse it)."""
+        if self._suggestions is None:
+            self._suggestions = SG.suggest(self.clustered, self.dictionary).checkpoint(eager=True)
+        return self._suggestions
 
     def members(self) -> DataFrame:
         """One row per member occurrence with its 0-based ``member_idx``."""
@@ -73,10 +81,9 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
         clustered = CL.cluster_values(nodes, edges, algorithm)
-    suggestions = SG.suggest(clustered, dictionary).checkpoint(eager=True)
     stats = SM.value_stats(long)
-    return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered, suggestions,
-                    stats, category)
+    return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered, stats, category,
+                    dictionary)
 
 
 def group_by_category(raw: DataFrame, columns: list[str], category: str,
