@@ -145,9 +145,30 @@ def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFram
     raise ValueError(scorer)
 
 
+def common_char_count(a: str, b: str) -> Column:
+    """Size of the multiset intersection of the characters of two columns."""
+    cnt = "(length({x}) - length(replace({x}, ch, '')))"
+    return F.expr(f"aggregate(array_distinct(split({a}, '(?!$)')), 0, "
+                  f"(acc, ch) -> acc + least({cnt.format(x=a)}, {cnt.format(x=b)}))")
+
+
+def partial_bound_ok(a: str, b: str, t: float) -> Column:
+    """JVM upper bound of partial_ratio: every window scores at most
+    200 C / (ls + C) with C the shared character count, so C >= t ls / (200 - t)."""
+    ls = F.least(F.length(a), F.length(b))
+    c = common_char_count(a, b)
+    both_empty = (F.length(a) == 0) & (F.length(b) == 0)
+    return both_empty | (c * F.lit(200.0 - t) >= ls * F.lit(float(t)) - F.lit(1e-9))
+
+
 def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75) -> DataFrame:
     """Exact edges ``score(a, b) >= threshold`` between distinct values of a group."""
     cand = candidate_pairs(nodes, scorer, threshold)
+    if scorer == "partial_ratio":
+        cand = cand.where(partial_bound_ok("a", "b", float(threshold)))
+    elif scorer == "partial_token_sort_ratio":
+        cand = (cand.withColumn("_sa", T.sorted_tokens(F.col("a"))).withColumn("_sb", T.sorted_tokens(F.col("b")))
+                .where(partial_bound_ok("_sa", "_sb", float(threshold))).drop("_sa", "_sb"))
     if scorer in ("ratio", "QRatio"):
         la, lb = F.length("a"), F.length("b")
         score = S.ratio_from_lcs(S.lcs_udf("a", "b"), la, lb)
