@@ -169,3 +169,53 @@ def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFr
     """Distinct values with ``leader``, ``cluster_id`` and ``cluster_tag``."""
     # reused by suggestions, members and the value map: materialise once
     return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm)))
+
+
+def first_fit_exact(norm_long: DataFrame, edges: DataFrame,
+                    local_edge_cap: int = LOCAL_EDGE_CAP) -> DataFrame:
+    """C2 on occurrences (D13 ``exact``): two equal values may land in
+    different clusters, as in the sequential rule over rows.
+
+    An occurrence of x links to the last earlier occurrence of every value
+    similar to x and of x itself (labels never rise along one value, so that
+    one link per value is enough); the first-fit solver then runs on this
+    occurrence graph.  Values without any edge keep one cluster per value.
+    Returns ``group_key, occ, norm, leader`` for every occurrence.
+    """
+    from canonspark.operators.asof import last_before
+
+    occ = norm_long.select("group_key", "norm", "occ")
+    vals = edges.select("group_key", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
+        edges.select("group_key", F.col("b").alias("x"), F.col("a").alias("y")))
+    active = vals.select("group_key", "x").distinct()
+    pairs = vals.unionByName(active.withColumn("y", F.col("x")))
+    # queries: occurrences of x; refs: occurrences of y; key (group, x, y)
+    q = (occ.join(pairs, (occ.group_key == pairs.group_key) & (occ.norm == pairs.x))
+         .select(occ.group_key, "x", "y", F.col("occ"), F.lit(0).alias("is_ref"),
+                 F.lit(None).cast(occ.schema["occ"].dataType).alias("ref")))
+    r = (occ.join(pairs, (occ.group_key == pairs.group_key) & (occ.norm == pairs.y))
+         .select(occ.group_key, "x", "y", F.col("occ"), F.lit(1).alias("is_ref"), F.col("occ").alias("ref")))
+    linked = last_before(q.unionByName(r), ["group_key", "x", "y"], ["occ", "is_ref"], "ref", "pred")
+    occ_edges = (linked.where((F.col("is_ref") == 0) & F.col("pred").isNotNull())
+                 .select("group_key", F.col("pred").alias("u"), F.col("occ").alias("v")))
+    act_occ = occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_semi")
+    lab = assign_leaders(act_occ, occ_edges, "first_fit", local_edge_cap)
+    first = occ.groupBy("group_key", "norm").agg(F.min("occ").alias("first"))
+    rest = (occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_anti")
+            .join(first, ["group_key", "norm"]).withColumn("leader", F.col("first")).drop("first"))
+    return lab.select("group_key", "occ", "norm", "leader").unionByName(
+        rest.select("group_key", "occ", "norm", "leader"))
+
+
+def cluster_occurrences_exact(norm_long: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact mode: (per-occurrence clusters, per-(cluster, value) table for
+    suggestions with ``n`` and first ``occ`` inside the cluster)."""
+    occ = first_fit_exact(norm_long, edges)
+    leaders = occ.select("group_key", "leader").distinct()
+    ranked = row_number_within(leaders, ["group_key"], ["leader"], "cluster_id")
+    occ = _ckpt(occ.join(ranked, ["group_key", "leader"])
+                .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))))
+    per_value = (occ.groupBy("group_key", "cluster_id", "cluster_tag", "norm")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ"))
+                 .withColumn("leader", F.col("occ")))
+    return occ, _ckpt(per_value)

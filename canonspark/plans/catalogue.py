@@ -523,3 +523,37 @@ def q_stream_apply_map(spark, sf):
     ST.run_to_parquet(stream.select("event_id", "event_type"), vmap, "event_type",
                       f"{base}/out", f"{base}/_checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+def _exact_sql(long_sql: str) -> str:
+    return f"""WITH RECURSIVE {O.node_ctes(long_sql, 'direct')}, {O.edge_ctes('ratio', 75)},
+occs AS MATERIALIZED (SELECT group_key, norm, okey,
+                             row_number() OVER (PARTITION BY group_key ORDER BY okey) AS oi FROM nlf),
+vn AS (SELECT group_key, a AS x, b AS y FROM edges UNION ALL SELECT group_key, b, a FROM edges
+       UNION ALL SELECT group_key, norm, norm FROM nodes),
+preds AS (SELECT o.group_key, o.oi, max(p.oi) AS pj
+          FROM occs o JOIN vn ON vn.group_key = o.group_key AND vn.x = o.norm
+          JOIN occs p ON p.group_key = o.group_key AND p.norm = vn.y AND p.oi < o.oi
+          GROUP BY o.group_key, o.oi, vn.y),
+lowers AS (SELECT group_key, oi, list(pj) AS lower FROM preds GROUP BY ALL),
+nn AS MATERIALIZED (SELECT o.group_key, o.oi AS idx, coalesce(l.lower, []::BIGINT[]) AS lower
+                    FROM occs o LEFT JOIN lowers l USING (group_key, oi)),
+seq(group_key, i, labels) AS (
+    SELECT DISTINCT group_key, CAST(0 AS BIGINT), []::BIGINT[] FROM occs
+    UNION ALL
+    SELECT s.group_key, s.i + 1,
+           list_append(s.labels, coalesce(list_min(list_transform(nn.lower, lambda j: s.labels[j])), s.i + 1))
+    FROM seq s JOIN nn ON nn.group_key = s.group_key AND nn.idx = s.i + 1),
+fin AS (SELECT group_key, labels FROM
+          (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY i DESC) AS rn FROM seq) WHERE rn = 1),
+lab AS (SELECT group_key, unnest(labels) AS leader, generate_subscripts(labels, 1) AS oi FROM fin)
+SELECT o.group_key, CAST(o.okey % 1000000000000 AS BIGINT) AS row_id, o.norm,
+       CAST(dense_rank() OVER (PARTITION BY o.group_key ORDER BY l.leader) AS BIGINT) AS cluster_id
+FROM occs o JOIN lab l USING (group_key, oi)"""
+
+
+@query("first_fit_exact", _exact_sql(MESSY_LONG_DIRECT))
+def q_first_fit_exact(spark, sf):
+    g = CL.group_in_column(TB.messy_part(spark, sf), MESSY_COLS, exact=True)
+    return g.occurrence_clusters.select("group_key", F.col("occ.row_id").alias("row_id"), "norm",
+                                        F.col("cluster_id").cast("long").alias("cluster_id"))

@@ -44,6 +44,7 @@ class Grouping:
     stats: DataFrame
     category: str | None = None
     dictionary: DataFrame | None = field(default=None, repr=False)
+    occurrence_clusters: DataFrame | None = field(default=None, repr=False)   # exact mode
     _members: DataFrame | None = field(default=None, repr=False)
     _suggestions: DataFrame | None = field(default=None, repr=False)
 
@@ -57,20 +58,32 @@ class Grouping:
     def members(self) -> DataFrame:
         """One row per member occurrence with its 0-based ``member_idx``."""
         if self._members is None:
-            m = self.norm_long.join(
-                self.clustered.select("group_key", "norm", "cluster_id", "cluster_tag"),
-                ["group_key", "norm"])
+            m = self.member_rows()
             self._members = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx",
                                               start=0).checkpoint(eager=True)
         return self._members
 
+    def member_rows(self) -> DataFrame:
+        """Every clustered occurrence with its cluster (no index)."""
+        if self.occurrence_clusters is not None:
+            return self.norm_long.join(
+                self.occurrence_clusters.select("group_key", "occ", "cluster_id", "cluster_tag"),
+                ["group_key", "occ"])
+        return self.norm_long.join(
+            self.clustered.select("group_key", "norm", "cluster_id", "cluster_tag"), ["group_key", "norm"])
+
     def value_map(self) -> DataFrame:
+        if self.occurrence_clusters is not None:
+            # The last assignment of a value wins
+            last = (self.occurrence_clusters.groupBy("group_key", "norm")
+                    .agg(F.max_by("cluster_id", "occ").alias("cluster_id")))
+            return SG.value_map(last, self.suggestions)
         return SG.value_map(self.clustered, self.suggestions)
 
 
 def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, category: str | None,
              scorer: str, threshold: float, algorithm: str, dictionary: DataFrame | None,
-             ml: bool) -> Grouping:
+             ml: bool, exact: bool = False) -> Grouping:
     S.check_scorer(scorer)                       # D14: before any job
     norm_long = R.normalise_long(long, mode)
     nodes = R.distinct_values(norm_long)
@@ -78,6 +91,11 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
         from canonspark.operators import kmeans as KM
         clustered = KM.kmeans_clusters(nodes, mode=mode)
         edges = nodes.sparkSession.createDataFrame([], "group_key string")
+    elif exact:
+        edges = PR.fuzzy_edges(nodes, scorer, threshold).checkpoint(eager=True)
+        occ_clusters, clustered = CL.cluster_occurrences_exact(norm_long, edges)
+        return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered,
+                        SM.value_stats(long), category, dictionary, occ_clusters)
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
         clustered = CL.cluster_values(nodes, edges, algorithm)
@@ -99,11 +117,15 @@ def group_by_category(raw: DataFrame, columns: list[str], category: str,
 def group_in_column(raw: DataFrame, columns: list[str],
                     scorer: str = DEFAULT_SCORER, threshold: float = DEFAULT_THRESHOLD,
                     dictionary: DataFrame | None = None, ml: bool = False,
-                    row_id: str = "row_id") -> Grouping:
-    """Cluster inside each column with first-fit clustering."""
+                    row_id: str = "row_id", exact: bool = False) -> Grouping:
+    """Cluster inside each column with first-fit clustering.
+
+    ``exact=False`` (default at scale) clusters distinct values in first-seen
+    order; ``exact=True`` clusters every occurrence as the row-by-row rule
+    does, so equal values can end up in different clusters (D13)."""
     long = R.melt(raw, columns, category=None, row_id=row_id)
     return _cluster("direct", R.present_columns(raw, columns), raw, long, None,
-                    scorer, threshold, "first_fit", dictionary, ml)
+                    scorer, threshold, "first_fit", dictionary, ml, exact)
 
 
 @dataclass
@@ -123,8 +145,7 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
         members = g.members()
     else:
         # member indexes are only needed to address overrides
-        members = g.norm_long.join(g.clustered.select("group_key", "norm", "cluster_id"),
-                                   ["group_key", "norm"])
+        members = g.member_rows()
     resolved = AP.resolve_members(members, sugg, member_overrides)
     long_cleaned = AP.clean_long(g.long, resolved)
     cleaned = AP.cleaned_table(g.raw, long_cleaned, g.columns, row_id)
