@@ -29,6 +29,8 @@ from canonspark.operators.rank import row_number_within
 # Reference defaults
 DEFAULT_THRESHOLD = 75
 DEFAULT_SCORER = "ratio"
+# scorers under which '' does not match '' (each empty occurrence stays alone)
+EMPTY_NOT_SELF_SIMILAR = ("token_set_ratio", "partial_token_set_ratio", "QRatio", "WRatio")
 
 
 @dataclass
@@ -96,6 +98,22 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
         occ_clusters, clustered = CL.cluster_occurrences_exact(norm_long, edges)
         return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered,
                         SM.value_stats(long), category, dictionary, occ_clusters)
+    elif mode == "category" and scorer in EMPTY_NOT_SELF_SIMILAR:
+        # D13: '' scores 0 against everything, itself included, so every ''
+        # occurrence is a cluster of its own, numbered in occurrence order
+        filled = nodes.where(F.col("norm") != "")
+        edges = PR.fuzzy_edges(filled, scorer, threshold)
+        assigned = CL.assign_leaders(filled, edges, algorithm)
+        occ = (norm_long.where(F.col("norm") != "").select("group_key", "norm", "occ")
+               .join(assigned.select("group_key", "norm", "leader"), ["group_key", "norm"])
+               .unionByName(norm_long.where(F.col("norm") == "")
+                            .select("group_key", "norm", "occ", F.col("occ").alias("leader"))))
+        occ_clusters = CL.number_clusters(occ).checkpoint(eager=True)
+        clustered = (occ_clusters.groupBy("group_key", "cluster_id", "cluster_tag", "norm")
+                     .agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ"))
+                     .withColumn("leader", F.col("occ")).checkpoint(eager=True))
+        return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered,
+                        SM.value_stats(long), category, dictionary, occ_clusters)
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
         clustered = CL.cluster_values(nodes, edges, algorithm)

@@ -58,3 +58,16 @@ def test_random_rows(spark, seed):
     # suggestions and apply still work on the occurrence clusters
     out = {r.row_id: r.name_cleaned for r in CL.apply_cleaning(g).cleaned.collect()}
     assert len(out) == len(values)
+
+
+def test_empty_values_stay_alone_under_qratio(spark):
+    rows = [(0, "A", "!!"), (1, "A", "acme"), (2, "A", "??"), (3, "A", "acme"), (4, "A", "")]
+    raw = spark.createDataFrame(rows, "row_id long, cat string, name string")
+    g = CL.group_by_category(raw, ["name"], "cat", scorer="QRatio")
+    got = {r.occ.row_id: r.cluster_id for r in g.occurrence_clusters.collect()}
+    # '' (rows 0, 2, 4) each alone; the two 'acme' together; numbered by occurrence
+    assert got == {0: 1, 1: 2, 2: 3, 3: 2, 4: 4}
+    s = {r.cluster_id: (r.suggestion, r.suggestion_mode) for r in g.suggestions.collect()}
+    assert s[1] == ("", "single_member") and s[2] == ("acme", "majority")
+    g2 = CL.group_by_category(raw, ["name"], "cat")           # ratio: '' == '' -> one cluster
+    assert len({r.cluster_id for r in g2.clustered.collect()}) == 2
