@@ -129,7 +129,9 @@ def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFram
                 .dropDuplicates(["group_key", "a", "b"]))
     if scorer in ("partial_ratio",):
         return _pairs_partial(nodes, norm, t)
-    if scorer in ("partial_token_sort_ratio", "partial_token_set_ratio", "partial_token_ratio"):
+    if scorer == "partial_token_sort_ratio":
+        return _pairs_partial(nodes, T.sorted_tokens(norm), t)
+    if scorer in ("partial_token_set_ratio", "partial_token_ratio"):
         return (_pairs_by_tokens(nodes, words)
                 .unionByName(_pairs_partial(nodes, T.sorted_tokens(norm), t))
                 .dropDuplicates(["group_key", "a", "b"]))
@@ -169,6 +171,12 @@ def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75)
     elif scorer == "partial_token_sort_ratio":
         cand = (cand.withColumn("_sa", T.sorted_tokens(F.col("a"))).withColumn("_sb", T.sorted_tokens(F.col("b")))
                 .where(partial_bound_ok("_sa", "_sb", float(threshold))).drop("_sa", "_sb"))
+    if scorer not in INDEL_FAMILY:
+        # the window scorers are compute-heavy per pair and the candidate table
+        # is small in bytes: spread it by count so the Python work uses every
+        # core instead of one coalesced partition
+        n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cand = cand.repartition(n, "group_key", "a", "b")
     if scorer in ("ratio", "QRatio"):
         la, lb = F.length("a"), F.length("b")
         score = S.ratio_from_lcs(S.lcs_udf("a", "b"), la, lb)

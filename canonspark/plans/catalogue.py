@@ -454,21 +454,47 @@ def _nation_entities(spark, sf):
                                                F.col("n_nationkey").alias("ent_ord"))
 
 
-@query("entity_match")
+ENTITY_SQL = f"""
+WITH q AS (SELECT DISTINCT nation_text AS query FROM ({TB.MESSY_SUPPLIER_NATION_SQL}) m
+           WHERE nation_text IS NOT NULL),
+e AS (SELECT n_name AS name, n_nationkey AS ent_ord FROM nation WHERE n_name IS NOT NULL AND n_name <> ''),
+s AS (SELECT query, name, ent_ord, lower(query) AS ql, lower(name) AS el FROM q, e),
+sc AS (SELECT query, name, ent_ord, {O.partial_ratio('ql', 'el')} AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ent_ord) AS rk
+      FROM sc WHERE score >= 75)
+SELECT query, name AS canonical, score FROM r WHERE rk = 1"""
+
+
+@query("entity_match", ENTITY_SQL)
 def q_entity_match(spark, sf):
-    """Rows-only (partial_ratio has no SQL form): canonical nation per supplier text."""
+    """Canonical nation name per supplier nation text."""
     from canonspark.operators import entity as EN
     q = TB.messy_supplier_nation(spark, sf).select(F.col("nation_text").alias("query"))
     return EN.canonical_names(q, _nation_entities(spark, sf))
 
 
-@query("kg_suggestions")
+KG_LONG = O.melt_sql(TB.MESSY_SUPPLIER_NATION_SQL, ["nation_text"], None)
+KG_SQL = f"""WITH RECURSIVE {O.node_ctes(KG_LONG, 'direct')}, {O.edge_ctes('ratio', 75)},
+{O.cluster_ctes('first_fit')},
+e AS (SELECT n_name AS name, n_nationkey AS ent_ord FROM nation WHERE n_name IS NOT NULL AND n_name <> ''),
+sc AS (SELECT c.norm, e.name, e.ent_ord, {O.partial_ratio('lower(c.norm)', 'lower(e.name)')} AS score
+       FROM (SELECT DISTINCT norm FROM clustered) c, e),
+best AS (SELECT norm, name FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, ent_ord) AS rk
+                                FROM sc WHERE score >= 75) WHERE rk = 1)
+SELECT c.group_key, CAST(c.cluster_id AS BIGINT) AS cluster_id, arg_min(b.name, c.okey) AS suggestion,
+       'google_kg' AS suggestion_mode
+FROM clustered c JOIN best b USING (norm) GROUP BY c.group_key, c.cluster_id"""
+
+
+@query("kg_suggestions", KG_SQL)
 def q_kg_suggestions(spark, sf):
-    """Rows-only: knowledge-source suggestion per cluster of supplier nation texts."""
+    """Knowledge-source suggestion per cluster of supplier nation texts (J10 + G5 input)."""
     from canonspark.operators import entity as EN
     raw = TB.messy_supplier_nation(spark, sf)
     g = CL.group_in_column(raw, ["nation_text"])
-    return EN.kg_suggestion_overrides(g.clustered, _nation_entities(spark, sf))
+    out = EN.kg_suggestion_overrides(g.clustered, _nation_entities(spark, sf))
+    return out.select("group_key", F.col("cluster_id").cast("long").alias("cluster_id"),
+                      "suggestion", "suggestion_mode")
 
 
 HISTORY_COLS = ["file_name", "cleaning_mode", "acceptance_ratio", "user_id", "column", "total_values",
