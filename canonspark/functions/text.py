@@ -55,8 +55,11 @@ def blank_to_null(x) -> Column:
     return F.when(strip(c) == "", F.lit(None).cast("string")).otherwise(c)
 
 
-def is_numeric_text(x) -> Column:
-    """Digits after removing one dot ('5.' and '.5' yes, '-5', '1e5', '.' no)."""
+def is_numeric_text(x, signed: bool = False) -> Column:
+    """Digits after removing one dot ('5.' and '.5' yes, '-5', '1e5', '.' no).
+    ``signed=True`` (D9 option) also accepts a leading sign and an exponent."""
+    if signed:
+        return _c(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     return _c(x).rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
 
 

@@ -55,9 +55,13 @@ def _features(nodes: DataFrame) -> DataFrame:
     entries = t.join(vocab, ["group_key", "gram"])
     per = (entries.groupBy("group_key", "norm")
            .agg(F.map_from_entries(F.collect_list(F.struct("gi", "weight"))).alias("m")))
-    per = per.join(size, "group_key")
+    # every value gets a vector: one without n-grams is the zero vector; a
+    # group without any n-gram has no vocabulary (NULL features, D20)
+    per = (nodes.select("group_key", "norm").join(per, ["group_key", "norm"], "left")
+           .join(size, "group_key", "left"))
     arr = F.transform(F.sequence(F.lit(0), F.col("vmax")), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return per.select("group_key", "norm", array_to_vector(arr).alias("features"))
+    return per.select("group_key", "norm",
+                      F.when(F.col("vmax").isNotNull(), array_to_vector(arr)).alias("features"))
 
 
 def kmeans_clusters(nodes: DataFrame, mode: str = "category") -> DataFrame:
@@ -67,14 +71,15 @@ def kmeans_clusters(nodes: DataFrame, mode: str = "category") -> DataFrame:
     spark = nodes.sparkSession
     feats = _features(nodes).join(nodes.select("group_key", "norm", "n", "occ"), ["group_key", "norm"])
     feats = feats.checkpoint(eager=True)
-    sizes = feats.groupBy("group_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("ndist"))
+    sizes = feats.groupBy("group_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("ndist"),
+                                           F.count("features").alias("nfeat"))
     labelled = []
     # one fit series per group: the k search is inherently per group
     for row in sizes.collect():
         g, size, ndist = row["group_key"], row["size"], row["ndist"]
         part = feats.where(F.col("group_key") == g)
         best, best_score = None, -1.0
-        top = min(max_k, size)
+        top = min(max_k, size) if row["nfeat"] else 0      # D20: no vocabulary, one cluster
         for k in range(min_k, top + 1):
             if k >= size or k > ndist:
                 break

@@ -24,7 +24,8 @@ SAMPLE_SIZE = 5
 PREVIEW_ROWS = 100
 
 
-def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] | None = None,
+                    signed: bool = False) -> DataFrame:
     """``name, type, missingCount, uniqueCount, sampleValues, isShortText, important``
     plus ``col_ord`` (the column position, for ordering)."""
     cols = columns or [c for c in df.columns if c != row_id]
@@ -43,7 +44,7 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
         F.sum("n").alias("total_rows"),
         F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("nonblank"),
         F.count("v").alias("uniqueCount"),
-        F.sum(F.when(kept & T.is_numeric_text("v"), F.col("n")).otherwise(0)).alias("num_numeric"),
+        F.sum(F.when(kept & T.is_numeric_text("v", signed), F.col("n")).otherwise(0)).alias("num_numeric"),
         F.sum(F.when(kept, F.col("n") * T.word_count("v")).otherwise(0)).alias("words"),
     )
     samples = (top_k_per_group(per_value.where(kept), ["name"], [F.col("first_row"), F.col("v")],
@@ -64,7 +65,7 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
     pct_missing = F.when(F.col("total_rows") > 0, missing / F.col("total_rows")).otherwise(F.lit(1.0))
     samples_all = F.coalesce(F.col("_samples"), F.array().cast("array<string>"))
     return p.select(
-        F.col("name"),
+        F.col("name"),      # physical name; csv.display_name shows auto-named headers as 
         col_type.alias("type"),
         missing.cast("long").alias("missingCount"),
         F.col("uniqueCount").cast("long").alias("uniqueCount"),

@@ -98,3 +98,18 @@ def value_map(clustered: DataFrame, suggestions: DataFrame) -> DataFrame:
             .join(suggestions.select("group_key", "cluster_id", "cluster_tag", "suggestion"),
                   ["group_key", "cluster_id"])
             .select("group_key", "norm", "cluster_tag", "suggestion"))
+
+
+def restore_case(suggestions: DataFrame, member_rows: DataFrame) -> DataFrame:
+    """D17 option: replace a normalised suggestion by the most frequent raw
+    spelling among the members that normalise to it (ties: first seen);
+    suggestions that no member normalises to stay as they are."""
+    raw = (member_rows.join(suggestions.select("group_key", "cluster_id", "suggestion"),
+                            ["group_key", "cluster_id"])
+           .where(F.col("norm") == F.col("suggestion"))
+           .groupBy("group_key", "cluster_id", "value")
+           .agg(F.count(F.lit(1)).alias("k"), F.min("occ").alias("o"))
+           .groupBy("group_key", "cluster_id")
+           .agg(F.min_by("value", F.struct((-F.col("k")).alias("nk"), "o")).alias("_raw")))
+    return (suggestions.join(raw, ["group_key", "cluster_id"], "left")
+            .withColumn("suggestion", F.coalesce("_raw", "suggestion")).drop("_raw"))

@@ -53,13 +53,22 @@ def _ff_clustered_part(spark, sf):
 @query("normalize_text", f"""
 SELECT item_id, {O.strip('text')} AS stripped, {O.norm('text')} AS norm,
        {O.norm('text')} IS NOT NULL AS keep_category,
-       {O.strip(O.norm('text'))} <> '' AS keep_direct
+       {O.strip(O.norm('text'))} <> '' AS keep_direct,
+       translate(lower({O.strip('text')}), '{T.ASCII_PUNCTUATION.replace("'", "''")}', '') AS punct_stripped,
+       len({O.words('text')}) AS word_count
 FROM benchmark""")
 def q_normalize_text(spark, sf):
     b = TB.load(spark, sf, "benchmark")
     n = T.normalize("text")
     return b.select("item_id", T.strip("text").alias("stripped"), n.alias("norm"),
-                    n.isNotNull().alias("keep_category"), (T.strip(n) != "").alias("keep_direct"))
+                    n.isNotNull().alias("keep_category"), (T.strip(n) != "").alias("keep_direct"),
+                    T.strip_ascii_punct("text").alias("punct_stripped"),
+                    T.word_count("text").alias("word_count"))
+
+
+@query("table_shape", "SELECT count(*) AS rows, 5 AS columns FROM customer")
+def q_table_shape(spark, sf):
+    return PF.table_shape(TB.load(spark, sf, "customer"))
 
 
 def _profile_sql(table: str, key: str, cols: list[str]) -> str:

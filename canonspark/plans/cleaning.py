@@ -65,6 +65,10 @@ class Grouping:
                                               start=0).checkpoint(eager=True)
         return self._members
 
+    def restored_suggestions(self) -> DataFrame:
+        """D17 option ``restore_case``: suggestions in their most frequent raw form."""
+        return SG.restore_case(self.suggestions, self.member_rows())
+
     def member_rows(self) -> DataFrame:
         """Every clustered occurrence with its cluster (no index)."""
         if self.occurrence_clusters is not None:

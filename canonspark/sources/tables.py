@@ -71,3 +71,11 @@ def dictionary(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
     docs = load(spark, sf_dir, "documents").where(F.col("lang") == lang)
     return (docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write original plus cleaned rows (parquet, csv with header, or json)."""
+    w = df.write.mode(mode)
+    if fmt == "csv":
+        w = w.option("header", True)
+    w.format(fmt).save(path)

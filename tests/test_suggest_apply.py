@@ -107,3 +107,10 @@ def test_acceptance_ratio(spark):
     empty = SM.summarize(sugg.limit(0), stats, "direct",
                          groups=spark.createDataFrame([("g",)], "group_key string")).first()
     assert empty.acceptance_ratio == 0.0 and empty.num_of_clusters == 0
+
+
+def test_restore_case_option(spark):
+    g = CL.group_in_column(_raw(spark), ["name"])
+    got = {r.suggestion for r in g.restored_suggestions().collect()}
+    # 'acme' members: Acme, acme, ACME!, acme -> raw 'acme' twice wins; 'zed' -> 'Zed'
+    assert got == {"acme", "Zed"}

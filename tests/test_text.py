@@ -37,3 +37,23 @@ def test_char_ngrams(spark):
     got = _one(spark, T.char_ngrams(F.col("v")), "abcd")
     assert got == ["ab", "bc", "cd", "abc", "bcd", "abcd"]
     assert _one(spark, T.char_ngrams(F.col("v")), "a") == []
+
+
+def test_request_parameters():
+    import pytest
+
+    from canonspark.plans import params as P
+    assert P.parse_bool("false") is False and P.parse_bool(" Yes") is True   # D3: no bool("false")
+    with pytest.raises(ValueError):
+        P.parse_bool("maybe")
+    assert P.parse_threshold("80") == 80
+    with pytest.raises(ValueError):
+        P.check_request(["a"], match_mode="partial_ratio_alignment")
+    with pytest.raises(ValueError):
+        P.check_request([])
+
+
+def test_signed_numeric_option(spark):
+    df = spark.createDataFrame([("-5",), ("1e5",), ("+.5e-2",), ("x",)], "v string")
+    got = [r.n for r in df.select(T.is_numeric_text("v", signed=True).alias("n")).collect()]
+    assert got == [True, True, True, False]
