@@ -85,6 +85,29 @@ def normalise_long(long: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"mode must be 'category' or 'direct', not {mode!r}")
 
 
+def raw_values(long: DataFrame) -> DataFrame:
+    """Distinct raw values per group with count, first occurrence and ``norm``:
+    normalisation then runs once per distinct value, not once per cell."""
+    return (long.groupBy("group_key", "value")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col_ord", "row_id")).alias("occ"))
+            .withColumn("norm", T.normalize("value")))
+
+
+def keep_for_clustering(mode: str):
+    """P8a / P8b on a table with ``group_key`` and ``norm``."""
+    if mode == "category":
+        return F.col("group_key").isNotNull()
+    if mode == "direct":
+        return T.strip("norm") != ""
+    raise ValueError(f"mode must be 'category' or 'direct', not {mode!r}")
+
+
+def nodes_from_values(values: DataFrame, mode: str) -> DataFrame:
+    """Distinct normalised values per group (same as ``distinct_values``)."""
+    return (values.where(keep_for_clustering(mode)).groupBy("group_key", "norm")
+            .agg(F.min("occ").alias("occ"), F.sum("n").alias("n")))
+
+
 def distinct_values(norm_long: DataFrame) -> DataFrame:
     """Distinct normalised values per group with first occurrence and count."""
     return norm_long.groupBy("group_key", "norm").agg(

@@ -26,6 +26,13 @@ def value_stats(long: DataFrame) -> DataFrame:
         F.countDistinct("value").alias("num_of_before_unique"))
 
 
+def value_stats_from_values(values: DataFrame) -> DataFrame:
+    """A8/A9 from the distinct raw value table (one row per raw value)."""
+    kept = values.where(F.col("group_key").isNotNull() & (T.strip("value") != ""))
+    return kept.groupBy("group_key").agg(
+        F.sum("n").alias("total_values"), F.count(F.lit(1)).alias("num_of_before_unique"))
+
+
 def summarize(suggestions: DataFrame, stats: DataFrame, mode: str,
               groups: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
     """Per-group summary.

@@ -367,7 +367,7 @@ def _applied(spark, sf, mode):
     return CL.apply_cleaning(g, mo, so)
 
 
-def _apply_sql(mode: str, tail: str) -> str:
+def _apply_sql(mode: str, tail: str, with_overrides: bool = True) -> str:
     long_sql = MESSY_LONG_DIRECT if mode == "direct" else MESSY_LONG_CATEGORY
     algorithm = "first_fit" if mode == "direct" else "leader"
     groups = ("SELECT DISTINCT col_name AS group_key FROM lng" if mode == "direct"
@@ -375,7 +375,7 @@ def _apply_sql(mode: str, tail: str) -> str:
     if mode == "direct":
         groups = "SELECT unnest(['name_a', 'name_b']) AS group_key"
     return f"""WITH RECURSIVE {O.node_ctes(long_sql, mode)}, {O.edge_ctes('ratio', 75)},
-{O.cluster_ctes(algorithm)}, {O.suggestion_ctes()}, {O.override_ctes()}, {O.summary_select(mode, groups)}
+{O.cluster_ctes(algorithm)}, {O.suggestion_ctes()}, {O.override_ctes(with_overrides)}, {O.summary_select(mode, groups)}
 {tail}"""
 
 
@@ -400,6 +400,18 @@ def q_apply_category(spark, sf):
     return _applied(spark, sf, "category").cleaned
 
 
+@query("apply_plain", _apply_sql("direct", CLEANED_TAIL, with_overrides=False))
+def q_apply_plain(spark, sf):
+    """Apply without any override: one join of the cells with a per-value map."""
+    return CL.apply_cleaning(CL.group_in_column(TB.messy_part(spark, sf), MESSY_COLS)).cleaned
+
+
+@query("category_summary_plain", _apply_sql("category", "SELECT * FROM summ", with_overrides=False))
+def q_category_summary_plain(spark, sf):
+    raw = TB.messy_part(spark, sf)
+    return CL.apply_cleaning(CL.group_by_category(raw, MESSY_COLS, "category")).summary
+
+
 @query("cleaning_summary", _apply_sql("direct", "SELECT * FROM summ"))
 def q_cleaning_summary(spark, sf):
     return _applied(spark, sf, "direct").summary

@@ -47,6 +47,7 @@ class Grouping:
     category: str | None = None
     dictionary: DataFrame | None = field(default=None, repr=False)
     occurrence_clusters: DataFrame | None = field(default=None, repr=False)   # exact mode
+    values: DataFrame | None = field(default=None, repr=False)   # distinct raw values + norm
     _members: DataFrame | None = field(default=None, repr=False)
     _suggestions: DataFrame | None = field(default=None, repr=False)
 
@@ -91,8 +92,10 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
              scorer: str, threshold: float, algorithm: str, dictionary: DataFrame | None,
              ml: bool, exact: bool = False) -> Grouping:
     S.check_scorer(scorer)                       # D14: before any job
-    norm_long = R.normalise_long(long, mode)
-    nodes = R.distinct_values(norm_long)
+    norm_long = R.normalise_long(long, mode)     # per cell; used only for member rows
+    # one pass over the table: distinct raw values, normalised once each
+    values = R.raw_values(long).checkpoint(eager=True)
+    nodes = R.nodes_from_values(values, mode).checkpoint(eager=True)
     if ml:
         from canonspark.operators import kmeans as KM
         clustered = KM.kmeans_clusters(nodes, mode=mode)
@@ -101,7 +104,7 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
         edges = PR.fuzzy_edges(nodes, scorer, threshold).checkpoint(eager=True)
         occ_clusters, clustered = CL.cluster_occurrences_exact(norm_long, edges)
         return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered,
-                        SM.value_stats(long), category, dictionary, occ_clusters)
+                        SM.value_stats_from_values(values), category, dictionary, occ_clusters, values)
     elif mode == "category" and scorer in EMPTY_NOT_SELF_SIMILAR:
         # D13: '' scores 0 against everything, itself included, so every ''
         # occurrence is a cluster of its own, numbered in occurrence order
@@ -117,13 +120,13 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
                      .agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ"))
                      .withColumn("leader", F.col("occ")).checkpoint(eager=True))
         return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered,
-                        SM.value_stats(long), category, dictionary, occ_clusters)
+                        SM.value_stats_from_values(values), category, dictionary, occ_clusters, values)
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
         clustered = CL.cluster_values(nodes, edges, algorithm)
-    stats = SM.value_stats(long)
+    stats = SM.value_stats_from_values(values)
     return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered, stats, category,
-                    dictionary)
+                    dictionary, None, values)
 
 
 def group_by_category(raw: DataFrame, columns: list[str], category: str,
@@ -163,6 +166,19 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
                    row_id: str = "row_id") -> Applied:
     """Overrides -> update -> widen -> summary -> overall ratio."""
     sugg = SG.apply_suggestion_overrides(g.suggestions, suggestion_overrides)
+    if member_overrides is None and g.occurrence_clusters is None and g.values is not None:
+        # no member addressed: the cleaned value depends on the raw value only,
+        # so one join of the long table with a per-value map does the update
+        vmap = (g.values.where(R.keep_for_clustering(g.mode)).select("group_key", "value", "norm")
+                .join(g.clustered.select("group_key", "norm", "cluster_id"), ["group_key", "norm"])
+                .join(sugg.select("group_key", "cluster_id", "suggestion"), ["group_key", "cluster_id"])
+                .select("group_key", "value", F.col("suggestion").alias("_cl"), F.lit(True).alias("_m")))
+        long_cleaned = (g.long.join(vmap, ["group_key", "value"], "left")
+                        .withColumn("cleaned", F.when(F.col("_m"), F.col("_cl")).otherwise(F.col("value")))
+                        .drop("_cl", "_m"))
+        cleaned = AP.cleaned_table(g.raw, long_cleaned, g.columns, row_id)
+        summary = _summary(g, sugg, None)
+        return Applied(cleaned, summary, SM.overall_acceptance(summary), vmap)
     if member_overrides is not None:
         members = g.members()
     else:
@@ -171,11 +187,14 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
     resolved = AP.resolve_members(members, sugg, member_overrides)
     long_cleaned = AP.clean_long(g.long, resolved)
     cleaned = AP.cleaned_table(g.raw, long_cleaned, g.columns, row_id)
+    summary = _summary(g, sugg, AP.manual_corrections(resolved))
+    return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved)
+
+
+def _summary(g: Grouping, sugg: DataFrame, manual: DataFrame | None) -> DataFrame:
     if g.mode == "direct":
         groups = g.raw.sparkSession.createDataFrame([(c,) for c in g.columns], "group_key string")
-        summary = SM.summarize(sugg, g.stats, "direct", groups=groups,
-                               manual=AP.manual_corrections(resolved))
-    else:
-        groups = g.long.where(F.col("group_key").isNotNull()).select("group_key").distinct()
-        summary = SM.summarize(sugg, g.stats, "category", groups=groups)
-    return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved)
+        return SM.summarize(sugg, g.stats, "direct", groups=groups, manual=manual)
+    src = g.values if g.values is not None else g.long
+    groups = src.where(F.col("group_key").isNotNull()).select("group_key").distinct()
+    return SM.summarize(sugg, g.stats, "category", groups=groups)

@@ -171,11 +171,12 @@ def suggestion_ctes() -> str:
              FROM cstats s JOIN cvote v USING (group_key, cluster_id))"""
 
 
-def override_ctes() -> str:
+def override_ctes(with_overrides: bool = True) -> str:
     """Fixture overrides over ``sugg`` / ``cstats`` / ``nlf`` / ``clustered``:
     the last member of every cluster with more than one distinct value keeps
     its own value; single-member clusters get a custom upper-case suggestion,
     clusters about gears a knowledge-graph one, about bolts a model one."""
+    ov = "true" if with_overrides else "false"
     return """
     members AS MATERIALIZED (
         SELECT n.group_key, n.row_id, n.col_name, n.value, n.norm, n.okey, c.cluster_id,
@@ -183,14 +184,15 @@ def override_ctes() -> str:
         FROM nlf n JOIN clustered c USING (group_key, norm)),
     mo AS (SELECT m.group_key, m.cluster_id, m.member_idx, m.norm AS value
            FROM members m JOIN cstats s USING (group_key, cluster_id)
-           WHERE s.ndist > 1 AND m.member_idx = s.size - 1),
+           WHERE s.ndist > 1 AND m.member_idx = s.size - 1 AND {ov}),
     so AS (SELECT group_key, cluster_id,
                   CASE WHEN suggestion_mode = 'single_member' THEN upper(suggestion)
                        WHEN contains(suggestion, 'gear') THEN 'Gear' ELSE 'Bolt' END AS suggestion,
                   CASE WHEN suggestion_mode = 'single_member' THEN 'custom'
                        WHEN contains(suggestion, 'gear') THEN 'google_kg' ELSE 'llm_suggest' END AS suggestion_mode
            FROM sugg
-           WHERE suggestion_mode = 'single_member' OR contains(suggestion, 'gear') OR contains(suggestion, 'bolt')),
+           WHERE (suggestion_mode = 'single_member' OR contains(suggestion, 'gear') OR contains(suggestion, 'bolt'))
+             AND {ov}),
     sugg2 AS (SELECT s.group_key, s.cluster_id, s.size,
                      CASE WHEN o.cluster_id IS NOT NULL THEN o.suggestion ELSE s.suggestion END AS suggestion,
                      CASE WHEN o.cluster_id IS NOT NULL THEN o.suggestion_mode ELSE s.suggestion_mode END AS suggestion_mode
@@ -202,7 +204,7 @@ def override_ctes() -> str:
                  LEFT JOIN mo USING (group_key, cluster_id, member_idx)),
     lc AS (SELECT l.row_id, l.col_name,
                   CASE WHEN r.row_id IS NOT NULL THEN r.cleaned ELSE l.value END AS cleaned
-           FROM lng l LEFT JOIN resolved r USING (row_id, col_name))"""
+           FROM lng l LEFT JOIN resolved r USING (row_id, col_name))""".replace("{ov}", ov)
 
 
 def summary_select(mode: str, groups_sql: str) -> str:
