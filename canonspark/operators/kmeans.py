@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonspark.functions import text as T
+from canonspark.operators.rank import row_number_within
 
 # Reference search ranges and seed
 CATEGORY_K = (2, 20)
@@ -49,8 +50,8 @@ def tfidf(nodes: DataFrame, n_min: int = 2, n_max: int = 4) -> DataFrame:
 def _features(nodes: DataFrame) -> DataFrame:
     """One dense vector per distinct value over its group's n-gram vocabulary."""
     t = tfidf(nodes)
-    vocab = t.select("group_key", "gram").distinct()
-    vocab = vocab.withColumn("gi", F.dense_rank().over(Window.partitionBy("group_key").orderBy("gram")) - 1)
+    vocab = row_number_within(t.select("group_key", "gram").distinct(), ["group_key"], ["gram"], "gi",
+                              start=0)
     size = vocab.groupBy("group_key").agg(F.max("gi").alias("vmax"))
     entries = t.join(vocab, ["group_key", "gram"])
     per = (entries.groupBy("group_key", "norm")

@@ -167,16 +167,13 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
     """Overrides -> update -> widen -> summary -> overall ratio."""
     sugg = SG.apply_suggestion_overrides(g.suggestions, suggestion_overrides)
     if member_overrides is None and g.occurrence_clusters is None and g.values is not None:
-        # no member addressed: the cleaned value depends on the raw value only,
-        # so one join of the long table with a per-value map does the update
+        # no member addressed: the cleaned value depends on (group, raw value)
+        # only, so the raw rows are joined with a per-value map column by column
         vmap = (g.values.where(R.keep_for_clustering(g.mode)).select("group_key", "value", "norm")
                 .join(g.clustered.select("group_key", "norm", "cluster_id"), ["group_key", "norm"])
                 .join(sugg.select("group_key", "cluster_id", "suggestion"), ["group_key", "cluster_id"])
                 .select("group_key", "value", F.col("suggestion").alias("_cl"), F.lit(True).alias("_m")))
-        long_cleaned = (g.long.join(vmap, ["group_key", "value"], "left")
-                        .withColumn("cleaned", F.when(F.col("_m"), F.col("_cl")).otherwise(F.col("value")))
-                        .drop("_cl", "_m"))
-        cleaned = AP.cleaned_table(g.raw, long_cleaned, g.columns, row_id)
+        cleaned = _apply_by_value(g, vmap, row_id)
         summary = _summary(g, sugg, None)
         return Applied(cleaned, summary, SM.overall_acceptance(summary), vmap)
     if member_overrides is not None:
@@ -191,6 +188,33 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
     return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved)
 
 
+def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str) -> DataFrame:
+    """Write ``<col>_cleaned`` straight onto the raw rows: one join per cleaned
+    column with the per-value map (no melt, pivot or join back).  AQE turns
+    each join into a broadcast when the map is small; beyond that it is a
+    sort-merge join on (group, value)."""
+    out = g.raw
+    for i, c in enumerate(g.columns):
+        m = vmap
+        if g.mode == "direct":
+            m = m.where(F.col("group_key") == c)
+        m = m.select(F.col("group_key").alias(f"_g{i}"), F.col("value").alias(f"_v{i}"),
+                     F.col("_cl").alias(f"_c{i}"), F.col("_m").alias(f"_m{i}"))
+        key = F.col(c).cast("string")
+        cond = key == F.col(f"_v{i}")
+        if g.mode == "category":
+            cond = cond & (F.col(g.category).cast("string") == F.col(f"_g{i}"))
+        out = out.join(m, cond, "left")
+        out = (out.withColumn(f"{c}_cleaned", F.when(F.col(f"_m{i}"), F.col(f"_c{i}")).otherwise(key))
+               .drop(f"_g{i}", f"_v{i}", f"_c{i}", f"_m{i}"))
+    order = []
+    for c in g.raw.columns:
+        order.append(c)
+        if c in g.columns:
+            order.append(f"{c}_cleaned")
+    return out.select(*order)
+
+
 def _summary(g: Grouping, sugg: DataFrame, manual: DataFrame | None) -> DataFrame:
     if g.mode == "direct":
         groups = g.raw.sparkSession.createDataFrame([(c,) for c in g.columns], "group_key string")
