@@ -343,10 +343,11 @@ def fixture_overrides(g: CL.Grouping):
     s = g.suggestions
     multi = (g.clustered.groupBy("group_key", "cluster_id").agg(F.count(F.lit(1)).alias("ndist"))
              .where(F.col("ndist") > 1).select("group_key", "cluster_id"))
-    members = g.members().join(multi, ["group_key", "cluster_id"], "left_semi")
-    member_ov = (members.join(s.select("group_key", "cluster_id", "size"), ["group_key", "cluster_id"])
-                 .where(F.col("member_idx") == F.col("size") - 1)
-                 .select("group_key", "cluster_id", "member_idx", F.col("norm").alias("value")))
+    # the last member of a cluster: the occurrence with the largest occ
+    member_ov = (g.member_rows().join(multi, ["group_key", "cluster_id"], "left_semi")
+                 .groupBy("group_key", "cluster_id")
+                 .agg(F.max_by("norm", "occ").alias("value"), F.count(F.lit(1)).alias("_k"))
+                 .select("group_key", "cluster_id", (F.col("_k") - 1).alias("member_idx"), "value"))
     single = F.col("suggestion_mode") == "single_member"
     gear = F.col("suggestion").contains("gear")
     bolt = F.col("suggestion").contains("bolt")

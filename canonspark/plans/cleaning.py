@@ -166,15 +166,26 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
                    row_id: str = "row_id") -> Applied:
     """Overrides -> update -> widen -> summary -> overall ratio."""
     sugg = SG.apply_suggestion_overrides(g.suggestions, suggestion_overrides)
-    if member_overrides is None and g.occurrence_clusters is None and g.values is not None:
-        # no member addressed: the cleaned value depends on (group, raw value)
-        # only, so the raw rows are joined with a per-value map column by column
+    if g.occurrence_clusters is None and g.values is not None:
+        # the cleaned value depends on (group, raw value) except for members an
+        # override addresses: a per-value map writes every cell, and member
+        # indexes are computed only inside clusters that carry an override
         vmap = (g.values.where(R.keep_for_clustering(g.mode)).select("group_key", "value", "norm")
                 .join(g.clustered.select("group_key", "norm", "cluster_id"), ["group_key", "norm"])
                 .join(sugg.select("group_key", "cluster_id", "suggestion"), ["group_key", "cluster_id"])
                 .select("group_key", "value", F.col("suggestion").alias("_cl"), F.lit(True).alias("_m")))
-        cleaned = _apply_by_value(g, vmap, row_id)
-        summary = _summary(g, sugg, None)
+        patch, manual = None, None
+        if member_overrides is not None:
+            ov = member_overrides.select("group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"))
+            touched = ov.select("group_key", "cluster_id").distinct()
+            m = g.member_rows().join(touched, ["group_key", "cluster_id"], "left_semi")
+            ranked = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0)
+            patch = (ranked.join(ov, ["group_key", "cluster_id", "member_idx"])
+                     .select("row_id", "col_name", "_ov").checkpoint(eager=True))
+            manual = (patch.groupBy(F.col("col_name").alias("group_key"))
+                      .agg(F.count(F.lit(1)).alias("manual_corrections")))
+        cleaned = _apply_by_value(g, vmap, row_id, patch)
+        summary = _summary(g, sugg, manual)
         return Applied(cleaned, summary, SM.overall_acceptance(summary), vmap)
     if member_overrides is not None:
         members = g.members()
@@ -188,13 +199,19 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
     return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved)
 
 
-def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str) -> DataFrame:
+def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,
+                    patch: DataFrame | None = None) -> DataFrame:
     """Write ``<col>_cleaned`` straight onto the raw rows: one join per cleaned
     column with the per-value map (no melt, pivot or join back).  AQE turns
     each join into a broadcast when the map is small; beyond that it is a
-    sort-merge join on (group, value)."""
+    sort-merge join on (group, value).  ``patch(row_id, col_name, _ov)`` holds
+    member overrides; an override wins even when its value is NULL."""
     out = g.raw
     for i, c in enumerate(g.columns):
+        if patch is not None:
+            p = patch.where(F.col("col_name") == c).select(
+                F.col("row_id").alias(f"_pr{i}"), F.col("_ov").alias(f"_po{i}"), F.lit(True).alias(f"_pm{i}"))
+            out = out.join(p, F.col(row_id) == F.col(f"_pr{i}"), "left")
         m = vmap
         if g.mode == "direct":
             m = m.where(F.col("group_key") == c)
@@ -205,8 +222,11 @@ def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str) -> DataFrame:
         if g.mode == "category":
             cond = cond & (F.col(g.category).cast("string") == F.col(f"_g{i}"))
         out = out.join(m, cond, "left")
-        out = (out.withColumn(f"{c}_cleaned", F.when(F.col(f"_m{i}"), F.col(f"_c{i}")).otherwise(key))
-               .drop(f"_g{i}", f"_v{i}", f"_c{i}", f"_m{i}"))
+        value = F.when(F.col(f"_m{i}"), F.col(f"_c{i}")).otherwise(key)
+        if patch is not None:
+            value = F.when(F.col(f"_pm{i}"), F.col(f"_po{i}")).otherwise(value)
+        out = (out.withColumn(f"{c}_cleaned", value)
+               .drop(f"_g{i}", f"_v{i}", f"_c{i}", f"_m{i}", f"_pr{i}", f"_po{i}", f"_pm{i}"))
     order = []
     for c in g.raw.columns:
         order.append(c)
