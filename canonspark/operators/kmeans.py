@@ -100,9 +100,10 @@ def kmeans_clusters(nodes: DataFrame, mode: str = "category") -> DataFrame:
     out = labelled[0]
     for x in labelled[1:]:
         out = out.unionByName(x)
+    # at most max_k labels per group: the window over the leader table is small
     first = out.groupBy("group_key", "prediction").agg(F.min("occ").alias("leader"))
-    out = out.join(first, ["group_key", "prediction"])
-    cid = F.dense_rank().over(Window.partitionBy("group_key").orderBy("leader"))
-    return (out.withColumn("cluster_id", cid.cast("long"))
+    first = first.withColumn("cluster_id", F.row_number().over(
+        Window.partitionBy("group_key").orderBy("leader")).cast("long"))
+    return (out.join(first, ["group_key", "prediction"])
             .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")))
             .drop("prediction").checkpoint(eager=True))
