@@ -169,8 +169,11 @@ def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75)
     if scorer == "partial_ratio":
         cand = cand.where(partial_bound_ok("a", "b", float(threshold)))
     elif scorer == "partial_token_sort_ratio":
-        cand = (cand.withColumn("_sa", T.sorted_tokens(F.col("a"))).withColumn("_sb", T.sorted_tokens(F.col("b")))
-                .where(partial_bound_ok("_sa", "_sb", float(threshold))).drop("_sa", "_sb"))
+        # materialise the sorted texts once: inlined into the bound's lambdas
+        # they would be recomputed for every character
+        sorted_pairs = (cand.withColumn("_sa", T.sorted_tokens(F.col("a")))
+                        .withColumn("_sb", T.sorted_tokens(F.col("b"))).checkpoint(eager=True))
+        cand = sorted_pairs.where(partial_bound_ok("_sa", "_sb", float(threshold))).drop("_sa", "_sb")
     if scorer not in INDEL_FAMILY:
         # the window scorers are compute-heavy per pair and the candidate table
         # is small in bytes: spread it by count so the Python work uses every
