@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +55,21 @@ def _features(nodes: DataFrame) -> DataFrame:
     size = vocab.groupBy("group_key").agg(F.max("gi").alias("vmax"))
     entries = t.join(vocab, ["group_key", "gram"])
     per = (entries.groupBy("group_key", "norm")
-           .agg(F.map_from_entries(F.collect_list(F.struct("gi", "weight"))).alias("m")))
+           .agg(F.array_sort(F.collect_list(F.struct("gi", "weight"))).alias("e")))
     # every value gets a vector: one without n-grams is the zero vector; a
     # group without any n-gram has no vocabulary (NULL features, D20)
     per = (nodes.select("group_key", "norm").join(per, ["group_key", "norm"], "left")
            .join(size, "group_key", "left"))
-    arr = F.transform(F.sequence(F.lit(0), F.col("vmax")), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return per.select("group_key", "norm",
-                      F.when(F.col("vmax").isNotNull(), array_to_vector(arr)).alias("features"))
+    e = F.coalesce(F.col("e"), F.array().cast("array<struct<gi:long,weight:double>>"))
+    vec = _sparse(F.col("vmax") + 1, F.transform(e, lambda x: x["gi"].cast("int")),
+                  F.transform(e, lambda x: x["weight"]))
+    return per.select("group_key", "norm", F.when(F.col("vmax").isNotNull(), vec).alias("features"))
+
+
+@F.udf(VectorUDT())
+def _sparse(size, idx, vals):
+    """Sparse TF-IDF vector of one distinct value (entries already sorted)."""
+    return Vectors.sparse(int(size), list(idx), list(vals))
 
 
 def kmeans_clusters(nodes: DataFrame, mode: str = "category") -> DataFrame:
