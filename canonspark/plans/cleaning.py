@@ -159,6 +159,9 @@ class Applied:
     summary: DataFrame
     overall: DataFrame
     resolved: DataFrame
+    # overridden members per column (A18); reported in both modes, while the
+    # category-mode summary leaves manual_corrections NULL
+    manual: DataFrame | None = None
 
 
 def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
@@ -186,7 +189,7 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
                       .agg(F.count(F.lit(1)).alias("manual_corrections")))
         cleaned = _apply_by_value(g, vmap, row_id, patch)
         summary = _summary(g, sugg, manual)
-        return Applied(cleaned, summary, SM.overall_acceptance(summary), vmap)
+        return Applied(cleaned, summary, SM.overall_acceptance(summary), vmap, manual)
     if member_overrides is not None:
         members = g.members()
     else:
@@ -195,8 +198,9 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
     resolved = AP.resolve_members(members, sugg, member_overrides)
     long_cleaned = AP.clean_long(g.long, resolved)
     cleaned = AP.cleaned_table(g.raw, long_cleaned, g.columns, row_id)
-    summary = _summary(g, sugg, AP.manual_corrections(resolved))
-    return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved)
+    manual = AP.manual_corrections(resolved)
+    summary = _summary(g, sugg, manual)
+    return Applied(cleaned, summary, SM.overall_acceptance(summary), resolved, manual)
 
 
 def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,

@@ -29,3 +29,11 @@ def test_melt_is_one_expand(spark):
     from canonspark.operators import reshape as R
     long = R.melt(C.TB.messy_part(spark, SF), C.MESSY_COLS, category="category")
     assert _plan(long).count("Expand") == 1
+
+
+def test_apply_broadcasts_small_value_map(spark):
+    df = C.QUERIES["apply_plain"](spark, SF)
+    df.write.format("noop").mode("overwrite").save()          # AQE settles the final plan
+    plan = _plan(df)
+    assert "BroadcastHashJoin" in plan
+    assert plan.count("part.parquet") == 1                     # raw table scanned once
