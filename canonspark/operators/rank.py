@@ -24,9 +24,12 @@ WINDOW_CAP = 2_000_000
 
 def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                       out: str, start: int = 1, num_partitions: int | None = None,
-                      window_cap: int = WINDOW_CAP) -> DataFrame:
+                      window_cap: int = WINDOW_CAP, largest: int | None = None) -> DataFrame:
+    """``largest``: the caller's known upper bound of a group's size (saves
+    the counting pass); counted here when not given."""
     spark = df.sparkSession
-    largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
     if largest <= window_cap:
         # every group is proven small: one plain window, one shuffle
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)

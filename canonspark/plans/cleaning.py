@@ -182,7 +182,11 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
             ov = member_overrides.select("group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"))
             touched = ov.select("group_key", "cluster_id").distinct()
             m = g.member_rows().join(touched, ["group_key", "cluster_id"], "left_semi")
-            ranked = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0)
+            # cluster sizes are already in the (small, checkpointed) suggestions
+            largest = (g.suggestions.join(touched, ["group_key", "cluster_id"], "left_semi")
+                       .agg(F.max("size")).first()[0] or 0)
+            ranked = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0,
+                                       largest=largest)
             patch = (ranked.join(ov, ["group_key", "cluster_id", "member_idx"])
                      .select("row_id", "col_name", "_ov").checkpoint(eager=True))
             manual = (patch.groupBy(F.col("col_name").alias("group_key"))
