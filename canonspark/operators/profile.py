@@ -100,3 +100,18 @@ def preview_rows(df: DataFrame, limit="100", row_id: str = "row_id") -> DataFram
 def table_shape(df: DataFrame) -> DataFrame:
     """Rows and columns."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
+def analyze_csv(spark, path: str, limit="100"):
+    """S1-S5, A1-A7, A21 together: read a CSV as text (missing-value tokens to
+    NULL), add a row id, and return ``(profile, preview, shape)``.  Columns that
+    had a blank header (Spark names them ``_c<i>``) are shown as '' in the
+    profile (S2), keeping their unique physical name (D8)."""
+    from canonspark.sources import csv as CSV
+
+    raw = CSV.read_csv(spark, path)
+    cols = list(raw.columns)
+    df = raw.withColumn("row_id", F.monotonically_increasing_id())
+    shown = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(CSV.display_name(c)))])
+    prof = profile_columns(df, columns=cols).withColumn("name", shown[F.col("name")])
+    return prof, preview_rows(df, limit), table_shape(raw)

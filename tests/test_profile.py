@@ -19,3 +19,16 @@ def test_preview_and_limit(spark):
     out = PF.preview_rows(df, "abc").collect()
     assert [(r.row_id, r.v) for r in out] == [(1, "x"), (2, "")]
     assert PF.parse_limit("all") is None and PF.parse_limit("7") == 7
+
+
+def test_analyze_csv(spark, tmp_path):
+    p = tmp_path / "u.csv"
+    p.write_text("brand,,n\nAcme,x,1\nNA,y,2\nacme,,3\n")
+    prof, prev, shape = PF.analyze_csv(spark, str(p), limit="2")
+    rows = {r.col_ord: r for r in prof.collect()}
+    assert [rows[i].name for i in range(3)] == ["brand", "", "n"]
+    assert rows[0].missingCount == 1 and rows[1].missingCount == 1
+    assert rows[2].type == "numeric"
+    assert prev.count() == 2
+    s = shape.first()
+    assert (s.rows, s.columns) == (3, 3)
