@@ -156,19 +156,22 @@ def assign_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str,
     return first_fit_leaders(nodes, e)
 
 
-def number_clusters(assigned: DataFrame) -> DataFrame:
+def number_clusters(assigned: DataFrame, largest: int | None = None) -> DataFrame:
     """``cluster_id`` 1.. per group in order of formation (leader order),
     tag ``cluster_<n>``."""
     leaders = assigned.select("group_key", "leader").distinct()
-    ranked = row_number_within(leaders, ["group_key"], ["leader"], "cluster_id")
+    ranked = row_number_within(leaders, ["group_key"], ["leader"], "cluster_id", largest=largest)
     return (assigned.join(ranked, ["group_key", "leader"])
             .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))))
 
 
-def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
+def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str,
+                   largest_group: int | None = None) -> DataFrame:
     """Distinct values with ``leader``, ``cluster_id`` and ``cluster_tag``."""
     # reused by suggestions, members and the value map: materialise once
-    return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm)))
+    # ``largest_group`` (distinct values of the largest group) bounds the
+    # number of leaders, so numbering needs no counting pass of its own
+    return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm), largest_group))
 
 
 def first_fit_exact(norm_long: DataFrame, edges: DataFrame,

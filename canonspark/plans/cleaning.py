@@ -123,7 +123,8 @@ def _cluster(mode: str, columns: list[str], raw: DataFrame, long: DataFrame, cat
                         SM.value_stats_from_values(values), category, dictionary, occ_clusters, values)
     else:
         edges = PR.fuzzy_edges(nodes, scorer, threshold)
-        clustered = CL.cluster_values(nodes, edges, algorithm)
+        largest = nodes.groupBy("group_key").count().agg(F.max("count")).first()[0] or 0
+        clustered = CL.cluster_values(nodes, edges, algorithm, largest)
     stats = SM.value_stats_from_values(values)
     return Grouping(mode, columns, raw, long, norm_long, nodes, edges, clustered, stats, category,
                     dictionary, None, values)
