@@ -180,7 +180,9 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
                 .select("group_key", "value", F.col("suggestion").alias("_cl"), F.lit(True).alias("_m")))
         patch, manual = None, None
         if member_overrides is not None:
-            ov = member_overrides.select("group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"))
+            # overrides are read twice (touched clusters, then the patch join)
+            ov = (member_overrides.select("group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"))
+                  .checkpoint(eager=True))
             touched = ov.select("group_key", "cluster_id").distinct()
             m = g.member_rows().join(touched, ["group_key", "cluster_id"], "left_semi")
             # cluster sizes are already in the (small, checkpointed) suggestions
