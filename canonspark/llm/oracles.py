@@ -7,7 +7,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _space_words(col: str) -> str:
     return (f"list_filter(string_split_regex(translate(coalesce({col}, ''), '{_UP}', '{_LOW}'), "
-            r"'[\x20\x09-\x0D]+'), x -> x <> '')")
+            r"'[\x20\x09-\x0D]+'), lambda x: x <> '')")
 
 
 OP2 = f"""
