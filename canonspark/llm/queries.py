@@ -7,8 +7,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canonspark.llm import near_dedup
+from canonspark.llm import near_dedup, suffix_dedup
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table
 
@@ -17,6 +18,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = suffix_dedup.remove_repeats(docs)
+    return r.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans",
+                    F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -9,6 +9,7 @@ the same words as working on characters.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,12 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def seed_bytes(*parts) -> bytes:
     return os.fsencode("|".join(map(str, parts)))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table written below ``spark.checkpoint.dir``
+    (compressed, unlike a checkpoint; for larger intermediate tables)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
