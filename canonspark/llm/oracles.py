@@ -29,6 +29,30 @@ left join (select doc_id, min(doc_id) over (partition by h) class_id
            from (select doc_id, list_sort(list(sh)) h from s group by 1)) k on k.doc_id = d.doc_id
 """
 
+def _alnum_words(col: str) -> str:
+    return (f"list_filter(string_split_regex(translate(coalesce({col}, ''), '{_UP}', '{_LOW}'), "
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+OP7 = f"""
+with d as (select doc_id, {_alnum_words('text')} ws from documents),
+b as (select cast(item_id as varchar) item_id, {_alnum_words('text')} ws from benchmark),
+win as (select distinct item_id, least(len(ws), 13) k, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') g
+        from b, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) t(i) where len(ws) > 0),
+ks as (select distinct k from win),
+g as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') g
+      from d, ks, unnest(range(1, len(ws) - k + 2)) t(i) where len(ws) >= k),
+m as (select g.doc_id, g.i, g.k, win.item_id from g join win on win.k = g.k and win.g = g.g),
+hit as (select doc_id, count(distinct p) n_hit from m, unnest(range(i, i + k)) t(p) group by 1),
+it as (select doc_id, list_sort(list(distinct item_id)) ids from m group by 1)
+select d.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit,
+       cast(coalesce(len(ids), 0) as bigint) n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
+    "op7_decontaminate": OP7,
 }

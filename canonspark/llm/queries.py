@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import near_dedup, suffix_dedup
+from canonspark.llm import decontaminate, near_dedup, suffix_dedup
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table
 
@@ -18,6 +18,16 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = decontaminate.contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    read_table(spark, sf_dir, "benchmark"))
+    h = F.col("benchmark_hits")
+    return r.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"),
+                    F.size(h["items"]).cast("long").alias("n_items"),
+                    F.sha2(F.concat_ws(",", h["items"]), 256).alias("items_sha256"),
+                    h["contaminated"].alias("contaminated"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = suffix_dedup.remove_repeats(docs)
@@ -27,5 +37,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
