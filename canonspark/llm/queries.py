@@ -9,15 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, near_dedup, suffix_dedup
+from canonspark.llm import decontaminate, mixing, near_dedup, suffix_dedup
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
-from canonspark.llm.textops import read_table
+from canonspark.llm.textops import read_table, written
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    return mixing.mix(sizes).select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
                                     read_table(spark, sf_dir, "benchmark"))
@@ -37,6 +43,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
