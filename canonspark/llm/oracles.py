@@ -52,7 +52,19 @@ select d.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n_hit, 0) as big
 from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """
 
+OP5 = """
+with v as (select vec_id, list_transform(embedding, lambda e: cast(floor(cast(e as double) * 1024) as bigint)) v
+           from embeddings where embedding is not null
+             and len(list_filter(embedding, lambda e: e is null or not isfinite(cast(e as double)))) = 0),
+c as (select vec_id, v[i] x, i from v, unnest(range(1, len(v) + 1)) t(i)),
+s as (select q.vec_id query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) score
+      from c q join c on c.i = q.i and c.vec_id <> q.vec_id where q.vec_id % 100 = 0 group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s)
+select query_id, cast(k as integer) "rank", vec_id, score from r where k <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
+    "op5_topk": OP5,
     "op7_decontaminate": OP7,
 }

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, mixing, near_dedup, suffix_dedup
+from canonspark.llm import decontaminate, mixing, near_dedup, suffix_dedup, topk_search
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
@@ -18,6 +18,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = topk_search.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(v, v.where("vec_id % 100 = 0"), 10)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
@@ -43,6 +48,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
