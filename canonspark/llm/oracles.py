@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from canonspark.llm.licenses import LEAST, PHRASES, TEMPLATES
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +65,36 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(k as integer) "rank", vec_id, score from r where k <= 10
 """
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = " union all ".join(
+    f"select '{t.label}' label, {_list(t.words)} ws, {_list(t.key)} k, {t.key_at} at, {base} base"
+    for base, ts in (("false", TEMPLATES), ("true", PHRASES)) for t in ts)
+
+OP8 = f"""
+with d as (select doc_id, {_alnum_words('text')} w from documents), t as ({_TEMPLATES}),
+p as (select d.doc_id, t.*, i - 1 - t.at as start, d.w
+      from d, t, unnest(range(1, len(d.w) - len(t.k) + 2)) u(i)
+      where list_has_all(d.w, t.k) and d.w[i:i + len(t.k) - 1] = t.k),
+s as (select doc_id, label, base, start, (select count(*) from unnest(range(1, len(ws) + 1)) x(j)
+             where start + j >= 1 and w[start + j] = ws[j]) / cast(len(ws) as double) share from p),
+a as (select doc_id, count(*) filter (base) n_base, min(start) filter (base) first_word,
+             max(start) filter (base) last_word,
+             list_sort(list(distinct label) filter (base)) bl,
+             list_sort(list(distinct label) filter (base or share >= {LEAST})) al,
+             max(share) filter (not base and share >= {LEAST}) best from s group by 1)
+select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base,
+       cast(first_word as bigint) first_word, cast(last_word as bigint) last_word,
+       coalesce(array_to_string(bl, ','), '') base_labels, coalesce(array_to_string(al, ','), '') labels,
+       case when n_base > 0 then 1.0::double else coalesce(best, 0.0) end score
+from d left join a on a.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
     "op5_topk": OP5,
     "op7_decontaminate": OP7,
+    "op8_licenses": OP8,
 }

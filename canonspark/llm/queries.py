@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, mixing, near_dedup, suffix_dedup, topk_search
+from canonspark.llm import decontaminate, licenses, mixing, near_dedup, suffix_dedup, topk_search
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
@@ -39,6 +39,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     h["contaminated"].alias("contaminated"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = suffix_dedup.remove_repeats(docs)
@@ -51,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_licenses": op8_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
