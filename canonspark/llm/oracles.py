@@ -54,6 +54,40 @@ select d.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n_hit, 0) as big
 from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """
 
+_ENTRY = ("select '{0}' list, {2} pattern, k * {3} % 300 + {4} n, '{5}' action from k where {1}")
+_SPAM = "regexp_matches(host, 'spam|pills|casino')"
+_ENTRIES = " union ".join(_ENTRY.format(*x) for x in (
+    ("spam", _SPAM, "host", 1, 0, "add"), ("spam", _SPAM, "host", 1, 90, "remove"),
+    ("spam", _SPAM, "host", 1, 150, "add"),
+    ("language", "length(host) % 2 = 0", "host || '/de'", 3, 0, "add"),
+    ("language", "length(host) % 4 = 0", "host || '/de'", 3, 60, "remove"),
+    ("domain", "host like '%.org'", "'example.org'", 0, 40, "add"),
+    ("domain", "host like '%.org'", "'example.org'", 0, 45, "remove"),
+    ("domain", "host like 'blog.%'", "substr(host, 6)", 5, 10, "add")))
+
+OP4 = f"""
+with u as (select page_id, date '2024-01-01' + cast(page_id % 366 as integer) fetched,
+    regexp_extract(translate(url, '{_UP}', '{_LOW}'), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) auth,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') segs
+  from pages),
+c as (select page_id, fetched, segs, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    auth, '^.*@', ''), ':[0-9]*$', ''), '\\.$', ''), '^www\\.', ''), '') host from u),
+k as (select distinct host, length(host) * 7 + ascii(host[-9]) * 3 k from c where host is not null),
+e as (select list, pattern, date '2024-01-01' + cast(n as integer) as day, bool_and(action = 'add') "on"
+      from ({_ENTRIES}) group by 1, 2, 3),
+cand as (select distinct page_id, fetched, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) pattern
+  from c where host is not null),
+st as (select page_id, list, cand.pattern, arg_max("on", e.day) s from cand join e
+       on e.pattern = cand.pattern and e.day <= cand.fetched group by 1, 2, 3),
+a as (select page_id, list_sort(list(distinct list)) ls, list_sort(list(distinct list || ':' || pattern)) ps
+      from st where s group by 1)
+select c.page_id, c.fetched, c.host, coalesce(array_to_string(ls, ','), '') lists,
+       coalesce(array_to_string(ps, ','), '') patterns, ls is not null blocked
+from c left join a on a.page_id = c.page_id
+"""
+
 OP5 = """
 with v as (select vec_id, list_transform(embedding, lambda e: cast(floor(cast(e as double) * 1024) as bigint)) v
            from embeddings where embedding is not null
@@ -70,12 +104,12 @@ def _list(words) -> str:
 
 
 _TEMPLATES = " union all ".join(
-    f"select '{t.label}' label, {_list(t.words)} ws, {_list(t.key)} k, {t.key_at} at, {base} base"
+    f"select '{t.label}' label, {_list(t.words)} ws, {_list(t.key)} k, {t.key_at} key_at, {base} base"
     for base, ts in (("false", TEMPLATES), ("true", PHRASES)) for t in ts)
 
 OP8 = f"""
 with d as (select doc_id, {_alnum_words('text')} w from documents), t as ({_TEMPLATES}),
-p as (select d.doc_id, t.*, i - 1 - t.at as start, d.w
+p as (select d.doc_id, t.*, i - 1 - t.key_at as start, d.w
       from d, t, unnest(range(1, len(d.w) - len(t.k) + 2)) u(i)
       where list_has_all(d.w, t.k) and d.w[i:i + len(t.k) - 1] = t.k),
 s as (select doc_id, label, base, start, (select count(*) from unnest(range(1, len(ws) + 1)) x(j)
@@ -94,6 +128,7 @@ from d left join a on a.doc_id = d.doc_id
 
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
+    "op4_url_filters": OP4,
     "op5_topk": OP5,
     "op7_decontaminate": OP7,
     "op8_licenses": OP8,

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, licenses, mixing, near_dedup, suffix_dedup, topk_search
+from canonspark.llm import decontaminate, licenses, mixing, near_dedup, suffix_dedup, topk_search, url_filters
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
@@ -18,6 +18,38 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries that the hosts of the pages give: a few lists whose days follow
+    from the host's name (the tables hold no lists of their own)."""
+    h = F.col("host")
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    k = F.length(h) * 7 + F.ascii(F.substring(h, -9, 1)) * 3
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("list"), F.when(use, pattern).alias("pattern"),
+                   (k * step % 300 + shift).cast("int").alias("n"), F.lit(action).alias("action"))
+          for name, use, pattern, step, shift, action in (
+              ("spam", h.rlike("spam|pills|casino"), h, 1, 0, "add"),
+              ("spam", h.rlike("spam|pills|casino"), h, 1, 90, "remove"),
+              ("spam", h.rlike("spam|pills|casino"), h, 1, 150, "add"),
+              ("language", F.length(h) % 2 == 0, F.concat(h, F.lit("/de")), 3, 0, "add"),
+              ("language", F.length(h) % 4 == 0, F.concat(h, F.lit("/de")), 3, 60, "remove"),
+              ("domain", h.rlike("[.]org$"), F.lit("example.org"), 0, 40, "add"),
+              ("domain", h.rlike("[.]org$"), F.lit("example.org"), 0, 45, "remove"),
+              ("domain", h.rlike("^blog[.]"), F.regexp_replace(h, "^blog[.]", ""), 5, 10, "add"))])
+    e = hosts.select(F.explode(rows).alias("e")).select("e.*").where("pattern is not null").distinct()
+    return e.select("list", "pattern", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"), "action")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are fetched on day page_id % 366 of 2024."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    r = url_filters.judge(pages.withColumn("fetched", day), list_entries(pages))
+    f = F.col("url_filter")
+    return r.select("page_id", "fetched", f["host"].alias("host"), F.concat_ws(",", f["lists"]).alias("lists"),
+                    F.concat_ws(",", f["patterns"]).alias("patterns"), f["blocked"].alias("blocked"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = topk_search.integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(v, v.where("vec_id % 100 = 0"), 10)
@@ -52,6 +84,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op4_url_filters": op4_url_filters,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
