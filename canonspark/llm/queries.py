@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, licenses, mixing, near_dedup, suffix_dedup, topk_search, url_filters
+from canonspark.llm import decontaminate, language_id, licenses, mixing, near_dedup, suffix_dedup, topk_search, url_filters
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
@@ -75,6 +75,20 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def page_doc_id(url: Column) -> Column:
+    """The document a page shows: the number that ends its path."""
+    number = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/[^?#]*?([0-9]+)(?:\.html)?/?(?:[?#].*)?$", 1)
+    return F.when(F.length(number).between(1, 18), number).cast("long")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    evidence = language_id.page_evidence(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url")))
+    r = language_id.identify(docs, evidence)
+    return r.select("doc_id", "language.lang", F.round("language.prob", 6).alias("prob"), "language.text_lang",
+                    "language.declared", "language.host")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = suffix_dedup.remove_repeats(docs)
@@ -89,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_licenses": op8_licenses,
+    "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
