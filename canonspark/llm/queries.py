@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, language_id, licenses, mixing, near_dedup, suffix_dedup, topk_search, url_filters
+from canonspark.llm import decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, suffix_dedup, topk_search, url_filters
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
@@ -18,6 +18,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"))
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries that the hosts of the pages give: a few lists whose days follow
     from the host's name (the tables hold no lists of their own)."""
@@ -98,6 +102,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_url_filters": op4_url_filters,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
