@@ -9,11 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, suffix_dedup, topk_search, url_filters
+from canonspark.llm import decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, quality, suffix_dedup, topk_search, url_filters
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import read_table, written
 
 
+def page_doc_id(url: Column) -> Column:
+    """The document a page shows: the number that ends its path."""
+    number = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/[^?#]*?([0-9]+)(?:\.html)?/?(?:[?#].*)?$", 1)
+    return F.when(F.length(number).between(1, 18), number).cast("long")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pages = written(quality.page_metadata(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url"))), "pages")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), pages)
+    r = quality.judge(docs, model, pages, keep_text=False)
+    return r.select("doc_id", "quality_score.*")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, threshold=80)
 
@@ -79,12 +93,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def page_doc_id(url: Column) -> Column:
-    """The document a page shows: the number that ends its path."""
-    number = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/[^?#]*?([0-9]+)(?:\.html)?/?(?:[?#].*)?$", 1)
-    return F.when(F.length(number).between(1, 18), number).cast("long")
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     evidence = language_id.page_evidence(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url")))
@@ -101,6 +109,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_url_filters": op4_url_filters,
