@@ -95,6 +95,9 @@ class SparseLogit:
             least: int = 5, steps: int = 150) -> "SparseLogit":
         """Proximal gradient with per-feature steps (Adagrad)."""
         n = len(y)
+        if n == 0:  # nothing to learn from: every logit is 0
+            self.mean, self.scale, self.dense = np.zeros(dense.shape[1]), np.ones(dense.shape[1]), np.zeros(dense.shape[1])
+            return self
         flat = np.concatenate(present) if n else np.empty(0, np.int64)
         rows = np.repeat(np.arange(n), [len(x) for x in present])
         names, counts = np.unique(flat, return_counts=True)
@@ -286,7 +289,8 @@ def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: b
 
     A null or empty text is scored by its shape; documents without a page have
     their own metadata only; nulls are missing categories.  Rows that repeat a
-    doc_id are scored each.  Other columns pass through (``_q`` names are reserved);
+    doc_id are scored each.  A model fitted without labels keeps everything (0.5).
+    Other columns pass through (``_q`` names are reserved);
     without ``keep_text`` the text is dropped before the metadata is joined, so
     that texts are not shuffled.  An empty table gives an empty result.
     """
