@@ -227,7 +227,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> Dat
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD,
-                    tables: int = TABLES, rows: int = ROWS, block: int = 1024) -> DataFrame:
+                    tables: int = TABLES, rows: int = ROWS, block: int = 4096) -> DataFrame:
     """``documents(doc_id, text, ...)`` -> one row per input row: ``doc_id``,
     ``n_shingles`` (set size), ``component_id`` (smallest doc_id reachable over
     links, itself included), ``kept`` (doc_id = component_id), ``class_id``
