@@ -5,7 +5,7 @@ Per document, inside one Arrow-batched pass, the set of word shingles gives
 * two collections U and V of ``tables`` band hashes (``rows`` minhashes each).
   A table key is a pair (U_i, V_j), so ``tables**2`` tables cost only
   ``2 * tables * rows`` minhashes;
-* a parity sketch of about two bits per shingle.  The bits in which two
+* a parity sketch of four to eight bits per shingle.  The bits in which two
   sketches differ are a lower bound of the symmetric difference, so a pair
   whose bound already rules out the threshold is dropped with proof.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from canonspark.llm.components import components
 from canonspark.llm.shingles import WordHashes, shingle_set
-from canonspark.llm.textops import checkpoint, space_words
+from canonspark.llm.textops import checkpoint, space_words, written
 
 TABLES, ROWS, WORDS, THRESHOLD = 14, 2, 5, 80
 CELL = ["key", "lo", "hi"]
@@ -62,8 +62,8 @@ def _minhashes(s: np.ndarray, mult: np.ndarray, step: int = 1 << 14) -> np.ndarr
 
 def parity_sketch(s: np.ndarray) -> bytes:
     """Bit i: parity of the number of members that fall on i; a power of two of
-    at least 64 bits and at least twice the set's size."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    at least 1024 bits and at least four times the set's size."""
+    bits = max(1024, 1 << int(4 * len(s) - 1).bit_length())
     hit = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(hit.astype(np.uint8), bitorder="little").tobytes()
 
@@ -251,7 +251,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = T
 
     # bands that some other class has too
     bands = reps.select("id", F.posexplode("bands").alias("i", "h"))
-    shared = bands.groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # (written, so that the join reads two plain shuffles and can split a hot band)
+    shared = written(bands.groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "bands")
     own = bands.join(shared, ["i", "h"]).groupBy("id").agg(
         F.collect_list(F.when(F.col("i") < tables, F.struct("i", "h"))).alias("u"),
         F.collect_list(F.when(F.col("i") >= tables, F.struct("i", "h"))).alias("v"))
@@ -260,7 +261,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = T
         .select("id", F.xxhash64("u.i", "v.i", "u.h", "v.h").alias("key")))
 
     # star of every bucket, sketch, full sets
-    buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(keys.groupBy("key").agg(
+        F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
     star = (keys.join(buckets, "key").select("a", F.col("id").alias("b")).where("a != b").distinct())
     s1 = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("n1"), F.col("sketch").alias("s1"))
     s2 = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2"))
@@ -281,7 +283,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = T
     open_buckets = (open_buckets.where("first != last and n > 2")
                     .groupBy("n", "sum1", "sum2").agg(F.min("key").alias("key"))
                     .withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    placed = (members.select("key", "id").join(open_buckets.select("key", "blocks"), "key")
+    open_buckets = written(open_buckets.select("key", "blocks"), "open")
+    placed = (members.select("key", "id").join(open_buckets, "key")
               .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", "id",
