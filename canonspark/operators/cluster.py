@@ -8,16 +8,14 @@ which cuts the lineage and lets a lost executor be recomputed from there.
 Only values that have an edge take part in the rounds; isolated values are
 their own cluster.
 
-Small graphs: when every group has at most ``LOCAL_EDGE_CAP`` edges (checked
-with one aggregation), each group's edge list is solved by the sequential
-rule inside one ``applyInPandas`` task -- memory is bounded by the cap.
-Otherwise every group goes through the distributed fixpoint.
-
 C1 (leader): take the first unassigned value as base, every later unassigned
-value similar to the base joins it.  Leaders are the greedy independent set
-in rank order: a value becomes a leader once no lower neighbour is undecided
-or a leader; it is covered once a lower neighbour is a leader; a covered value
-joins its lowest leader neighbour.
+value similar to the base joins it.  Leaders are the greedy independent set in
+rank order: a value with no lower neighbour left is a leader, the values above a
+leader are covered, and both leave with their edges.  A value with a single
+lower neighbour left has the opposite state of it; such values form chains,
+which are followed by doubling pointers (target, parity), so that a line of n
+similar neighbours takes about log n steps.  A covered value joins its lowest
+leader neighbour.
 
 C2 (first fit): a value joins the first cluster holding any similar earlier
 value.  Its label is the minimum label over earlier neighbours (its own rank
@@ -28,15 +26,13 @@ and never below the true label, so the fixpoint is the sequential result.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest edge list of one group that a single task may solve; checked before use
-LOCAL_EDGE_CAP = 1_000_000
-
-from canonspark.session import ensure_checkpoint_dir
 from canonspark.operators.rank import row_number_within
+from canonspark.session import ensure_checkpoint_dir
+
+NODE = ["group_key", "v"]
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -44,138 +40,100 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _active(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select("group_key", F.col("u").alias("occ")).unionByName(
-        edges.select("group_key", F.col("v").alias("occ"))).distinct()
-    return ends
-
-
-def first_fit_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ)."""
-    e = _ckpt(edges.select("group_key", "u", "v"))
-    lab = _ckpt(_active(nodes, e).select("group_key", F.col("occ").alias("v"), F.col("occ").alias("lab")))
-    for _ in range(max_rounds):
-        cand = (e.join(lab.withColumnRenamed("v", "u"), ["group_key", "u"])
-                .groupBy("group_key", "v").agg(F.min("lab").alias("cand")))
-        jump = (lab.alias("x").join(lab.alias("y"), (F.col("x.group_key") == F.col("y.group_key"))
-                                    & (F.col("x.lab") == F.col("y.v")))
-                .select(F.col("x.group_key").alias("group_key"), F.col("x.v").alias("v"),
-                        F.col("y.lab").alias("jl")))
-        new = (lab.join(cand, ["group_key", "v"], "left").join(jump, ["group_key", "v"], "left")
-               .select("group_key", "v",
-                       F.least("lab", "cand", "jl").alias("lab"),
-                       (F.least("lab", "cand", "jl") < F.col("lab")).alias("changed")))
-        new = _ckpt(new)
-        changed = new.where("changed").limit(1).count()
-        lab = new.drop("changed")
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("first-fit clustering did not converge")
-    return (nodes.join(lab.withColumnRenamed("v", "occ"), ["group_key", "occ"], "left")
-            .withColumn("leader", F.coalesce(F.col("lab"), F.col("occ"))).drop("lab"))
-
-
-def leader_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ)."""
-    UND, LEAD, COV = 0, 1, 2
-    e = _ckpt(edges.select("group_key", "u", "v"))
-    st = _ckpt(_active(nodes, e).select("group_key", F.col("occ").alias("v"), F.lit(UND).alias("st")))
-    for _ in range(max_rounds):
-        lower = (e.join(st.withColumnRenamed("v", "u").withColumnRenamed("st", "ust"), ["group_key", "u"])
-                 .groupBy("group_key", "v")
-                 .agg(F.max((F.col("ust") == LEAD).cast("int")).alias("has_lead"),
-                      F.max((F.col("ust") == UND).cast("int")).alias("has_und")))
-        new = (st.join(lower, ["group_key", "v"], "left")
-               .select("group_key", "v",
-                       F.when(F.col("st") != UND, F.col("st"))
-                       .when(F.coalesce(F.col("has_lead"), F.lit(0)) == 1, F.lit(COV))
-                       .when(F.coalesce(F.col("has_und"), F.lit(0)) == 0, F.lit(LEAD))
-                       .otherwise(F.lit(UND)).alias("st")))
-        new = _ckpt(new)
-        und = new.where(F.col("st") == UND).limit(1).count()
-        st = new
-        if und == 0:
-            break
-    else:
-        raise RuntimeError("leader clustering did not converge")
-    leaders = st.where(F.col("st") == LEAD).select("group_key", F.col("v").alias("u"))
-    cover = (e.join(leaders, ["group_key", "u"])
-             .groupBy("group_key", "v").agg(F.min("u").alias("lab")))
-    return (nodes.join(cover.withColumnRenamed("v", "occ"), ["group_key", "occ"], "left")
-            .withColumn("leader", F.coalesce(F.col("lab"), F.col("occ"))).drop("lab"))
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("group_key", "v").unionByName(
+        edges.select("group_key", F.col("u").alias("v"))).distinct()
 
 
-def _solve_group(algorithm: str):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(zip(pdf.u_c, pdf.u_r)) | set(zip(pdf.v_c, pdf.v_r)))
-        rank = {n: i for i, n in enumerate(nodes)}
-        lower: list[list[int]] = [[] for _ in nodes]
-        for uc, ur, vc, vr in zip(pdf.u_c, pdf.u_r, pdf.v_c, pdf.v_r):
-            lower[rank[(vc, vr)]].append(rank[(uc, ur)])
-        label = [0] * len(nodes)
-        for i in range(len(nodes)):
-            if algorithm == "first_fit":
-                label[i] = min((label[j] for j in lower[i]), default=i)
-            else:
-                label[i] = min((j for j in lower[i] if label[j] == j), default=i)
-        gk = pdf.group_key.iloc[0]
-        return pd.DataFrame({
-            "group_key": [gk] * len(nodes),
-            "v_c": [n[0] for n in nodes], "v_r": [n[1] for n in nodes],
-            "l_c": [nodes[label[i]][0] for i in range(len(nodes))],
-            "l_r": [nodes[label[i]][1] for i in range(len(nodes))],
-        })
-    return solve
-
-
-def _local_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
-    flat = edges.select("group_key", F.col("u.col_ord").alias("u_c"), F.col("u.row_id").alias("u_r"),
-                        F.col("v.col_ord").alias("v_c"), F.col("v.row_id").alias("v_r"))
-    lab = (flat.groupBy("group_key")
-           .applyInPandas(_solve_group(algorithm),
-                          "group_key string, v_c int, v_r long, l_c int, l_r long")
-           .select("group_key",
-                   F.struct(F.col("v_c").alias("col_ord"), F.col("v_r").alias("row_id")).alias("occ"),
-                   F.struct(F.col("l_c").alias("col_ord"), F.col("l_r").alias("row_id")).alias("lab")))
-    return (nodes.join(lab, ["group_key", "occ"], "left")
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels(group_key, v, lab)`` put on the nodes; the others lead themselves."""
+    return (nodes.join(labels.withColumnRenamed("v", "occ"), ["group_key", "occ"], "left")
             .withColumn("leader", F.coalesce(F.col("lab"), F.col("occ"))).drop("lab"))
 
 
-def assign_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str,
-                   local_edge_cap: int = LOCAL_EDGE_CAP) -> DataFrame:
-    """Pick the in-task solver when every group's edge list is proven small."""
+def first_fit_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ).
+    Labels fall in every round but the last, so the loop ends."""
+    lab = _ckpt(_ends(edges).select("group_key", "v", F.col("v").alias("lab")))
+    while True:
+        cand = (edges.join(lab.withColumnRenamed("v", "u"), ["group_key", "u"])
+                .groupBy("group_key", "v").agg(F.min("lab").alias("cand")))
+        jump = lab.select("group_key", F.col("v").alias("lab"), F.col("lab").alias("jl"))
+        best = F.least("lab", "cand", "jl")
+        lab = _ckpt(lab.join(cand, NODE, "left").join(jump, ["group_key", "lab"], "left")
+                    .select("group_key", "v", best.alias("new"), (best < F.col("lab")).alias("changed"))
+                    .withColumnRenamed("new", "lab"))
+        if lab.where("changed").isEmpty():
+            return _labelled(nodes, lab.drop("changed"))
+        lab = lab.drop("changed")
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """``single(group_key, v, u)``: v is the opposite of u.  Follows the pointers to
+    their ends by doubling: ``(group_key, v, root, odd)``."""
+    ptr = _ckpt(single.select("group_key", "v", F.col("u").alias("root"), F.lit(True).alias("odd")))
+    while True:
+        onward = ptr.select("group_key", F.col("v").alias("root"), F.col("root").alias("r2"), F.col("odd").alias("o2"))
+        nxt = _ckpt(ptr.join(onward, ["group_key", "root"], "left").select(
+            "group_key", "v", F.coalesce("r2", "root").alias("root"),
+            F.when(F.col("r2").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("o2")).alias("odd"),
+            F.col("r2").isNotNull().alias("moved")))
+        ptr = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return ptr
+
+
+def leader_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ).
+    Every round decides at least the lowest value left of each group."""
+    live, left, leaders = edges, _ckpt(_ends(edges)), None
+    while not left.isEmpty():
+        low = live.groupBy("group_key", "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"))
+        free = left.join(low.select(*NODE), NODE, "left_anti")
+        single = _ckpt(low.where("n = 1").select("group_key", "v", "u"))
+        if not single.join(single.select("group_key", F.col("v").alias("u")), ["group_key", "u"], "left_semi").isEmpty():
+            # somewhere a chain is longer than one step
+            ends = _chains(single).join(free.withColumnRenamed("v", "root"), ["group_key", "root"], "left_semi")
+            free = free.unionByName(ends.where("not odd").select(*NODE))
+        lead = _ckpt(free)
+        leaders = lead if leaders is None else leaders.unionByName(lead)
+        covered = live.join(lead.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi").select(*NODE)
+        gone = _ckpt(lead.unionByName(covered).distinct())
+        left = _ckpt(left.join(gone, NODE, "left_anti"))
+        live = _ckpt(live.join(gone, NODE, "left_anti")
+                     .join(gone.withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti"))
+    if leaders is None:
+        return nodes.withColumn("leader", F.col("occ"))
+    cover = (edges.join(leaders.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi")
+             .groupBy("group_key", "v").agg(F.min("u").alias("lab"))
+             # a leader has no leader among its lower neighbours
+             .join(leaders, NODE, "left_anti"))
+    return _labelled(nodes, cover)
+
+
+def assign_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
     if algorithm not in ("leader", "first_fit"):
         raise ValueError(f"unknown clustering algorithm {algorithm!r}")
     e = _ckpt(edges.select("group_key", "u", "v"))
-    largest = e.groupBy("group_key").count().agg(F.max("count")).first()[0] or 0
-    if largest <= local_edge_cap:
-        return _local_leaders(nodes, e, algorithm)
-    if algorithm == "leader":
-        return leader_leaders(nodes, e)
-    return first_fit_leaders(nodes, e)
+    return (leader_leaders if algorithm == "leader" else first_fit_leaders)(nodes, e)
 
 
-def number_clusters(assigned: DataFrame, largest: int | None = None) -> DataFrame:
+def number_clusters(assigned: DataFrame) -> DataFrame:
     """``cluster_id`` 1.. per group in order of formation (leader order),
     tag ``cluster_<n>``."""
     leaders = assigned.select("group_key", "leader").distinct()
-    ranked = row_number_within(leaders, ["group_key"], ["leader"], "cluster_id", largest=largest)
+    ranked = row_number_within(leaders, ["group_key"], ["leader"], "cluster_id")
     return (assigned.join(ranked, ["group_key", "leader"])
             .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))))
 
 
-def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str,
-                   largest_group: int | None = None) -> DataFrame:
+def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:
     """Distinct values with ``leader``, ``cluster_id`` and ``cluster_tag``."""
     # reused by suggestions, members and the value map: materialise once
-    # ``largest_group`` (distinct values of the largest group) bounds the
-    # number of leaders, so numbering needs no counting pass of its own
-    return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm), largest_group))
+    return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm)))
 
 
-def first_fit_exact(norm_long: DataFrame, edges: DataFrame,
-                    local_edge_cap: int = LOCAL_EDGE_CAP) -> DataFrame:
+def first_fit_exact(norm_long: DataFrame, edges: DataFrame) -> DataFrame:
     """C2 on occurrences (D13 ``exact``): two equal values may land in
     different clusters, as in the sequential rule over rows.
 
@@ -202,7 +160,7 @@ def first_fit_exact(norm_long: DataFrame, edges: DataFrame,
     occ_edges = (linked.where((F.col("is_ref") == 0) & F.col("pred").isNotNull())
                  .select("group_key", F.col("pred").alias("u"), F.col("occ").alias("v")))
     act_occ = occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_semi")
-    lab = assign_leaders(act_occ, occ_edges, "first_fit", local_edge_cap)
+    lab = assign_leaders(act_occ, occ_edges, "first_fit")
     first = occ.groupBy("group_key", "norm").agg(F.min("occ").alias("first"))
     rest = (occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_anti")
             .join(first, ["group_key", "norm"]).withColumn("leader", F.col("first")).drop("first"))

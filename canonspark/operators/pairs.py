@@ -6,180 +6,270 @@ Output ``edges(group_key, u, v, a, b, score)``: ``u < v`` are the first
 occurrences of ``a`` and ``b``; one row per unordered pair with
 ``score(a, b) >= threshold``.
 
-Candidate generation never forms the cross product of a group.  Every path is
-an equi-join whose key makes it exact for the chosen scorer:
-
-* Indel family (ratio, QRatio, token_sort_ratio): ``ratio >= t`` implies
-  ``|la - lb| <= indel <= D = (100 - t)(la + lb) / 100``, so side A explodes the
-  few admissible lengths of B and the join key is ``(group_key, length)``;
-  then ``levenshtein(a, b, D)`` (JVM, bounded) prunes before the exact score.
-* Token-set family: pairs that share a word (equi-join on ``(group_key,
-  word)``) plus, for pairs without a shared word, the Indel band on the
-  word-sorted text.
-* Partial family: with ``t > 200/3`` a window scoring ``>= t`` shares a
-  character bigram with the shorter string once that string has at least
-  ``L0(t)`` characters (pigeonhole over the common subsequence); shorter
-  strings are joined on shared characters.  For lower thresholds the shared
-  character join alone is used.  Any positive score needs a shared character.
+Candidates come from exact prefix filters, never from a group's cross product.
+A text's *marks* are its characters with a running number (the second ``e`` is
+``e2``), ordered by their frequency in the group, rarest first.
+
+* Indel family: ``200 * LCS / (la + lb) >= t`` needs ``o = ceil(t (la + lb) / 200)``
+  common marks.  Among the first ``la - o + m`` marks of a and ``lb - o + m`` of
+  b at least m are common (with m <= o), so the join key is
+  ``(group, la, lb, m-subset of the first marks)``.  m falls with the length, so
+  that a text has few subsets.  A pair is kept at its first common subset only,
+  and only with o common marks in all; then a bounded ``levenshtein`` prunes.
+* Partial family: a window that scores t shares ``o = ceil(t ls / (200 - t))`` marks
+  with the shorter text; the first ``ls - o + m`` marks of the shorter one meet all
+  marks of the longer one.
+* Token-set family: both scores of texts without a common word, and the ratio of
+  the two whole word lists, are Indel scores of the *distinct* words (above).  The
+  ratio of the common words to one whole list needs the common words to cover
+  ``t / (200 - t)`` of that list: its rarest words up to the uncovered rest meet all
+  words of the other text.
+* Where one common word alone is a full score (partial token scorers), pairs of
+  texts with a common word are results, and the join on words has no others.
+
+A threshold of 0 or less links everything; then the pairs of a group are the
+result.  Skewed keys are split by adaptive execution (both sides of every join
+are plain shuffles).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonspark.functions import similarity as S
 from canonspark.functions import text as T
+from canonspark.session import ensure_checkpoint_dir
 
 INDEL_FAMILY = {"ratio", "QRatio", "token_sort_ratio"}
+# subset size by the length of the longer text: rare marks say less in long texts
+SUBSET_STEPS = ((12, 3), (24, 2))
+SLACK = 1e-9  # thresholds may be fractions; a need is never rounded up past its value
 
 
-def _band_max(t: float, la: Column) -> Column:
-    c = (100.0 - t) / 100.0
-    if c >= 1.0:
-        return F.lit(1 << 30)
-    return F.floor(la * F.lit((1.0 + c) / (1.0 - c))).cast("int")
-
-
-def _pairs_by_band(nodes: DataFrame, key: Column, t: float) -> DataFrame:
-    """Candidate pairs (x, y) with |len(key)| inside the Indel band, each once."""
-    k = nodes.select("group_key", "norm", "occ", key.alias("k")).withColumn("kl", F.length("k"))
-    a = k.select("group_key", F.col("norm").alias("a"), F.col("occ").alias("ua"),
-                 F.col("k").alias("ka"), F.col("kl").alias("la"),
-                 F.explode(F.sequence(F.col("kl"), F.greatest(F.col("kl"), _band_max(t, F.col("kl"))))).alias("lb"))
-    b = k.select("group_key", F.col("norm").alias("b"), F.col("occ").alias("ub"),
-                 F.col("k").alias("kb"), F.col("kl").alias("lb"))
-    j = a.join(b, ["group_key", "lb"])
-    j = j.where((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
-    # JVM bound: Levenshtein <= Indel <= D (one unit of slack for float ties)
-    d = F.floor((F.lit(100.0 - t) * (F.col("la") + F.col("lb"))) / F.lit(100.0)).cast("int") + 1
-    j = j.withColumn("_d", d).where(F.expr("levenshtein(ka, kb, _d)") >= 0)
-    # canonical orientation a < b, shared by every candidate generator
-    swap = F.col("a") > F.col("b")
-    return j.select("group_key",
-                    F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
-                    F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-                    F.when(swap, F.col("ub")).otherwise(F.col("ua")).alias("ua"),
-                    F.when(swap, F.col("ua")).otherwise(F.col("ub")).alias("ub"))
+def _chars(c: Column) -> Column:
+    return F.when(F.length(c) >= 1, F.split(c, "(?!$)")).otherwise(F.array().cast("array<string>"))
 
 
-def _pairs_by_tokens(nodes: DataFrame, tokens: Column, only: Column | None = None) -> DataFrame:
-    """Candidate pairs sharing at least one token (deduplicated)."""
-    base = nodes if only is None else nodes.where(only)
-    tok = base.select("group_key", "norm", "occ", F.explode(F.array_distinct(tokens)).alias("tok"))
-    a = tok.select("group_key", "tok", F.col("norm").alias("a"), F.col("occ").alias("ua"))
-    b = tok.select("group_key", "tok", F.col("norm").alias("b"), F.col("occ").alias("ub"))
-    return (a.join(b, ["group_key", "tok"]).where(F.col("a") < F.col("b"))
-            .select("group_key", "a", "b", "ua", "ub").dropDuplicates(["group_key", "a", "b"]))
+def _marks(c: Column) -> Column:
+    """Characters with a running number, in text order."""
+    chars = _chars(c)
+    return F.transform(chars, lambda x, i: F.concat(
+        x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
 
-def _bigrams(c: Column) -> Column:
-    L = F.length(c)
-    return F.when(L >= 2, F.transform(F.sequence(F.lit(1), L - 1), lambda i: F.substring(c, i, 2))) \
-        .otherwise(F.array().cast("array<string>"))
+def _with_marks(nodes: DataFrame, key: Column) -> DataFrame:
+    """Texts with their marks ordered by group frequency, rarest first."""
+    base = nodes.select("group_key", "norm", "occ", key.alias("k")).withColumn("len", F.length("k"))
+    marked = base.where("len > 0").select("group_key", "norm", "occ", "k", "len", F.explode(_marks(F.col("k"))).alias("m"))
+    freq = marked.groupBy("group_key", "m").agg(F.count(F.lit(1)).alias("f"))
+    ordered = (marked.join(freq, ["group_key", "m"])
+               .groupBy("group_key", "norm", "occ", "k", "len")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda s: s["m"]).alias("marks")))
+    empty = base.where("len = 0").withColumn("marks", F.expr("cast(array() as array<string>)"))
+    ensure_checkpoint_dir(nodes.sparkSession)
+    return ordered.unionByName(empty).checkpoint(eager=True)
 
 
-def _chars(c: Column) -> Column:
-    return F.when(F.length(c) >= 1, F.split(c, "(?!$)")).otherwise(F.array().cast("array<string>"))
+def _subsets(marks: Column, size: Column) -> Column:
+    """All subsets of 0, 1, 2 or 3 marks in order, as text."""
+    n = F.size(marks)
+
+    def upto(first: Column, body) -> Column:
+        return F.flatten(F.transform(F.when(first <= n, F.sequence(first, n)).otherwise(
+            F.expr("cast(array() as array<int>)")), body))
+
+    one = F.transform(marks, lambda x: x)
+    two = upto(F.lit(1), lambda i: F.transform(
+        F.slice(marks, i + 1, n), lambda y: F.concat(F.element_at(marks, i), F.lit("|"), y)))
+    three = upto(F.lit(1), lambda i: F.flatten(F.transform(
+        F.when(i + 1 <= n, F.sequence(i + 1, n)).otherwise(F.expr("cast(array() as array<int>)")),
+        lambda j: F.transform(F.slice(marks, j + 1, n), lambda z: F.concat(
+            F.element_at(marks, i), F.lit("|"), F.element_at(marks, j), F.lit("|"), z)))))
+    return (F.when(size == 0, F.array(F.lit(""))).when(size == 1, one).when(size == 2, two).otherwise(three))
+
+
+def _first_subset(a: Column, b: Column, size: Column) -> Column:
+    """The first common subset of two mark lists in the same order."""
+    return F.array_join(F.slice(F.array_intersect(a, b), F.lit(1), size), "|")
+
+
+def _need(t: float, total: Column) -> Column:
+    """Common marks that an Indel score of t needs over ``total`` characters."""
+    return F.ceil(total * F.lit(t / 200.0) - F.lit(SLACK)).cast("int")
+
+
+def _subset_size(longer: Column, need: Column) -> Column:
+    size = F.lit(1)
+    for length, m in reversed(SUBSET_STEPS):
+        size = F.when(longer <= length, F.lit(m)).otherwise(size)
+    return F.least(size, F.greatest(need, F.lit(0)))
 
 
-def partial_min_len(t: float) -> float:
-    """Shorter-string length from which a partial score >= t implies a shared bigram."""
-    if t <= 200.0 / 3.0:
-        return math.inf
-    s_min = 2.0 / (3.0 * t / 200.0 - 1.0)
-    return s_min * (200.0 - t) / 200.0
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """One orientation (a < b) for the pairs of every generator."""
+    swap = F.col("a") > F.col("b")
+    return pairs.select("group_key",
+                        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+                        F.when(swap, F.col("ub")).otherwise(F.col("ua")).alias("ua"),
+                        F.when(swap, F.col("ua")).otherwise(F.col("ub")).alias("ub"))
+
+
+def _everything(nodes: DataFrame) -> DataFrame:
+    """All pairs of a group: the result itself where every score is high enough."""
+    a = nodes.select("group_key", F.col("norm").alias("a"), F.col("occ").alias("ua"))
+    b = nodes.select("group_key", F.col("norm").alias("b"), F.col("occ").alias("ub"))
+    return a.join(b, "group_key").where("a < b").select("group_key", "a", "b", "ua", "ub")
+
+
+def _pairs_indel(nodes: DataFrame, key: Column, t: float, in_order: bool = True) -> DataFrame:
+    """Pairs that an Indel score >= t of ``key`` allows, each once; not ``in_order``:
+    of the words of ``key`` in any order."""
+    if t > 100 + SLACK:
+        return _oriented(_everything(nodes).limit(0))
+    k = _with_marks(nodes, key)
+    # lengths that occur in the group: at most as many as the longest text has characters
+    lengths = k.groupBy("group_key").agg(F.sort_array(F.collect_set("len")).alias("lens"))
+    total = F.col("len") + F.col("other")
+    need = _need(t, total)
+    placed = (k.join(lengths, "group_key").withColumn("other", F.explode("lens")).drop("lens")
+              .withColumn("need", need).where(F.col("need") <= F.least("len", "other"))
+              .withColumn("m", _subset_size(F.greatest("len", "other"), F.col("need")))
+              .withColumn("head", F.slice("marks", F.lit(1), F.col("len") - F.col("need") + F.col("m")))
+              .withColumn("key", F.explode(_subsets(F.col("head"), F.col("m")))))
+    a = placed.where("len <= other").select(
+        "group_key", "key", F.col("len").alias("la"), F.col("other").alias("lb"), "m", "need",
+        F.col("norm").alias("a"), F.col("occ").alias("ua"), F.col("k").alias("ka"),
+        F.col("head").alias("ha"), F.col("marks").alias("ma"))
+    b = placed.where("len >= other").select(
+        "group_key", "key", F.col("other").alias("la"), F.col("len").alias("lb"),
+        F.col("norm").alias("b"), F.col("occ").alias("ub"), F.col("k").alias("kb"),
+        F.col("head").alias("hb"), F.col("marks").alias("mb"))
+    j = a.join(b, ["group_key", "key", "la", "lb"])
+    j = (j.where((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b")))
+         .where(_first_subset(F.col("ha"), F.col("hb"), F.col("m")) == F.col("key"))
+         .where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")))
+    if in_order:
+        # Levenshtein is at most the Indel distance la + lb - 2 * need
+        j = j.where(F.expr("levenshtein(ka, kb, la + lb - 2 * need) >= 0"))
+    return _oriented(j)
 
 
 def _pairs_partial(nodes: DataFrame, key: Column, t: float) -> DataFrame:
-    k = nodes.withColumn("_k", key).withColumn("_kl", F.length("_k"))
-    l0 = partial_min_len(t)
-    if math.isinf(l0):
-        return _pairs_by_tokens(k, _chars(F.col("_k")))
-    l0 = int(math.ceil(l0))
-    longs = _pairs_by_tokens(k, _bigrams(F.col("_k")), only=F.col("_kl") >= l0)
-    # a pair whose shorter side is below l0: join on shared characters,
-    # restricted to pairs where one side is short
-    tok = k.select("group_key", "norm", "occ", "_kl", F.explode(F.array_distinct(_chars(F.col("_k")))).alias("tok"))
-    a = tok.where(F.col("_kl") < l0).select("group_key", "tok", F.col("norm").alias("s"), F.col("occ").alias("us"))
-    b = tok.select("group_key", "tok", F.col("norm").alias("o"), F.col("occ").alias("uo"), F.col("_kl").alias("ol"))
-    shorts = (a.join(b, ["group_key", "tok"]).where(F.col("s") != F.col("o"))
-              .select("group_key",
-                      F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"),
-                      F.when(F.col("s") < F.col("o"), F.col("us")).otherwise(F.col("uo")).alias("ua"),
-                      F.when(F.col("s") < F.col("o"), F.col("uo")).otherwise(F.col("us")).alias("ub"))
-              .dropDuplicates(["group_key", "a", "b"]))
-    return longs.unionByName(shorts).dropDuplicates(["group_key", "a", "b"])
+    """Pairs that a partial score >= t of ``key`` allows, each once."""
+    if t > 100 + SLACK:
+        return _oriented(_everything(nodes).limit(0))
+    if t <= 0:
+        return _oriented(_everything(nodes))
+    k = _with_marks(nodes, key).withColumn(
+        "need", F.ceil(F.col("len") * F.lit(t / (200.0 - t)) - F.lit(SLACK)).cast("int"))
+    # two marks where the shorter text needs two, else one; the longer side gives both
+    short = (k.withColumn("m", F.least(F.lit(2), F.col("need")))
+             .withColumn("head", F.slice("marks", F.lit(1), F.col("len") - F.col("need") + F.col("m")))
+             .select("group_key", F.explode(_subsets(F.col("head"), F.col("m"))).alias("key"), "m", "need",
+                     F.col("len").alias("la"), F.col("norm").alias("a"), F.col("occ").alias("ua"),
+                     F.col("head").alias("ha"), F.col("marks").alias("ma")))
+    long = (k.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+            .select("group_key", F.explode(_subsets(F.col("marks"), F.col("m"))).alias("key"),
+                    F.col("len").alias("lb"), F.col("norm").alias("b"), F.col("occ").alias("ub"),
+                    F.col("marks").alias("mb")))
+    # an empty text scores against an empty text only
+    long = long.where("key != '' or lb = 0")
+    j = (short.join(long, ["group_key", "key"])
+         .where((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
+         .where(_first_subset(F.col("ha"), F.col("mb"), F.col("m")) == F.col("key"))
+         .where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")))
+    return _oriented(j)
+
+
+def _words(nodes: DataFrame) -> DataFrame:
+    w = nodes.select("group_key", "norm", "occ", F.array_distinct(T.words(F.col("norm"))).alias("words"))
+    return w.where(F.size("words") > 0)
+
+
+def _pairs_shared_word(nodes: DataFrame) -> DataFrame:
+    """Pairs with a common word, each at its first common word."""
+    w = _words(nodes).withColumn("words", F.sort_array("words"))
+    tok = w.withColumn("key", F.explode("words"))
+    a = tok.select("group_key", "key", F.col("norm").alias("a"), F.col("occ").alias("ua"), F.col("words").alias("wa"))
+    b = tok.select("group_key", "key", F.col("norm").alias("b"), F.col("occ").alias("ub"), F.col("words").alias("wb"))
+    return _oriented(a.join(b, ["group_key", "key"]).where("a < b")
+                     .where(F.element_at(F.array_intersect("wa", "wb"), 1) == F.col("key")))
+
+
+def _pairs_covered(nodes: DataFrame, t: float) -> DataFrame:
+    """Pairs whose common words cover ``t / (200 - t)`` of one text's word list."""
+    if t > 100 + SLACK:
+        return _oriented(_everything(nodes).limit(0))
+    share = max(0.0, t / (200.0 - t))
+    w = _words(nodes)
+    tok = w.select("group_key", "norm", "occ", F.explode("words").alias("key")).withColumn(
+        "weight", F.length("key") + 1)
+    freq = tok.groupBy("group_key", "key").agg(F.count(F.lit(1)).alias("f"))
+    one = Window.partitionBy("group_key", "norm")          # the words of one text
+    before = one.orderBy("f", "key").rowsBetween(Window.unboundedPreceding, -1)
+    # the weight of the uncovered words is at most (1 - share) * (weight of all - 1)
+    placed = (tok.join(freq, ["group_key", "key"])
+              .withColumn("all", F.sum("weight").over(one))
+              .withColumn("ahead", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+              .withColumn("leads", F.col("ahead") <= (1 - share) * (F.col("all") - 1) + SLACK))
+    a = placed.where("leads").select("group_key", "key", F.col("norm").alias("a"), F.col("occ").alias("ua"))
+    b = placed.select("group_key", "key", F.col("norm").alias("b"), F.col("occ").alias("ub"))
+    return _oriented(a.join(b, ["group_key", "key"]).where("a != b"))
 
 
 def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFrame:
+    """A superset of the pairs that reach the threshold, each at least once."""
     S.check_scorer(scorer)
     t = float(threshold)
-    norm = F.col("norm")
+    if t <= 0:
+        return _oriented(_everything(nodes))
+    norm, in_order = F.col("norm"), T.sorted_tokens(F.col("norm"))
+    distinct = F.array_join(F.sort_array(F.array_distinct(T.words(F.col("norm")))), " ")
+
+    def union(*parts: DataFrame) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.dropDuplicates(["group_key", "a", "b"])
+
     if scorer in ("ratio", "QRatio"):
-        return _pairs_by_band(nodes, norm, t)
+        return _pairs_indel(nodes, norm, t)
     if scorer == "token_sort_ratio":
-        return _pairs_by_band(nodes, T.sorted_tokens(norm), t)
-    words = T.words(norm)
-    if scorer in ("token_set_ratio", "token_ratio"):
-        return (_pairs_by_tokens(nodes, words)
-                .unionByName(_pairs_by_band(nodes, T.sorted_tokens(norm), t))
-                .dropDuplicates(["group_key", "a", "b"]))
-    if scorer in ("partial_ratio",):
+        return _pairs_indel(nodes, in_order, t)
+    if scorer == "token_set_ratio":
+        return union(_pairs_indel(nodes, distinct, t, False), _pairs_covered(nodes, t))
+    if scorer == "token_ratio":
+        return union(_pairs_indel(nodes, distinct, t, False), _pairs_covered(nodes, t), _pairs_indel(nodes, in_order, t))
+    if scorer == "partial_ratio":
         return _pairs_partial(nodes, norm, t)
     if scorer == "partial_token_sort_ratio":
-        return _pairs_partial(nodes, T.sorted_tokens(norm), t)
-    if scorer in ("partial_token_set_ratio", "partial_token_ratio"):
-        return (_pairs_by_tokens(nodes, words)
-                .unionByName(_pairs_partial(nodes, T.sorted_tokens(norm), t))
-                .dropDuplicates(["group_key", "a", "b"]))
-    if scorer == "WRatio":
-        t_tok = t / S.UNBASE_SCALE
-        t_part = t / S.PARTIAL_SCALE
-        return (_pairs_by_band(nodes, norm, t)
-                .unionByName(_pairs_by_tokens(nodes, words))
-                .unionByName(_pairs_by_band(nodes, T.sorted_tokens(norm), min(t_tok, 100.0)))
-                .unionByName(_pairs_partial(nodes, norm, min(t_part, 100.0)))
-                .unionByName(_pairs_partial(nodes, T.sorted_tokens(norm), min(t_part, 100.0)))
-                .dropDuplicates(["group_key", "a", "b"]))
-    raise ValueError(scorer)
-
-
-def common_char_count(a: str, b: str) -> Column:
-    """Size of the multiset intersection of the characters of two columns."""
-    cnt = "(length({x}) - length(replace({x}, ch, '')))"
-    return F.expr(f"aggregate(array_distinct(split({a}, '(?!$)')), 0, "
-                  f"(acc, ch) -> acc + least({cnt.format(x=a)}, {cnt.format(x=b)}))")
-
-
-def partial_bound_ok(a: str, b: str, t: float) -> Column:
-    """JVM upper bound of partial_ratio: every window scores at most
-    200 C / (ls + C) with C the shared character count, so C >= t ls / (200 - t)."""
-    ls = F.least(F.length(a), F.length(b))
-    c = common_char_count(a, b)
-    both_empty = (F.length(a) == 0) & (F.length(b) == 0)
-    return both_empty | (c * F.lit(200.0 - t) >= ls * F.lit(float(t)) - F.lit(1e-9))
+        return _pairs_partial(nodes, in_order, t)
+    if scorer == "partial_token_set_ratio":
+        return union(_pairs_shared_word(nodes), _pairs_partial(nodes, distinct, t))
+    if scorer == "partial_token_ratio":
+        return union(_pairs_shared_word(nodes), _pairs_partial(nodes, distinct, t), _pairs_partial(nodes, in_order, t))
+    # WRatio: the largest of scaled scores; a scaled score needs a higher one of its own
+    token, part = t / S.UNBASE_SCALE, t / S.PARTIAL_SCALE
+    both = part / S.UNBASE_SCALE
+    parts = [_pairs_indel(nodes, norm, t), _pairs_indel(nodes, distinct, token, False), _pairs_covered(nodes, token),
+             _pairs_indel(nodes, in_order, token), _pairs_partial(nodes, norm, part),
+             _pairs_partial(nodes, distinct, both), _pairs_partial(nodes, in_order, both)]
+    if both <= 100 + SLACK:
+        parts.append(_pairs_shared_word(nodes))
+    return union(*parts)
 
 
 def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75) -> DataFrame:
     """Exact edges ``score(a, b) >= threshold`` between distinct values of a group."""
     cand = candidate_pairs(nodes, scorer, threshold)
-    if scorer == "partial_ratio":
-        cand = cand.where(partial_bound_ok("a", "b", float(threshold)))
-    elif scorer == "partial_token_sort_ratio":
-        # materialise the sorted texts once: inlined into the bound's lambdas
-        # they would be recomputed for every character
-        sorted_pairs = (cand.withColumn("_sa", T.sorted_tokens(F.col("a")))
-                        .withColumn("_sb", T.sorted_tokens(F.col("b"))).checkpoint(eager=True))
-        cand = sorted_pairs.where(partial_bound_ok("_sa", "_sb", float(threshold))).drop("_sa", "_sb")
     if scorer not in INDEL_FAMILY:
-        # the window scorers are compute-heavy per pair and the candidate table
-        # is small in bytes: spread it by count so the Python work uses every
-        # core instead of one coalesced partition
-        n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cand = cand.repartition(n, "group_key", "a", "b")
+        # the window scorers cost much more a pair than its bytes suggest: deal the
+        # pairs out by key before they are scored
+        cand = cand.repartition("group_key", "a", "b")
     if scorer in ("ratio", "QRatio"):
         la, lb = F.length("a"), F.length("b")
         score = S.ratio_from_lcs(S.lcs_udf("a", "b"), la, lb)
@@ -189,11 +279,12 @@ def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75)
         score = S.score_udf(scorer)("a", "b")
     scored = cand.withColumn("score", score).where(F.col("score") >= F.lit(float(threshold)))
     # orient by first occurrence: u is the earlier value
+    first = F.col("ua") < F.col("ub")
     return scored.select(
         "group_key",
-        F.when(F.col("ua") < F.col("ub"), F.col("ua")).otherwise(F.col("ub")).alias("u"),
-        F.when(F.col("ua") < F.col("ub"), F.col("ub")).otherwise(F.col("ua")).alias("v"),
-        F.when(F.col("ua") < F.col("ub"), F.col("a")).otherwise(F.col("b")).alias("a"),
-        F.when(F.col("ua") < F.col("ub"), F.col("b")).otherwise(F.col("a")).alias("b"),
+        F.when(first, F.col("ua")).otherwise(F.col("ub")).alias("u"),
+        F.when(first, F.col("ub")).otherwise(F.col("ua")).alias("v"),
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"),
         "score",
     )

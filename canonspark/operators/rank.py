@@ -18,32 +18,19 @@ from pyspark.sql import functions as F
 from canonspark.session import ensure_checkpoint_dir
 
 
-# Largest group (rows) that one window task may take; checked before use
-WINDOW_CAP = 2_000_000
-
-
 def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                      out: str, start: int = 1, num_partitions: int | None = None,
-                      window_cap: int = WINDOW_CAP, largest: int | None = None) -> DataFrame:
-    """``largest``: the caller's known upper bound of a group's size (saves
-    the counting pass); counted here when not given."""
-    spark = df.sparkSession
-    if largest is None:
-        largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_cap:
-        # every group is proven small: one plain window, one shuffle
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(out, (F.row_number().over(w) - 1 + start).cast("long"))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                      out: str, start: int = 1, num_partitions: int | None = None) -> DataFrame:
     keys = [*group_cols, *order_cols]
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    parts = (num_partitions,) if num_partitions else ()
+    s = (df.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id()
                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                 F.min("_li").alias("_lmin"))
+    # one row for each partition that a group touches
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     res = s.join(offs, ["_pid", *group_cols])

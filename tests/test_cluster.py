@@ -1,4 +1,4 @@
-"""Spark forms (in-task and distributed) against the sequential rules."""
+"""The Spark forms against the sequential rules."""
 
 import random
 
@@ -46,22 +46,21 @@ def _frames(spark, n, edges):
     return nodes, e
 
 
-def _run(spark, n, edges, algorithm, cap):
+def _run(spark, n, edges, algorithm):
     nodes, e = _frames(spark, n, edges)
-    got = CL.assign_leaders(nodes, e, algorithm, local_edge_cap=cap).collect()
+    got = CL.assign_leaders(nodes, e, algorithm).collect()
     return {r.occ.row_id: r.leader.row_id for r in got}
 
 
-@pytest.mark.parametrize("cap", [CL.LOCAL_EDGE_CAP, -1])
-def test_fixture_cases(spark, cap):
+def test_fixture_cases(spark):
     # A, B, C with A!~B, A~C, B~C: first fit gives {A, C}, {B} (not components)
-    assert _run(spark, 3, [(0, 2), (1, 2)], "first_fit", cap) == {0: 0, 1: 1, 2: 0}
+    assert _run(spark, 3, [(0, 2), (1, 2)], "first_fit") == {0: 0, 1: 1, 2: 0}
     # A~B, B~C, A!~C: leader {A, B}, {C}; first fit {A, B, C}
-    assert _run(spark, 3, [(0, 1), (1, 2)], "leader", cap) == {0: 0, 1: 0, 2: 2}
-    assert _run(spark, 3, [(0, 1), (1, 2)], "first_fit", cap) == {0: 0, 1: 0, 2: 0}
+    assert _run(spark, 3, [(0, 1), (1, 2)], "leader") == {0: 0, 1: 0, 2: 2}
+    assert _run(spark, 3, [(0, 1), (1, 2)], "first_fit") == {0: 0, 1: 0, 2: 0}
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.integers(min_value=2, max_value=12), st.integers(min_value=0, max_value=10_000))
 def test_random_graphs(spark, n, seed):
     rnd = random.Random(seed)
@@ -73,9 +72,17 @@ def test_random_graphs(spark, n, seed):
         return (min(a, b), max(a, b)) in es
 
     for algorithm, ref in [("leader", seq_leader), ("first_fit", seq_first_fit)]:
-        want = ref(n, sim)
-        for cap in (CL.LOCAL_EDGE_CAP, -1):
-            assert _run(spark, n, edges, algorithm, cap) == want, (algorithm, cap)
+        assert _run(spark, n, edges, algorithm) == ref(n, sim), algorithm
+
+
+@pytest.mark.parametrize("algorithm", ["leader", "first_fit"])
+def test_a_line_of_a_thousand_takes_logarithmic_rounds(spark, monkeypatch, algorithm):
+    written = []
+    plain = CL._ckpt
+    monkeypatch.setattr(CL, "_ckpt", lambda df: (written.append(1), plain(df))[1])
+    got = _run(spark, 1000, [(i, i + 1) for i in range(999)], algorithm)
+    assert got == {i: (i - i % 2 if algorithm == "leader" else 0) for i in range(1000)}
+    assert len(written) <= 24
 
 
 def test_cluster_numbering(spark):

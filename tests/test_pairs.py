@@ -1,8 +1,11 @@
 """The fuzzy self-join must return exactly the pairs a brute-force loop finds."""
 
 import itertools
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from canonspark.functions import similarity as S
@@ -59,6 +62,43 @@ def test_edges_oriented_by_first_occurrence(spark):
     assert e.u.row_id == 0 and e.v.row_id == 1
 
 
-def test_partial_min_len():
-    assert PR.partial_min_len(75) == pytest.approx(10.0)
-    assert PR.partial_min_len(60) == float("inf")
+def test_token_set_compares_common_words_first(spark):
+    """The common words lead both texts; in plain order they are further apart."""
+    words = ["zebra anvil", "anvil zebra bolt", "bolt cog zebra", "cog zebra anvil x", "a zebra", "zebra z", "y zebra x"]
+    vals = sorted({" ".join(w) for v in words for w in [v.split(), v.split()[::-1]]})
+    for scorer, t in (("token_set_ratio", 70), ("token_set_ratio", 80), ("token_ratio", 75), ("WRatio", 70)):
+        fn = S.SCORERS[scorer]
+        want = {(a, b) for a, b in itertools.combinations(vals, 2) if fn(a, b) >= t}
+        assert {(r.a, r.b) for r in PR.fuzzy_edges(_nodes(spark, vals), scorer, t).collect()} == want, (scorer, t)
+
+
+LOST = [("ab", "abc", 80, "ratio"), ("ab", "abc", 80, "token_sort_ratio"),
+        ("foo foo foo foo", "foob", 75, "token_set_ratio"), ("foo foo foo foo", "foob", 75, "token_ratio"),
+        ("abc abc abc", "acqqqqqqqqqq", 75, "partial_token_set_ratio")]
+
+
+def test_pairs_once_lost(spark):
+    for a, b, t, scorer in LOST:
+        if S.SCORERS[scorer](a, b) >= t:
+            got = PR.fuzzy_edges(_nodes(spark, [a, b]), scorer, t).collect()
+            assert [(r.a, r.b) for r in got] == [(a, b)], (a, b, scorer)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000), st.integers(min_value=1, max_value=100),
+       st.sampled_from(sorted(S.SCORERS)))
+def test_any_threshold_with_repeated_words(spark, seed, threshold, scorer):
+    rnd = random.Random(seed)
+    words = ["foo", "foob", "ab", "abc", "a", "bar", "rab", "oof", "x", "abcab"]
+    vals = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 5))) for _ in range(14)})
+    rnd.shuffle(vals)
+    fn = S.SCORERS[scorer]
+    want = {(vals[i], vals[j]) for i, j in itertools.combinations(range(len(vals)), 2)
+            if fn(vals[i], vals[j]) >= threshold}
+    got = [(r.a, r.b) for r in PR.fuzzy_edges(_nodes(spark, vals), scorer, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_threshold_zero_links_everything(spark):
+    vals = ["a", "bc", "", "xyz"]
+    assert PR.fuzzy_edges(_nodes(spark, vals), "ratio", 0).count() == 6
