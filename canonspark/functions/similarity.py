@@ -186,7 +186,7 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 def check_scorer(name: str) -> Callable[[str, str], float]:
     """Reject an unknown scorer before any job runs."""
     if name not in SCORERS:
-        raise ValueError(f"'{name}' is not a valid fuzz function; choose one of {sorted(SCORERS)}")
+        raise ValueError(f"unknown scorer {name!r}; known: {', '.join(sorted(SCORERS))}")
     return SCORERS[name]
 
 

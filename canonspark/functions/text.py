@@ -73,7 +73,7 @@ def to_bool(x) -> Column:
     s = F.lower(strip(_c(x).cast("string")))
     return (F.when(s.isin(*TRUE_TOKENS), F.lit(True))
             .when(s.isin(*FALSE_TOKENS), F.lit(False))
-            .otherwise(F.raise_error(F.concat(F.lit("Cannot parse boolean value from: "), s)).cast("boolean")))
+            .otherwise(F.raise_error(F.concat(s, F.lit(" is not a boolean token"))).cast("boolean")))
 
 
 def sorted_tokens(x) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.operators import reshape as R
+from canonspark.operators.suggest import last_entry
 
 
 def resolve_members(members: DataFrame, suggestions: DataFrame,
@@ -23,8 +24,8 @@ def resolve_members(members: DataFrame, suggestions: DataFrame,
                      ["group_key", "cluster_id"], "left")
     if overrides is None:
         return m.withColumn("cleaned", F.col("suggestion")).withColumn("overridden", F.lit(False))
-    o = overrides.select("group_key", "cluster_id", "member_idx",
-                         F.col("value").alias("_ov"), F.lit(True).alias("_hit"))
+    o = last_entry(overrides, ["group_key", "cluster_id", "member_idx"], ["value"]).select(
+        "group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"), F.lit(True).alias("_hit"))
     return (m.join(o, ["group_key", "cluster_id", "member_idx"], "left")
             .withColumn("overridden", F.coalesce(F.col("_hit"), F.lit(False)))
             .withColumn("cleaned", F.when(F.col("overridden"), F.col("_ov")).otherwise(F.col("suggestion")))

@@ -1,62 +1,52 @@
 """Canonical names from an entity table.
 
-For each query text: candidate entities are those whose lower-cased name
-scores ``partial_ratio >= min_score`` against the lower-cased query; at most
-``max_candidates`` are kept by (score desc, entity order) and the best one is
-the canonical name (ties: first entity).  Per cluster, the first member (in
-member order) that has a canonical name supplies the suggestion
-(mode ``google_kg``).
-
-Blocking is exact for partial_ratio (see ``pairs``): a shared character
-bigram once the shorter side has ``partial_min_len`` characters, a shared
-character below that; no query x entity cross product.
+The entity table stands for a name search.  The candidates of a query text are
+the entities that share a *key* with it: a pair of neighbouring characters of
+the lower-cased text (the text itself if it is shorter).  The search returns
+at most ``max_candidates`` of them, by the number of shared keys, then by entity
+order (L5).  The candidate with the best ``partial_ratio`` is the canonical name,
+however low its score; ties go to the earlier candidate.  A text without a
+shared key has no candidate and is left out.  Per cluster, the first member (in
+member order) that has a canonical name supplies the suggestion (mode
+``google_kg``).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.functions import similarity as S
-from canonspark.operators import pairs as PR
 from canonspark.operators import suggest as SG
 from canonspark.operators.topk import top_k_per_group
 
-# The reference keeps at most 5 candidates per query
+# Fixed value: the reference takes 5 results of a search
 MAX_CANDIDATES = 5
 
 
-def canonical_names(queries: DataFrame, entities: DataFrame, min_score: float = 75.0,
-                    max_candidates: int = MAX_CANDIDATES, query_col: str = "query",
-                    name_col: str = "name", order_col: str = "ent_ord") -> DataFrame:
+def _keys(text: Column) -> Column:
+    n = F.length(text)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, 2))
+    return F.array_distinct(F.when(n >= 2, pairs).otherwise(F.array(text)))
+
+
+def canonical_names(queries: DataFrame, entities: DataFrame, max_candidates: int = MAX_CANDIDATES,
+                    query_col: str = "query", name_col: str = "name", order_col: str = "ent_ord") -> DataFrame:
     """``queries(<query_col>)`` x ``entities(<name_col>, <order_col>)`` ->
-    ``query, canonical, score`` (queries without a candidate are left out)."""
-    l0 = PR.partial_min_len(min_score)
-    q = queries.select(F.col(query_col).alias("query")).where(F.col("query").isNotNull()).distinct() \
-        .withColumn("ql", F.lower("query")).withColumn("qn", F.length("ql"))
-    e = (entities.where(F.col(name_col).isNotNull() & (F.col(name_col) != ""))
-         .select(F.col(name_col).alias("name"), F.col(order_col).alias("ent_ord"))
-         .withColumn("el", F.lower("name")).withColumn("en", F.length("el")))
-    l0v = math.inf if math.isinf(l0) else int(math.ceil(l0))
-    # bigram keys: both sides long enough; char keys (prefixed): a short side involved
-    if math.isinf(l0v):
-        qk = q.select("*", F.explode(F.array_distinct(PR._chars(F.col("ql")))).alias("k"))
-        ek = e.select("*", F.explode(F.array_distinct(PR._chars(F.col("el")))).alias("k"))
-        cand = qk.join(ek, "k")
-    else:
-        qb = q.where(F.col("qn") >= l0v).select("*", F.explode(F.array_distinct(PR._bigrams(F.col("ql")))).alias("k"))
-        eb = e.where(F.col("en") >= l0v).select("*", F.explode(F.array_distinct(PR._bigrams(F.col("el")))).alias("k"))
-        qc = q.select("*", F.explode(F.array_distinct(PR._chars(F.col("ql")))).alias("k"))
-        ec = e.select("*", F.explode(F.array_distinct(PR._chars(F.col("el")))).alias("k"))
-        cand = (qb.join(eb, "k").unionByName(
-            qc.join(ec, "k").where(F.least("qn", "en") < l0v)))
-    cand = cand.select("query", "ql", "name", "el", "ent_ord").dropDuplicates(["query", "name", "ent_ord"])
-    scored = (cand.withColumn("score", S.score_udf("partial_ratio")("ql", "el"))
-              .where(F.col("score") >= F.lit(float(min_score))))
-    top = top_k_per_group(scored, ["query"], [F.desc("score"), F.col("ent_ord")], max_candidates, out="cand_rank")
-    return top.where(F.col("cand_rank") == 1).select("query", F.col("name").alias("canonical"), "score")
+    ``query, canonical, score``.  Null and empty texts have no key."""
+    q = (queries.select(F.col(query_col).alias("query")).where("query is not null and query != ''").distinct()
+         .withColumn("ql", F.lower("query")))
+    e = (entities.select(F.col(name_col).alias("name"), F.col(order_col).alias("ent_ord"))
+         .where("name is not null and name != ''").withColumn("el", F.lower("name")))
+    found = (q.withColumn("k", F.explode(_keys(F.col("ql"))))
+             .join(e.withColumn("k", F.explode(_keys(F.col("el")))), "k")
+             .groupBy("query", "ql", "name", "el", "ent_ord").agg(F.count(F.lit(1)).alias("shared")))
+    order = [F.desc("shared"), F.col("ent_ord"), F.col("name")]
+    cand = top_k_per_group(found, ["query"], order, max_candidates, out="place")
+    scored = cand.withColumn("score", S.score_udf("partial_ratio")("ql", "el"))
+    return scored.groupBy("query").agg(
+        F.min_by(F.struct("name", "score"), F.struct((-F.col("score")).alias("low"), "place")).alias("best")
+    ).select("query", F.col("best.name").alias("canonical"), F.col("best.score").alias("score"))
 
 
 def kg_suggestion_overrides(clustered: DataFrame, entities: DataFrame, **kw) -> DataFrame:

@@ -8,13 +8,18 @@ order), in direct mode each column is its own group and rows keep their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from canonspark.functions import text as T
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_row_id(df: DataFrame, key: str | None = None, name: str = "row_id") -> DataFrame:
     """Use the caller's key as row id, else a unique increasing id."""
     if key is not None:
@@ -22,6 +27,15 @@ def with_row_id(df: DataFrame, key: str | None = None, name: str = "row_id") ->
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def check_row_ids(df: DataFrame, row_id: str) -> None:
+    """Occurrences are told apart by ``row_id``, so it must be unique and not
+    null; one aggregation that stops at the first repeated id."""
+    ids = df.groupBy(quoted(row_id)).agg(F.count(F.lit(1)).alias("_n"))
+    bad = ids.where((F.col("_n") > 1) | quoted(row_id).isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"{row_id} must be unique and not null; {bad[0][0]!r} stands on {bad[0]['_n']} rows")
+
+
 def present_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """The selected columns that exist, in the given order."""
     return [c for c in columns if c in df.columns]
@@ -37,8 +51,8 @@ def long_text_columns(df: DataFrame, min_avg_len: float = 50.0) -> list[str]:
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     if not cols:
         return []
-    row = df.agg(*[F.avg(F.length(F.col(c).cast("string"))).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] is not None and row[c] > min_avg_len]
+    row = df.agg(*[F.avg(F.length(quoted(c).cast("string"))) for c in cols]).first()
+    return [c for c, mean in zip(cols, row) if mean is not None and mean > min_avg_len]
 
 
 def short_text_columns(df: DataFrame, selected: list[str]) -> list[str]:
@@ -61,15 +75,15 @@ def melt(raw: DataFrame, columns: list[str], category: str | None = None,
     if category is not None and category in cols:
         raise ValueError("the category column cannot be one of the cleaned columns")  # D21
     if category is not None and category not in raw.columns:
-        raise ValueError(f"Category column '{category}' not found in dataset.")
+        raise ValueError(f"no column named {category!r} to take the categories from")
     ids = [row_id] + ([category] if category else [])
-    base = raw.select(*ids, *[F.col(c).cast("string").alias(c) for c in cols])
-    long = base.unpivot(ids, cols, "col_name", "value")
+    base = raw.select(*[quoted(c) for c in ids], *[quoted(c).cast("string").alias(c) for c in cols])
+    long = base.unpivot([quoted(c) for c in ids], [quoted(c) for c in cols], "col_name", "value")
     ordmap = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     long = long.withColumn("col_ord", ordmap[F.col("col_name")].cast("int"))
-    gk = F.col(category).cast("string") if category else F.col("col_name")
+    gk = quoted(category).cast("string") if category else F.col("col_name")
     return (long.where(F.col("value").isNotNull())
-            .select(gk.alias("group_key"), F.col(row_id).cast("long").alias("row_id"),
+            .select(gk.alias("group_key"), quoted(row_id).cast("long").alias("row_id"),
                     "col_name", "col_ord", "value"))
 
 

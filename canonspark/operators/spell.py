@@ -6,10 +6,17 @@ candidate wins, ties alphabetical.  Numbers, ``nan`` and words longer than the
 longest dictionary word plus 3 are left alone; a word without candidates is
 kept.
 
-Candidates come from a delete-neighbourhood equi-join: every edit costs at
-most one deletion on each side, so two words within distance 2 share a string
-obtained by at most two deletions from each.  The exact distance is then
-checked on the candidate pairs only.
+Candidates come from two equi-joins.  Dictionary words of at most 20 letters: every
+edit costs at most one deletion on each side, so two words within distance 2
+share a string obtained by at most two deletions from each (at most 254 strings a
+word).  Longer ones are cut into five segments: an edit touches two neighbouring
+segments at most (a transposition across a cut), so two edits leave one whole,
+shifted by two places at most (5 keys, at most 125 probes).  A bounded
+Levenshtein prunes in the JVM; the exact distance is then checked on the
+candidate pairs only.
+
+A word longer than the longest dictionary word plus 3 is not looked up, as the
+reference has it; no dictionary word is within two edits of it anyway.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from canonspark.functions import text as TX
 SKIP_WORDS = ("nan",)
 FLOAT_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity|nan)$"
 LONG_WORD_SLACK = 3
+SHORT, SEGMENTS = 20, 5
 
 
 def damerau_levenshtein(a: str, b: str) -> int:
@@ -62,6 +70,7 @@ def dl_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _deletes_sql(col: str) -> Column:
+    """A short word without 0, 1 or 2 of its letters."""
     return F.expr(f"""
       array_distinct(flatten(array(
         array({col}),
@@ -74,6 +83,32 @@ def _deletes_sql(col: str) -> Column:
       )))""")
 
 
+def _segments(n: Column) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of the segments of a word of length n."""
+    cuts = [F.floor(n * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
+    return [(lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _segment_keys(word: Column) -> Column:
+    n = F.length(word)
+    return F.array(*[F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(word, at, size).alias("s"))
+                     for i, (at, size) in enumerate(_segments(n))])
+
+
+def _probe_keys(word: Column, distance: int) -> Column:
+    """The segment keys of every word within the distance: its length and the place
+    of the segment that is left whole differ by that much at most."""
+    out = []
+    for by in range(-distance, distance + 1):
+        n = F.length(word) + by
+        for i, (at, size) in enumerate(_segments(n)):
+            for shift in range(-distance, distance + 1):
+                fits = (at + shift >= 1) & (at + shift + size - 1 <= F.length(word))
+                out.append(F.when(fits, F.struct(F.lit(i).alias("i"), n.alias("n"),
+                                                 F.substr(word, at + shift, size).alias("s"))))
+    return F.filter(F.array_distinct(F.array(*out)), lambda x: x.isNotNull())
+
+
 def should_check(word: Column, longest: Column) -> Column:
     return (~F.lower(word).rlike(FLOAT_PATTERN)) & (~F.lower(word).isin(*SKIP_WORDS)) \
         & (F.length(word) <= longest + F.lit(LONG_WORD_SLACK))
@@ -88,9 +123,23 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
              .withColumn("correction", F.col("word"))
     unknown = (w.join(d, w.word == d.dword, "left_anti")
                .where(should_check(F.col("word"), F.lit(longest))))
-    wv = unknown.select("word", F.explode(_deletes_sql("word")).alias("var"))
-    dv = d.select("dword", "freq", F.explode(_deletes_sql("dword")).alias("var"))
-    cand = (wv.join(dv, "var").select("word", "dword", "freq").distinct()
+    # words of other lengths than the unknown ones have no place in the join
+    span = unknown.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
+    d = d.where(F.length("dword").between((span[0] or 0) - max_distance, (span[1] or 0) + max_distance))
+    short, long = d.where(F.length("dword") <= SHORT), d.where(F.length("dword") > SHORT)
+    by_deletes = (
+        unknown.where(F.length("word") <= SHORT + max_distance)
+        .select("word", F.explode(_deletes_sql("word")).alias("key"))
+        .join(short.select("dword", "freq", F.explode(_deletes_sql("dword")).alias("key")), "key").drop("key"))
+    by_segments = (
+        unknown.where(F.length("word") > SHORT - max_distance)
+        .select("word", F.explode(_probe_keys(F.col("word"), max_distance)).alias("key"))
+        .join(long.select("dword", "freq", F.explode(_segment_keys(F.col("dword"))).alias("key")), "key")
+        .drop("key"))
+    # a transposition is two Levenshtein edits, so two edits are four at most
+    near = (F.abs(F.length("word") - F.length("dword")) <= max_distance) & F.expr(
+        f"levenshtein(word, dword, {2 * max_distance}) >= 0")
+    cand = (by_deletes.unionByName(by_segments).where(near).select("word", "dword", "freq").distinct()
             .withColumn("tier", dl_udf("word", "dword"))
             .where((F.col("tier") >= 1) & (F.col("tier") <= max_distance)))
     best = (cand.groupBy("word")

@@ -78,13 +78,24 @@ def suggest(clustered: DataFrame, dictionary: DataFrame | None = None) -> DataFr
                     mode.alias("original_suggestion_mode"), conf.cast("double").alias("confidence"))
 
 
+def last_entry(entries: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """One row for each key.  Of several entries the last counts: the highest
+    ``entry`` if the table has that column, else the largest value (so that the
+    result never depends on the physical order)."""
+    order = [F.col(c) for c in ("entry", *values) if c in entries.columns]
+    return (entries.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
+            .select(*key, "_last.*"))
+
+
 def apply_suggestion_overrides(suggestions: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Replace suggestion and mode of listed clusters (custom, google_kg,
-    llm_suggest); ``original_suggestion_mode`` keeps the proposed mode."""
+    llm_suggest); ``original_suggestion_mode`` keeps the proposed mode.  Entries
+    that repeat a cluster: see ``last_entry``."""
     if overrides is None:
         return suggestions
-    o = overrides.select("group_key", "cluster_id", F.col("suggestion").alias("_os"),
-                         F.col("suggestion_mode").alias("_om"), F.lit(True).alias("_hit"))
+    o = last_entry(overrides, ["group_key", "cluster_id"], ["suggestion", "suggestion_mode"]).select(
+        "group_key", "cluster_id", F.col("suggestion").alias("_os"),
+        F.col("suggestion_mode").alias("_om"), F.lit(True).alias("_hit"))
     return (suggestions.join(o, ["group_key", "cluster_id"], "left")
             .withColumn("suggestion", F.when(F.col("_hit"), F.col("_os")).otherwise(F.col("suggestion")))
             .withColumn("suggestion_mode", F.when(F.col("_hit"), F.col("_om")).otherwise(F.col("suggestion_mode")))

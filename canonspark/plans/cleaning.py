@@ -25,6 +25,7 @@ from canonspark.operators import reshape as R
 from canonspark.operators import suggest as SG
 from canonspark.operators import summary as SM
 from canonspark.operators.rank import row_number_within
+from canonspark.plans.params import check_request
 
 # Reference defaults
 DEFAULT_THRESHOLD = 75
@@ -133,9 +134,17 @@ def group_by_category(raw: DataFrame, columns: list[str], category: str,
                       scorer: str = DEFAULT_SCORER, threshold: float = DEFAULT_THRESHOLD,
                       dictionary: DataFrame | None = None, ml: bool = False,
                       row_id: str = "row_id") -> Grouping:
-    """Cluster inside each category with leader clustering."""
-    long = R.melt(raw, columns, category=category, row_id=row_id)
-    return _cluster("category", R.present_columns(raw, columns), raw, long, category,
+    """Cluster inside each category with leader clustering.
+
+    Of the selected columns only short text takes part (P3-P5): numeric columns
+    and columns with long texts are left as they are."""
+    columns, scorer, threshold, ml = check_request(columns, scorer, threshold, ml)
+    short = R.short_text_columns(raw, columns)
+    if not short:
+        raise ValueError("none of the selected columns holds short text")
+    R.check_row_ids(raw, row_id)
+    long = R.melt(raw, short, category=category, row_id=row_id)
+    return _cluster("category", short, raw, long, category,
                     scorer, threshold, "leader", dictionary, ml)
 
 
@@ -148,6 +157,8 @@ def group_in_column(raw: DataFrame, columns: list[str],
     ``exact=False`` (default at scale) clusters distinct values in first-seen
     order; ``exact=True`` clusters every occurrence as the row-by-row rule
     does, so equal values can end up in different clusters (D13)."""
+    columns, scorer, threshold, ml = check_request(columns, scorer, threshold, ml)
+    R.check_row_ids(raw, row_id)
     long = R.melt(raw, columns, category=None, row_id=row_id)
     return _cluster("direct", R.present_columns(raw, columns), raw, long, None,
                     scorer, threshold, "first_fit", dictionary, ml, exact)
@@ -180,8 +191,8 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
         patch, manual = None, None
         if member_overrides is not None:
             # overrides are read twice (touched clusters, then the patch join)
-            ov = (member_overrides.select("group_key", "cluster_id", "member_idx", F.col("value").alias("_ov"))
-                  .checkpoint(eager=True))
+            ov = (SG.last_entry(member_overrides, ["group_key", "cluster_id", "member_idx"], ["value"])
+                  .withColumnRenamed("value", "_ov").checkpoint(eager=True))
             touched = ov.select("group_key", "cluster_id").distinct()
             m = g.member_rows().join(touched, ["group_key", "cluster_id"], "left_semi")
             ranked = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0)
@@ -217,16 +228,16 @@ def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,
         if patch is not None:
             p = patch.where(F.col("col_name") == c).select(
                 F.col("row_id").alias(f"_pr{i}"), F.col("_ov").alias(f"_po{i}"), F.lit(True).alias(f"_pm{i}"))
-            out = out.join(p, F.col(row_id) == F.col(f"_pr{i}"), "left")
+            out = out.join(p, R.quoted(row_id) == F.col(f"_pr{i}"), "left")
         m = vmap
         if g.mode == "direct":
             m = m.where(F.col("group_key") == c)
         m = m.select(F.col("group_key").alias(f"_g{i}"), F.col("value").alias(f"_v{i}"),
                      F.col("_cl").alias(f"_c{i}"), F.col("_m").alias(f"_m{i}"))
-        key = F.col(c).cast("string")
+        key = R.quoted(c).cast("string")
         cond = key == F.col(f"_v{i}")
         if g.mode == "category":
-            cond = cond & (F.col(g.category).cast("string") == F.col(f"_g{i}"))
+            cond = cond & (R.quoted(g.category).cast("string") == F.col(f"_g{i}"))
         out = out.join(m, cond, "left")
         value = F.when(F.col(f"_m{i}"), F.col(f"_c{i}")).otherwise(key)
         if patch is not None:
@@ -238,7 +249,7 @@ def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,
         order.append(c)
         if c in g.columns:
             order.append(f"{c}_cleaned")
-    return out.select(*order)
+    return out.select(*[R.quoted(c) for c in order])
 
 
 def _summary(g: Grouping, sugg: DataFrame, manual: DataFrame | None) -> DataFrame:

@@ -22,14 +22,25 @@ def test_entity_match_brute_force(spark):
     qdf = spark.createDataFrame([(q,) for q in queries], "query string")
     edf = spark.createDataFrame(ents, "name string, ent_ord int")
     got = {r.query: (r.canonical, r.score) for r in EN.canonical_names(qdf, edf).collect()}
+
+    def keys(t):
+        return {t[i:i + 2] for i in range(len(t) - 1)} or {t}
+
     want = {}
     for q in queries:
-        cands = [(S.partial_ratio(q.lower(), n.lower()), o, n) for n, o in ents if n]
-        cands = [c for c in cands if c[0] >= 75]
-        if cands:
-            best = sorted(cands, key=lambda c: (-c[0], c[1]))[0]
-            want[q] = (best[2], best[0])
-    assert got == want
+        search = sorted((-len(keys(q.lower()) & keys(n.lower())), o, n) for n, o in ents if n)
+        search = [c for c in search if c[0]][:5]
+        if search:
+            best = max(range(len(search)), key=lambda i: (S.partial_ratio(q.lower(), search[i][2].lower()), -i))
+            want[q] = (search[best][2], S.partial_ratio(q.lower(), search[best][2].lower()))
+    assert got == want and "zzz" not in got
+
+
+def test_a_lone_candidate_wins_at_any_score(spark):
+    q = spark.createDataFrame([("united states",)], "query string")
+    e = spark.createDataFrame([("USA Corporation", 1)], "name string, ent_ord int")
+    r = EN.canonical_names(q, e).collect()
+    assert [x.canonical for x in r] == ["USA Corporation"] and r[0].score < 75
 
 
 def test_tfidf_rows_are_unit_length(spark):

@@ -114,3 +114,79 @@ def test_restore_case_option(spark):
     got = {r.suggestion for r in g.restored_suggestions().collect()}
     # 'acme' members: Acme, acme, ACME!, acme -> raw 'acme' twice wins; 'zed' -> 'Zed'
     assert got == {"acme", "Zed"}
+
+
+def test_last_override_wins_and_no_row_is_repeated(spark):
+    raw = _raw(spark)
+    g = CL.group_in_column(raw, ["name"])
+    first = g.members().where("member_idx = 0").select("group_key", "cluster_id", "member_idx")
+    ov = (first.withColumn("value", F.lit("early")).withColumn("entry", F.lit(1))
+          .unionByName(first.withColumn("value", F.lit(None).cast("string")).withColumn("entry", F.lit(2)))
+          .unionByName(first.withColumn("value", F.lit("late")).withColumn("entry", F.lit(3))))
+    so = g.suggestions.select("group_key", "cluster_id")
+    so = (so.withColumn("suggestion", F.lit("x")).withColumn("suggestion_mode", F.lit("custom")).withColumn("entry", F.lit(1))
+          .unionByName(so.withColumn("suggestion", F.lit("y")).withColumn("suggestion_mode", F.lit("llm_suggest"))
+                       .withColumn("entry", F.lit(2))))
+    a = CL.apply_cleaning(g, ov, so)
+    got = {r.row_id: r.name_cleaned for r in a.cleaned.collect()}
+    assert len(got) == a.cleaned.count() == raw.count()
+    assert got[0] == got[3] == "late" and got[1] == got[2] == "y"
+    s = a.summary.first()
+    assert s.manual_corrections == 2 and s.num_of_llm == 5 and s.num_of_global_manual == 0
+
+
+def test_row_ids_must_be_unique(spark):
+    import pytest
+    rows = [(0, "acme"), (0, "zzzz"), (1, "acme")]
+    with pytest.raises(ValueError, match="row_id must be unique"):
+        CL.group_in_column(spark.createDataFrame(rows, "row_id long, name string"), ["name"])
+
+
+def test_category_mode_leaves_numbers_and_long_texts(spark):
+    import pytest
+    rows = [(i, "A", "acme" if i % 2 else "acmee", i % 3, "long text " * 9) for i in range(6)]
+    raw = spark.createDataFrame(rows, "row_id long, cat string, name string, qty int, note string")
+    out = CL.apply_cleaning(CL.group_by_category(raw, ["name", "qty", "note"], "cat")).cleaned
+    assert [c for c in out.columns if c.endswith("_cleaned")] == ["name_cleaned"]
+    with pytest.raises(ValueError):
+        CL.group_by_category(raw, ["qty"], "cat")
+    with pytest.raises(ValueError):
+        CL.group_by_category(raw, [], "cat")
+
+
+def test_columns_with_dots(spark):
+    raw = spark.createDataFrame([(0, "Acme", "c"), (1, "acme", "c")], "row_id long, `a.b` string, `k.1` string")
+    got = CL.apply_cleaning(CL.group_in_column(raw, ["a.b"])).cleaned.collect()
+    assert [r["a.b_cleaned"] for r in got] == ["acme", "acme"]
+    got = CL.apply_cleaning(CL.group_by_category(raw, ["a.b"], "k.1")).cleaned.collect()
+    assert [r["a.b_cleaned"] for r in got] == ["acme", "acme"]
+
+
+def test_spelling_of_long_words(spark):
+    import random
+    rnd = random.Random(1)
+    known = ["".join(rnd.choice("abcd") for _ in range(n)) for n in (4, 12, 19, 20, 21, 22, 30, 41, 400) for _ in range(6)]
+
+    def edited(w):
+        w = list(w)
+        for _ in range(2):
+            i = rnd.randrange(len(w) - 1)
+            kind = rnd.randrange(4)
+            if kind == 0:
+                w[i], w[i + 1] = w[i + 1], w[i]
+            elif kind == 1:
+                del w[i]
+            elif kind == 2:
+                w.insert(i, rnd.choice("abcd"))
+            else:
+                w[i] = rnd.choice("abcd")
+        return "".join(w)
+
+    asked = sorted({edited(w) for w in known for _ in range(4)} - set(known))
+    d = _dict(spark, [(w, 1) for w in sorted(set(known))])
+    got = {r.word: (r.correction, r.tier) for r in SP.correct_words(
+        spark.createDataFrame([(w,) for w in asked], "word string"), d).collect()}
+    for w in asked:
+        near = sorted((SP.damerau_levenshtein(w, k), k) for k in set(known) if abs(len(k) - len(w)) <= 2)
+        if near and near[0][0] <= 2:
+            assert got[w] == (near[0][1], near[0][0]), w
