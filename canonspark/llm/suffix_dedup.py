@@ -162,15 +162,16 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     ``documents(k1, k2, text)``, where (k1, k2) tells texts apart; spans of a row
     may overlap.  Rows without a repeated string are not in the result."""
     anchors = documents.mapInPandas(_anchors(window, gram), ANCHOR_SCHEMA)
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that both sides of the join are plain shuffles and a hot gram can be split
+    often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "grams")
     found = written(anchors.join(often, "gram"), "anchors")
     place = F.struct("k1", "k2", "at", "lo", "hi")
     contexts = found.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
     contexts = written(contexts, "contexts")
-    copies = contexts.where("n > 1").select("gram", "ctx")
+    copies = contexts.where("n > 1").select("gram", "ctx")  # written: a hot context can be split
     whole = found.join(copies, ["gram", "ctx"]).select("k1", "k2", "lo", (F.col("hi") + window).alias("hi"))
 
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    several = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "several")
     candidates = written(contexts.join(several, "gram").select(
         "gram", "ctx", (F.col("n") == 1).alias("single"), "p.*"), "candidates")
     rows = candidates.count()
