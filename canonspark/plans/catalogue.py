@@ -103,9 +103,9 @@ SELECT name, type, CAST(total_rows - nonblank AS BIGINT) AS "missingCount",
 FROM typed"""
 
 
-PART_PROFILE_COLS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-CUSTOMER_PROFILE_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-ORDERS_PROFILE_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+PART_PROFILE_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+CUSTOMER_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+ORDERS_PROFILE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query("profile_columns", _profile_sql("part", "p_partkey", PART_PROFILE_COLS))
@@ -227,6 +227,33 @@ for _name, _scorer in [("fuzzy_pairs_partial", "partial_ratio"),
 SELECT group_key, a, b, score FROM edges"""
 
 
+# texts whose words repeat, and their beginnings
+REPEATS_SQL = f"""
+SELECT row_id, category,
+       CASE row_id % 4 WHEN 0 THEN concat(name_a, ' ', name_a) WHEN 1 THEN concat(name_a, ' ', name_a, ' ', name_a)
+                       WHEN 2 THEN substring(name_a, 1, 4) ELSE name_a END AS name_a
+FROM ({TB.MESSY_PART_SQL}) m"""
+REPEATS_LONG = O.melt_sql(REPEATS_SQL, ["name_a"], "category")
+
+
+def _repeats(spark, sf):
+    TB.register(spark, sf, ("part",))
+    return spark.sql(REPEATS_SQL)
+
+
+for _name, _scorer in [("fuzzy_pairs_ratio_t80", "ratio"), ("fuzzy_pairs_token_sort_t85", "token_sort_ratio")]:
+    _t = 80 if _name.endswith("t80") else 85
+    QUERIES[_name] = _pairs_query(TB.messy_part, MESSY_COLS, "category", _scorer, _t)
+    ORACLES[_name] = _pairs_sql(MESSY_LONG_CATEGORY, "category", _scorer, _t)
+QUERIES["fuzzy_pairs_token_set_repeats"] = _pairs_query(_repeats, ["name_a"], "category", "token_set_ratio")
+ORACLES["fuzzy_pairs_token_set_repeats"] = _pairs_sql(REPEATS_LONG, "category", "token_set_ratio")
+QUERIES["fuzzy_pairs_partial_token_set_repeats"] = _pairs_query(
+    _repeats, ["name_a"], "category", "partial_token_set_ratio")
+ORACLES["fuzzy_pairs_partial_token_set_repeats"] = f"""WITH {O.node_ctes(REPEATS_LONG, 'category')},
+{O.partial_edge_ctes('partial_token_set_ratio', 75)}
+SELECT group_key, a, b, score FROM edges"""
+
+
 def _clusters_sql(long_sql: str, mode: str, algorithm: str, scorer: str = "ratio") -> str:
     return f"""WITH RECURSIVE {O.node_ctes(long_sql, mode)}, {O.edge_ctes(scorer, 75)}, {O.cluster_ctes(algorithm)}
 SELECT group_key, norm, CAST(cluster_id AS BIGINT) AS cluster_id FROM clustered"""
@@ -283,6 +310,37 @@ def q_category_suggestions(spark, sf):
     return _sugg_out(CL.group_by_category(TB.messy_part(spark, sf), MESSY_COLS, "category"))
 
 
+# brand-like words of the dictionary and misspellings of them, one occurrence each
+SPELL_FIXTURE_SQL = f"""
+SELECT row_number() OVER (ORDER BY word, v) AS row_id, concat('len', cast(length(word) as string)) AS category,
+       CASE v WHEN 0 THEN word WHEN 1 THEN concat(substring(word, 1, 5), substring(word, 7))
+              ELSE concat(substring(word, 1, 4), 'q', substring(word, 5)) END AS name
+FROM (SELECT word, freq FROM dict WHERE length(word) BETWEEN 9 AND 14 AND freq >= 5) w
+CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) k
+WHERE v > 0 OR length(word) % 2 = 0"""
+
+
+def _spell_fixture(spark, sf):
+    TB.dictionary(spark, sf).createOrReplaceTempView("dict")
+    return spark.sql(SPELL_FIXTURE_SQL)
+
+
+SPELL_FIXTURE_LONG = O.melt_sql(SPELL_FIXTURE_SQL.replace("as string", "as varchar"), ["name"], "category")
+
+
+@query("category_suggestions_dictionary", f"""WITH RECURSIVE dict AS MATERIALIZED ({TB.DICTIONARY_SQL}),
+{O.node_ctes(SPELL_FIXTURE_LONG, 'category')}, {O.edge_ctes('ratio', 85)}, {O.cluster_ctes('leader')},
+{O.dictionary_suggestion_ctes(SP.FLOAT_PATTERN[1:-1], SP.LONG_WORD_SLACK)}
+SELECT group_key, CAST(cluster_id AS BIGINT) AS cluster_id, cluster_tag, size, suggestion,
+       suggestion_mode, CAST(confidence AS DOUBLE) AS confidence FROM sugg""")
+def q_category_suggestions_dictionary(spark, sf):
+    """G1 with the documents' dictionary: a dictionary word of the cluster (A12, A13),
+    else the vote of the corrected texts, else majority or single member."""
+    d = TB.dictionary(spark, sf)
+    g = CL.group_by_category(_spell_fixture(spark, sf), ["name"], "category", threshold=85, dictionary=d)
+    return _sugg_out(g)
+
+
 @query("value_map", f"""WITH RECURSIVE {O.node_ctes(PART_LONG_DIRECT, 'direct')}, {O.edge_ctes('ratio', 75)},
 {O.cluster_ctes('first_fit')}, {O.suggestion_ctes()}
 SELECT c.group_key, c.norm, s.cluster_tag, s.suggestion
@@ -357,7 +415,12 @@ def fixture_overrides(g: CL.Grouping):
                        .otherwise(F.lit("Bolt")).alias("suggestion"),
                        F.when(single, F.lit("custom")).when(gear, F.lit("google_kg"))
                        .otherwise(F.lit("llm_suggest")).alias("suggestion_mode")))
-    return member_ov, sugg_ov
+    # every entry is preceded by one that it replaces
+    stale = (member_ov.withColumn("value", F.lit("stale")).withColumn("entry", F.lit(1)),
+             sugg_ov.withColumn("suggestion", F.lit("stale")).withColumn("suggestion_mode", F.lit("custom"))
+             .withColumn("entry", F.lit(1)))
+    return (member_ov.withColumn("entry", F.lit(2)).unionByName(stale[0]),
+            sugg_ov.withColumn("entry", F.lit(2)).unionByName(stale[1]))
 
 
 def _applied(spark, sf, mode):
@@ -401,6 +464,24 @@ def q_apply_category(spark, sf):
     return _applied(spark, sf, "category").cleaned
 
 
+PART_LONG_CATEGORY = O.melt_sql(PART_RAW_SQL, ["p_name"], "p_brand")
+
+
+@query("apply_category_mixed", f"""WITH RECURSIVE {O.node_ctes(PART_LONG_CATEGORY, 'category')},
+{O.edge_ctes('ratio', 75)}, {O.cluster_ctes('leader')}, {O.suggestion_ctes()}
+SELECT p.p_partkey AS row_id, p.p_partkey, p.p_name, coalesce(s.suggestion, p.p_name) AS p_name_cleaned, p.p_brand,
+       p.p_type, p.p_size, p.p_retailprice
+FROM part p
+LEFT JOIN nlf n ON n.row_id = p.p_partkey LEFT JOIN clustered c ON c.group_key = n.group_key AND c.norm = n.norm
+LEFT JOIN sugg s ON s.group_key = c.group_key AND s.cluster_id = c.cluster_id""")
+def q_apply_category_mixed(spark, sf):
+    """Category mode with numeric columns selected: only the short text is cleaned."""
+    raw = _part_raw(spark, sf)
+    g = CL.group_by_category(raw, ["p_name", "p_size", "p_retailprice"], "p_brand")
+    out = CL.apply_cleaning(g).cleaned
+    return out.select("row_id", *[c for c in out.columns if c != "row_id"])
+
+
 @query("apply_plain", _apply_sql("direct", CLEANED_TAIL, with_overrides=False))
 def q_apply_plain(spark, sf):
     """Apply without any override: one join of the cells with a per-value map."""
@@ -480,11 +561,8 @@ ENTITY_SQL = f"""
 WITH q AS (SELECT DISTINCT nation_text AS query FROM ({TB.MESSY_SUPPLIER_NATION_SQL}) m
            WHERE nation_text IS NOT NULL),
 e AS (SELECT n_name AS name, n_nationkey AS ent_ord FROM nation WHERE n_name IS NOT NULL AND n_name <> ''),
-s AS (SELECT query, name, ent_ord, lower(query) AS ql, lower(name) AS el FROM q, e),
-sc AS (SELECT query, name, ent_ord, {O.partial_ratio('ql', 'el')} AS score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ent_ord) AS rk
-      FROM sc WHERE score >= 75)
-SELECT query, name AS canonical, score FROM r WHERE rk = 1"""
+{O.search_ctes('q', 'query')}
+SELECT query, name AS canonical, score FROM best"""
 
 
 @query("entity_match", ENTITY_SQL)
@@ -499,13 +577,10 @@ KG_LONG = O.melt_sql(TB.MESSY_SUPPLIER_NATION_SQL, ["nation_text"], None)
 KG_SQL = f"""WITH RECURSIVE {O.node_ctes(KG_LONG, 'direct')}, {O.edge_ctes('ratio', 75)},
 {O.cluster_ctes('first_fit')},
 e AS (SELECT n_name AS name, n_nationkey AS ent_ord FROM nation WHERE n_name IS NOT NULL AND n_name <> ''),
-sc AS (SELECT c.norm, e.name, e.ent_ord, {O.partial_ratio('lower(c.norm)', 'lower(e.name)')} AS score
-       FROM (SELECT DISTINCT norm FROM clustered) c, e),
-best AS (SELECT norm, name FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, ent_ord) AS rk
-                                FROM sc WHERE score >= 75) WHERE rk = 1)
+{O.search_ctes('(SELECT DISTINCT norm AS query FROM clustered)', 'query')}
 SELECT c.group_key, CAST(c.cluster_id AS BIGINT) AS cluster_id, arg_min(b.name, c.okey) AS suggestion,
        'google_kg' AS suggestion_mode
-FROM clustered c JOIN best b USING (norm) GROUP BY c.group_key, c.cluster_id"""
+FROM clustered c JOIN best b ON b.query = c.norm GROUP BY c.group_key, c.cluster_id"""
 
 
 @query("kg_suggestions", KG_SQL)

@@ -44,11 +44,6 @@ def ratio(a: str, b: str) -> str:
             f"ELSE (1.0 - ({ls} - 2 * {lcs(a, b)}) / {ls}) * 100.0 END)")
 
 
-def band(a: str, b: str, t: float) -> str:
-    """Necessary condition of ratio >= t: Levenshtein within the Indel budget."""
-    return (f"levenshtein({a}, {b}) <= floor(({100.0 - t}) * (length({a}) + length({b})) / 100.0) + 1")
-
-
 def token_set(a: str, b: str) -> str:
     """token_set_ratio over precomputed word lists ``{a}_w`` / ``{b}_w``."""
     return f"""(CASE
@@ -103,14 +98,13 @@ def edge_ctes(scorer: str, t: float) -> str:
         return f"""
     pairs AS ({pairs}),
     edges AS MATERIALIZED (SELECT group_key, ui, vi, a, b, score
-              FROM (SELECT *, {score} AS score FROM pairs WHERE {band('a', 'b', t)})
+              FROM (SELECT *, {score} AS score FROM pairs)
               WHERE score >= {t})"""
     if scorer == "token_sort_ratio":
         return f"""
     pairs AS (SELECT *, {sorted_tokens('a')} AS sa, {sorted_tokens('b')} AS sb FROM ({pairs})),
     edges AS MATERIALIZED (SELECT group_key, ui, vi, a, b, score
-              FROM (SELECT *, {ratio('sa', 'sb')} AS score
-                    FROM pairs WHERE {band('sa', 'sb', t)})
+              FROM (SELECT *, {ratio('sa', 'sb')} AS score FROM pairs)
               WHERE score >= {t})"""
     if scorer in ("token_set_ratio", "token_ratio"):
         sort_score = ratio("sa", "sb")
@@ -299,3 +293,60 @@ def partial_edge_ctes(scorer: str, t: float) -> str:
     pt AS (SELECT *, {dab} AS dab, {dba} AS dba, {token_parts('a', 'b')} FROM pw),
     edges AS MATERIALIZED (SELECT group_key, ui, vi, a, b, score
               FROM (SELECT *, {score} AS score FROM pt) WHERE score >= {t})"""
+
+
+def search_ctes(queries: str, col: str) -> str:
+    """The name search over ``e(name, ent_ord)``: at most five entities by shared
+    neighbouring characters, of these the best partial ratio: ``best``."""
+    def keys(x: str) -> str:
+        return (f"(CASE WHEN length({x}) >= 2 THEN list_distinct(list_transform(range(1, length({x})), "
+                f"lambda i: substr({x}, i::BIGINT, 2))) ELSE [{x}] END)")
+    return f"""
+s AS (SELECT {col} AS query, name, ent_ord, lower({col}) AS ql, lower(name) AS el FROM {queries} qq, e
+      WHERE {col} <> ''),
+sh AS (SELECT *, len(list_intersect({keys('ql')}, {keys('el')})) AS shared FROM s),
+place AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, ent_ord, name) AS place
+          FROM sh WHERE shared > 0),
+sc AS (SELECT query, name, place, {partial_ratio('ql', 'el')} AS score FROM place WHERE place <= 5),
+best AS (SELECT query, name, score FROM (
+           SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place) AS rk FROM sc) WHERE rk = 1)"""
+
+
+def dictionary_suggestion_ctes(number_pattern: str, slack: int) -> str:
+    """G1 with the table ``dict(word, freq)`` over ``clustered``: ``sugg``."""
+    return f"""
+    ws AS (SELECT DISTINCT unnest({words('norm')}) AS word FROM clustered),
+    longest AS (SELECT max(length(word)) AS m FROM dict),
+    chk AS (SELECT ws.word FROM ws, longest WHERE ws.word NOT IN (SELECT word FROM dict)
+              AND NOT regexp_full_match(lower(ws.word), '{number_pattern}')
+              AND lower(ws.word) <> 'nan' AND length(ws.word) <= longest.m + {slack}),
+    near AS (SELECT chk.word, d.word AS dword, d.freq, damerau_levenshtein(chk.word, d.word) AS tier
+             FROM chk JOIN dict d ON abs(length(chk.word) - length(d.word)) <= 2
+             WHERE damerau_levenshtein(chk.word, d.word) BETWEEN 1 AND 2),
+    fix AS (SELECT word, arg_min(dword, (tier, -freq, dword)) AS correction FROM near GROUP BY word),
+    cw AS (SELECT c.group_key, c.cluster_id, c.norm, c.okey, c.i, coalesce(f.correction, c.w) AS w
+           FROM (SELECT *, unnest({words('norm')}) AS w, generate_subscripts({words('norm')}, 1) AS i
+                 FROM clustered) c LEFT JOIN fix f ON f.word = c.w),
+    ph AS (SELECT group_key, cluster_id, norm, okey, string_agg(w, ' ' ORDER BY i) AS corr FROM cw GROUP BY ALL),
+    cph AS (SELECT c.group_key, c.cluster_id, c.norm, c.okey, c.n,
+                   CASE WHEN coalesce(p.corr, '') = '' THEN c.norm ELSE p.corr END AS corr,
+                   c.norm IN (SELECT word FROM dict) AS known
+            FROM clustered c LEFT JOIN ph p USING (group_key, cluster_id, norm, okey)),
+    cstats AS (SELECT group_key, cluster_id, sum(n) AS size, count(*) AS ndist,
+                      arg_min(norm, (-n, okey)) AS top_v, arg_min(n, (-n, okey)) AS top_k,
+                      arg_min(norm, okey) FILTER (WHERE known) AS dict_word
+               FROM cph GROUP BY group_key, cluster_id),
+    cvote AS (SELECT group_key, cluster_id, arg_min(corr, (-k, o)) AS corr_vote FROM (
+                SELECT group_key, cluster_id, corr, count(*) AS k, min(okey) AS o FROM cph GROUP BY ALL)
+              GROUP BY group_key, cluster_id),
+    sugg AS (SELECT s.group_key, s.cluster_id, 'cluster_' || s.cluster_id AS cluster_tag,
+                    CAST(s.size AS BIGINT) AS size,
+                    CASE WHEN s.size = 1 OR s.ndist < s.size THEN s.top_v
+                         ELSE coalesce(s.dict_word, v.corr_vote) END AS suggestion,
+                    CASE WHEN s.size = 1 THEN 'single_member'
+                         WHEN s.ndist = s.size THEN 'spell_checker' ELSE 'majority' END AS suggestion_mode,
+                    CASE WHEN s.size = 1 THEN 1.0
+                         WHEN s.ndist < s.size THEN round_even(s.top_k / s.size, 2)
+                         WHEN s.dict_word IS NOT NULL THEN round_even(1.0 / s.size, 2)
+                         ELSE 0.9 END AS confidence
+             FROM cstats s JOIN cvote v USING (group_key, cluster_id))"""
