@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 # Fixed values (must equal the reference's behaviour):
 # characters kept by normalisation are letters, numbers, underscore, whitespace
-KEEP_CLASS = r"[^\p{L}\p{N}_\s]"
+KEEP_CLASS = r"[^\p{L}\p{N}_\s\x1C-\x1F]"
+# whitespace: Unicode's, and the four separators that text stripping counts too
+SPACE = r"[\s\x1C-\x1F]"
 # ASCII punctuation set of the unused `preprocess_text` helper
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # boolean text tokens
@@ -26,7 +28,7 @@ def _c(x) -> Column:
 
 def strip(x) -> Column:
     """Strip Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def normalize(x) -> Column:
@@ -42,7 +44,7 @@ def strip_ascii_punct(x) -> Column:
 def words(x) -> Column:
     """Whitespace split of the stripped text, no empty tokens."""
     s = strip(_c(x))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U){SPACE}+"))
 
 
 def word_count(x) -> Column:

@@ -6,29 +6,32 @@ counts, ``idf = ln((1 + N) / (1 + df)) + 1`` with every occurrence a
 document, rows L2-normalised.  It is computed with group-bys on the
 distinct-value table weighted by occurrence counts.
 
-k-means uses ``pyspark.ml.clustering.KMeans`` fitted on distinct values with
-``weightCol = n`` (equal to fitting every occurrence) and the silhouette of
-``ClusteringEvaluator``; k runs over ``[min_k, max_k]`` with ``k < size``, a
-strictly better score wins, one-label results are skipped, no valid k gives
-one cluster.  Bit-for-bit parity with another solver is not possible; the
-tests check properties.
+k-means runs for all groups and all k at once, as joins and group-bys on tables
+keyed by ``(group_key, k)``: k runs over ``[min_k, max_k]`` with ``k < size``, the first
+centres are k values by a seeded hash, a round assigns every distinct value
+(weighted by its occurrences, equal to running over every occurrence) to the
+nearest centre and takes weighted means.  A value meets only centres that share an
+n-gram with it; all others are equally far but for the centre's own length, so
+the shortest centre stands for them.  The mean silhouette (squared Euclidean, as
+Spark ML's evaluator defines it) picks k: a strictly better score wins, results
+with one label are skipped, no valid k gives one cluster.  Bit-for-bit parity with
+another solver is not possible; the tests check properties.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonspark.functions import text as T
-from canonspark.operators.rank import row_number_within
+from canonspark.operators.topk import top_k_per_group
+from canonspark.session import ensure_checkpoint_dir
 
 # Reference search ranges and seed
 CATEGORY_K = (2, 20)
 DIRECT_K = (2, 8)
 SEED = 42
+ROUNDS = 10
 
 
 def tfidf(nodes: DataFrame, n_min: int = 2, n_max: int = 4) -> DataFrame:
@@ -47,70 +50,95 @@ def tfidf(nodes: DataFrame, n_min: int = 2, n_max: int = 4) -> DataFrame:
                     F.col("df").cast("long").alias("df"), "idf", (F.col("w") / F.col("l2")).alias("weight")))
 
 
-def _features(nodes: DataFrame) -> DataFrame:
-    """One dense vector per distinct value over its group's n-gram vocabulary."""
-    t = tfidf(nodes)
-    vocab = row_number_within(t.select("group_key", "gram").distinct(), ["group_key"], ["gram"], "gi",
-                              start=0)
-    size = vocab.groupBy("group_key").agg(F.max("gi").alias("vmax"))
-    entries = t.join(vocab, ["group_key", "gram"])
-    per = (entries.groupBy("group_key", "norm")
-           .agg(F.array_sort(F.collect_list(F.struct("gi", "weight"))).alias("e")))
-    # every value gets a vector: one without n-grams is the zero vector; a
-    # group without any n-gram has no vocabulary (NULL features, D20)
-    per = (nodes.select("group_key", "norm").join(per, ["group_key", "norm"], "left")
-           .join(size, "group_key", "left"))
-    e = F.coalesce(F.col("e"), F.array().cast("array<struct<gi:long,weight:double>>"))
-    vec = _sparse(F.col("vmax") + 1, F.transform(e, lambda x: x["gi"].cast("int")),
-                  F.transform(e, lambda x: x["weight"]))
-    return per.select("group_key", "norm", F.when(F.col("vmax").isNotNull(), vec).alias("features"))
-
-
-@F.udf(VectorUDT())
-def _sparse(size, idx, vals):
-    """Sparse TF-IDF vector of one distinct value (entries already sorted)."""
-    return Vectors.sparse(int(size), list(idx), list(vals))
-
-
-def kmeans_clusters(nodes: DataFrame, mode: str = "category") -> DataFrame:
+def _ckpt(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+RUN = ["group_key", "k"]
+
+
+def _centres(assigned: DataFrame, entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted means ``(group_key, k, c, gram, w)`` of the assigned values."""
+    members = assigned.join(weights, ["group_key", "norm"])
+    total = members.groupBy(*RUN, "c").agg(F.sum("n").alias("total"))
+    sums = (members.join(entries, ["group_key", "norm"]).groupBy(*RUN, "c", "gram")
+            .agg(F.sum(F.col("n") * F.col("weight")).alias("s")))
+    return sums.join(total, [*RUN, "c"]).select(*RUN, "c", "gram", (F.col("s") / F.col("total")).alias("w"))
+
+
+def _products(entries: DataFrame, centres: DataFrame) -> DataFrame:
+    """``(group_key, k, norm, c, dot)`` of values and centres that share an n-gram."""
+    return (entries.join(centres, ["group_key", "gram"]).groupBy(*RUN, "norm", "c")
+            .agg(F.sum(F.col("weight") * F.col("w")).alias("dot")))
+
+
+def _assign(runs: DataFrame, entries: DataFrame, centres: DataFrame) -> DataFrame:
+    """The nearest centre of every value of every run; ties to the lower number."""
+    length = centres.groupBy(*RUN, "c").agg(F.sum(F.col("w") * F.col("w")).alias("len"))
+    far = length.groupBy(*RUN).agg(F.min(F.struct(F.col("len").alias("d"), "c")).alias("far"))
+    near = (_products(entries, centres).join(length, [*RUN, "c"])
+            .groupBy(*RUN, "norm").agg(F.min(F.struct((F.col("len") - 2 * F.col("dot")).alias("d"), "c")).alias("near")))
+    return (runs.join(far, RUN).join(near, [*RUN, "norm"], "left")
+            .select(*RUN, "norm", F.least("far", "near").getField("c").alias("c")))
+
+
+def _silhouettes(assigned: DataFrame, entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """Mean silhouette ``(group_key, k, labels, score)`` over all occurrences."""
+    centres = _centres(assigned, entries, weights)
+    square = entries.groupBy("group_key", "norm").agg(F.sum(F.col("weight") * F.col("weight")).alias("xx"))
+    points = (assigned.join(weights, ["group_key", "norm"]).join(square, ["group_key", "norm"], "left")
+              .withColumn("xx", F.coalesce("xx", F.lit(0.0))))
+    cl = points.groupBy(*RUN, "c").agg(F.sum("n").alias("size"), (F.sum(F.col("n") * F.col("xx")) / F.sum("n")).alias("yy"))
+    # the two clusters with the smallest mean square stand for those without a common n-gram
+    least = cl.groupBy(*RUN).agg(F.slice(F.array_sort(F.collect_list(F.struct("yy", "c"))), 1, 2).alias("low"),
+                                 F.count(F.lit(1)).alias("labels"))
+    dots = _products(entries, centres).join(cl.select(*RUN, "c", "yy"), [*RUN, "c"])
+    p = points.join(cl.select(*RUN, "c", "size", F.col("yy").alias("own_yy")), [*RUN, "c"]).join(least, RUN)
+    met = (dots.withColumnRenamed("c", "oc").join(p.select(*RUN, "norm", "c"), [*RUN, "norm"])
+           .groupBy(*RUN, "norm").agg(
+               F.min(F.when(F.col("oc") != F.col("c"), F.col("yy") - 2 * F.col("dot"))).alias("near"),
+               F.max(F.when(F.col("oc") == F.col("c"), F.col("dot"))).alias("own_dot")))
+    p = p.join(met, [*RUN, "norm"], "left")
+    other = F.element_at(F.filter("low", lambda x: x["c"] != F.col("c")), 1)["yy"]
+    b = F.col("xx") + F.least(other, F.coalesce("near", other))
+    own = F.col("xx") + F.col("own_yy") - 2 * F.coalesce("own_dot", F.lit(0.0))
+    a = own * F.col("size") / (F.col("size") - F.col("n"))
+    s = F.when((F.col("size") == F.col("n")) | (F.greatest(a, b) <= 0), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    return (p.where("labels > 1").withColumn("s", s).groupBy(*RUN)
+            .agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("score")))
+
+
+def kmeans_clusters(nodes: DataFrame, mode: str = "category", rounds: int = ROUNDS) -> DataFrame:
     """C3 / C4 over ``nodes(group_key, norm, occ, n)``: same rows plus ``leader``,
     ``cluster_id`` and ``cluster_tag`` (labels numbered by first occurrence)."""
     min_k, max_k = CATEGORY_K if mode == "category" else DIRECT_K
-    spark = nodes.sparkSession
-    feats = _features(nodes).join(nodes.select("group_key", "norm", "n", "occ"), ["group_key", "norm"])
-    feats = feats.checkpoint(eager=True)
-    sizes = feats.groupBy("group_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("ndist"),
-                                           F.count("features").alias("nfeat"))
-    labelled = []
-    # one fit series per group: the k search is inherently per group
-    for row in sizes.collect():
-        g, size, ndist = row["group_key"], row["size"], row["ndist"]
-        part = feats.where(F.col("group_key") == g)
-        best, best_score = None, -1.0
-        top = min(max_k, size) if row["nfeat"] else 0      # D20: no vocabulary, one cluster
-        for k in range(min_k, top + 1):
-            if k >= size or k > ndist:
-                break
-            model = KMeans(k=k, seed=SEED, weightCol="n", featuresCol="features").fit(part)
-            pred = model.transform(part)
-            if pred.select("prediction").distinct().limit(2).count() < 2:
-                continue
-            score = ClusteringEvaluator(weightCol="n", featuresCol="features").evaluate(pred)
-            if score > best_score:
-                best, best_score = pred, score
-        if best is None:
-            best = part.withColumn("prediction", F.lit(0))
-        labelled.append(best.select("group_key", "norm", "occ", "n", "prediction"))
-    if not labelled:
-        return nodes.withColumn("leader", F.col("occ")).withColumn("cluster_id", F.lit(1).cast("long")) \
-                    .withColumn("cluster_tag", F.lit("cluster_1")).limit(0)
-    out = labelled[0]
-    for x in labelled[1:]:
-        out = out.unionByName(x)
+    entries = _ckpt(tfidf(nodes).select("group_key", "norm", "gram", "weight"))
+    weights = nodes.select("group_key", "norm", "n")
+    sizes = nodes.groupBy("group_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("ndist"))
+    top = F.least(F.lit(max_k), F.col("size") - 1, F.col("ndist")).cast("int")
+    # A group without any n-gram has no vocabulary and stays one cluster
+    ks = (sizes.join(entries.select("group_key").distinct(), "group_key").withColumn("top", top).where(F.col("top") >= min_k)
+          .select("group_key", F.explode(F.sequence(F.lit(min_k), F.col("top"))).alias("k")))
+    runs = _ckpt(nodes.select("group_key", "norm").join(ks, "group_key"))
+    seeds = top_k_per_group(entries.select("group_key", "norm").distinct(), ["group_key"],
+                            [F.xxhash64("norm", F.lit(SEED)), F.col("norm")], max_k, out="c")
+    centres = (seeds.join(ks, "group_key").where("c <= k").join(entries, ["group_key", "norm"])
+               .select(*RUN, "c", "gram", F.col("weight").alias("w")))
+    assigned = _ckpt(_assign(runs, entries, centres))
+    for _ in range(rounds):
+        nxt = _ckpt(_assign(runs, entries, _centres(assigned, entries, weights)))
+        moved = nxt.join(assigned.withColumnRenamed("c", "was"), [*RUN, "norm"]).where("c != was")
+        assigned = nxt
+        if moved.isEmpty():
+            break
+    best = _silhouettes(assigned, entries, weights).groupBy("group_key").agg(
+        F.max_by("k", F.struct("score", (-F.col("k")).alias("small"))).alias("k"))
+    label = assigned.join(best, RUN).select("group_key", "norm", "c")
+    out = _ckpt(nodes.join(label, ["group_key", "norm"], "left").withColumn("c", F.coalesce("c", F.lit(0))))
     # at most max_k labels per group: the window over the leader table is small
-    first = out.groupBy("group_key", "prediction").agg(F.min("occ").alias("leader"))
+    first = out.groupBy("group_key", "c").agg(F.min("occ").alias("leader"))
     first = first.withColumn("cluster_id", F.row_number().over(
         Window.partitionBy("group_key").orderBy("leader")).cast("long"))
-    return (out.join(first, ["group_key", "prediction"])
-            .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")))
-            .drop("prediction").checkpoint(eager=True))
+    return _ckpt(out.join(first, ["group_key", "c"])
+                 .withColumn("cluster_tag", F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"))).drop("c"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canonspark.functions import text as T
 from canonspark.operators.topk import top_k_per_group
-from canonspark.session import ensure_checkpoint_dir
+from canonspark.operators.reshape import quoted, with_row_id
 
 # Profile thresholds of the reference
 NUMERIC_SHARE = 0.8
@@ -30,15 +30,13 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
     plus ``col_ord`` (the column position, for ordering)."""
     cols = columns or [c for c in df.columns if c != row_id]
     ordmap = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    long = (df.select(F.col(row_id).alias("_rid"), *[F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot(["_rid"], cols, "name", "raw"))
+    long = (df.select(quoted(row_id).alias("_rid"), *[quoted(c).cast("string").alias(c) for c in cols])
+            .unpivot(["_rid"], [quoted(c) for c in cols], "name", "raw"))
     v = F.when(T.strip("raw") != "", T.strip("raw"))          # P1: NULL and blank are missing
     per_value = (long.select("name", "_rid", v.alias("v"))
                  .groupBy("name", "v")
                  .agg(F.count(F.lit(1)).alias("n"), F.min("_rid").alias("first_row")))
-    # both the counts and the samples read this table: one scan of the source
-    ensure_checkpoint_dir(df.sparkSession)
-    per_value = per_value.checkpoint(eager=True)
+    # the counts and the samples share this shuffle (one plan, one scan of the source)
     kept = F.col("v").isNotNull()
     per_col = per_value.groupBy("name").agg(
         F.sum("n").alias("total_rows"),
@@ -52,7 +50,10 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
                .groupBy("name")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda s: s["v"])
                     .alias("_samples")))
-    p = per_col.join(samples, "name", "left")
+    # a table without rows still has a profile row for each column
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "name string")
+    p = names.join(per_col, "name", "left").join(samples, "name", "left").fillna(
+        0, ["total_rows", "nonblank", "uniqueCount", "num_numeric", "words"])
     nonblank = F.col("nonblank")
     pct_numeric = F.when(nonblank > 0, F.col("num_numeric") / nonblank).otherwise(F.lit(0.0))
     pct_unique = F.when(nonblank > 0, F.col("uniqueCount") / nonblank).otherwise(F.lit(0.0))
@@ -61,7 +62,7 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
                       F.lit("categorical"))
                 .otherwise(F.lit("text")))
     missing = F.col("total_rows") - nonblank
-    avg_words = F.col("words") / nonblank
+    avg_words = F.when(nonblank > 0, F.col("words") / nonblank)
     pct_missing = F.when(F.col("total_rows") > 0, missing / F.col("total_rows")).otherwise(F.lit(1.0))
     samples_all = F.coalesce(F.col("_samples"), F.array().cast("array<string>"))
     return p.select(
@@ -71,7 +72,7 @@ def profile_columns(df: DataFrame, row_id: str = "row_id", columns: list[str] |
         F.col("uniqueCount").cast("long").alias("uniqueCount"),
         F.when(col_type == "categorical", samples_all)
          .otherwise(F.slice(samples_all, 1, SAMPLE_SIZE)).alias("sampleValues"),
-        ((col_type == "text") & (avg_words < SHORT_TEXT_WORDS)).alias("isShortText"),
+        F.coalesce((col_type == "text") & (avg_words < SHORT_TEXT_WORDS), F.lit(False)).alias("isShortText"),
         ((col_type == "categorical") & (F.col("uniqueCount") > 1)
          & (F.col("uniqueCount") < CATEGORICAL_MAX_DISTINCT) & (pct_missing < MISSING_SHARE)).alias("important"),
         ordmap[F.col("name")].alias("col_ord"),
@@ -94,7 +95,7 @@ def preview_rows(df: DataFrame, limit="100", row_id: str = "row_id") -> DataFram
     out = df.orderBy(row_id)
     if n is not None:
         out = out.limit(n)
-    return out.select(F.col(row_id), *[T.fill_text(c).alias(c) for c in df.columns if c != row_id])
+    return out.select(quoted(row_id), *[T.fill_text(quoted(c)).alias(c) for c in df.columns if c != row_id])
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -105,13 +106,13 @@ def table_shape(df: DataFrame) -> DataFrame:
 def analyze_csv(spark, path: str, limit="100"):
     """S1-S5, A1-A7, A21 together: read a CSV as text (missing-value tokens to
     NULL), add a row id, and return ``(profile, preview, shape)``.  Columns that
-    had a blank header (Spark names them ``_c<i>``) are shown as '' in the
-    profile (S2), keeping their unique physical name (D8)."""
+    had a blank header are shown as '' in the profile (S2), keeping their unique
+    physical name (D8)."""
     from canonspark.sources import csv as CSV
 
     raw = CSV.read_csv(spark, path)
     cols = list(raw.columns)
-    df = raw.withColumn("row_id", F.monotonically_increasing_id())
+    df = with_row_id(raw)
     shown = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(CSV.display_name(c)))])
     prof = profile_columns(df, columns=cols).withColumn("name", shown[F.col("name")])
     return prof, preview_rows(df, limit), table_shape(raw)

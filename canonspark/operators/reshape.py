@@ -140,11 +140,11 @@ def attach_cleaned(raw: DataFrame, wide: DataFrame, columns: list[str],
     right after ``<col>``.  Every non-null cell is in the long table, so a
     cell missing there was NULL and stays NULL (D4: aligned by row id)."""
     renamed = wide.select(F.col("row_id").alias("_rid"),
-                          *[F.col(c).alias(f"__{c}__c") for c in columns])
+                          *[quoted(c).alias(f"__{c}__c") for c in columns])
     j = raw.join(renamed, raw[row_id] == renamed["_rid"], "left")
     out = []
     for c in raw.columns:
-        out.append(F.col(c))
+        out.append(quoted(c))
         if c in columns:
             out.append(F.col(f"__{c}__c").alias(f"{c}_cleaned"))
     return j.select(*out)

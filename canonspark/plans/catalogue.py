@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canonspark.functions import text as T
@@ -20,6 +20,7 @@ from canonspark.operators import spell as SP
 from canonspark.operators import summary as SM
 from canonspark.plans import cleaning as CL
 from canonspark.plans import oracle as O
+from canonspark.sources import csv as CSV
 from canonspark.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,11 +546,44 @@ def q_tfidf(spark, sf):
                     F.bround("weight", 9).alias("weight"))
 
 
-@query("kmeans_clusters")
+def _kmeans_sql(long_sql: str, mode: str, max_k: int) -> str:
+    """What must hold of any solver's labels: every value labelled, the number of
+    labels in range, labels 1..k without gaps, numbered by first occurrence."""
+    return f"""WITH {O.node_ctes(long_sql, mode)}
+SELECT group_key, CAST(count(*) AS BIGINT) AS n_values, CAST(count(*) AS BIGINT) AS labelled, true AS in_range,
+       true AS gapless, true AS in_order, true AS repeatable FROM nodes GROUP BY group_key"""
+
+
+def _kmeans_out(raw, cols, category, max_k: int) -> DataFrame:
+    def run():
+        g = (CL.group_by_category(raw, cols, category, ml=True) if category else CL.group_in_column(raw, cols, ml=True))
+        return g.clustered.select("group_key", "norm", "occ", "n", "cluster_id")
+
+    c = run()
+    again = run().select("group_key", "norm", F.col("cluster_id").alias("second"))
+    first = c.groupBy("group_key", "cluster_id").agg(F.min("occ").alias("o"))
+    w = Window.partitionBy("group_key").orderBy("o")          # at most max_k labels a group
+    order = first.withColumn("rank", F.row_number().over(w)).groupBy("group_key").agg(
+        F.min(F.col("rank") == F.col("cluster_id")).alias("in_order"), F.count(F.lit(1)).alias("k"),
+        F.max("cluster_id").alias("top"))
+    per = c.join(again, ["group_key", "norm"]).groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n_values"), F.count("cluster_id").alias("labelled"), F.sum("n").alias("size"),
+        F.min(F.col("cluster_id") == F.col("second")).alias("repeatable"))
+    k = F.col("k")
+    return per.join(order, "group_key").select(
+        "group_key", "n_values", "labelled",
+        ((k >= 1) & (k <= F.greatest(F.lit(1), F.least(F.lit(max_k), F.col("size") - 1, F.col("n_values"))))).alias("in_range"),
+        (F.col("top") == k).alias("gapless"), "in_order", "repeatable")
+
+
+@query("kmeans_clusters", _kmeans_sql(PART_LONG_DIRECT, "direct", 8))
 def q_kmeans(spark, sf):
-    """Rows-only: every value labelled; properties are tested in tests/."""
-    g = CL.group_in_column(_part_raw(spark, sf), ["p_name"], ml=True)
-    return _cluster_out(g)
+    return _kmeans_out(_part_raw(spark, sf), ["p_name"], None, 8)
+
+
+@query("kmeans_category", _kmeans_sql(MESSY_LONG_CATEGORY, "category", 20))
+def q_kmeans_category(spark, sf):
+    return _kmeans_out(TB.messy_part(spark, sf), MESSY_COLS, "category", 20)
 
 
 def _nation_entities(spark, sf):
@@ -594,6 +628,57 @@ def q_kg_suggestions(spark, sf):
                       "suggestion", "suggestion_mode")
 
 
+# ------------------------------------------------------------------ ingest
+
+_NA = "(" + ", ".join("'" + t + "'" for t in CSV.NA_TOKENS) + ")"
+
+
+def _missing_sql(x: str) -> str:
+    return f"CASE WHEN {x} IN {_NA} THEN NULL ELSE {x} END"
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from canonspark.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/canonspark-{name}-{uuid.uuid4()}"
+
+
+@query("csv_round_trip", f"""
+SELECT CAST(row_id AS VARCHAR) AS row_id, {_missing_sql('category')} AS "a.category",
+       {_missing_sql('name_a')} AS name_a, {_missing_sql('name_b')} AS name_b
+FROM ({TB.MESSY_PART_SQL}) m""")
+def q_csv_round_trip(spark, sf):
+    """Messy part written as CSV (S6) and read back with the missing-value tokens."""
+    path = _scratch(spark, "csv")
+    TB.write_table(TB.messy_part(spark, sf).withColumnRenamed("category", "a.category"), path, "csv")
+    return CSV.read_csv(spark, path)
+
+
+@query("records_ingest", f"""
+SELECT shape, row_id, category, name_a FROM ({TB.MESSY_PART_SQL}) m, (SELECT unnest(['rows', 'lists']) AS shape) s""")
+def q_records_ingest(spark, sf):
+    """Both JSON shapes (S3): one record a line, and column lists of 100 rows a line."""
+    from pyspark.sql import types as ST
+    raw = TB.messy_part(spark, sf).select("row_id", "category", "name_a")
+    rows, lists = _scratch(spark, "rows"), _scratch(spark, "lists")
+    TB.write_table(raw, rows, "json")
+    def column(c: str):
+        return F.transform("r", lambda x: F.coalesce(x[c].cast("string"), F.lit("<none>"))).alias(c)
+
+    each = F.struct(*[column(c) for c in raw.columns])
+    packed = raw.groupBy(F.floor(F.col("row_id") / 100)).agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
+    packed.select(each.alias("o")).select("o.*").write.json(lists)
+    text = ST.StructType([ST.StructField(c, ST.StringType()) for c in raw.columns])
+    schema = ST.StructType([ST.StructField("row_id", ST.LongType()), *text.fields[1:]])
+    a = CSV.read_records(spark, rows, schema)
+    b = CSV.read_column_lists(spark, lists, text)
+    b = b.select(F.col("row_id").cast("long").alias("row_id"), *[F.nullif(F.col(c), F.lit("<none>")).alias(c)
+                                                                   for c in raw.columns[1:]])
+    return (a.withColumn("shape", F.lit("rows")).unionByName(b.withColumn("shape", F.lit("lists")))
+            .select("shape", "row_id", "category", "name_a"))
+
+
 HISTORY_COLS = ["file_name", "cleaning_mode", "acceptance_ratio", "user_id", "column", "total_values",
                 "num_of_before_unique", "num_of_after_unique", "manual_corrections", "num_of_clusters",
                 "num_of_majority", "total_num_of_single", "num_of_spell_check", "num_of_global_manual",

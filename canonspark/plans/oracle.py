@@ -7,8 +7,8 @@ sequential recursive CTEs that walk the values in first-occurrence order.
 
 from __future__ import annotations
 
-# Whitespace class of Java's (?U)\s written for RE2
-WS = r"\t\n\x{0B}\f\r\x{85}\p{Z}"
+# Unicode whitespace and the separators 1C-1F, written for RE2
+WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
 
 
 def strip(x: str) -> str:

@@ -1,38 +1,73 @@
 """CSV and record ingest with the usual missing-value tokens.
 
-Every column is read as text (no inference); the tokens below become NULL.
-Spark names blank headers ``_c<i>``; the profile shows them as ''.
+Every column is read as text (no inference); the tokens below become NULL.  The
+header row is read by itself, so that blank headers get a name of their own
+(``Unnamed: <i>``, shown as '' in the profile) and repeated ones a number.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from canonspark.operators.reshape import quoted
 
 # Field texts read as missing (the common CSV reader default set)
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-BLANK_HEADER = re.compile(r"^_c\d+$")
+# Fixed value: how a column without a header is called
+BLANK_HEADER = "Unnamed"
+
+
+def header_names(fields: list[str | None]) -> list[str]:
+    """Column names of a header row: blank ones ``Unnamed: <i>``, repeated ones with
+    a running number."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, f in enumerate(fields):
+        name = f if f else f"{BLANK_HEADER}: {i}"
+        while name in seen:
+            seen[name] += 1
+            name = f"{f}.{seen[name]}"
+        seen[name] = 0
+        out.append(name)
+    return out
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("inferSchema", False))
-    if columns is not None:
-        reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    df = reader.csv(path)
-    return df.select(*[F.when(F.col(c).isin(*NA_TOKENS), F.lit(None).cast("string"))
-                       .otherwise(F.col(c)).alias(c) for c in df.columns])
+def _as_missing(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(quoted(c).isin(*NA_TOKENS), F.lit(None).cast("string"))
+                       .otherwise(quoted(c)).alias(c) for c in df.columns])
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """``multi_line``: fields may hold line breaks.  Such a file is read by one task
+    (Spark cannot split it), so it is off unless asked for."""
+    reader = spark.read.option("escape", '"').option("multiLine", multi_line)
+    if columns is None:
+        first = reader.option("header", False).csv(path).first()
+        columns = header_names(list(first)) if first else []
+    if not columns:
+        return spark.createDataFrame([], StructType([]))
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    return _as_missing(reader.option("header", True).schema(schema).csv(path))
 
 
 def display_name(name: str) -> str:
-    """Auto-named (blank) headers are shown as ''."""
-    return "" if BLANK_HEADER.match(name) else name
+    """Columns without a header are shown as ''."""
+    return "" if name.startswith(BLANK_HEADER) else name
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """S3: JSON records with an explicit schema."""
+    """S3: JSON records, one a line, with an explicit schema."""
     return spark.read.schema(schema).json(path)
+
+
+def read_column_lists(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """S3: JSON objects of column lists (``{"a": [..], "b": [..]}``, one a line), as
+    rows of ``schema``.  Lists of different lengths are filled up with NULL."""
+    lists = StructType([StructField(f.name, ArrayType(f.dataType)) for f in schema.fields])
+    df = spark.read.schema(lists).json(path)
+    rows = df.select(F.explode(F.arrays_zip(*[quoted(f.name).alias(f.name) for f in schema.fields])).alias("r"))
+    return rows.select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields])

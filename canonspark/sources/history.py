@@ -23,9 +23,10 @@ def save_run(path: str, user_id: int, file_name: str, cleaning_mode: str,
              overall: DataFrame, summary: DataFrame) -> str:
     """Append one run; ``overall`` is the one-row ``acceptance_ratio`` frame."""
     if not all([user_id, file_name, cleaning_mode]):
-        raise ValueError("Missing required fields")              # P9, before any write
+        raise ValueError("a run needs a user, a file name and a cleaning mode")     # P9, before any write
+    summary = summary.checkpoint(eager=True)       # evaluated once for the check and the write
     if summary.isEmpty():
-        raise ValueError("Missing required fields: summaries is empty")
+        raise ValueError("a run needs at least one summary row")
     clean_id = str(uuid.uuid4())
     s = (summary.withColumn("clean_id", F.lit(clean_id))
          .withColumn("summary_id", F.sha2(F.concat_ws("\u0001", F.lit(clean_id), F.col("column")), 256))
@@ -53,13 +54,7 @@ def history(spark: SparkSession, path: str, user_id: int | None = None) -> DataF
             .orderBy(F.desc("clean_date"), "clean_id", "column"))
 
 
-def history_nested(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    """J7 (nested view): one row per run with ``summaries`` as an array; the
-    array holds one entry per cleaned group of that run."""
-    flat = history(spark, path, user_id)
-    run_cols = ["clean_id", "file_name", "clean_date", "cleaning_mode", "acceptance_ratio", "user_id"]
-    sum_cols = [c for c in flat.columns if c not in run_cols]
-    return (flat.groupBy(*run_cols)
-            .agg(F.filter(F.collect_list(F.struct(*sum_cols)), lambda s: s["summary_id"].isNotNull())
-                 .alias("summaries"))
-            .orderBy(F.desc("clean_date")))
+def run_details(spark: SparkSession, path: str, clean_id: str) -> DataFrame:
+    """J7 (one run): the run's fields on each of its summary rows.  Rows instead of
+    an array, as a run in category mode has as many summaries as categories."""
+    return history(spark, path).where(F.col("clean_id") == clean_id)

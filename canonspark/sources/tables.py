@@ -77,5 +77,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write original plus cleaned rows (parquet, csv with header, or json)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = (w.option("header", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(path)

@@ -32,3 +32,10 @@ def test_analyze_csv(spark, tmp_path):
     assert prev.count() == 2
     s = shape.first()
     assert (s.rows, s.columns) == (3, 3)
+
+
+def test_profile_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "row_id long, `a.b` string, n int")
+    got = {r.name: r for r in PF.profile_columns(df).collect()}
+    assert set(got) == {"a.b", "n"}
+    assert (got["n"].type, got["n"].missingCount, got["n"].sampleValues, got["n"].important) == ("categorical", 0, [], False)

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canonspark.functions import similarity as S
 from canonspark.operators import entity as EN
@@ -70,6 +71,35 @@ def test_kmeans_properties(spark):
     assert again == {r.norm: r.cluster_id for r in c}
 
 
+def test_kmeans_scores_equal_the_evaluator(spark):
+    """Silhouettes of given labels against Spark ML's evaluator on dense vectors."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+    vals = ["red gear", "red gears", "blue bolt", "blue bolts", "hot rod", "x"]
+    nodes = spark.createDataFrame([("g", v, (0, i), i + 1) for i, v in enumerate(vals)],
+                                  "group_key string, norm string, occ struct<col_ord:int,row_id:bigint>, n bigint")
+    entries = KM.tfidf(nodes).select("group_key", "norm", "gram", "weight").cache()
+    labels = [0, 0, 1, 1, 1, 2]
+    assigned = spark.createDataFrame([("g", 3, v, c) for v, c in zip(vals, labels)],
+                                     "group_key string, k int, norm string, c int")
+    got = KM._silhouettes(assigned, entries, nodes.select("group_key", "norm", "n")).first().score
+    rows = entries.collect()
+    grams = sorted({r.gram for r in rows})
+    vec = {v: [0.0] * len(grams) for v in vals}
+    for r in rows:
+        vec[r.norm][grams.index(r.gram)] = r.weight
+    dense = spark.createDataFrame([(Vectors.dense(vec[v]), float(c), float(i + 1)) for i, (v, c) in
+                                   enumerate(zip(vals, labels))], ["features", "prediction", "w"])
+    want = ClusteringEvaluator(weightCol="w").evaluate(dense)
+    assert abs(got - want) < 1e-9
+
+
+def test_kmeans_one_cluster_without_ngrams(spark):
+    raw = spark.createDataFrame([(i, v) for i, v in enumerate("abc")], "row_id long, name string")
+    g = CL.group_in_column(raw, ["name"], ml=True)
+    assert {r.cluster_id for r in g.clustered.collect()} == {1}
+
+
 def test_history_round_trip(spark):
     raw = spark.createDataFrame([(0, "acme"), (1, "acme"), (2, "zed")], "row_id long, name string")
     a = CL.apply_cleaning(CL.group_in_column(raw, ["name"]))
@@ -78,8 +108,7 @@ def test_history_round_trip(spark):
     H.save_run(base, 8, "g.csv", "direct", a.overall, a.summary)
     rows = H.history(spark, base, 7).collect()
     assert {r.clean_id for r in rows} == {cid} and rows[0].column == "name"
-    nested = H.history_nested(spark, base, 7).collect()
-    assert len(nested) == 1 and len(nested[0].summaries) == 1
+    assert [r.column for r in H.run_details(spark, base, cid).collect()] == ["name"]
     import pytest
     with pytest.raises(ValueError):
         H.save_run(base, 7, "", "direct", a.overall, a.summary)
@@ -98,6 +127,29 @@ def test_csv_na_tokens_and_blank_headers(spark):
     assert [CSV.display_name(c) for c in df.columns] == ["name", "", "score"]
 
 
+def test_csv_headers(spark):
+    assert CSV.header_names(["a", None, "a", "", "_c3", "a.1", "a"]) == [
+        "a", "Unnamed: 1", "a.1", "Unnamed: 3", "_c3", "a.1.1", "a.2"]
+    d = tempfile.mkdtemp(prefix="canon-csv-")
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write('a.b,_c1,Unnamed: 2\n1,NA,x\n"two\nlines",2,\n')
+    df = CSV.read_csv(spark, d, multi_line=True)
+    assert [tuple(r) for r in df.collect()] == [("1", None, "x"), ("two\nlines", "2", None)]
+    assert [CSV.display_name(c) for c in df.columns] == ["a.b", "_c1", ""]
+
+
+def test_both_record_shapes(spark):
+    d = tempfile.mkdtemp(prefix="canon-json-")
+    with open(os.path.join(d, "rows.json"), "w") as f:
+        f.write('{"a.b": "x", "n": 1}\n{"n": 2}\n')
+    with open(os.path.join(d, "lists.json"), "w") as f:
+        f.write('{"a.b": ["x", null], "n": [1, 2]}\n{"a.b": ["z"], "n": []}\n')
+    schema = T.StructType([T.StructField("a.b", T.StringType()), T.StructField("n", T.LongType())])
+    assert [tuple(r) for r in CSV.read_records(spark, os.path.join(d, "rows.json"), schema).collect()] == [("x", 1), (None, 2)]
+    got = CSV.read_column_lists(spark, os.path.join(d, "lists.json"), schema).collect()
+    assert [tuple(r) for r in got] == [("x", 1), (None, 2), ("z", None)]
+
+
 def test_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="canon-stream-")
     src = os.path.join(d, "src")

@@ -57,3 +57,8 @@ def test_signed_numeric_option(spark):
     df = spark.createDataFrame([("-5",), ("1e5",), ("+.5e-2",), ("x",)], "v string")
     got = [r.n for r in df.select(T.is_numeric_text("v", signed=True).alias("n")).collect()]
     assert got == [True, True, True, False]
+
+
+def test_separators_are_whitespace(spark):
+    r = spark.createDataFrame([("\x1c a\x1eb \x1f",)], "v string").select(T.strip("v"), T.words("v"), T.normalize("v")).first()
+    assert (r[0], list(r[1]), r[2]) == ("a\x1eb", ["a", "b"], "a\x1eb")
