@@ -95,7 +95,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    evidence = language_id.page_evidence(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url")))
+    # written first, so that the markup is read in a job of its own
+    evidence = written(language_id.page_evidence(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url"))),
+                       "evidence")
     r = language_id.identify(docs, evidence)
     return r.select("doc_id", "language.lang", F.round("language.prob", 6).alias("prob"), "language.text_lang",
                     "language.declared", "language.host")
