@@ -74,6 +74,17 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _target_log_p(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log softmax at one place of every row; overwrites x."""
+    at = x[np.arange(len(x)), target]
+    if x.size and not -60 < x.max() < 60:
+        top = x.max(axis=1)
+        at -= top
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return at - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+
+
 def lanes_of(lengths: np.ndarray, count: int) -> list[list[int]]:
     """Deal documents to lanes, longest first, to the lane with the least words."""
     count = max(1, min(count, len(lengths)))
@@ -156,6 +167,20 @@ class Model:
                 within.append((k, rows, lw, m))
         return lp, cls, lc, within
 
+    def score_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """``log_p`` without what the backward pass needs."""
+        s, p = self.shape, self.p
+        cls = np.where(target < s.short, target // s.per_class, target - s.short + s.short_classes)
+        lp = _target_log_p(states @ p["C"] + p["c"], cls).astype(np.float64)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(s.short_classes + 1))
+        flat, member = states[order], target[order] % s.per_class
+        for k in range(s.short_classes):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                lp[order[a:b]] += _target_log_p(flat[a:b] @ p["O"][k] + p["o"][k], member[a:b])
+        return lp
+
     def score(self, docs: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
         """Natural log P of whole documents (arrays of numbers, not empty)."""
         total = np.zeros(len(docs))
@@ -168,15 +193,16 @@ class Model:
             w, d = word[t : t + steps, :live], doc[t : t + steps, :live]
             out, h, _ = self._steps(before[t : t + steps, :live], h[:live], False)
             ok = w >= 0
-            lp, *_ = self.log_p(out[ok], w[ok])
-            total += np.bincount(d[ok], weights=lp, minlength=len(docs))
+            total += np.bincount(d[ok], weights=self.score_p(out[ok], w[ok]), minlength=len(docs))
         return total
 
-    def train(self, docs: list[np.ndarray], lanes: int = 64, steps: int = 16, rate: float = 0.1,
+    def train(self, docs: list[np.ndarray], lanes: int = 256, steps: int = 16, rate: float = 0.1,
               memory: dict[str, np.ndarray] | None = None) -> int:
-        """One pass of truncated back-propagation with Adagrad; words learned from."""
+        """One pass of truncated back-propagation with Adagrad; words learned from.
+        Few words run in fewer lanes, so that they give updates enough."""
         if not docs:
             return 0
+        lanes = min(lanes, max(8, sum(map(len, docs)) // 1000))
         memory = memory if memory is not None else {}
         before, word, _ = streams(docs, lanes)
         h = np.zeros((word.shape[1], self.shape.hidden), dtype=np.float32)
@@ -230,8 +256,10 @@ class Model:
             dh[before[t] < 0] = 0
         at = np.maximum(before, 0).ravel()
         flat_dx = dx.reshape(-1, 3 * n)
+        order = np.argsort(at, kind="stable")
+        firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
         by_word = np.zeros((len(p["E"]), 3 * n), dtype=np.float32)
-        np.add.at(by_word, at, flat_dx)
+        by_word[at[order][firsts]] = np.add.reduceat(flat_dx[order], firsts, axis=0)
         g["b"] = by_word.sum(axis=0)
         g["W"], g["E"] = p["E"].T @ by_word, by_word @ p["W"].T
         g["U"], g["V"] = du, dv

@@ -36,7 +36,7 @@ from canonspark.llm.textops import space_words, written
 
 END = b" "            # the end mark; no word holds a space
 HEAD = 100_000        # words that travel to the tasks (about 3 MB)
-FRACTION, ROUNDS = 0.25, 2
+FRACTION, ROUNDS = 0.1, 2
 COUNT_LIMIT = 400_000  # distinct words a task counts before it gives them out
 
 
@@ -64,42 +64,49 @@ def word_counts(training: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+class _Places(dict):
+    """word -> place in the head, -1 beyond it."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
-    """The head: counts, number and class of its words."""
+    """The head: a place for every word, and by place (the last entry stands for the
+    words beyond the head) its count, the number by which the network knows it and
+    the natural log of its share of its class."""
 
     def __init__(self, words: list[tuple[bytes, int]], total: int, size: int, shape: Shape):
-        # the end mark is number 0
+        # the end mark is the first place
         words = sorted(words, key=lambda w: (w[0] != END, -w[1], w[0]))
+        n, bands = len(words), shape.others - 1
         self.shape, self.total, self.size = shape, total, size
-        self.count = {w: c for w, c in words}
-        self.number = {w: i for i, (w, _) in enumerate(words[: shape.short])}
-        middle = words[shape.short :]
-        mass = sum(c for _, c in middle)
-        bands = shape.others - 1
-        # natural log of a word's share of its class; 0 for the short list
-        self.share: dict[bytes, float] = {}
-        band_mass = [0] * bands
-        so_far, placed = 0, []
-        for w, c in middle:
-            band = min(bands - 1, so_far * bands // max(1, mass))
-            so_far += c
-            placed.append((w, c, band))
-            band_mass[band] += c
-        for w, c, band in placed:
-            self.number[w] = shape.short + band
-            self.share[w] = math.log(c / band_mass[band])
+        self.place = _Places((w, i) for i, (w, _) in enumerate(words))
+        self.count = np.array([c for _, c in words] + [0], dtype=np.int64)
         self.rest = shape.short + bands
-        head = sum(self.count.values())
-        self.rest_total = (total - head) + (size - len(words)) + 1
-        short = np.array([c for _, c in words[: shape.short]] + [0] * max(0, shape.short - len(words)), dtype=float)
-        per = short.reshape(shape.short_classes, shape.per_class)
+        self.number = np.full(n + 1, self.rest, dtype=np.int32)
+        self.share = np.zeros(n + 1)
+        short = min(n, shape.short)
+        self.number[:short] = np.arange(short)
+        middle = self.count[short:n]
+        ahead = np.cumsum(middle) - middle
+        band = np.minimum(bands - 1, ahead * bands // max(1, int(middle.sum())))
+        band_mass = np.bincount(band, weights=middle, minlength=bands)
+        self.number[short:n] = shape.short + band
+        self.share[short:n] = np.log(middle / np.maximum(1, band_mass[band]))
+        self.rest_total = total - int(self.count.sum()) + size - n + 1
+        per = np.zeros(shape.short)
+        per[:short] = self.count[:short]
+        per = per.reshape(shape.short_classes, shape.per_class)
         masses = np.concatenate([per.sum(axis=1), band_mass, [self.rest_total]]) + 0.5
         self.class_log_p = np.log(masses / masses.sum())
         self.word_log_p = np.log((per + 0.5) / (per + 0.5).sum(axis=1, keepdims=True)).ravel()
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, rest = self.number.get, self.rest
-        return np.fromiter((get(w, rest) for w in words), dtype=np.int32, count=len(words))
+        return self.number[self.places(words)]
 
 
 def vocabulary(counts: DataFrame, head: int, shape: Shape) -> Vocabulary:
@@ -163,8 +170,9 @@ def _scorer(vocab, weights, shape: Shape, batch_words: int = 500_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocab.value
         model = Model(unpack(weights.value, shape), shape)
-        base_log = {w: math.log10((c + 1) / (v.total + v.size + 1)) for w, c in v.count.items()}
-        share = {w: x / math.log(10) for w, x in v.share.items()}
+        base_log = np.log10((v.count + 1) / (v.total + v.size + 1))
+        base_log[-1] = 0.0  # the words beyond the head are joined later
+        share = v.share / math.log(10)
 
         def finish(rows: list[tuple], docs: list[np.ndarray]) -> pd.DataFrame:
             lm = model.score(docs) / math.log(10)
@@ -176,20 +184,12 @@ def _scorer(vocab, weights, shape: Shape, batch_words: int = 500_000):
         for pdf in batches:
             for rid, doc_id, out_of, text in zip(pdf["rid"], pdf["doc_id"], pdf["held_out"], pdf["text"]):
                 words = [*space_words(text), END]
-                counts = Counter(words)
-                known = base = inside = 0
-                rare: list[bytes] = []
-                for w, n in counts.items():
-                    b = base_log.get(w)
-                    if b is None:
-                        rare.append(w)
-                    else:
-                        known += n
-                        base += n * b
-                        inside += n * share.get(w, 0.0)
-                docs.append(v.numbers(words))
-                rows.append((rid, doc_id, out_of, len(words), known, float(base), float(inside), rare,
-                             [counts[w] for w in rare]))
+                at = v.places(words)
+                beyond = np.flatnonzero(at < 0)
+                rare = Counter([words[i] for i in beyond.tolist()])
+                docs.append(v.number[at])
+                rows.append((rid, doc_id, out_of, len(words), len(words) - len(beyond), float(base_log[at].sum()),
+                             float(share[at].sum()), list(rare), list(rare.values())))
                 waiting += len(words)
                 if waiting >= batch_words:
                     yield finish(rows, docs)

@@ -54,7 +54,7 @@ def test_model_is_a_distribution():
     def prob(number, inside):
         return math.exp(model.score([np.append(prefix, np.int32(number))])[0] - start + inside)
 
-    total_p = sum(prob(v.number[w], v.share.get(w, 0.0)) for w, _ in words)
+    total_p = sum(prob(v.number[v.place[w]], v.share[v.place[w]]) for w, _ in words)
     # the words beyond the head have counts that sum to 30, and one word is unknown
     total_p += prob(v.rest, 0.0) * (30 + 7 + 1) / v.rest_total
     assert math.isclose(total_p, 1.0, rel_tol=1e-4)
