@@ -184,9 +184,9 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
         # the cleaned value depends on (group, raw value) except for members an
         # override addresses: a per-value map writes every cell, and member
         # indexes are computed only inside clusters that carry an override
-        vmap = (g.values.where(R.keep_for_clustering(g.mode)).select("group_key", "value", "norm")
-                .join(g.clustered.select("group_key", "norm", "cluster_id"), ["group_key", "norm"])
-                .join(sugg.select("group_key", "cluster_id", "suggestion"), ["group_key", "cluster_id"])
+        by_value = (g.values.where(R.keep_for_clustering(g.mode)).select("group_key", "value", "norm")
+                    .join(g.clustered.select("group_key", "norm", "cluster_id"), ["group_key", "norm"]))
+        vmap = (by_value.join(sugg.select("group_key", "cluster_id", "suggestion"), ["group_key", "cluster_id"])
                 .select("group_key", "value", F.col("suggestion").alias("_cl"), F.lit(True).alias("_m")))
         patch, manual = None, None
         if member_overrides is not None:
@@ -194,7 +194,10 @@ def apply_cleaning(g: Grouping, member_overrides: DataFrame | None = None,
             ov = (SG.last_entry(member_overrides, ["group_key", "cluster_id", "member_idx"], ["value"])
                   .withColumnRenamed("value", "_ov").checkpoint(eager=True))
             touched = ov.select("group_key", "cluster_id").distinct()
-            m = g.member_rows().join(touched, ["group_key", "cluster_id"], "left_semi")
+            # cells of the touched clusters, found by raw value: nothing is normalised again
+            m = (g.long.join(by_value.join(touched, ["group_key", "cluster_id"], "left_semi")
+                             .select("group_key", "value", "cluster_id"), ["group_key", "value"])
+                 .select("group_key", "cluster_id", "row_id", "col_name", F.struct("col_ord", "row_id").alias("occ")))
             ranked = row_number_within(m, ["group_key", "cluster_id"], ["occ"], "member_idx", start=0)
             patch = (ranked.join(ov, ["group_key", "cluster_id", "member_idx"])
                      .select("row_id", "col_name", "_ov").checkpoint(eager=True))
@@ -224,11 +227,12 @@ def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,
     sort-merge join on (group, value).  ``patch(row_id, col_name, _ov)`` holds
     member overrides; an override wins even when its value is NULL."""
     out = g.raw
+    if patch is not None:
+        # one row for each patched row: its columns' values (at most one a column)
+        rows = patch.groupBy(F.col("row_id").alias("_prow")).agg(F.map_from_entries(
+            F.collect_list(F.struct("col_name", F.struct(F.col("_ov").alias("v"))))).alias("_patch"))
+        out = out.join(rows, R.quoted(row_id) == F.col("_prow"), "left").drop("_prow")
     for i, c in enumerate(g.columns):
-        if patch is not None:
-            p = patch.where(F.col("col_name") == c).select(
-                F.col("row_id").alias(f"_pr{i}"), F.col("_ov").alias(f"_po{i}"), F.lit(True).alias(f"_pm{i}"))
-            out = out.join(p, R.quoted(row_id) == F.col(f"_pr{i}"), "left")
         m = vmap
         if g.mode == "direct":
             m = m.where(F.col("group_key") == c)
@@ -241,9 +245,10 @@ def _apply_by_value(g: Grouping, vmap: DataFrame, row_id: str,
         out = out.join(m, cond, "left")
         value = F.when(F.col(f"_m{i}"), F.col(f"_c{i}")).otherwise(key)
         if patch is not None:
-            value = F.when(F.col(f"_pm{i}"), F.col(f"_po{i}")).otherwise(value)
+            mine = F.col("_patch")[c]
+            value = F.when(mine.isNotNull(), mine["v"]).otherwise(value)
         out = (out.withColumn(f"{c}_cleaned", value)
-               .drop(f"_g{i}", f"_v{i}", f"_c{i}", f"_m{i}", f"_pr{i}", f"_po{i}", f"_pm{i}"))
+               .drop(f"_g{i}", f"_v{i}", f"_c{i}", f"_m{i}"))
     order = []
     for c in g.raw.columns:
         order.append(c)

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from canonspark.llm import quality as Q
@@ -32,13 +33,14 @@ def test_confident_labels_pass_between_the_views():
         rows.append((sorted(set(words)), [0.0] * Q.SHAPE, [f"host={'bad' if bad else 'good'}"],
                      np.nan if new else float(bad)))
     df = pd.DataFrame(rows, columns=["words", "shape", "meta", "bad"])
+    sample = pa.Table.from_pandas(df, preserve_index=False)
     truth = np.array([i % 2 for i in range(200, 400)])
 
     def right(m):
         z = m.text.logit([np.array(w) for w in df["words"][200:]], np.zeros((200, Q.SHAPE)))
         return ((z > 0) == truth).mean()
 
-    assert right(Q.cotrain(df, 1)) < 0.7 and right(Q.cotrain(df, 3)) > 0.9
+    assert right(Q.cotrain(sample, 1)) < 0.7 and right(Q.cotrain(sample, 3)) > 0.9
 
 
 def test_nulls_repeats_and_empty_tables(spark):
