@@ -16,11 +16,13 @@ pass over the texts; the metadata of pages is joined by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from canonspark.llm.textops import alnum_words, encode
 from canonspark.llm.url_filters import host_of
 
-FIT_ROWS, POOL_ROWS = 4000, 3000
+FIT_ROWS, POOL_ROWS = 4000, 2000
 ROUNDS, GIVEN, CONFIDENT = 3, 300, 0.98
 SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 
@@ -80,37 +82,56 @@ SHAPE = 8
 _NONE = np.empty(0, np.int64)
 
 
+class Design:
+    """Features of the sample: names that at least ``least`` rows have, as numbers in
+    rows (compressed), and standardised dense columns."""
+
+    def __init__(self, offsets: np.ndarray, flat: np.ndarray, dense: np.ndarray, least: int = 5):
+        self.size = len(offsets) - 1
+        ordered = np.sort(flat)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(flat) else np.empty(0, int)
+        self.names = ordered[first][np.diff(np.append(first, len(flat))) >= least]
+        del ordered, first
+        at = np.searchsorted(self.names, flat).astype(np.int32)
+        ok = np.zeros(len(flat), dtype=bool)
+        if len(self.names):
+            np.minimum(at, len(self.names) - 1, out=at)
+            ok = self.names[at] == flat
+        self.cols = at[ok]
+        self.starts = np.concatenate([[0], np.cumsum(ok)])[offsets]
+        self.mean = dense.mean(axis=0) if self.size else np.zeros(dense.shape[1])
+        self.scale = dense.std(axis=0) + 1e-6 if self.size else np.ones(dense.shape[1])
+        self.dense = (dense - self.mean) / self.scale
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers (within ``rows``) and columns of the present features."""
+        count = np.diff(self.starts)[rows]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(np.arange(len(rows)), count), self.cols[np.repeat(self.starts[rows], count) + inside]
+
+
 @dataclass
 class SparseLogit:
     """Logistic regression on present features (64-bit names) and dense columns."""
 
-    names: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
-    dense: np.ndarray = field(default_factory=lambda: np.empty(0))
-    mean: np.ndarray = field(default_factory=lambda: np.empty(0))
-    scale: np.ndarray = field(default_factory=lambda: np.empty(0))
-    bias: float = 0.0
-
-    def fit(self, present: list[np.ndarray], dense: np.ndarray, y: np.ndarray, l1: float = 2e-4,
-            least: int = 5, steps: int = 150) -> "SparseLogit":
-        """Proximal gradient with per-feature steps (Adagrad)."""
+    names: np.ndarray
+    weights: np.ndarray
+    dense: np.ndarray
+    mean: np.ndarray
+    scale: np.ndarray
+    bias: float
+
+    @staticmethod
+    def fit(design: Design, at: np.ndarray, y: np.ndarray, l1: float = 2e-4,
+            steps: int = 150) -> tuple["SparseLogit", np.ndarray]:
+        """Proximal gradient with per-feature steps (Adagrad) on the rows ``at``; the
+        model and its logits for all rows of the sample."""
+        w, d, bias = np.zeros(len(design.names)), np.zeros(design.dense.shape[1]), 0.0
         n = len(y)
-        if n == 0:  # nothing to learn from: every logit is 0
-            self.mean, self.scale, self.dense = np.zeros(dense.shape[1]), np.ones(dense.shape[1]), np.zeros(dense.shape[1])
-            return self
-        flat = np.concatenate(present) if n else np.empty(0, np.int64)
-        rows = np.repeat(np.arange(n), [len(x) for x in present])
-        names, counts = np.unique(flat, return_counts=True)
-        self.names = names[counts >= least]
-        cols = np.searchsorted(self.names, flat)
-        ok = (cols < len(self.names)) & (self.names[np.minimum(cols, max(0, len(self.names) - 1))] == flat) \
-            if len(self.names) else np.zeros(len(flat), bool)
-        rows, cols = rows[ok], cols[ok]
-        self.mean, self.scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-        x = (dense - self.mean) / self.scale
-        w, d, bias = np.zeros(len(self.names)), np.zeros(dense.shape[1]), 0.0
-        gw, gd, gb = (np.full(len(w), 1e-8), np.full(len(d), 1e-8), 1e-8)
-        for _ in range(steps):
+        rows, cols = design.take(at)
+        x = design.dense[at]
+        gw, gd, gb = np.full(len(w), 1e-8), np.full(len(d), 1e-8), 1e-8
+        for _ in range(steps if n else 0):
             p = _sigmoid(np.bincount(rows, weights=w[cols], minlength=n) + x @ d + bias)
             r = (p - y) / n
             g = np.bincount(cols, weights=r[rows], minlength=len(w))
@@ -123,9 +144,11 @@ class SparseLogit:
             d -= 0.3 * g / np.sqrt(gd)
             gb += r.sum() ** 2
             bias -= 0.3 * r.sum() / np.sqrt(gb)
+        everyone = np.arange(design.size)
+        rows, cols = design.take(everyone)
+        z = np.bincount(rows, weights=w[cols], minlength=design.size) + design.dense @ d + bias
         keep = w != 0
-        self.names, self.weights, self.dense, self.bias = self.names[keep], w[keep], d, float(bias)
-        return self
+        return SparseLogit(design.names[keep], w[keep], d, design.mean, design.scale, float(bias)), z
 
     def logit(self, present: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
         out = ((dense - self.mean) / self.scale) @ self.dense + self.bias if len(present) else np.empty(0)
@@ -189,26 +212,35 @@ def _names(values) -> np.ndarray:
     return np.array([_name(v) for v in values], dtype=np.int64)
 
 
-def cotrain(rows: pd.DataFrame, rounds: int = ROUNDS) -> CoTrained:
-    """``rows``: words, shape, meta and bad (1, 0, NaN where unlabelled)."""
-    words = [np.asarray(w, dtype=np.int64) for w in rows["words"]]
-    shape = np.array(rows["shape"].tolist(), dtype=float).reshape(len(rows), SHAPE)
-    cats = [_names(m) for m in rows["meta"]]
-    none = np.zeros((len(rows), 1))
-    y = rows["bad"].to_numpy(dtype=float)
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and flat values of a list column."""
+    c = column.combine_chunks()
+    c = c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
+    sizes = np.asarray(pc.list_value_length(c).fill_null(0))
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), c.flatten()
+
+
+def cotrain(sample: pa.Table, rounds: int = ROUNDS) -> CoTrained:
+    """``sample``: words (64-bit names), shape, meta (texts) and bad (1, 0, null where
+    unlabelled), in a fixed order."""
+    offsets, words = _lists(sample["words"])
+    shape = np.asarray(_lists(sample["shape"])[1], dtype=float).reshape(-1, SHAPE)
+    m_offsets, cats = _lists(sample["meta"])
+    cats = _names(cats.to_pylist())
+    designs = {"text": Design(offsets, np.asarray(words, dtype=np.int64), shape),
+               "meta": Design(m_offsets, cats, np.zeros((len(sample), 1)))}
+    strength = {"text": 2e-4, "meta": 1e-3}
+    y = sample["bad"].to_numpy(zero_copy_only=False).astype(float)
     known = np.flatnonzero(~np.isnan(y))
     back = np.sort(np.random.default_rng(5).permutation(known)[: len(known) // 4])  # held back for calibration
     own = np.setdiff1d(known, back)
     pool = np.flatnonzero(np.isnan(y))
-    views = {"text": (words, shape, 2e-4), "meta": (cats, none, 1e-3)}
-    train = {v: dict(zip(own.tolist(), y[own])) for v in views}
+    train = {v: dict(zip(own.tolist(), y[own])) for v in designs}
     model, scale, z = {}, {}, {}
     for _ in range(max(1, rounds)):
-        for v, (present, dense, l1) in views.items():
+        for v, design in designs.items():
             at = np.array(sorted(train[v]), dtype=int)
-            model[v] = SparseLogit().fit([present[i] for i in at], dense[at],
-                                         np.array([train[v][i] for i in at.tolist()]), l1)
-            z[v] = model[v].logit(present, dense)
+            model[v], z[v] = SparseLogit.fit(design, at, np.array([train[v][i] for i in at.tolist()]), strength[v])
             scale[v] = calibrate(z[v][back][:, None], y[back])
         for v, other in (("text", "meta"), ("meta", "text")):
             p = _sigmoid(z[v] * scale[v][0] + scale[v][1])
@@ -218,7 +250,7 @@ def cotrain(rows: pd.DataFrame, rounds: int = ROUNDS) -> CoTrained:
                 given = best[(p[best] if label else 1 - p[best]) >= CONFIDENT]
                 train[other].update(dict.fromkeys(given.tolist(), label))
     combine = calibrate(np.column_stack([
-        z[v][back] * scale[v][0] + scale[v][1] for v in views]), y[back])
+        z[v][back] * scale[v][0] + scale[v][1] for v in designs]), y[back])
     return CoTrained(model["text"], model["meta"], combine, scale["text"], scale["meta"])
 
 
@@ -247,12 +279,14 @@ def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int
             "bad", F.lit(None).cast("double")))
     # about fit_rows + pool_rows ids by construction
     sample = F.broadcast(chosen)
-    texts = documents.join(sample, "doc_id")
+    texts = documents.select("doc_id", "text", "source", "lang", "n_chars").join(sample, "doc_id")
     rows = (texts.join(pages, "doc_id", "left").select(
         "doc_id", "text", "bad", metadata(*[F.col(c) for c in ("source", "lang", "n_chars", "host", "url")]).alias("meta"))
         .mapInPandas(_features, "doc_id long, bad double, meta array<string>, words array<long>, shape array<double>")
-        .toPandas())
-    return cotrain(rows.sort_values("doc_id", kind="stable").reset_index(drop=True), rounds)
+        .toArrow())
+    # an order of its own, whatever the partitions
+    rows = rows.take(pc.sort_indices(rows.select(["doc_id", "bad"]), [("doc_id", "ascending"), ("bad", "ascending")]))
+    return cotrain(rows, rounds)
 
 
 def text_logit(model: CoTrained):

@@ -51,7 +51,7 @@ def test_nulls_repeats_and_empty_tables(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, None, None), (None, 0, 0)],
                                    "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "doc_id long, host string, url string")
-    model = Q.fit(docs.drop("host"), labels, pages)
+    model = Q.fit(docs, labels, pages)
     got = Q.judge(docs, model, pages).collect()
     assert len(got) == 64 and all(r["quality_score"]["kept"] is not None for r in got)
     right = [r["quality_score"]["kept"] == (r["doc_id"] % 2 == 1) for r in got if r["text"]]
