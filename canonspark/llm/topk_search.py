@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from canonspark.llm.textops import written
 
 SHARD, QUERY_BLOCK, LEVELS = 8192, 256, 64
-LIMIT = 1 << 24  # largest |component| taken; products of two fit 64 bits
+LIMIT = 1 << 31  # largest |component| taken; beyond it a product of two may not fit 64 bits
+EXACT = 1 << 23  # components up to this are indexed; sums of their products fit 64 bits
 
 
 class ImpactIndex:
@@ -77,16 +78,29 @@ class ImpactIndex:
             yield i, rows, self.x[rows] @ q
 
 
+def _plain(x: np.ndarray, queries: np.ndarray, skip: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Every row scored; scores that do not fit 64 bits cannot be returned."""
+    for i, q in enumerate(queries):
+        score = x @ q
+        rows = np.flatnonzero(~skip[i] & (np.abs(score) < 1 << 63))
+        yield i, rows, score[rows]
+
+
 def _cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     asks = pdf["asks"].to_numpy(dtype=bool)
     base, asked = pdf[~asks], pdf[asks]
     out = []
     if len(base) and len(asked):
         ids, qids = base["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        index = ImpactIndex(np.stack(base["v"].to_numpy()).astype(np.int64))
+        x = np.stack(base["v"].to_numpy()).astype(np.int64)
         queries = np.stack(asked["v"].to_numpy()).astype(np.int64)
-        for i, rows, score in index.search(queries, k, qids[:, None] == ids[None, :]):
-            best = np.lexsort((ids[rows], -score))[:k]
+        skip = qids[:, None] == ids[None, :]
+        if max(np.abs(x).max(), np.abs(queries).max()) <= EXACT:
+            found = ImpactIndex(x).search(queries, k, skip)
+        else:  # a component too large for the bounds' arithmetic: Python integers
+            found = _plain(x.astype(object), queries.astype(object), skip)
+        for i, rows, score in found:
+            best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k]
             out += [(int(qids[i]), int(ids[rows[j]]), int(score[j])) for j in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -112,7 +126,7 @@ def _cells(k: int):
 def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """``(vec_id, v array<long>)``: floor(scale * x) of every component, x as
     double.  Vectors that are null, empty, or hold null or non-finite components
-    (or any whose scaled size passes 2**24) are left out, as are null ids."""
+    (or one whose scaled size passes 2**31) are left out, as are null ids."""
     x = F.transform("embedding", lambda e: e.cast("double") * scale)
     ok = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) <= LIMIT))
     return (embeddings.where("vec_id is not null and embedding is not null")

@@ -56,3 +56,10 @@ def test_left_out_vectors_and_empty_table(spark):
     got = T.top_k(v, v.where("vec_id = 0")).collect()
     assert [tuple(r) for r in got] == [(0, 1, 5, -512 - 256 * 1024)]
     assert T.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    vecs = [(i, [(-1) ** i * (2 ** 28 + 7 * i), i, 3]) for i in range(40)]
+    df = spark.createDataFrame(vecs, "vec_id long, v array<long>")
+    got = T.top_k(df, df.where("vec_id in (0, 7)"), 5).collect()
+    assert sorted(map(tuple, got)) == brute(vecs, [0, 7], 5)
