@@ -43,6 +43,18 @@ def test_confident_labels_pass_between_the_views():
     assert right(Q.cotrain(sample, 1)) < 0.7 and right(Q.cotrain(sample, 3)) > 0.9
 
 
+def test_metadata_logit_in_the_plan_equals_the_model(spark):
+    n = 300
+    sample = pa.table({"words": [[1]] * n, "shape": [[0.0] * Q.SHAPE] * n, "bad": [float(i % 2) for i in range(n)],
+                       "meta": [["a=1" if i % 2 else "b=1", "c=%d" % (i % 3)] for i in range(n)]})
+    m = Q.cotrain(sample)
+    cats = [["a=1", "c=0"], ["b=1"], [], ["new"]]
+    df = spark.createDataFrame([(c,) for c in cats], "c array<string>")
+    got = [r[0] for r in df.select(Q.meta_logit(m, F.col("c"))).collect()]
+    want = m.meta.logit([Q._names(c) for c in cats], np.zeros((4, 1))) * m.meta_scale[0] + m.meta_scale[1]
+    assert np.allclose(got, want)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(i, "good words here " * 3 if i % 2 else "BAD!! STUFF!! " * 4, None, "s", 9)

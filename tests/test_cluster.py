@@ -60,7 +60,7 @@ def test_fixture_cases(spark):
     assert _run(spark, 3, [(0, 1), (1, 2)], "first_fit") == {0: 0, 1: 0, 2: 0}
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.integers(min_value=2, max_value=12), st.integers(min_value=0, max_value=10_000))
 def test_random_graphs(spark, n, seed):
     rnd = random.Random(seed)
