@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.llm.gru import Model, Shape, pack, start, unpack
-from canonspark.llm.textops import space_words, written
+from canonspark.llm.textops import small_batches, space_words, written
 
 END = b" "            # the end mark; no word holds a space
 HEAD = 100_000        # words that travel to the tasks (about 3 MB)
-FRACTION, ROUNDS = 0.1, 2
+FRACTION, ROUNDS = 0.06, 2
 COUNT_LIMIT = 400_000  # distinct words a task counts before it gives them out
 
 
@@ -213,7 +213,7 @@ def score(documents: DataFrame, head: int = HEAD, fraction: float = FRACTION, ro
     Other columns are ignored.  Without training documents every token is unknown;
     an empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = docs.where(~held_out(F.col("doc_id")))
     counts = written(word_counts(training), "counts")
     vocab = vocabulary(counts, head, shape)

@@ -18,12 +18,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canonspark.session import ensure_checkpoint_dir
+
 
 def save_run(path: str, user_id: int, file_name: str, cleaning_mode: str,
              overall: DataFrame, summary: DataFrame) -> str:
     """Append one run; ``overall`` is the one-row ``acceptance_ratio`` frame."""
     if not all([user_id, file_name, cleaning_mode]):
         raise ValueError("a run needs a user, a file name and a cleaning mode")     # P9, before any write
+    ensure_checkpoint_dir(summary.sparkSession)
     summary = summary.checkpoint(eager=True)       # evaluated once for the check and the write
     if summary.isEmpty():
         raise ValueError("a run needs at least one summary row")
