@@ -18,8 +18,9 @@ Then, in Spark:
    bucket); survivors of the sketch are verified on full sets, and connected
    components are taken.
 4. Buckets that still hold several components are compared across components
-   in blocks of ``block`` members: a big bucket becomes many equal cells, and
-   a cell gives out only pairs that the sketch cannot rule out.  These are
+   in blocks of ``block`` members: a big bucket becomes many equal cells (its
+   largest component meets the others only, so one stray member costs a linear
+   pass), and a cell gives out only pairs that the sketch cannot rule out.  These are
    verified and the components taken again.  A pair inside one component
    needs no test, as only reachability is asked for.
 
@@ -34,15 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.llm.components import components
 from canonspark.llm.shingles import WordHashes, shingle_set
-from canonspark.llm.textops import checkpoint, space_words, written
+from canonspark.llm.textops import checkpoint, small_batches, space_words, written
 
 TABLES, ROWS, WORDS, THRESHOLD = 14, 2, 5, 80
-CELL = ["key", "lo", "hi"]
+CELL = ["key", "kind", "lo", "hi"]
 BROADCAST_IDS = 100_000  # largest id list (800 KB) that is broadcast; beyond it a shuffle join
 
 
@@ -240,7 +241,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = T
     are judged each by its own text.  Other columns are ignored; an empty table gives an
     empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.col("text").cast("string").alias("text"))
     prof = checkpoint(docs.mapInPandas(_profile(words, tables, rows), PROFILE_SCHEMA))
     linked = prof.where("n_shingles > 0 and doc_id is not null")
@@ -275,23 +276,41 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: int = T
     rep_comp = checkpoint(sketches.join(comp, "id", "left").withColumn(
         "comp", F.coalesce("component", "id")).drop("component"))
     members = keys.join(rep_comp.select("id", "comp"), "id")
-    open_buckets = members.groupBy("key").agg(
-        F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.pmod(F.xxhash64("id"), F.lit(2**40))).alias("sum1"),
+    by_comp = members.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("id"), F.lit(2**40))).alias("sum1"),
         F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2**40))).alias("sum2"))
+    open_buckets = by_comp.groupBy("key").agg(
+        F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum("sum1").alias("sum1"), F.sum("sum2").alias("sum2"),
+        F.max(F.struct("n", "comp")).alias("major"))
     # buckets of two were decided by their star; of buckets with the same members one is enough
-    open_buckets = (open_buckets.where("first != last and n > 2")
-                    .groupBy("n", "sum1", "sum2").agg(F.min("key").alias("key"))
-                    .withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    open_buckets = written(open_buckets.select("key", "blocks"), "open")
-    placed = (members.select("key", "id").join(open_buckets, "key")
-              .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", "id",
-                      F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                      (F.col("own") > F.col("other")).cast("int").alias("side"),
-                      (F.col("own") == F.col("other")).alias("same")))
-    cells = placed.join(rep_comp, "id").select("key", "lo", "hi", "id", "n_shingles", "sketch", "comp", "side", "same")
+    open_buckets = (open_buckets.where("comps > 1 and n > 2")
+                    .groupBy("n", "sum1", "sum2").agg(F.min(F.struct("key", "major")).alias("b"))
+                    .select("b.key", F.col("b.major.comp").alias("major"),
+                            F.ceil(F.col("b.major.n") / block).cast("int").alias("chunks"),
+                            F.ceil((F.col("n") - F.col("b.major.n")) / block).cast("int").alias("blocks")))
+    # (written, so that the join reads two plain shuffles)
+    open_buckets = written(open_buckets, "open")
+
+    # members of the largest component need no pairs among themselves: their chunks meet
+    # the blocks of the others only
+    def cell(kind: int, lo: Column, hi: Column, side: Column, same: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"),
+                        side.cast("int").alias("side"), same.alias("same"))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("comp") == F.col("major"), F.col("chunks")).otherwise(F.col("blocks")))
+    no = F.lit(False)
+    minor = F.concat(
+        F.transform(upto("blocks"), lambda o: cell(
+            0, F.least(F.col("own"), o), F.greatest(F.col("own"), o), F.col("own") > o, F.col("own") == o)),
+        F.transform(upto("chunks"), lambda c: cell(1, F.col("own"), c, F.lit(0), no)))
+    major = F.transform(upto("blocks"), lambda o: cell(1, o, F.col("own"), F.lit(1), no))
+    placed = (members.join(open_buckets, "key").withColumn("own", own.cast("int"))
+              .select("key", "id", F.explode(F.when(F.col("comp") == F.col("major"), major).otherwise(minor)).alias("cell"))
+              .select("key", "id", "cell.*"))
+    cells = placed.join(rep_comp, "id").select(*CELL, "id", "n_shingles", "sketch", "comp", "side", "same")
     cross = checkpoint(cells.repartition(*CELL).sortWithinPartitions(*CELL)
                        .mapInPandas(_cross_pairs(threshold), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"))
     more = checkpoint(verify(cross, docs, words, threshold))

@@ -20,7 +20,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen before; emptied when it holds
     ``limit`` words so that its memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
