@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canonspark.llm.textops import alnum_words, written
+from canonspark.llm.textops import alnum_words, small_batches, written
 
 WINDOW = 13
 PART = 100_000  # windows of one pass (about 10 MB of tables)
@@ -151,7 +151,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         items.mapInPandas(_windows_of(window), "item_id string, pattern binary")
         .groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("ids")), "windows")
     own = [c for c in documents.columns if c != result]
-    df = documents.select(*own).withColumn(result, F.expr(
+    df = small_batches(documents).select(*own).withColumn(result, F.expr(
         "named_struct('n_words', 0L, 'spans', cast(array() as array<long>), 'items', cast(array() as array<string>))"))
     n = patterns.count()
     parts = max(1, -(-n // part))

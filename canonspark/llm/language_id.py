@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canonspark.llm.textops import alnum_words
+from canonspark.llm.textops import alnum_words, small_batches
 from canonspark.llm.url_filters import host_of
 
 BUCKETS, EVIDENCE, STRENGTH = 1 << 14, 200, 5.0
@@ -112,7 +112,7 @@ def identify(documents: DataFrame, evidence: DataFrame, model: tuple[list[str],
     through, one named like ``result`` is replaced (``_l`` names are reserved);
     empty tables are allowed.
     """
-    own = documents.drop(result)
+    own = small_batches(documents).drop(result)
     langs, log_p = model or text_model(own)
     ll = F.pandas_udf(_likelihood(log_p, len(langs)), "array<double>")
     e = evidence.select(F.col("doc_id").alias("_lid"), F.col("host").alias("_lhost"),

@@ -15,6 +15,7 @@ pass over the texts; the metadata of pages is joined by id.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canonspark.llm.textops import alnum_words, encode
+from canonspark.llm.textops import alnum_words, encode, small_batches
 from canonspark.llm.url_filters import host_of
 
 FIT_ROWS, POOL_ROWS = 4000, 2000
@@ -66,7 +67,7 @@ class Weighted(dict):
     """word -> places of its features with a weight (mostly none), for words seen
     before; emptied at ``limit`` words so that its memory is bounded."""
 
-    def __init__(self, model: "SparseLogit", limit: int = 300_000):
+    def __init__(self, model: "SparseLogit", limit: int = 100_000):
         super().__init__()
         self.place = {int(x): i for i, x in enumerate(model.names)}
         self.limit = limit
@@ -198,6 +199,7 @@ def page_metadata(pages: DataFrame, doc_id: Column) -> DataFrame:
 class CoTrained:
     text: SparseLogit
     meta: SparseLogit
+    meta_weights: dict[str, float]
     combine: np.ndarray
     text_scale: np.ndarray
     meta_scale: np.ndarray
@@ -225,8 +227,9 @@ def cotrain(sample: pa.Table, rounds: int = ROUNDS) -> CoTrained:
     unlabelled), in a fixed order."""
     offsets, words = _lists(sample["words"])
     shape = np.asarray(_lists(sample["shape"])[1], dtype=float).reshape(-1, SHAPE)
-    m_offsets, cats = _lists(sample["meta"])
-    cats = _names(cats.to_pylist())
+    m_offsets, categories = _lists(sample["meta"])
+    categories = categories.to_pylist()
+    cats = _names(categories)
     designs = {"text": Design(offsets, np.asarray(words, dtype=np.int64), shape),
                "meta": Design(m_offsets, cats, np.zeros((len(sample), 1)))}
     strength = {"text": 2e-4, "meta": 1e-3}
@@ -251,7 +254,9 @@ def cotrain(sample: pa.Table, rounds: int = ROUNDS) -> CoTrained:
                 train[other].update(dict.fromkeys(given.tolist(), label))
     combine = calibrate(np.column_stack([
         z[v][back] * scale[v][0] + scale[v][1] for v in designs]), y[back])
-    return CoTrained(model["text"], model["meta"], combine, scale["text"], scale["meta"])
+    weight = dict(zip(model["meta"].names.tolist(), model["meta"].weights.tolist()))
+    meta_weights = {c: weight[n] for c, n in zip(categories, cats.tolist()) if n in weight}
+    return CoTrained(model["text"], model["meta"], meta_weights, combine, scale["text"], scale["meta"])
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int
         part = rows / max(1, df.count())
         return df.where(F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(2**32)) < int(2**32 * min(1.0, part)))
 
-    ids = documents.select("doc_id").where("doc_id is not null")
+    ids = small_batches(documents).select("doc_id").where("doc_id is not null")
     chosen = share(marked, fit_rows, "fit").unionByName(
         share(ids, pool_rows, "pool").distinct().join(marked, "doc_id", "left_anti").withColumn(
             "bad", F.lit(None).cast("double")))
@@ -305,13 +310,14 @@ def text_logit(model: CoTrained):
     return run
 
 
-def meta_logit(model: CoTrained):
-    m, a = model.meta, model.meta_scale
-
-    def run(cats: pd.Series) -> pd.Series:
-        return pd.Series(m.logit([_names(c) for c in cats], np.zeros((len(cats), 1))) * a[0] + a[1], dtype=float)
-
-    return F.pandas_udf(run, "double")
+def meta_logit(model: CoTrained, categories: Column) -> Column:
+    """The metadata view's logit; its weights are those of the sample's categories."""
+    weights = F.from_json(F.lit(json.dumps(model.meta_weights)), "map<string,double>")
+    a, m = model.meta_scale, model.meta
+    flat = float(m.bias - m.mean[0] / m.scale[0] * m.dense[0])
+    total = F.aggregate(F.array_distinct(categories), F.lit(flat),
+                        lambda acc, c: acc + F.coalesce(F.element_at(weights, c), F.lit(0.0)))
+    return total * float(a[0]) + float(a[1])
 
 
 def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: bool = True,
@@ -328,13 +334,14 @@ def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: b
     without ``keep_text`` the text is dropped before the metadata is joined, so
     that texts are not shuffled.  An empty table gives an empty result.
     """
-    own = documents.drop(result)
+    own = small_batches(documents).drop(result)
     rows = own.withColumn("_qt", text_logit(model)("text"))
     if not keep_text:
         rows = rows.drop("text")
     side = pages.select(F.col("doc_id").alias("_qid"), F.col("host").alias("_qhost"), F.col("url").alias("_qurl"))
-    rows = rows.join(side, F.col("doc_id") == F.col("_qid"), "left")
-    rows = rows.withColumn("_qm", meta_logit(model)(metadata(
+    # hashed on the small side, so that rows with whole texts are not sorted
+    rows = rows.join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("_qid"), "left")
+    rows = rows.withColumn("_qm", meta_logit(model, metadata(
         *[F.col(c) for c in ("source", "lang", "n_chars", "_qhost", "_qurl")])))
     c = [float(x) for x in model.combine]
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from canonspark.llm.anchors import window_anchors
 from canonspark.llm.suffixes import repeated_offsets
-from canonspark.llm.textops import encode, written
+from canonspark.llm.textops import encode, small_batches, written
 
 WINDOW, GRAM = 400, 32
 BUCKET_ROWS = 20_000  # suffixes a bucket is meant to hold (about 12 MB)
@@ -161,7 +161,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     """Byte spans ``(k1, k2, spans array<struct<lo, hi>>)`` of the rows of
     ``documents(k1, k2, text)``, where (k1, k2) tells texts apart; spans of a row
     may overlap.  Rows without a repeated string are not in the result."""
-    anchors = documents.mapInPandas(_anchors(window, gram), ANCHOR_SCHEMA)
+    anchors = small_batches(documents).mapInPandas(_anchors(window, gram), ANCHOR_SCHEMA)
     # written, so that both sides of the join are plain shuffles and a hot gram can be split
     often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "grams")
     found = written(anchors.join(often, "gram"), "anchors")

@@ -8,7 +8,6 @@ the same words as working on characters.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,8 @@ from canonspark.session import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+TEXT_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,12 +58,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def seed_bytes(*parts) -> bytes:
-    return os.fsencode("|".join(map(str, parts)))
+def small_batches(df: DataFrame) -> DataFrame:
+    """Rows with whole texts go to Python in batches of ``TEXT_ROWS``, unless the
+    session has a setting of its own: the default of 10,000 is meant for short rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
