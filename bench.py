@@ -12,6 +12,7 @@ Two queries grow with the number of distinct values instead of the rows of a
 table of few names: all English words of the documents as one group
 (``fuzzy_pairs_words``, ``leader_clusters_words``), run once, on the dictionary of
 ``BENCH_WORDS_DIR`` (default sf0.01: 33,690 words, 567 million possible pairs).
+They are listed but not part of ``value``.
 ``joined`` is the number of pairs that the prefix filters let through to scoring.
 """
 
@@ -121,7 +122,7 @@ def main() -> None:
     shuffled = _shuffle_bytes(log_dir)
     shuffle = {name: shuffled.get(f"{name}#0", 0) for name in names}
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_total_wall", "value": round(sum(times.values()), 3),
+    print(json.dumps({"metric": "headline_total_wall", "value": round(sum(times[n] for n in names), 3),
                       "unit": "sec", "queries": times, "shuffle_bytes": shuffle, "joined": {"fuzzy_pairs_words": joined},
                       "sf": float(m.group(1)) if m else None, "cpus": cpus, "repeat": repeat,
                       "stat": "median"}))
