@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from canonspark.llm.textops import SPACE_WORD, written
 
 WEIGHTS, MAX_COPIES, GROUP = (5, 2, 1), 3, 128
+SPACES = " \t\n\x0b\f\r"
 EPS = 1e-12  # fractions this near to 0 or 1 are whole (rounding of doubles)
 
 
@@ -146,7 +147,10 @@ def pivotal_rounding(units: DataFrame, seed: int = 0, group: int = GROUP) -> Dat
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE_WORD)).cast("long")
+    """Number of space words.  Every word becomes one letter, then the letters are
+    counted: no string is made for a word."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_WORD, "w")
+    return F.length(F.translate(letters, SPACES, "")).cast("long")
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES,
@@ -183,9 +187,13 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int
         F.col("u1").alias("_m1"), F.col("u2").alias("_m2"), F.col("source_size").alias("_msize"),
         F.col("target").alias("_mtarget"), F.col("whole").alias("_mwhole"),
         (F.col("base") + F.coalesce("take", F.lit(0))).alias("_mextra"))
-    turn = F.row_number().over(Window.partitionBy("_m1", "_m2").orderBy(F.xxhash64(*own.columns)))
+    # the turn among rows that agree; mostly there are none, and no row need be sorted
+    turn = F.lit(1)
+    if not units.where("rows > 1").isEmpty():
+        turn = F.row_number().over(Window.partitionBy("_m1", "_m2").orderBy(F.xxhash64(*own.columns)))
     copies = (F.col("_mwhole") + (F.col("_mturn") <= F.col("_mextra")).cast("long")).cast("long")
-    return (keyed.join(decided, ["_m1", "_m2"]).withColumn("_mturn", turn)
+    # hashed on the decisions' side, so that rows with whole texts are not sorted
+    return (keyed.join(decided.hint("shuffle_hash"), ["_m1", "_m2"]).withColumn("_mturn", turn)
             .withColumn(result, F.struct(
                 F.col("_msize").alias("source_size"), F.col("_mtarget").alias("target"), copies.alias("copies"),
                 (copies * F.coalesce("size", F.lit(0)).cast("long")).alias("taken")))
