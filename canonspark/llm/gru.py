@@ -21,11 +21,11 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    short: int = 1024      # words with an output of their own
-    per_class: int = 32
+    short: int = 512       # words with an output of their own
+    per_class: int = 16
     others: int = 9        # classes known by their number only
-    embed: int = 16
-    hidden: int = 24
+    embed: int = 12
+    hidden: int = 16
 
     @property
     def short_classes(self) -> int:

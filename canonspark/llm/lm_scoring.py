@@ -146,7 +146,7 @@ def _trainer(vocab, weights, shape: Shape, batch_words: int = 400_000):
 
 def train(training: DataFrame, vocab: Vocabulary, fraction: float = FRACTION, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` rounds of averaging; the driver holds one weight
-    vector (about 50,000 numbers) at a time."""
+    vector (about 17,000 numbers) at a time."""
     spark, shape = training.sparkSession, vocab.shape
     flat = pack(start(shape, vocab.word_log_p, vocab.class_log_p))
     chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(10_000)) < int(10_000 * fraction))
