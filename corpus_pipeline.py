@@ -9,7 +9,6 @@ written as Parquet and read again, so a stage's lineage ends at its input.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +39,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return known.unionByName(left.where("doc_id is null"))
 
 
-def _decoded(kept: pd.Series) -> pd.Series:
-    # a cut may split a character: its other bytes go too
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts; a document of which nothing is left goes."""
+    """Repeated passages leave the texts; a document of which nothing is left goes.  A
+    cut may split a character: what is left of it goes too (in texts that are cut,
+    replacement characters go with it)."""
     r = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    decoded = F.pandas_udf(_decoded, "string")
-    text = F.when(F.col("repeats.n_removed") > 0, decoded("repeats.kept")).otherwise(F.col("text"))
+    valid = F.make_valid_utf8(F.col("repeats.kept").cast("string"))
+    text = F.when(F.col("repeats.n_removed") > 0, F.replace(valid, F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
     length = F.when(F.col("repeats.n_removed") > 0, F.char_length("cut")).otherwise(F.col("n_chars"))
     return (r.withColumn("cut", text).where("repeats.n_removed = 0 or cut != ''")
             .select("doc_id", F.col("cut").alias("text"), "lang", "source", length.cast("long").alias("n_chars")))
