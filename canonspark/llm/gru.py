@@ -21,11 +21,11 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    short: int = 512       # words with an output of their own
-    per_class: int = 16
+    short: int = 1024      # words with an output of their own
+    per_class: int = 32
     others: int = 9        # classes known by their number only
-    embed: int = 12
-    hidden: int = 16
+    embed: int = 16
+    hidden: int = 24
 
     @property
     def short_classes(self) -> int:
@@ -212,8 +212,9 @@ class Model:
             states, h_end, saved = self._steps(b, h[:live], True)
             grads = self._back(b, w, states, saved)
             h = h_end
+            weight = np.float32(np.sqrt((w >= 0).sum() / (steps * word.shape[1])))
             for k, g in grads.items():
-                g = np.clip(g, -1, 1)
+                g = np.clip(g * weight, -1, 1)
                 m = memory.setdefault(k, np.full(g.shape, 1e-2, dtype=np.float32))
                 m += g * g
                 self.p[k] -= (rate * g / np.sqrt(m)).astype(np.float32)

@@ -5,9 +5,9 @@
 2. *Head.*  The most frequent words, at most ``head`` of them, travel to the
    tasks; the first ``short`` are the network's short list, the others lie in
    classes of about equal mass.  All words beyond the head are one class.
-3. *Training.*  The network (see ``gru``) learns from the documents whose hash
-   falls into ``fraction`` of the training documents, on every partition from the
-   same weights; the weights are averaged by words learned, for ``rounds`` rounds.
+3. *Training.*  The network (see ``gru``) learns from all training documents, on
+   every partition from the same weights; the weights are averaged by words
+   learned, for ``rounds`` rounds.
 4. *Scoring.*  One pass over the texts, every document whole, with its state
    carried across windows.  A word is charged its class and, inside the class,
    its output (short list) or its share of the counts.  Words beyond the head are
@@ -36,7 +36,7 @@ from canonspark.llm.textops import small_batches, space_words, written
 
 END = b" "            # the end mark; no word holds a space
 HEAD = 100_000        # words that travel to the tasks (about 3 MB)
-FRACTION, ROUNDS = 0.06, 2
+ROUNDS = 2            # each over all training documents
 COUNT_LIMIT = 400_000  # distinct words a task counts before it gives them out
 
 
@@ -144,16 +144,15 @@ def _trainer(vocab, weights, shape: Shape, batch_words: int = 400_000):
     return run
 
 
-def train(training: DataFrame, vocab: Vocabulary, fraction: float = FRACTION, rounds: int = ROUNDS) -> np.ndarray:
+def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` rounds of averaging; the driver holds one weight
-    vector (about 17,000 numbers) at a time."""
+    vector (about 50,000 numbers) at a time."""
     spark, shape = training.sparkSession, vocab.shape
     flat = pack(start(shape, vocab.word_log_p, vocab.class_log_p))
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(10_000)) < int(10_000 * fraction))
     shared = spark.sparkContext.broadcast(vocab)
     for _ in range(rounds):
         weights = spark.sparkContext.broadcast(flat)
-        rows = (chosen.select("text").mapInPandas(_trainer(shared, weights, shape), "i long, w double, n double")
+        rows = (training.select("text").mapInPandas(_trainer(shared, weights, shape), "i long, w double, n double")
                 .groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas())
         if len(rows):
             flat = np.zeros(len(flat))
@@ -200,8 +199,7 @@ def _scorer(vocab, weights, shape: Shape, batch_words: int = 500_000):
     return run
 
 
-def score(documents: DataFrame, head: int = HEAD, fraction: float = FRACTION, rounds: int = ROUNDS,
-          shape: Shape = Shape()) -> DataFrame:
+def score(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS, shape: Shape = Shape()) -> DataFrame:
     """``documents(doc_id, text, ...)`` -> one row per input row: ``doc_id``,
     ``held_out``, ``n_tokens`` (words and one end mark), ``n_known`` (tokens that the
     training documents hold), ``train_tokens``, ``base_score`` (log10 of add-one
@@ -217,7 +215,7 @@ def score(documents: DataFrame, head: int = HEAD, fraction: float = FRACTION, ro
     training = docs.where(~held_out(F.col("doc_id")))
     counts = written(word_counts(training), "counts")
     vocab = vocabulary(counts, head, shape)
-    flat = train(training, vocab, fraction, rounds)
+    flat = train(training, vocab, rounds)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
                        held_out(F.col("doc_id")).alias("held_out"), "text")

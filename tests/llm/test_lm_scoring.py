@@ -42,6 +42,15 @@ def test_beats_the_base_on_held_out_documents(spark):
     assert r[0] > r[1]
 
 
+def test_every_training_document_is_learned_from(spark):
+    """A table of one document moves the weights, whatever its id."""
+    v = M.Vocabulary([(b"w%d" % i, 30 - i) for i in range(14)] + [(M.END, 9)], 400, 20, SMALL)
+    first = gru.pack(gru.start(SMALL, v.word_log_p, v.class_log_p))
+    for doc_id in (1, 2, 3, 4, 5, None):
+        one = spark.createDataFrame([(doc_id, "w1 w2 w3 w1 w2 zz")], "doc_id long, text string").coalesce(1)
+        assert not np.array_equal(M.train(one, v), first), doc_id
+
+
 def test_model_is_a_distribution():
     """The probabilities of all words and one unknown word sum to one, after any text."""
     words = [(b"w%d" % i, 40 - i) for i in range(20)] + [(M.END, 9)]
