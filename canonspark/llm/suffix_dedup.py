@@ -16,12 +16,18 @@ starts anywhere else, found by range-partitioned suffix sorting.
    windows are aggregated by hash, pre-aggregated before the shuffle.
 5. The repeated stretches of a text are joined back to it and removed.
 
+Passages of ``words`` words, however short in bytes, are found the same way in
+texts where every word is a code of ``CODE`` bytes; only windows that start at a
+word count there.
+
 The sieve and the identical contexts rest on 128 bits of hash; the sorted
 suffixes are compared byte by byte, the bytes before them by 64-bit hash.
 """
 
 from __future__ import annotations
 
+import base64
+import re
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -39,6 +45,10 @@ from canonspark.llm.textops import encode, small_batches, written
 WINDOW, GRAM = 400, 32
 BUCKET_ROWS = 20_000  # suffixes a bucket is meant to hold (about 12 MB)
 SAMPLES = 32          # sampled keys for each splitter
+CODE, CODE_GRAM = 8, 96  # bytes of a word's code (48 bits of hash); gram in texts of codes
+CODES = 200_000       # words whose code a task remembers
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 KEY = ["k1", "k2"]
 ANCHOR_SCHEMA = "k1 long, k2 long, at int, lo int, hi int, gram long, ctx long"
@@ -193,13 +203,44 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
         F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _removed(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+class _Codes(dict):
+    """word -> its code; emptied at ``CODES`` words so that its memory is bounded."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) >= CODES:
+            self.clear()
+        self[word] = code = base64.b64encode(xxhash.xxh3_64_digest(word)[:6]).decode()
+        return code
+
+
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    codes = _Codes()
+    for pdf in batches:
+        yield pdf.assign(text=["".join(map(codes.__getitem__, encode(t).split())) for t in pdf["text"]])
+
+
+def _passages(b: bytes, spans, words: int) -> list[tuple[int, int]]:
+    """Bytes of the passages that spans of codes stand for; a span holds a repeated
+    window at every place, those at a word's start count."""
+    at = [m.span() for m in _WORD.finditer(b)]
     out = []
-    for text, span in zip(texts, spans):
-        b = encode(text)
-        kept, end, removed, n = [], 0, 0, 0
-        if span is not None:
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in span):
+    for s in spans:
+        first, last = -(-s["lo"] // CODE), s["hi"] // CODE - words
+        if first <= last:
+            out.append((at[first][0], at[last + words - 1][1]))
+    return out
+
+
+def _removed(words: int | None):
+    def run(texts: pd.Series, spans: pd.Series, coded: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, span, code in zip(texts, spans, coded):
+            b = encode(text)
+            kept, end, removed, n = [], 0, 0, 0
+            gone = [(s["lo"], s["hi"]) for s in span] if span is not None else []
+            if code is not None:
+                gone += _passages(b, code, words)
+            for lo, hi in sorted(gone):
                 if lo > end or n == 0:
                     kept.append(b[end:lo])
                     removed += hi - lo
@@ -207,21 +248,25 @@ def _removed(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
                 elif hi > end:
                     removed += hi - end
                 end = max(end, hi)
-        kept.append(b[end:])
-        out.append((len(b), removed, n, b"".join(kept)))
-    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            kept.append(b[end:])
+            out.append((len(b), removed, n, b"".join(kept)))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                   bucket_rows: int = BUCKET_ROWS, result: str = "repeats") -> DataFrame:
+                   bucket_rows: int = BUCKET_ROWS, result: str = "repeats", words: int | None = None) -> DataFrame:
     """The rows of ``documents(doc_id, text, ...)`` with a struct ``result``:
     ``n_bytes`` (UTF-8 bytes of the text), ``n_removed``, ``n_spans`` (maximal
     removed runs) and ``kept`` (the other bytes, concatenated).
 
     A byte is removed if a string of ``window`` bytes that covers it also starts
     anywhere else, in the same row or another; overlaps count, and strings are
-    judged on the input.  A null text is empty; texts shorter than ``window``
-    lose nothing; a row that is repeated as a whole is a second occurrence.
+    judged on the input.  With ``words``, so is a byte of a passage of that many
+    consecutive space words (A-Z as written, whatever separates them) that also
+    starts anywhere else.  A null text is empty; texts shorter than ``window``
+    and ``words`` lose nothing; a row that is repeated as a whole is a second occurrence.
     Null and repeated doc_ids are allowed (rows are told apart by id and text;
     equal rows have equal results).  Other columns pass through, one named like
     ``result`` is replaced (names beginning with ``_r`` are reserved).  An empty
@@ -230,8 +275,14 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     own = documents.drop(result)
     row_key = {"_rk1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_rk2": F.xxhash64("doc_id", "text")}
     docs = own.withColumns(row_key)
-    spans = repeated_spans(docs.select(F.col("_rk1").alias("k1"), F.col("_rk2").alias("k2"), "text"),
-                           window, gram, bucket_rows).toDF("_rk1", "_rk2", "_rspans")
-    cut = F.pandas_udf(_removed, "n_bytes long, n_removed long, n_spans long, kept binary")
-    return (docs.join(spans, ["_rk1", "_rk2"], "left").withColumn(result, cut("text", "_rspans"))
+    texts = docs.select(F.col("_rk1").alias("k1"), F.col("_rk2").alias("k2"), "text")
+    spans = repeated_spans(texts, window, gram, bucket_rows).toDF("_rk1", "_rk2", "_rspans")
+    if words is None:
+        spans = spans.withColumn("_rcoded", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    else:
+        codes = small_batches(texts).mapInPandas(_coded, "k1 long, k2 long, text string")
+        coded = repeated_spans(codes, words * CODE, CODE_GRAM, bucket_rows).toDF("_rk1", "_rk2", "_rcoded")
+        spans = spans.join(coded, ["_rk1", "_rk2"], "full")
+    cut = F.pandas_udf(_removed(words), "n_bytes long, n_removed long, n_spans long, kept binary")
+    return (docs.join(spans, ["_rk1", "_rk2"], "left").withColumn(result, cut("text", "_rspans", "_rcoded"))
             .select(*own.columns, result))

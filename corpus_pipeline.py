@@ -17,6 +17,7 @@ from canonspark.llm.queries import page_doc_id
 from canonspark.llm.textops import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PASSAGE = 51  # words; a passage of over 50 words that repeats leaves, whatever its bytes
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts; a document of which nothing is left goes.  A
+    """Repeated passages (``PASSAGE`` words, or op10's 400 bytes) leave the texts; a document of which nothing is left goes.  A
     cut may split a character: what is left of it goes too (in texts that are cut,
     replacement characters go with it)."""
-    r = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    r = suffix_dedup.remove_repeats(docs.select(*COLUMNS), words=PASSAGE)
     valid = F.make_valid_utf8(F.col("repeats.kept").cast("string"))
     text = F.when(F.col("repeats.n_removed") > 0, F.replace(valid, F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
     length = F.when(F.col("repeats.n_removed") > 0, F.char_length("cut")).otherwise(F.col("n_chars"))

@@ -86,6 +86,24 @@ def test_repeated_passages_leave(stages):
             assert got["n_chars"] == len(got["text"])
 
 
+def test_short_passages_of_over_50_words_leave(spark):
+    """Passages of 51 to 65 short words, under 400 bytes, in two documents each."""
+    own = iter(range(10 ** 6))
+    rows, want = [], {}
+    for n in (50, 51, 52, 60, 65):
+        passage = " ".join(f"p{next(own)}" for _ in range(n))
+        assert len(passage) < 400
+        for gap, copy in ((" ", passage), ("\n", passage.replace(" ", "  "))):
+            head, tail = (" ".join(f"w{next(own)}é" for _ in range(30)) for _ in range(2))
+            text = head + gap + copy + gap + tail
+            want[len(rows)] = head + gap + gap + tail if n > 50 else text
+            rows.append((len(rows), text, "en", "s", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in P.suffix_dedup_stage(spark, docs.repartition(3), SF).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_contaminated_documents_go(spark, stages):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {r["doc_id"] for r in stages[3] if not test_decontaminate.brute(r["text"], items, 13)[3]}

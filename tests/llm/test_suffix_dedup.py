@@ -74,3 +74,24 @@ def test_null_and_repeated_ids(spark):
     assert got[(5, "zz" + text[30:])]["n_removed"] == len(text) - 28
     assert got[(None, text)]["n_removed"] == len(text)
     assert got[(5, text[:50])]["n_removed"] == 50
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 5])
+def test_passages_equal_counting_every_run_of_words(spark, bucket_rows):
+    """Bytes of 16-word runs that start anywhere else leave; the byte window is out of reach."""
+    texts = corpus(4, 60)
+    pairs = [[(m.group(), *m.span()) for m in S._WORD.finditer((t or "").encode())] for t in texts]
+    runs = [[tuple(w for w, _, _ in p[i:i + 16]) for i in range(len(p) - 15)] for p in pairs]
+    seen = Counter(r for x in runs for r in x)
+    want = []
+    for t, p, x in zip(texts, pairs, runs):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i, r in enumerate(x):
+            if seen[r] > 1:
+                gone[p[i][1]:p[i + 15][2]] = b"\1" * (p[i + 15][2] - p[i][1])
+        want.append((sum(gone), bytes(c for c, g in zip(b, gone) if not g)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(S.remove_repeats(df, 100_000, 32, bucket_rows, words=16).collect(), key=lambda r: r["doc_id"])
+    assert [(r["repeats"]["n_removed"], bytes(r["repeats"]["kept"])) for r in got] == want
+    assert sum(n > 0 for n, _ in want) > 5
