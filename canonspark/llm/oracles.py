@@ -126,10 +126,58 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_base, 0) as b
 from d left join a on a.doc_id = d.doc_id
 """
 
+def _op13(levels: int = 7) -> str:
+    """Levels are spelled out (8**7 rows a tree); a tree that has ended keeps its node."""
+    def h(text: str) -> str:
+        fields = ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)
+        return "sha256(concat(" + ", ".join(
+            f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+    crc = ("xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), "
+           "lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x) "
+           "else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)")
+    low = f"translate(text, '{_UP}', '{_LOW}')"
+    parts = [f"""l as (select doc_id, lang, {h('text')} leaf, {h(f"case when {crc} % 3 = 0 then {low} else text end")} claim
+ from documents),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos from l),
+t0 as (select coalesce('1' || lang, '0') tree, pos, leaf hash from p)"""]
+    chains = []
+    for name, first in (("t", "t0"), ("u", "u0")):
+        if name == "u":
+            parts.append(f"u0 as (select '' tree, row_number() over (order by tree) - 1 pos, hash from t{levels})")
+        for k in range(levels):
+            a, b = f"{name}{k}", f"{name}{k + 1}"
+            parts.append(f"""{a}n as (select tree, count(*) n from {a} group by 1),
+{a}k as (select tree, pos // 8 up, list(hash order by pos) kids from {a} group by 1, 2),
+{b} as (select {a}k.tree, up pos, case when n = 1 then kids[1] else sha256(array_to_string(kids, '')) end hash
+        from {a}k join {a}n on {a}n.tree = {a}k.tree)""")
+            chains.append((name, k))
+    parts.append(f"c0 as (select doc_id, leaf, claim fold, '' proof, coalesce('1' || lang, '0') tree, pos from p)")
+    for i, (name, k) in enumerate(chains):
+        a = f"{name}{k}"
+        if (name, k) == ("u", 0):  # to the place of the subroot
+            parts.append(f"""c{i}s as (select c{i}.* exclude (tree, pos), '' tree, r.pos pos, s.hash subroot
+ from c{i} join t{levels} s on s.tree = c{i}.tree
+ join (select row_number() over (order by tree) - 1 pos, tree from t{levels}) r on r.tree = c{i}.tree)""")
+        src = f"c{i}s" if (name, k) == ("u", 0) else f"c{i}"
+        extra = ", subroot" if name == "u" else ""
+        parts.append(f"""c{i + 1} as (select doc_id, leaf, case when n = 1 then fold else
+  sha256(concat(array_to_string(kids[1:x.pos % 8], ''), fold, array_to_string(kids[x.pos % 8 + 2:], ''))) end fold,
+  case when n = 1 then proof else concat(proof, array_to_string(kids[1:x.pos % 8], ''),
+    array_to_string(kids[x.pos % 8 + 2:], '')) end proof, x.tree, x.pos // 8 pos{extra}
+ from {src} x join {a}k on {a}k.tree = x.tree and {a}k.up = x.pos // 8 join {a}n on {a}n.tree = x.tree)""")
+    return "with " + ",\n".join(parts) + f"""
+select doc_id, leaf, subroot, r.hash root, sha256(proof) proof_sha256, fold folded_root, fold = r.hash verified
+from c{len(chains)} c join u{levels} r on r.tree = c.tree"""
+
+
+OP13 = _op13()
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
     "op4_url_filters": OP4,
     "op5_topk": OP5,
     "op7_decontaminate": OP7,
     "op8_licenses": OP8,
+    "op13_merkle": OP13,
 }

@@ -9,9 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm import decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, quality, suffix_dedup, topk_search, url_filters
+from canonspark.llm import (
+    decontaminate, language_id, licenses, lm_scoring, merkle, mixing, near_dedup, quality, suffix_dedup, topk_search, url_filters,
+)
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
-from canonspark.llm.textops import read_table, written
+from canonspark.llm.textops import ascii_lower, read_table, written
 
 
 def page_doc_id(url: Column) -> Column:
@@ -110,6 +112,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows is checked with a text whose A-Z were lower-cased."""
+    docs = read_table(spark, sf_dir, "documents")
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    text = F.when(changed, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    claim = merkle.row_hash([text if f == "text" else F.col(f) for f in merkle.FIELDS])
+    return merkle.verify(merkle.build(docs, claim=claim)).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root",
+        "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -121,4 +134,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_merkle": op13_merkle,
 }
