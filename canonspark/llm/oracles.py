@@ -173,11 +173,45 @@ from c{len(chains)} c join u{levels} r on r.tree = c.tree"""
 
 OP13 = _op13()
 
+OP11 = f"""
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+             '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') ws from p),
+t as (select lang, cast(sum(len(ws)) as bigint) n from w group by 1),
+f as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase, count(*) f
+      from w, (values (1), (2), (3), (4)) ks(k), unnest(range(1, len(ws) - k + 2)) u(i) where len(ws) >= k
+      group by 1, 2, 3 having count(*) >= 30),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') ws from f where k > 1),
+s as (select c.lang, c.phrase, c.a, j, l.f l, r.f r, cast(2000000 * cast(c.a as hugeint) // (l.f + r.f) as bigint) score
+      from c, unnest(range(1, c.k)) u(j)
+      join f l on l.lang = c.lang and l.phrase = array_to_string(ws[1:j], ' ')
+      join f r on r.lang = c.lang and r.phrase = array_to_string(ws[j + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+i as (select lang, array_to_string(ws[x:x + m - 1], ' ') phrase, max(a) longer
+      from c, unnest(range(2, k)) u(m), unnest(range(1, k - m + 2)) v(x) where k > 2 group by 1, 2)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) "rank",
+       b.phrase, a, l, r, n, score
+from b join t on t.lang = b.lang left join i on i.lang = b.lang and i.phrase = b.phrase
+where longer is null or 100 * longer < 80 * a
+qualify row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) <= 2000
+"""
+
+OP12 = """
+with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+o as (select payload_digest, max(page_id) original from p where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, p.payload_digest,
+       case when original <> page_id then 'revisit' else 'response' end record_type,
+       case when original <> page_id then original end refers_to
+from p left join o on o.payload_digest = p.payload_digest
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
     "op4_url_filters": OP4,
     "op5_topk": OP5,
     "op7_decontaminate": OP7,
     "op8_licenses": OP8,
+    "op11_phrases": OP11,
+    "op12_warc": OP12,
     "op13_merkle": OP13,
 }

@@ -4,16 +4,19 @@ result; the operators keep their own general interfaces."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonspark.llm import (
-    decontaminate, language_id, licenses, lm_scoring, merkle, mixing, near_dedup, quality, suffix_dedup, topk_search, url_filters,
+    decontaminate, language_id, licenses, lm_scoring, merkle, mixing, near_dedup, phrases, quality, suffix_dedup, topk_search, url_filters,
+    warc,
 )
 from canonspark.llm.oracles import ORACLES as ORACLES  # noqa: PLC0414
 from canonspark.llm.textops import ascii_lower, read_table, written
+from canonspark.session import ensure_checkpoint_dir
 
 
 def page_doc_id(url: Column) -> Column:
@@ -112,6 +115,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an archive, deduplicated, and what the new archive holds."""
+    base = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(read_table(spark, sf_dir, "pages"), f"{base}/captured")
+    warc.deduplicate(spark, f"{base}/captured", f"{base}/deduplicated")
+    # written first, so that the archive is read once
+    heads = written(warc.headers(warc.records(spark, f"{base}/deduplicated"), verify=True), "headers")
+    return warc.resolved(heads)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the rows is checked with a text whose A-Z were lower-cased."""
     docs = read_table(spark, sf_dir, "documents")
@@ -134,5 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_warc": op12_warc,
     "op13_merkle": op13_merkle,
 }

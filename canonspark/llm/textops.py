@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ _ALNUM_TABLE = bytes(
     for c in range(256)
 )
 
+_LOWER_BYTE = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+SPACE_WORD_BYTES = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +52,21 @@ def alnum_words(text) -> list[bytes]:
     return encode(text).translate(_ALNUM_TABLE).split()
 
 
+def coded_words(data: bytes, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of a block of text as arrays: the code of every word, the byte at which it
+    starts, and the lower-cased (A-Z) words of the codes.  ``word_bytes`` says for every byte
+    whether words hold it."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = word_bytes[raw]
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.binary(), len(starts),
+                                 [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER_BYTE[raw[inside]])])
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts, coded.dictionary
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only, inside the JVM."""
     return F.translate(c, UPPER, LOWER)
