@@ -1,8 +1,9 @@
 """Fuzzy string scorers (0-100), selectable by name.
 
-The kernels are small per-pair helpers; they only ever run inside Arrow
-batches (``pandas_udf``) on candidate pairs that JVM-side blocking
-(length band, shared tokens, ``levenshtein`` bound) has already pruned.
+Two kernels run in Arrow batches on candidate pairs, a whole batch at a time
+(``functions.batch``): the common subsequence and the best window.  Everything
+else of a score (words, sets, weights) is a JVM expression: ``score_column``.
+The per-pair functions below state the definitions; ``SCORERS`` lists them.
 
 Definitions follow the public documentation of the common fuzzy-matching
 scorers: ``ratio`` is the normalised Indel similarity
@@ -16,9 +17,13 @@ from __future__ import annotations
 from typing import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canonspark.functions import batch
+from canonspark.functions.text import words
+
 
 # ---------------------------------------------------------------- kernels
 
@@ -192,19 +197,29 @@ def check_scorer(name: str) -> Callable[[str, str], float]:
 
 # ------------------------------------------------------------ Spark glue
 
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_len(x, y) for x, y in zip(a, b)], dtype="int32")
+def _on_known(kernel, empty):
+    """The kernel over the rows where both texts are known."""
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = pd.Series([None] * len(a), dtype=empty)
+        if known.any():
+            out[known] = kernel(a[known].tolist(), b[known].tolist())
+        return out
+
+    return run
+
 
+_lcs, _partial = _on_known(batch.lcs_lengths, "Int32"), _on_known(batch.partial_scores, "Float64")
 
-def score_udf(name: str):
-    fn = check_scorer(name)
 
-    @F.pandas_udf(T.DoubleType())
-    def _score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([fn(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(T.IntegerType())
+def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _lcs(a, b)
+
 
-    return _score
+@F.pandas_udf(T.DoubleType())
+def partial_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _partial(a, b)
 
 
 def ratio_from_lcs(lcs, la, lb):
@@ -212,3 +227,87 @@ def ratio_from_lcs(lcs, la, lb):
     lensum = la + lb
     return (F.when(lensum == 0, F.lit(100.0))
             .otherwise((F.lit(1.0) - (lensum - F.lit(2) * lcs) / lensum) * F.lit(100.0)))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return ratio_from_lcs(lcs_udf(a, b), F.length(a), F.length(b))
+
+
+class _Words:
+    """Words of a pair, their sets and differences, as JVM expressions."""
+
+    def __init__(self, a: Column, b: Column):
+        self.a, self.b = a, b
+        self.common = F.array_sort(F.array_intersect(self.a, self.b))
+        self.only_a = F.array_sort(F.array_except(self.a, self.b))
+        self.only_b = F.array_sort(F.array_except(self.b, self.a))
+        self.in_order = F.array_join(F.array_sort(self.a), " "), F.array_join(F.array_sort(self.b), " ")
+        self.rests = F.array_join(self.only_a, " "), F.array_join(self.only_b, " ")
+        self.wordless = (F.size(self.a) == 0) | (F.size(self.b) == 0)
+
+
+def _token_set(w: _Words) -> Column:
+    shared = F.size(w.common) > 0
+    inside = shared & ((F.size(w.only_a) == 0) | (F.size(w.only_b) == 0))
+    sect = F.array_join(w.common, " ")
+    full = [F.array_join(F.concat(w.common, rest), " ") for rest in (w.only_a, w.only_b)]
+    known = ~w.wordless & ~inside
+    lists = _ratio(F.when(known, full[0]), F.when(known, full[1]))
+    # the common words begin both lists, so they are their own common subsequence
+    n = F.length(sect)
+    parts = [F.when(shared, ratio_from_lcs(n, n, F.length(x))).otherwise(F.lit(0.0)) for x in full]
+    return F.when(w.wordless, 0.0).when(inside, 100.0).otherwise(F.greatest(lists, *parts))
+
+
+def _partial_token_set(w: _Words) -> Column:
+    apart = ~w.wordless & (F.size(w.common) == 0)
+    return (F.when(w.wordless, 0.0).when(F.size(w.common) > 0, 100.0)
+            .otherwise(partial_udf(F.when(apart, w.rests[0]), F.when(apart, w.rests[1]))))
+
+
+def _partial_token(w: _Words, when: Column | None = None) -> Column:
+    apart = F.size(w.common) == 0
+    whole = (F.size(w.a) == F.size(w.only_a)) & (F.size(w.b) == F.size(w.only_b))
+    first, second = (apart, apart & ~whole) if when is None else (when & apart, when & apart & ~whole)
+    best = partial_udf(F.when(first, w.in_order[0]), F.when(first, w.in_order[1]))
+    rest = partial_udf(F.when(second, w.rests[0]), F.when(second, w.rests[1]))
+    return F.when(~apart, 100.0).when(whole, best).otherwise(F.greatest(best, rest))
+
+
+def _weighted(a: Column, b: Column, w: _Words) -> Column:
+    la, lb = F.length(a).cast("double"), F.length(b).cast("double")
+    empty = (la == 0) | (lb == 0)
+    share = F.when(empty, 1.0).when(la > lb, la / lb).otherwise(lb / la)
+    best, close = _ratio(a, b), share < PARTIAL_FROM
+    scale = F.when(share < LONG_RATIO, PARTIAL_SCALE).otherwise(LONG_PARTIAL_SCALE)
+    token = F.greatest(_token_set(w), _ratio(*w.in_order)) * UNBASE_SCALE
+    part = F.greatest(best, partial_udf(F.when(~close, a), F.when(~close, b)) * scale)
+    part = F.greatest(part, _partial_token(w, ~close) * F.lit(UNBASE_SCALE) * scale)
+    return F.when(empty, 0.0).when(close, F.greatest(best, token)).otherwise(part)
+
+
+def score_column(name: str, a, b, words_a: Column | None = None, words_b: Column | None = None) -> Column:
+    """The score of two text columns: two batched kernels, all else in the JVM.
+    ``words_a`` and ``words_b``: their words, where a column holds them already."""
+    check_scorer(name)
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    w = _Words(words(a) if words_a is None else words_a, words(b) if words_b is None else words_b)
+    if name == "ratio":
+        return _ratio(a, b)
+    if name == "QRatio":
+        return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(_ratio(a, b))
+    if name == "token_sort_ratio":
+        return _ratio(*w.in_order)
+    if name == "token_set_ratio":
+        return _token_set(w)
+    if name == "token_ratio":
+        return F.greatest(_token_set(w), _ratio(*w.in_order))
+    if name == "partial_ratio":
+        return partial_udf(a, b)
+    if name == "partial_token_sort_ratio":
+        return partial_udf(*w.in_order)
+    if name == "partial_token_set_ratio":
+        return _partial_token_set(w)
+    if name == "partial_token_ratio":
+        return _partial_token(w)
+    return _weighted(a, b, w)

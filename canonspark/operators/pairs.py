@@ -270,14 +270,10 @@ def fuzzy_edges(nodes: DataFrame, scorer: str = "ratio", threshold: float = 75)
         # the window scorers cost much more a pair than its bytes suggest: deal the
         # pairs out by key before they are scored
         cand = cand.repartition("group_key", "a", "b")
-    if scorer in ("ratio", "QRatio"):
-        la, lb = F.length("a"), F.length("b")
-        score = S.ratio_from_lcs(S.lcs_udf("a", "b"), la, lb)
-        if scorer == "QRatio":
-            score = F.when((la == 0) | (lb == 0), F.lit(0.0)).otherwise(score)
-    else:
-        score = S.score_udf(scorer)("a", "b")
-    scored = cand.withColumn("score", score).where(F.col("score") >= F.lit(float(threshold)))
+    # words as columns of their own: split once, used by several parts of a score
+    split = cand.withColumns({"wa": T.words("a"), "wb": T.words("b")})
+    score = S.score_column(scorer, "a", "b", F.col("wa"), F.col("wb"))
+    scored = split.withColumn("score", score).where(F.col("score") >= F.lit(float(threshold)))
     # orient by first occurrence: u is the earlier value
     first = F.col("ua") < F.col("ub")
     return scored.select(

@@ -517,7 +517,7 @@ def q_overall_acceptance_category(spark, sf):
 
 # ------------------------------------------------------------------ wave 5
 
-def _tfidf_sql(long_sql: str, mode: str) -> str:
+def _tfidf_ctes(long_sql: str, mode: str) -> str:
     grams = " , ".join(
         f"list_transform(range(1, length(doc) - {n - 1} + 1), lambda i: substr(doc, i::BIGINT, {n}))"
         for n in (2, 3, 4))
@@ -530,7 +530,11 @@ docs AS (SELECT group_key, sum(n) AS big_n FROM nodes GROUP BY ALL),
 w AS (SELECT g.group_key, g.norm, g.gram, g.tf, dfs.df,
              ln((1.0 + docs.big_n) / (1.0 + dfs.df)) + 1.0 AS idf
       FROM g JOIN dfs USING (group_key, gram) JOIN docs USING (group_key)),
-l2 AS (SELECT group_key, norm, sqrt(sum((tf * idf) * (tf * idf))) AS l2 FROM w GROUP BY ALL)
+l2 AS (SELECT group_key, norm, sqrt(sum((tf * idf) * (tf * idf))) AS l2 FROM w GROUP BY ALL)"""
+
+
+def _tfidf_sql(long_sql: str, mode: str) -> str:
+    return f"""{_tfidf_ctes(long_sql, mode)}
 SELECT w.group_key, w.norm, w.gram, CAST(w.tf AS BIGINT) AS tf, CAST(w.df AS BIGINT) AS df,
        round_even(w.idf, 9) AS idf, round_even((w.tf * w.idf) / l2.l2, 9) AS weight
 FROM w JOIN l2 USING (group_key, norm)"""
@@ -586,6 +590,91 @@ def q_kmeans_category(spark, sf):
     return _kmeans_out(TB.messy_part(spark, sf), MESSY_COLS, "category", 20)
 
 
+_VECTORS = """,
+t AS (SELECT w.group_key, w.norm, w.gram, (w.tf * w.idf) / l2.l2 AS weight FROM w JOIN l2 USING (group_key, norm))"""
+
+_SILHOUETTE_SQL = f"""{_tfidf_ctes(PART_LONG_DIRECT, "direct")}{_VECTORS},
+x AS (SELECT n.group_key, n.norm, n.n, coalesce(s.xx, 0.0) AS xx
+      FROM nodes n LEFT JOIN (SELECT group_key, norm, sum(weight * weight) AS xx FROM t GROUP BY ALL) s USING (group_key, norm)),
+dots AS (SELECT a.group_key, a.norm AS a, b.norm AS b, sum(a.weight * b.weight) AS dot
+         FROM t a JOIN t b ON a.group_key = b.group_key AND a.gram = b.gram GROUP BY ALL),
+d AS (SELECT p.group_key, p.norm AS a, q.norm AS b, q.n,
+             CASE WHEN p.norm = q.norm THEN 0.0 ELSE sqrt(greatest(0.0, p.xx + q.xx - 2 * coalesce(dot, 0.0))) END AS dist
+      FROM x p JOIN x q ON p.group_key = q.group_key
+      LEFT JOIN dots ON dots.group_key = p.group_key AND dots.a = p.norm AND dots.b = q.norm),
+ks AS (SELECT unnest([2, 3, 5]) AS k),
+m AS (SELECT d.group_key, k, a, length(a) % k AS ca, length(b) % k AS cb, sum(n * dist) AS total, sum(n) AS size
+      FROM d, ks GROUP BY ALL),
+s AS (SELECT group_key, k, a, max(CASE WHEN ca = cb THEN size END) AS own,
+             max(CASE WHEN ca = cb AND size > 1 THEN total / (size - 1) END) AS da,
+             min(CASE WHEN ca <> cb THEN total / size END) AS db
+      FROM m GROUP BY ALL)
+SELECT s.group_key, k, round_even(sum(x.n * CASE WHEN own = 1 OR greatest(da, db) <= 0 THEN 0.0
+       ELSE (db - da) / greatest(da, db) END) / sum(x.n), 6) AS score
+FROM s JOIN x ON x.group_key = s.group_key AND x.norm = s.a GROUP BY s.group_key, k HAVING min(db) IS NOT NULL"""
+
+
+@query("kmeans_silhouette", _SILHOUETTE_SQL)
+def q_kmeans_silhouette(spark, sf):
+    """M3 by itself: silhouettes of labels that the length of a value gives, for three k."""
+    from canonspark.operators import kmeans as KM
+    nodes = R.distinct_values(R.normalise_long(R.melt(_part_raw(spark, sf), ["p_name"]), "direct"))
+    entries = KM.tfidf(nodes).select("group_key", "norm", "gram", "weight")
+    labels = nodes.withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)))).select(
+        "group_key", "k", "norm", (F.length("norm") % F.col("k")).cast("int").alias("c"))
+    r = KM.silhouettes(labels, entries, nodes.select("group_key", "norm", "n"))
+    return r.select("group_key", "k", F.bround("score", 6).alias("score"))
+
+
+def _nearest_sql(i: int) -> str:
+    return f"""len{i} AS (SELECT group_key, c, sum(w * w) AS len FROM c{i} GROUP BY ALL),
+p{i} AS (SELECT t.group_key, t.norm, c, sum(weight * w) AS dot FROM t JOIN c{i} USING (group_key, gram) GROUP BY ALL),
+a{i} AS (SELECT group_key, norm, c, d FROM (
+  SELECT v.group_key, v.norm, l.c, round(len - 2 * coalesce(dot, 0.0), 10) AS d,
+         row_number() OVER (PARTITION BY v.group_key, v.norm ORDER BY round(len - 2 * coalesce(dot, 0.0), 10), l.c) AS rk
+  FROM nodes v JOIN len{i} l ON l.group_key = v.group_key
+  LEFT JOIN p{i} p ON p.group_key = v.group_key AND p.norm = v.norm AND p.c = l.c) r WHERE rk = 1)"""
+
+
+_ROUND_SQL = f"""{_tfidf_ctes(MESSY_LONG_CATEGORY, "category")}{_VECTORS},
+c1 AS (SELECT group_key, c, gram, weight AS w FROM t JOIN (
+         SELECT group_key, norm, row_number() OVER (PARTITION BY group_key ORDER BY norm) AS c
+         FROM (SELECT DISTINCT group_key, norm FROM t) v) o USING (group_key, norm) WHERE c <= 4),
+{_nearest_sql(1)},
+c2 AS (SELECT s.group_key, s.c, gram, sum(n * weight) / max(tot) AS w
+       FROM a1 s JOIN nodes USING (group_key, norm) JOIN t USING (group_key, norm)
+       JOIN (SELECT group_key, c, sum(n) AS tot FROM a1 JOIN nodes USING (group_key, norm) GROUP BY ALL) z
+         ON z.group_key = s.group_key AND z.c = s.c
+       GROUP BY s.group_key, s.c, gram),
+{_nearest_sql(2)}
+SELECT a2.group_key, a2.norm, CAST(a1.c AS BIGINT) AS first, CAST(a2.c AS BIGINT) AS second, round_even(a2.d, 6) AS d
+FROM a1 JOIN a2 USING (group_key, norm)"""
+
+
+@query("kmeans_round", _ROUND_SQL)
+def q_kmeans_round(spark, sf):
+    """M2 step by step: nearest of four given centres, their means, nearest of these."""
+    from canonspark.operators import kmeans as KM
+    nodes = R.distinct_values(R.normalise_long(
+        R.melt(TB.messy_part(spark, sf), MESSY_COLS, category="category"), "category"))
+    entries = KM.tfidf(nodes).select("group_key", "norm", "gram", "weight")
+    w = Window.partitionBy("group_key").orderBy("norm")
+    seeds = (entries.select("group_key", "norm").distinct().withColumn("c", F.row_number().over(w)).where("c <= 4")
+             .join(entries, ["group_key", "norm"])
+             .select("group_key", F.lit(4).alias("k"), F.lit(0).alias("s"), "c", "gram", F.col("weight").alias("w")))
+    blocks = KM.value_blocks(nodes, entries)
+    first = KM.step(blocks, KM.centre_lists(seeds))
+    second = KM.step(blocks, KM.means_of(first))
+
+    def labels(df, c):
+        x = F.explode(F.arrays_zip("norms", "labels", "ds"))
+        return df.where("c = 0").select("group_key", x.alias("x")).select(
+            "group_key", F.col("x.norms").alias("norm"), F.col("x.labels").cast("long").alias(c), F.col("x.ds").alias("d"))
+
+    return labels(first, "first").drop("d").join(
+        labels(second, "second").withColumn("d", F.bround("d", 6)), ["group_key", "norm"])
+
+
 def _nation_entities(spark, sf):
     return TB.load(spark, sf, "nation").select(F.col("n_name").alias("name"),
                                                F.col("n_nationkey").alias("ent_ord"))
@@ -644,14 +733,22 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/canonspark-{name}-{uuid.uuid4()}"
 
 
+_BROKEN_SQL = """SELECT row_id, category, name_b,
+       CASE WHEN row_id % 5 = 0 THEN name_a || chr(10) || 'said "yes", ' || chr(10) || chr(10) ELSE name_a END AS name_a
+FROM ({0}) b"""
+
+
 @query("csv_round_trip", f"""
 SELECT CAST(row_id AS VARCHAR) AS row_id, {_missing_sql('category')} AS "a.category",
        {_missing_sql('name_a')} AS name_a, {_missing_sql('name_b')} AS name_b
-FROM ({TB.MESSY_PART_SQL}) m""")
+FROM ({_BROKEN_SQL.format(TB.MESSY_PART_SQL)}) m""")
 def q_csv_round_trip(spark, sf):
-    """Messy part written as CSV (S6) and read back with the missing-value tokens."""
+    """Messy part, some fields with line breaks and quotes, written as CSV (S6) and read
+    back with the missing-value tokens."""
     path = _scratch(spark, "csv")
-    TB.write_table(TB.messy_part(spark, sf).withColumnRenamed("category", "a.category"), path, "csv")
+    broken = F.when(F.col("row_id") % 5 == 0, F.concat("name_a", F.lit('\nsaid "yes", \n\n'))).otherwise(F.col("name_a"))
+    raw = TB.messy_part(spark, sf).withColumn("name_a", broken).withColumnRenamed("category", "a.category")
+    TB.write_table(raw, path, "csv")
     return CSV.read_csv(spark, path)
 
 

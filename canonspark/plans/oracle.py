@@ -296,15 +296,19 @@ def partial_edge_ctes(scorer: str, t: float) -> str:
 
 
 def search_ctes(queries: str, col: str) -> str:
-    """The name search over ``e(name, ent_ord)``: at most five entities by shared
-    neighbouring characters, of these the best partial ratio: ``best``."""
+    """The name search over ``e(name, ent_ord)``, every entity scored: at most five by the
+    weight of shared neighbouring characters, of these the best partial ratio: ``best``."""
     def keys(x: str) -> str:
         return (f"(CASE WHEN length({x}) >= 2 THEN list_distinct(list_transform(range(1, length({x})), "
                 f"lambda i: substr({x}, i::BIGINT, 2))) ELSE [{x}] END)")
     return f"""
 s AS (SELECT {col} AS query, name, ent_ord, lower({col}) AS ql, lower(name) AS el FROM {queries} qq, e
       WHERE {col} <> ''),
-sh AS (SELECT *, len(list_intersect({keys('ql')}, {keys('el')})) AS shared FROM s),
+ek AS (SELECT name, ent_ord, unnest({keys('lower(name)')}) AS k FROM e),
+kw AS (SELECT k, CAST(floor(1000.0 * (1.0 + ln((SELECT count(*) FROM e) / CAST(count(*) AS DOUBLE)))) AS BIGINT) AS w
+       FROM ek GROUP BY k),
+common AS (SELECT *, unnest(list_intersect({keys('ql')}, {keys('el')})) AS k FROM s),
+sh AS (SELECT query, name, ent_ord, ql, el, sum(w) AS shared FROM common JOIN kw USING (k) GROUP BY ALL),
 place AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, ent_ord, name) AS place
           FROM sh WHERE shared > 0),
 sc AS (SELECT query, name, place, {partial_ratio('ql', 'el')} AS score FROM place WHERE place <= 5),
