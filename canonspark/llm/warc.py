@@ -13,8 +13,10 @@ a block without packing the block again.
    digest, pre-aggregated, to find the response that every digest keeps.
 2. *Revisits* join it: repeated payloads of at least ``least`` bytes, and revisit
    records that the archives hold already.
-3. The records join their decisions and are written with fresh headers: responses
-   with their block, revisits with their HTTP header only.
+3. Records are written with fresh headers: responses with their block, revisits with
+   their HTTP header only.  A bit table of fixed size names the records that may have
+   become revisits; only these are shuffled, to join their decisions, all others are
+   copied where they are read.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonspark.llm.textops import encode, small_batches
+from canonspark.llm.bittable import BITS, Members, bit_table
+from canonspark.llm.textops import encode, small_batches, written
 
 LEAST = 1000  # payload bytes from which a repeated payload becomes a revisit
 DATE = "2024-01-01T00:00:00Z"
@@ -145,29 +150,66 @@ def _read_heads(verify: bool):
     return run
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"record_id": [_unpacked_head(bytes(r))[0]["warc-record-id"] for r in pdf["record"]],
-                            "record": pdf["record"]})
+def _id_hashes(ids) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in ids], np.uint64)
 
 
-def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            f, block = _unpacked_head(bytes(r.record))
-            fields = [("WARC-Type", r.kind), ("WARC-Record-ID", r.new_id), ("WARC-Date", f.get("warc-date")),
-                      ("WARC-Target-URI", f.get("warc-target-uri")),
-                      ("WARC-Payload-Digest", r.digest and f"sha1:{r.digest}"),
-                      ("Content-Type", f.get("content-type"))]
-            size = int(f["content-length"])
-            if r.kind == "revisit":
-                head = _http_head(block)
-                size, block = len(head), _packed(head)
-                fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", r.refers_to),
-                           ("WARC-Refers-To-Target-URI", r.refers_uri), ("WARC-Refers-To-Date", r.refers_date)]
-            out.append(_head([*fields, ("Content-Length", size), ("X-Page-ID", f.get("x-page-id"))]) + block)
-        yield pd.DataFrame({"record": out})
+def _fresh(run: str, record_id: str) -> str:
+    """The same new id wherever an old one is named."""
+    return f"<{uuid.UUID(hashlib.md5((run + record_id).encode()).hexdigest()).urn}>"
+
+
+def _told_apart(table, wanted: bool):
+    """``record_id, record`` of the records that may (or can't) be in the table."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members = Members(table.value)
+        for pdf in batches:
+            ids = np.array([_unpacked_head(bytes(r))[0]["warc-record-id"] for r in pdf["record"]], object)
+            some = np.flatnonzero(members.has(_id_hashes(ids)) == wanted)
+            yield pd.DataFrame({"record_id": ids[some], "record": pdf["record"].to_numpy()[some]})
+
+    return run
+
+
+def _rewritten(record: bytes, run: str, revisit_of: tuple | None = None) -> bytes:
+    f, block = _unpacked_head(record)
+    again = revisit_of is not None
+    size = int(f["content-length"])
+    digest = _hex_digest(f.get("warc-payload-digest"))
+    if digest is None and f["warc-type"] == "response":
+        digest = hashlib.sha1(zlib.decompress(block, 31)[len(_http_head(block)):]).hexdigest()
+    more: list[tuple[str, object]] = []
+    if again:
+        head = _http_head(block)
+        size, block = len(head), _packed(head)
+        record_id, uri, date = revisit_of
+        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id and _fresh(run, record_id)),
+                ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
+    return _head([
+        ("WARC-Type", "revisit" if again else f["warc-type"]), ("WARC-Record-ID", _fresh(run, f["warc-record-id"])),
+        ("WARC-Date", f.get("warc-date")), ("WARC-Target-URI", f.get("warc-target-uri")),
+        ("WARC-Payload-Digest", digest and f"sha1:{digest}"), ("Content-Type", f.get("content-type")), *more,
+        ("Content-Length", size), ("X-Page-ID", f.get("x-page-id"))]) + block
+
+
+def _rewrite(run_id: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"record": [
+                _rewritten(bytes(r), run_id, (i, u, d) if k == "revisit" else None)
+                for r, k, i, u, d in zip(pdf["record"], pdf["kind"], pdf["of_id"], pdf["of_uri"], pdf["of_date"])]})
+
+    return run
+
+
+def _copy(table, run_id: str):
+    apart = _told_apart(table, False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in apart(batches):
+            yield pd.DataFrame({"record": [_rewritten(bytes(r), run_id) for r in pdf["record"]]})
+
+    return run
 
 
 def _write(records: DataFrame, path: str) -> None:
@@ -214,24 +256,20 @@ def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.select("record_id", kind.alias("kind"), "digest", known.alias("original"))
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, least: int = LEAST) -> None:
+def deduplicate(spark: SparkSession, source: str, target: str, least: int = LEAST, bits: int = BITS) -> None:
     """Read the archive folder ``source`` and write ``target`` with every record under a
-    fresh header; see ``resolve`` for what becomes a revisit."""
-    packed = records(spark, source)
-    run = uuid.uuid4().hex
-    decided = resolve(headers(packed), least)
-
-    def fresh(c: Column) -> Column:  # the same new id wherever an old one is named
-        h = F.md5(F.concat(F.lit(run), c))
-        parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
-
-    o = F.col("original")
-    plan = decided.select("record_id", "kind", "digest", fresh(F.col("record_id")).alias("new_id"),
-                          fresh(o["record_id"]).alias("refers_to"), o["uri"].alias("refers_uri"),
-                          o["date"].alias("refers_date"))
-    keyed = small_batches(packed).mapInPandas(_keyed, "record_id string, record binary")
-    _write(keyed.join(plan, "record_id").drop("record_id").mapInPandas(_rewrite, "record binary"), target)
+    fresh header; see ``resolve`` for what becomes a revisit.  ``bits``: size of the bit
+    table; it changes how many records are shuffled, not the result."""
+    packed, run = records(spark, source), uuid.uuid4().hex
+    decided = written(resolve(headers(packed), least).where("kind = 'revisit'").select(
+        "record_id", "kind", F.col("original.record_id").alias("of_id"), F.col("original.uri").alias("of_uri"),
+        F.col("original.date").alias("of_date")), "revisits")
+    table = spark.sparkContext.broadcast(
+        bit_table(decided.select("record_id"), lambda batch: _id_hashes(batch.column(0).to_pylist()), bits))
+    copied = small_batches(packed).mapInPandas(_copy(table, run), "record binary")
+    maybe = small_batches(packed).mapInPandas(_told_apart(table, True), "record_id string, record binary")
+    joined = maybe.join(decided, "record_id", "left").drop("record_id")
+    _write(copied.unionByName(joined.mapInPandas(_rewrite(run), "record binary")), target)
 
 
 def resolved(heads: DataFrame) -> DataFrame:

@@ -44,12 +44,14 @@ def paths(tmp_path):
     return [f"{tmp_path}/{uuid.uuid4().hex}" for _ in range(2)]
 
 
-def test_equals_brute_force_and_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("bits", [W.BITS, 64])
+def test_equals_brute_force_and_round_trip(spark, tmp_path, bits):
+    """Also with a bit table in which nearly everything may be a member."""
     rows = pages()
     a, b = paths(tmp_path)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("record", F.lit(1)).withColumn("date", F.lit("x"))
     W.write_pages(df, a)
-    W.deduplicate(spark, a, b)
+    W.deduplicate(spark, a, b, bits=bits)
     heads = W.headers(W.records(spark, b), verify=True)
     assert sorted(map(tuple, W.resolved(heads).collect()), key=str) == brute(rows)
     ids = [r["record_id"] for r in heads.collect()]
