@@ -14,8 +14,9 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POS_BITS = np.uint64(28)  # texts up to 256 MB
+# positions within a part of a text; longer texts are taken in parts
 _POS_MASK = np.uint64((1 << 28) - 1)
+PART = 1 << 24  # windows that are taken at once: bounds memory too
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -74,6 +75,12 @@ def window_anchors(data: np.ndarray, window: int, gram: int):
     if n < window:
         e = np.empty(0, dtype=np.int64)
         return e, e, e, e
+    if n > PART + window:
+        parts = []
+        for a in range(0, n - window + 1, PART):
+            at, first, last, h = window_anchors(data[a : a + PART + window - 1], window, gram)
+            parts.append((at + a, first + a, last + a, h))
+        return tuple(map(np.concatenate, zip(*parts)))
     h = gram_hashes(data, gram)
     order = (h & ~_POS_MASK) | np.arange(len(h), dtype=np.uint64)
     at = (_sliding_min(order, window - gram + 1) & _POS_MASK).astype(np.int64)

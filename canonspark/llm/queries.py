@@ -112,7 +112,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = suffix_dedup.remove_repeats(docs)
     return r.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans",
-                    F.sha2("repeats.kept", 256).alias("kept_sha256"))
+                    F.sha2("repeats.kept", 256).alias("kept_sha256"),
+                    F.make_valid_utf8(F.col("repeats.kept").cast("string")).alias("kept_text"))
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

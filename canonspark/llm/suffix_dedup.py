@@ -30,6 +30,7 @@ import base64
 import re
 import struct
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ from canonspark.llm.textops import encode, small_batches, written
 
 WINDOW, GRAM = 400, 32
 BUCKET_ROWS = 20_000  # suffixes a bucket is meant to hold (about 12 MB)
+SHARD_ROWS = 20_000   # anchors of a shard of texts, in which equal contexts are looked up together
 SAMPLES = 32          # sampled keys for each splitter
 CODE, CODE_GRAM = 8, 96  # bytes of a word's code (48 bits of hash); gram in texts of codes
 CODES = 200_000       # words whose code a task remembers
@@ -117,8 +119,8 @@ def _splitters(candidates: DataFrame, rows: int, bucket_rows: int) -> list[tuple
     got = sorted((r[0], r[1]) for r in candidates.where(
         F.pmod(F.xxhash64("ctx", "gram"), F.lit(step)) == 0).select("gram", "ctx").collect())
     cuts = [got[len(got) * i // buckets] for i in range(1, buckets)] if got else []
-    grams = [g for g, _ in cuts]
-    return sorted({(g, c) if grams.count(g) > 1 else (g, _WHOLE) for g, c in cuts})
+    times = Counter(g for g, _ in cuts)
+    return sorted({(g, c) if times[g] > 1 else (g, _WHOLE) for g, c in cuts})
 
 
 def _sort_buckets(window: int, block: int = 4096):
@@ -175,11 +177,19 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     # written, so that both sides of the join are plain shuffles and a hot gram can be split
     often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "grams")
     found = written(anchors.join(often, "gram"), "anchors")
+    # texts are dealt to shards of bounded size; a context that many of a shard's texts hold is
+    # looked up once for all of them
+    shards = max(1, -(-found.count() // SHARD_ROWS))
     place = F.struct("k1", "k2", "at", "lo", "hi")
-    contexts = found.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
+    local = written(found.groupBy(F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).alias("shard"), "gram", "ctx")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"),
+                         F.collect_list(F.struct("k1", "k2", "lo", "hi")).alias("places")), "local")
+    contexts = local.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
     contexts = written(contexts, "contexts")
     copies = contexts.where("n > 1").select("gram", "ctx")  # written: a hot context can be split
-    whole = found.join(copies, ["gram", "ctx"]).select("k1", "k2", "lo", (F.col("hi") + window).alias("hi"))
+    whole = (local.select("shard", "gram", "ctx", "places").join(copies, ["gram", "ctx"]).select("shard", "places")
+             .repartition("shard").select(F.explode("places").alias("x"))
+             .select("x.k1", "x.k2", "x.lo", (F.col("x.hi") + window).alias("hi")))
 
     several = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "several")
     candidates = written(contexts.join(several, "gram").select(

@@ -95,3 +95,17 @@ def test_passages_equal_counting_every_run_of_words(spark, bucket_rows):
     got = sorted(S.remove_repeats(df, 100_000, 32, bucket_rows, words=16).collect(), key=lambda r: r["doc_id"])
     assert [(r["repeats"]["n_removed"], bytes(r["repeats"]["kept"])) for r in got] == want
     assert sum(n > 0 for n, _ in want) > 5
+
+
+def test_long_texts_are_taken_in_parts(spark, monkeypatch):
+    """Anchors of a text that is longer than a part; nothing is lost where parts meet."""
+    from canonspark.llm import anchors
+    monkeypatch.setattr(anchors, "PART", 70)
+    texts = corpus(9, 12)
+    import numpy as np
+    for t in texts:
+        b = np.frombuffer(S.encode(t), np.uint8)
+        at, first, last, _ = anchors.window_anchors(b, 24, 8)
+        served = sorted(i for x, y in zip(first.tolist(), last.tolist()) for i in range(x, y + 1))
+        assert served == list(range(max(0, len(b) - 24 + 1)))
+        assert all(x <= p and p + 8 <= y + 24 for p, x, y in zip(at.tolist(), first.tolist(), last.tolist()))
