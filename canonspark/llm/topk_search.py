@@ -4,20 +4,22 @@ Vectors of integers are cut into shards of at most about ``shard`` rows; a
 shard is one task's index.  A dimension has two posting lists, for positive and
 for negative query weights, so that every contribution counts upwards from a
 base that depends on the query alone: with w > 0 the impact of x is x - min,
-with w < 0 it is max - x.  Impacts are quantised into ``levels`` levels, and
-the postings of one level form a segment.
-
-Segments are processed by descending level, in rounds that a block of queries
-takes together.  After a round, a row's lower bound is the sum of its quantised
-impacts so far; its upper bound adds the width of the levels it was seen at and,
-for a list it was not seen in yet, all that the segments still to come can hold.
-A row whose upper bound is below the k-th best lower bound of a query is given
-up for it, on proof.  When few rows are left the search stops, and all rows
-left are scored again exactly: nothing is approximate, ties included.
-
-Queries are cut into blocks too; a (block, shard) pair is one cell, so neither
-side is broadcast.  Cells give at most k rows for each query, and a two-level
-top-k merges them.
+with w < 0 it is max - x.  Impacts are quantised into ``levels`` levels; the
+postings of one list and level form a segment, and a list's postings lie in
+descending order of level.
+
+A query takes the segments of its lists in descending order of weight times
+impact, a round of them at a time.  A segment's postings add its quantised impact,
+once, to the lower bounds of the rows that are still alive.  What any row can gain
+beyond its lower bound is bounded list by list: by the width of a level where the
+row was met, by the best segment to come where it wasn't.  A row that can't reach
+the k-th best lower bound is given up, on proof.  When few rows are left, or all
+segments are taken, the rows left are scored again exactly: nothing is
+approximate, ties included.
+
+Every shard gets all queries as a stream behind its rows, so rows are shuffled once
+and no side is broadcast.  A shard gives at most k rows for each query, and a
+two-level top-k merges them.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from canonspark.llm.textops import written
 
-SHARD, QUERY_BLOCK, LEVELS = 8192, 256, 64
-LIMIT = 1 << 31  # largest |component| taken; beyond it a product of two may not fit 64 bits
+SHARD, LEVELS, ROUNDS = 32_768, 64, 24
 EXACT = 1 << 23  # components up to this are indexed; sums of their products fit 64 bits
+LONG = 1 << 63
 
 
 class ImpactIndex:
@@ -44,124 +46,149 @@ class ImpactIndex:
         low, high = x.min(axis=0), x.max(axis=0)
         self.span = np.concatenate([high - low, high - low])
         self.width = np.maximum(1, -(-(self.span + 1) // levels))
-        self.impact = np.concatenate([x - low, high - x], axis=1)
-        self.level = self.impact // self.width
-        self.levels = levels
-
-    def bounds(self, weights: np.ndarray, down_to: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (query x row) once all segments of at least
-        level ``down_to`` are processed."""
-        seen = self.level >= down_to
-        at = np.where(seen, self.level * self.width, 0)
-        top = np.where(seen, np.minimum(at + self.width - 1, self.span),
-                       np.minimum(down_to * self.width - 1, self.span))
-        if int(weights.sum(axis=1).max(initial=0)) * int(self.span.max()) < 1 << 53:
-            weights, at, top = (z.astype(np.float64) for z in (weights, at, top))  # exact, and uses BLAS
-        return weights @ at.T, weights @ top.T
-
-    def search(self, queries: np.ndarray, k: int, skip: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For every query: its number, the rows left (all of the k best among
-        them) and their exact scores.  ``skip`` (query x row): takes no part."""
+        lists, kind = 2 * x.shape[1], np.int32
+        self.postings = np.empty((lists, len(x)), kind)
+        segments = []
+        for j in range(lists):
+            d = j % x.shape[1]
+            level = (x[:, d] - low[d] if j < x.shape[1] else high[d] - x[:, d]) // self.width[j]
+            order = np.argsort(-level, kind="stable")
+            self.postings[j] = order
+            cuts = np.flatnonzero(np.diff(level[order], prepend=level[order[0]] + 1))
+            segments.append(np.stack([np.full(len(cuts), j), level[order][cuts], cuts, np.append(cuts[1:], len(x))], axis=1))
+        # list, level, first and last posting of every segment
+        self.list, self.level, self.first, self.last = np.concatenate(segments).T
+        self.at = self.level * self.width[self.list]
+        self.top = np.minimum(self.at + self.width[self.list] - 1, self.span[self.list])
+        self.touched = 0  # postings added so far
+
+    def search(self, q: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows left for a query (all of the k best among them) and their exact
+        scores.  ``skip``: rows that take no part."""
+        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)])
+        mine = np.flatnonzero(weight[self.list] > 0)
+        mine = mine[np.argsort(-(weight[self.list[mine]] * self.top[mine]), kind="stable")]
+        lists, gain = self.list[mine], weight[self.list[mine]] * self.at[mine]
         alive = ~skip
-        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-        for down_to in (self.levels // 2, self.levels // 4, 0):
-            if alive.sum(axis=1).max(initial=0) <= 4 * k:
+        bound = np.zeros(len(self.x), np.int64)
+        # what a row can gain in a list: before it is met there, and after
+        unmet, met = weight * self.span, weight * (self.width - 1)
+        size = np.cumsum(self.last[mine] - self.first[mine])
+        cuts = np.searchsorted(size, np.arange(1, ROUNDS + 1) * (size[-1] / ROUNDS)) if len(mine) else []
+        begin = 0
+        for end in np.unique(np.minimum(np.append(np.asarray(cuts, int) + 1, len(mine)), len(mine))):
+            if end == begin or int(alive.sum()) <= 4 * k:
                 break
-            lower, upper = self.bounds(weights, down_to)
-            for i in range(len(queries)):
-                left = np.flatnonzero(alive[i])
-                if len(left) > k:
-                    kth = np.partition(lower[i, left], len(left) - k)[len(left) - k]
-                    alive[i, left[upper[i, left] < kth]] = False
-        for i, q in enumerate(queries):
-            rows = np.flatnonzero(alive[i])
-            yield i, rows, self.x[rows] @ q
-
-
-def _plain(x: np.ndarray, queries: np.ndarray, skip: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Every row scored; scores that do not fit 64 bits cannot be returned."""
-    for i, q in enumerate(queries):
-        score = x @ q
-        rows = np.flatnonzero(~skip[i] & (np.abs(score) < 1 << 63))
-        yield i, rows, score[rows]
-
-
-def _cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    asks = pdf["asks"].to_numpy(dtype=bool)
-    base, asked = pdf[~asks], pdf[asks]
-    out = []
-    if len(base) and len(asked):
-        ids, qids = base["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        x = np.stack(base["v"].to_numpy()).astype(np.int64)
-        queries = np.stack(asked["v"].to_numpy()).astype(np.int64)
-        skip = qids[:, None] == ids[None, :]
-        if max(np.abs(x).max(), np.abs(queries).max()) <= EXACT:
-            found = ImpactIndex(x).search(queries, k, skip)
+            some = mine[begin:end]
+            rows = np.concatenate([self.postings[j, a:b] for j, a, b in zip(lists[begin:end], self.first[some], self.last[some])])
+            gains = np.repeat(gain[begin:end], self.last[some] - self.first[some])
+            on = alive[rows]
+            self.touched += int(on.sum())
+            np.add.at(bound, rows[on], gains[on])
+            begin = int(end)
+            # a list's segments are taken from the top, so the next one bounds what is unmet
+            unmet = np.zeros_like(unmet)
+            rest = mine[begin:]
+            np.maximum.at(unmet, self.list[rest], weight[self.list[rest]] * self.top[rest])
+            left = np.flatnonzero(alive)
+            if len(left) > k:
+                kth = np.partition(bound[left], len(left) - k)[len(left) - k]
+                alive[left[bound[left] + int(np.maximum(unmet, met).sum()) < kth]] = False
+        rows = np.flatnonzero(alive)
+        return rows, self.x[rows] @ q
+
+
+class _Shard:
+    """One task's rows, by their number of components."""
+
+    def __init__(self, ids: list, vectors: list):
+        self.ids = np.array(ids, dtype=np.int64)
+        x = np.array(vectors, dtype=np.float64)
+        self.index = None
+        if np.abs(x).max(initial=0) <= EXACT:
+            self.index = ImpactIndex(x.astype(np.int64))
         else:  # a component too large for the bounds' arithmetic: Python integers
-            found = _plain(x.astype(object), queries.astype(object), skip)
-        for i, rows, score in found:
-            best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k]
-            out += [(int(qids[i]), int(ids[rows[j]]), int(score[j])) for j in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            self.large = _integers(x)
 
+    def best(self, query_id: int, v, k: int) -> list[tuple[int, int, int]]:
+        skip, q = self.ids == query_id, np.array(v, dtype=np.float64)
+        if self.index is not None and np.abs(q).max(initial=0) <= EXACT:
+            rows, score = self.index.search(q.astype(np.int64), k, skip)
+        else:
+            x = self.large if self.index is None else self.index.x.astype(object)
+            rows = np.flatnonzero(~skip)
+            score = x[rows] @ _integers(q) if len(rows) else rows
+        order = sorted(range(len(rows)), key=lambda j: (-score[j], self.ids[rows[j]]))[:k]
+        return [(query_id, int(self.ids[rows[j]]), int(score[j])) for j in order]
 
-def _cells(k: int):
-    """Rows arrive sorted by cell; a cell holds one block and one shard."""
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, dtype=object)
+    out.ravel()[:] = [int(e) for e in x.ravel().tolist()]
+    return out
+
+
+def _search(k: int):
+    """Rows arrive sorted by shard, dimensions and side: a shard's vectors, then the queries."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        key, ids, vectors, shard = None, [], [], None
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            last = ((pdf["shard"] == pdf["shard"].iloc[-1]) & (pdf["block"] == pdf["block"].iloc[-1])).to_numpy()
-            rest = pdf[last]
-            for _, cell in pdf[~last].groupby(["shard", "block"], sort=False):
-                yield _cell(cell, k)
-        if rest is not None and len(rest):
-            yield _cell(rest, k)
+            out = []
+            for own in zip(pdf["shard"], pdf["dims"], pdf["asks"], pdf["vec_id"], pdf["v"]):
+                if own[:2] != key:
+                    key, ids, vectors, shard = own[:2], [], [], None
+                if not own[2]:
+                    ids.append(own[3])
+                    vectors.append(own[4])
+                elif ids:
+                    shard = shard or _Shard(ids, vectors)
+                    out += shard.best(int(own[3]), own[4], k)
+            # a score that doesn't fit a long is marked as above (1) or below (-1) all that do
+            beyond = [(x[2] >= LONG) - (x[2] < -LONG) for x in out]
+            yield pd.DataFrame({"query_id": [x[0] for x in out], "vec_id": [x[1] for x in out],
+                                "score": [0 if b else x[2] for b, x in zip(beyond, out)], "beyond": beyond})
 
     return run
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """``(vec_id, v array<long>)``: floor(scale * x) of every component, x as
-    double.  Vectors that are null, empty, or hold null or non-finite components
-    (or one whose scaled size passes 2**31) are left out, as are null ids."""
+    """``(vec_id, v array<double>)``: floor(scale * x) of every component, x as
+    double; whole numbers of any size.  Vectors that are null, empty, or hold null or
+    non-finite components are left out, as are null ids."""
     x = F.transform("embedding", lambda e: e.cast("double") * scale)
-    ok = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) <= LIMIT))
+    ok = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    whole = F.transform("x", lambda e: F.when(F.abs(e) < float(1 << 53), F.floor(e).cast("double")).otherwise(e))
     return (embeddings.where("vec_id is not null and embedding is not null")
-            .select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-            .where((F.size("x") > 0) & F.coalesce(ok, F.lit(False)))
-            .select("vec_id", F.transform("x", lambda e: F.floor(e)).alias("v")))
+            .where((F.size("embedding") > 0) & F.coalesce(ok, F.lit(False)))
+            .select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).select("vec_id", whole.alias("v")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD,
-          block: int = QUERY_BLOCK) -> DataFrame:
-    """``vectors(vec_id, v)`` and ``queries(vec_id, v)``, integer arrays -> the k
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
+    """``vectors(vec_id, v)`` and ``queries(vec_id, v)``, arrays of whole numbers -> the k
     rows of highest inner product of each query (all, if fewer), its own id left
     out: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; ties to the smaller
-    vec_id.  Vectors of another length than a query have no score with it.
-    Rows that repeat an id count as candidates each, a repeated query id is asked
-    once (its smallest vector).  Empty tables give an empty result."""
-    data = written(vectors.select("vec_id", "v").withColumn("dims", F.size("v")), "vectors")
-    asked = (queries.select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v"))
+    vec_id.  Components may have any size; a score among the k best that doesn't
+    fit a long is an error.  Vectors of another length than a query have no score
+    with it.  Rows that repeat an id count as candidates each, a repeated query id is
+    asked once (its smallest vector).  Empty tables give an empty result."""
+    v = F.transform("v", lambda e: e.cast("double")).alias("v")
+    data = written(vectors.select("vec_id", v, F.size("v").alias("dims")), "vectors")
+    asked = (queries.select("vec_id", v).groupBy("vec_id").agg(F.min("v").alias("v"))
              .withColumn("dims", F.size("v")))
     shards = max(1, -(-data.count() // shard))
-    blocks = max(1, -(-asked.count() // block))
-    base = (data.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(False)))
-    ask = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-           .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    base = (data.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("long"))
+            .withColumn("asks", F.lit(False)))
+    ask = (asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
            .withColumn("asks", F.lit(True)))
-    cells = base.unionByName(ask.select(*base.columns))
-    # a cell of one length: the length belongs to the block's name
-    cells = cells.withColumn("block", F.col("dims") * blocks + F.col("block")).drop("dims")
-    found = (cells.repartition("shard", "block").sortWithinPartitions("shard", "block")
-             .mapInPandas(_cells(k), "query_id long, vec_id long, score long"))
-    # merge in two levels: no more than k * 256 rows of a query meet
-    order = [F.col("score").desc(), F.col("vec_id")]
+    both = base.unionByName(ask.select(*base.columns))
+    found = (both.repartition(shards, "shard").sortWithinPartitions("shard", "dims", "asks")
+             .mapInPandas(_search(k), "query_id long, vec_id long, score long, beyond int"))
+    # merged in two levels: no more than k * 256 rows of a query meet
+    order = [F.col("beyond").desc(), F.col("score").desc(), F.col("vec_id")]
     part = found.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(256)))
     first = part.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order)))
     last = Window.partitionBy("query_id").orderBy(*order)
-    return (first.where(F.col("r") <= k).withColumn("rank", F.row_number().over(last).cast("int"))
-            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    best = first.where(F.col("r") <= k).withColumn("rank", F.row_number().over(last).cast("int")).where(F.col("rank") <= k)
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(
+        F.raise_error(F.lit("a score among the best does not fit 64 bits")).cast("long"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
