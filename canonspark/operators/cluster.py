@@ -13,9 +13,9 @@ value similar to the base joins it.  Leaders are the greedy independent set in
 rank order: a value with no lower neighbour left is a leader, the values above a
 leader are covered, and both leave with their edges.  A value with a single
 lower neighbour left has the opposite state of it; such values form chains,
-which are followed by doubling pointers (target, parity), so that a line of n
-similar neighbours takes about log n steps.  A covered value joins its lowest
-leader neighbour.
+which, after the first rounds, are followed by doubling pointers (target, parity), so
+that a line of n similar neighbours takes about log n steps.  A covered value joins its
+lowest leader neighbour.
 
 C2 (first fit): a value joins the first cluster holding any similar earlier
 value.  Its label is the minimum label over earlier neighbours (its own rank
@@ -33,6 +33,7 @@ from canonspark.operators.rank import row_number_within
 from canonspark.session import ensure_checkpoint_dir
 
 NODE = ["group_key", "v"]
+CHAIN_FROM = 3  # rounds without looking for chains; most graphs need no more
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -85,29 +86,27 @@ def _chains(single: DataFrame) -> DataFrame:
 
 def leader_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ).
-    Every round decides at least the lowest value left of each group."""
-    live, left, leaders = edges, _ckpt(_ends(edges)), None
-    while not left.isEmpty():
+    Every round decides at least the lowest value left of each group.  Whoever is never
+    covered leads, so the covered values are all that is kept of a round."""
+    live, covered = edges, []
+    while not live.isEmpty():
         low = live.groupBy("group_key", "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"))
-        free = left.join(low.select(*NODE), NODE, "left_anti")
-        single = _ckpt(low.where("n = 1").select("group_key", "v", "u"))
-        if not single.join(single.select("group_key", F.col("v").alias("u")), ["group_key", "u"], "left_semi").isEmpty():
-            # somewhere a chain is longer than one step
-            ends = _chains(single).join(free.withColumnRenamed("v", "root"), ["group_key", "root"], "left_semi")
-            free = free.unionByName(ends.where("not odd").select(*NODE))
-        lead = _ckpt(free)
-        leaders = lead if leaders is None else leaders.unionByName(lead)
-        covered = live.join(lead.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi").select(*NODE)
-        gone = _ckpt(lead.unionByName(covered).distinct())
-        left = _ckpt(left.join(gone, NODE, "left_anti"))
-        live = _ckpt(live.join(gone, NODE, "left_anti")
-                     .join(gone.withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti"))
-    if leaders is None:
+        lead = live.select("group_key", F.col("u").alias("v")).distinct().join(low.select(*NODE), NODE, "left_anti")
+        if len(covered) >= CHAIN_FROM:
+            single = _ckpt(low.where("n = 1").select("group_key", "v", "u"))
+            ends = _chains(single).join(lead.withColumnRenamed("v", "root"), ["group_key", "root"], "left_semi")
+            lead = lead.unionByName(ends.where("not odd").select(*NODE))
+        covered.append(_ckpt(live.join(lead.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi")
+                             .select(*NODE).distinct()))
+        live = _ckpt(live.join(covered[-1], NODE, "left_anti")
+                     .join(covered[-1].withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti"))
+    if not covered:
         return nodes.withColumn("leader", F.col("occ"))
-    cover = (edges.join(leaders.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi")
-             .groupBy("group_key", "v").agg(F.min("u").alias("lab"))
-             # a leader has no leader among its lower neighbours
-             .join(leaders, NODE, "left_anti"))
+    every = covered[0]
+    for c in covered[1:]:
+        every = every.unionByName(c)
+    cover = (edges.join(every.withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti")
+             .groupBy("group_key", "v").agg(F.min("u").alias("lab")))
     return _labelled(nodes, cover)
 
 

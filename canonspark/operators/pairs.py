@@ -28,8 +28,9 @@ A text's *marks* are its characters with a running number (the second ``e`` is
   texts with a common word are results, and the join on words has no others.
 
 A threshold of 0 or less links everything; then the pairs of a group are the
-result.  Skewed keys are split by adaptive execution (both sides of every join
-are plain shuffles).
+result.  Hot keys are found by a frequency sketch before the join and dealt into cells;
+what else is skewed is split by adaptive execution (both sides of every join are
+plain shuffles).
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from canonspark.session import ensure_checkpoint_dir
 INDEL_FAMILY = {"ratio", "QRatio", "token_sort_ratio"}
 # subset size by the length of the longer text: rare marks say less in long texts
 SUBSET_STEPS = ((12, 3), (24, 2))
+HOT_KEYS, CELL_ROWS = 1000, 4000  # hot keys that are told apart; rows of one side of a cell
 SLACK = 1e-9  # thresholds may be fractions; a need is never rounded up past its value
 
 
@@ -61,39 +63,66 @@ def _marks(c: Column) -> Column:
 
 
 def _with_marks(nodes: DataFrame, key: Column) -> DataFrame:
-    """Texts with their marks ordered by group frequency, rarest first."""
+    """Texts with their marks as numbers: a mark's place in its group, rarest first."""
     base = nodes.select("group_key", "norm", "occ", key.alias("k")).withColumn("len", F.length("k"))
     marked = base.where("len > 0").select("group_key", "norm", "occ", "k", "len", F.explode(_marks(F.col("k"))).alias("m"))
-    freq = marked.groupBy("group_key", "m").agg(F.count(F.lit(1)).alias("f"))
+    # a group has as many marks as its characters and their repetitions in one text
+    place = F.row_number().over(Window.partitionBy("group_key").orderBy("f", "m"))
+    freq = (marked.groupBy("group_key", "m").agg(F.count(F.lit(1)).alias("f")).withColumn("r", place)
+            .select("group_key", "m", "r"))
     ordered = (marked.join(freq, ["group_key", "m"])
-               .groupBy("group_key", "norm", "occ", "k", "len")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda s: s["m"]).alias("marks")))
-    empty = base.where("len = 0").withColumn("marks", F.expr("cast(array() as array<string>)"))
+               .groupBy("group_key", "norm", "occ", "k", "len").agg(F.array_sort(F.collect_list("r")).alias("marks")))
+    empty = base.where("len = 0").withColumn("marks", F.expr("cast(array() as array<int>)"))
     ensure_checkpoint_dir(nodes.sparkSession)
     return ordered.unionByName(empty).checkpoint(eager=True)
 
 
 def _subsets(marks: Column, size: Column) -> Column:
-    """All subsets of 0, 1, 2 or 3 marks in order, as text."""
+    """All subsets of 0, 1, 2 or 3 marks in order."""
     n = F.size(marks)
 
     def upto(first: Column, body) -> Column:
         return F.flatten(F.transform(F.when(first <= n, F.sequence(first, n)).otherwise(
             F.expr("cast(array() as array<int>)")), body))
 
-    one = F.transform(marks, lambda x: x)
+    one = F.transform(marks, lambda x: F.array(x))
     two = upto(F.lit(1), lambda i: F.transform(
-        F.slice(marks, i + 1, n), lambda y: F.concat(F.element_at(marks, i), F.lit("|"), y)))
+        F.slice(marks, i + 1, n), lambda y: F.array(F.element_at(marks, i), y)))
     three = upto(F.lit(1), lambda i: F.flatten(F.transform(
         F.when(i + 1 <= n, F.sequence(i + 1, n)).otherwise(F.expr("cast(array() as array<int>)")),
-        lambda j: F.transform(F.slice(marks, j + 1, n), lambda z: F.concat(
-            F.element_at(marks, i), F.lit("|"), F.element_at(marks, j), F.lit("|"), z)))))
-    return (F.when(size == 0, F.array(F.lit(""))).when(size == 1, one).when(size == 2, two).otherwise(three))
+        lambda j: F.transform(F.slice(marks, j + 1, n), lambda z: F.array(
+            F.element_at(marks, i), F.element_at(marks, j), z)))))
+    return (F.when(size == 0, F.array(F.expr("cast(array() as array<int>)")))
+            .when(size == 1, one).when(size == 2, two).otherwise(three))
 
 
 def _first_subset(a: Column, b: Column, size: Column) -> Column:
     """The first common subset of two mark lists in the same order."""
-    return F.array_join(F.slice(F.array_intersect(a, b), F.lit(1), size), "|")
+    return F.slice(F.array_intersect(a, b), F.lit(1), size)
+
+
+def _cells(a: DataFrame, b: DataFrame, keys: list[str], texts: int) -> DataFrame:
+    """``a`` joined to ``b`` on ``keys``.  A mergeable sketch of frequent items names the hot keys
+    (at most ``HOT_KEYS``); both sides of such a key are dealt into parts, and every pair
+    of parts is a cell of its own, in which each pair of rows meets once.  A text has a
+    key once, so no key has more rows than there are ``texts``."""
+    if texts <= CELL_ROWS:
+        return a.join(b, keys)
+    h = F.xxhash64(*keys)
+    both = a.select(h.alias("h")).unionByName(b.select(h.alias("h")))
+    top = both.agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {16 * HOT_KEYS})").alias("t")).first()["t"] or []
+    hot = {r["item"]: -(-r["count"] // (2 * CELL_ROWS)) for r in top if r["count"] > 2 * CELL_ROWS}
+    if not hot:
+        return a.join(b, keys)
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), h), F.lit(1).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        return (side.withColumn("_parts", parts)
+                .withColumn(own, F.pmod(F.xxhash64(*side.columns), F.col("_parts")))
+                .withColumn(other, every).drop("_parts"))
+
+    return dealt(a, "_i", "_j").join(dealt(b, "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
 def _need(t: float, total: Column) -> Column:
@@ -125,7 +154,7 @@ def _everything(nodes: DataFrame) -> DataFrame:
     return a.join(b, "group_key").where("a < b").select("group_key", "a", "b", "ua", "ub")
 
 
-def _pairs_indel(nodes: DataFrame, key: Column, t: float, in_order: bool = True) -> DataFrame:
+def _pairs_indel(nodes: DataFrame, key: Column, t: float, texts: int, in_order: bool = True) -> DataFrame:
     """Pairs that an Indel score >= t of ``key`` allows, each once; not ``in_order``:
     of the words of ``key`` in any order."""
     if t > 100 + SLACK:
@@ -148,7 +177,7 @@ def _pairs_indel(nodes: DataFrame, key: Column, t: float, in_order: bool = True)
         "group_key", "key", F.col("other").alias("la"), F.col("len").alias("lb"),
         F.col("norm").alias("b"), F.col("occ").alias("ub"), F.col("k").alias("kb"),
         F.col("head").alias("hb"), F.col("marks").alias("mb"))
-    j = a.join(b, ["group_key", "key", "la", "lb"])
+    j = _cells(a, b, ["group_key", "key", "la", "lb"], texts)
     j = (j.where((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b")))
          .where(_first_subset(F.col("ha"), F.col("hb"), F.col("m")) == F.col("key"))
          .where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")))
@@ -158,7 +187,7 @@ def _pairs_indel(nodes: DataFrame, key: Column, t: float, in_order: bool = True)
     return _oriented(j)
 
 
-def _pairs_partial(nodes: DataFrame, key: Column, t: float) -> DataFrame:
+def _pairs_partial(nodes: DataFrame, key: Column, t: float, texts: int) -> DataFrame:
     """Pairs that a partial score >= t of ``key`` allows, each once."""
     if t > 100 + SLACK:
         return _oriented(_everything(nodes).limit(0))
@@ -177,8 +206,8 @@ def _pairs_partial(nodes: DataFrame, key: Column, t: float) -> DataFrame:
                     F.col("len").alias("lb"), F.col("norm").alias("b"), F.col("occ").alias("ub"),
                     F.col("marks").alias("mb")))
     # an empty text scores against an empty text only
-    long = long.where("key != '' or lb = 0")
-    j = (short.join(long, ["group_key", "key"])
+    long = long.where("size(key) > 0 or lb = 0")
+    j = (_cells(short, long, ["group_key", "key"], texts)
          .where((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
          .where(_first_subset(F.col("ha"), F.col("mb"), F.col("m")) == F.col("key"))
          .where(F.size(F.array_intersect("ma", "mb")) >= F.col("need")))
@@ -190,17 +219,17 @@ def _words(nodes: DataFrame) -> DataFrame:
     return w.where(F.size("words") > 0)
 
 
-def _pairs_shared_word(nodes: DataFrame) -> DataFrame:
+def _pairs_shared_word(nodes: DataFrame, texts: int) -> DataFrame:
     """Pairs with a common word, each at its first common word."""
     w = _words(nodes).withColumn("words", F.sort_array("words"))
     tok = w.withColumn("key", F.explode("words"))
     a = tok.select("group_key", "key", F.col("norm").alias("a"), F.col("occ").alias("ua"), F.col("words").alias("wa"))
     b = tok.select("group_key", "key", F.col("norm").alias("b"), F.col("occ").alias("ub"), F.col("words").alias("wb"))
-    return _oriented(a.join(b, ["group_key", "key"]).where("a < b")
+    return _oriented(_cells(a, b, ["group_key", "key"], texts).where("a < b")
                      .where(F.element_at(F.array_intersect("wa", "wb"), 1) == F.col("key")))
 
 
-def _pairs_covered(nodes: DataFrame, t: float) -> DataFrame:
+def _pairs_covered(nodes: DataFrame, t: float, texts: int) -> DataFrame:
     """Pairs whose common words cover ``t / (200 - t)`` of one text's word list."""
     if t > 100 + SLACK:
         return _oriented(_everything(nodes).limit(0))
@@ -218,7 +247,7 @@ def _pairs_covered(nodes: DataFrame, t: float) -> DataFrame:
               .withColumn("leads", F.col("ahead") <= (1 - share) * (F.col("all") - 1) + SLACK))
     a = placed.where("leads").select("group_key", "key", F.col("norm").alias("a"), F.col("occ").alias("ua"))
     b = placed.select("group_key", "key", F.col("norm").alias("b"), F.col("occ").alias("ub"))
-    return _oriented(a.join(b, ["group_key", "key"]).where("a != b"))
+    return _oriented(_cells(a, b, ["group_key", "key"], texts).where("a != b"))
 
 
 def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFrame:
@@ -227,6 +256,7 @@ def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFram
     t = float(threshold)
     if t <= 0:
         return _oriented(_everything(nodes))
+    texts = nodes.count()
     norm, in_order = F.col("norm"), T.sorted_tokens(F.col("norm"))
     distinct = F.array_join(F.sort_array(F.array_distinct(T.words(F.col("norm")))), " ")
 
@@ -237,29 +267,29 @@ def candidate_pairs(nodes: DataFrame, scorer: str, threshold: float) -> DataFram
         return out.dropDuplicates(["group_key", "a", "b"])
 
     if scorer in ("ratio", "QRatio"):
-        return _pairs_indel(nodes, norm, t)
+        return _pairs_indel(nodes, norm, t, texts)
     if scorer == "token_sort_ratio":
-        return _pairs_indel(nodes, in_order, t)
+        return _pairs_indel(nodes, in_order, t, texts)
     if scorer == "token_set_ratio":
-        return union(_pairs_indel(nodes, distinct, t, False), _pairs_covered(nodes, t))
+        return union(_pairs_indel(nodes, distinct, t, texts, False), _pairs_covered(nodes, t, texts))
     if scorer == "token_ratio":
-        return union(_pairs_indel(nodes, distinct, t, False), _pairs_covered(nodes, t), _pairs_indel(nodes, in_order, t))
+        return union(_pairs_indel(nodes, distinct, t, texts, False), _pairs_covered(nodes, t, texts), _pairs_indel(nodes, in_order, t, texts))
     if scorer == "partial_ratio":
-        return _pairs_partial(nodes, norm, t)
+        return _pairs_partial(nodes, norm, t, texts)
     if scorer == "partial_token_sort_ratio":
-        return _pairs_partial(nodes, in_order, t)
+        return _pairs_partial(nodes, in_order, t, texts)
     if scorer == "partial_token_set_ratio":
-        return union(_pairs_shared_word(nodes), _pairs_partial(nodes, distinct, t))
+        return union(_pairs_shared_word(nodes, texts), _pairs_partial(nodes, distinct, t, texts))
     if scorer == "partial_token_ratio":
-        return union(_pairs_shared_word(nodes), _pairs_partial(nodes, distinct, t), _pairs_partial(nodes, in_order, t))
+        return union(_pairs_shared_word(nodes, texts), _pairs_partial(nodes, distinct, t, texts), _pairs_partial(nodes, in_order, t, texts))
     # WRatio: the largest of scaled scores; a scaled score needs a higher one of its own
     token, part = t / S.UNBASE_SCALE, t / S.PARTIAL_SCALE
     both = part / S.UNBASE_SCALE
-    parts = [_pairs_indel(nodes, norm, t), _pairs_indel(nodes, distinct, token, False), _pairs_covered(nodes, token),
-             _pairs_indel(nodes, in_order, token), _pairs_partial(nodes, norm, part),
-             _pairs_partial(nodes, distinct, both), _pairs_partial(nodes, in_order, both)]
+    parts = [_pairs_indel(nodes, norm, t, texts), _pairs_indel(nodes, distinct, token, texts, False), _pairs_covered(nodes, token, texts),
+             _pairs_indel(nodes, in_order, token, texts), _pairs_partial(nodes, norm, part, texts),
+             _pairs_partial(nodes, distinct, both, texts), _pairs_partial(nodes, in_order, both, texts)]
     if both <= 100 + SLACK:
-        parts.append(_pairs_shared_word(nodes))
+        parts.append(_pairs_shared_word(nodes, texts))
     return union(*parts)
 
 

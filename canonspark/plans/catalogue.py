@@ -126,6 +126,24 @@ def q_profile_orders(spark, sf):
     return PF.profile_columns(o, columns=ORDERS_PROFILE_COLS)
 
 
+SPELLED_COLS = ["key", "size", "price", "brand"]
+_SPELLED_SQL = """SELECT p_partkey AS row_id, CAST(p_partkey AS VARCHAR) AS "key",
+  CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '0' || p_size WHEN 2 THEN p_size || '.0'
+       ELSE p_size || '.00' END AS size,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_partkey % 7 AS VARCHAR) END AS price, p_brand AS brand FROM part"""
+
+
+@query("profile_csv_spellings", _profile_sql(f"""(SELECT row_id, key, CAST(CAST(size AS DOUBLE) AS VARCHAR) AS size,
+  CAST(CAST(price AS DOUBLE) AS VARCHAR) AS price, brand FROM ({_SPELLED_SQL}) t)""", "row_id", SPELLED_COLS))
+def q_profile_csv_spellings(spark, sf):
+    """A CSV in which one number is spelled in several ways, and integers with gaps."""
+    TB.register(spark, sf, ("part",))
+    path = _scratch(spark, "spelled")
+    TB.write_table(spark.sql(_SPELLED_SQL.replace('"key"', "key").replace("VARCHAR", "STRING")), path, "csv")
+    raw = PF.merged_spellings(CSV.read_csv(spark, path), ["row_id", *SPELLED_COLS])
+    return PF.profile_columns(raw.withColumn("row_id", F.col("row_id").cast("long")), columns=SPELLED_COLS)
+
+
 @query("preview_rows", """
 SELECT c_custkey AS row_id, coalesce(CAST(c_custkey AS VARCHAR), '') AS c_custkey,
        coalesce(c_name, '') AS c_name, coalesce(CAST(c_nationkey AS VARCHAR), '') AS c_nationkey,
@@ -830,6 +848,20 @@ def q_stream_apply_map(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("stream_learn_clusters", _clusters_sql(O.melt_sql(TB.MESSY_PART_SQL, ["name_a"], None), "direct", "leader"))
+def q_stream_learn_clusters(spark, sf):
+    """The messy names as a stream of two files; unseen values join or open clusters as they come."""
+    from canonspark.streaming import learn_stream as LS
+    base = _scratch(spark, "learn")
+    raw = TB.messy_part(spark, sf).select("row_id", "name_a")
+    half = raw.agg(F.expr("percentile_approx(row_id, 0.5)")).first()[0]
+    for part in (raw.where(F.col("row_id") <= half), raw.where(F.col("row_id") > half)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    LS.learn(stream, "name_a", "row_id", f"{base}/state", f"{base}/_checkpoint")
+    return LS.clusters(spark, f"{base}/state").select("group_key", "norm", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
 def _exact_sql(long_sql: str) -> str:
     return f"""WITH RECURSIVE {O.node_ctes(long_sql, 'direct')}, {O.edge_ctes('ratio', 75)},
 occs AS MATERIALIZED (SELECT group_key, norm, okey,

@@ -102,3 +102,36 @@ def test_any_threshold_with_repeated_words(spark, seed, threshold, scorer):
 def test_threshold_zero_links_everything(spark):
     vals = ["a", "bc", "", "xyz"]
     assert PR.fuzzy_edges(_nodes(spark, vals), "ratio", 0).count() == 6
+
+
+def test_hot_keys_are_dealt_into_cells(spark, monkeypatch):
+    """A group in which half of the texts share their rarest characters: equal edges, and no
+    task of the join with more than twice the median's pairs."""
+    rng = random.Random(9)
+    vals = sorted({"zqx" + "".join(rng.choices("abcdefghij", k=4)) for _ in range(150)} |
+                  {"".join(rng.choices("klmnop", k=6)) for _ in range(150)})
+    nodes = _nodes(spark, vals)
+    for scorer in ("ratio", "partial_ratio", "token_set_ratio"):
+        want = {(r.a, r.b) for r in PR.fuzzy_edges(nodes, scorer, 70).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(PR, "CELL_ROWS", 20)
+            got = [(r.a, r.b) for r in PR.fuzzy_edges(nodes, scorer, 70).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, scorer
+
+
+def test_cells_are_even(spark, monkeypatch):
+    monkeypatch.setattr(PR, "CELL_ROWS", 50)
+    rows = [(1, i) for i in range(1600)] + [(k, i) for k in range(2, 60) for i in range(20)]
+    a = spark.createDataFrame(rows, "key int, x int")
+    b = a.withColumnRenamed("x", "y")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        j = PR._cells(a.hint("merge"), b.hint("merge"), ["key"], len(rows))
+        per = sorted(r[0] for r in j.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).select("n").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sum(per) == 1600 * 1600 + 58 * 400
+    assert len(per) >= 28 and per[-1] <= 2 * per[len(per) // 2]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from canonspark.functions import similarity as S
 from canonspark.operators import entity as EN
 from canonspark.operators import kmeans as KM
+from canonspark.operators import reshape as R
 from canonspark.plans import cleaning as CL
 from canonspark.sources import csv as CSV
 from canonspark.sources import history as H
@@ -337,3 +338,20 @@ def test_stream_equals_batch(spark):
     got = {(r.row_id, r.name_cleaned) for r in spark.read.parquet(os.path.join(d, "out")).collect()}
     want = {(r.row_id, r.name_cleaned) for r in ST.clean_column(raw, vmap, "name").collect()}
     assert got == want == {(0, "acme"), (1, "acme"), (2, "zed")}
+
+
+def test_learning_stream_equals_batch_and_a_batch_may_run_again(spark, tmp_path):
+    import random
+    from canonspark.streaming import learn_stream as LS
+    rng = random.Random(5)
+    base = ["small ring", "red gear", "blue bolt", "hot rod", "anvil"]
+    vals = [(lambda b, k: b[:k] + rng.choice("xyz") + b[k:])(rng.choice(base), rng.randrange(5)) for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate([*vals, None, " ", "!!", "Small Ring", "small ring!"])]
+    raw = spark.createDataFrame(rows, "row_id long, name string")
+    state = f"{tmp_path}/state"
+    parts = [raw.where("row_id < 20"), raw.where("row_id between 20 and 45"), raw.where("row_id > 45")]
+    for i in (0, 1, 1, 2):                       # batch 1 runs again
+        LS.learn_batch(parts[i], i, "name", "row_id", state)
+    got = {r.norm: r.cluster_id for r in LS.clusters(spark, state).collect()}
+    want = CL._cluster("direct", ["name"], raw, R.melt(raw, ["name"]), None, "ratio", 75, "leader", None, False)
+    assert got == {r.norm: r.cluster_id for r in want.clustered.collect()}
