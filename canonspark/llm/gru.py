@@ -74,6 +74,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Overwrites x."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
 def _target_log_p(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log softmax at one place of every row; overwrites x."""
     at = x[np.arange(len(x)), target]
@@ -97,26 +105,35 @@ def lanes_of(lengths: np.ndarray, count: int) -> list[list[int]]:
     return lanes
 
 
-def streams(docs: list[np.ndarray], count: int):
-    """Lanes as matrices (time x lane): word before, word, document; -1 where a lane
-    has ended.  The word before a document's first is the end mark, number 0."""
-    lengths = np.array([len(d) for d in docs])
-    lanes = lanes_of(lengths, count)
-    lanes.sort(key=lambda lane: -sum(lengths[i] for i in lane))
-    height = sum(lengths[i] for i in lanes[0])
-    word = np.full((height, len(lanes)), -1, dtype=np.int32)
-    before = np.zeros((height, len(lanes)), dtype=np.int32)
-    doc = np.full((height, len(lanes)), -1, dtype=np.int32)
-    for j, lane in enumerate(lanes):
-        at = 0
-        for i in lane:
-            d = docs[i]
-            word[at : at + len(d), j] = d
-            before[at + 1 : at + len(d), j] = d[:-1]
-            before[at, j] = -1  # reset
-            doc[at : at + len(d), j] = i
-            at += len(d)
-    return before, word, doc
+class Streams:
+    """Documents in lanes, read window by window: memory is that of the documents and
+    of one window, however long a lane is."""
+
+    def __init__(self, docs: list[np.ndarray], count: int):
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        lanes = lanes_of(lengths, count)
+        lanes.sort(key=lambda lane: -sum(lengths[i] for i in lane))
+        order = np.array([i for lane in lanes for i in lane])
+        self.words = np.concatenate([docs[i] for i in order]).astype(np.int32)
+        self.doc = np.repeat(order.astype(np.int32), lengths[order])
+        self.first = np.zeros(len(self.words), dtype=bool)
+        self.first[np.cumsum(lengths[order]) - lengths[order]] = True
+        self.length = np.array([sum(lengths[i] for i in lane) for lane in lanes], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def windows(self, steps: int):
+        """Matrices (time x live lane): word before, word, document; -1 where a lane has
+        ended and, for the word before, where a document starts (its state is reset
+        and the end mark, number 0, stands before it)."""
+        for t in range(0, int(self.length[0]), steps):
+            live = int((self.length > t).sum())  # lanes are sorted by length
+            time = np.arange(t, min(t + steps, int(self.length[0])))[:, None]
+            inside = time < self.length[:live]
+            at = np.where(inside, self.start[:live] + time, 0)
+            word = np.where(inside, self.words[at], -1)
+            before = np.where(inside, self.words[np.maximum(at - 1, 0)], 0)
+            before[self.first[at] & inside] = -1
+            yield before, word, np.where(inside, self.doc[at], -1)
 
 
 class Model:
@@ -130,13 +147,14 @@ class Model:
         p, n = self.p, self.shape.hidden
         table = p["E"] @ p["W"] + p["b"]
         u, v = p["U"], p["V"]
+        given = table[np.maximum(before, 0)]
         out = np.empty((*before.shape, n), dtype=np.float32)
         saved = []
         for t in range(len(before)):
             fresh = before[t] < 0
             if fresh.any():
                 h = np.where(fresh[:, None], np.float32(0), h)
-            x = table[np.maximum(before[t], 0)]
+            x = given[t]
             gate = _sigmoid(x[:, : 2 * n] + h @ u)
             z, r = gate[:, :n], gate[:, n:]
             rh = r * h
@@ -181,22 +199,20 @@ class Model:
                 lp[order[a:b]] += _target_log_p(flat[a:b] @ p["O"][k] + p["o"][k], member[a:b])
         return lp
 
-    def score(self, docs: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 64) -> np.ndarray:
         """Natural log P of whole documents (arrays of numbers, not empty)."""
         total = np.zeros(len(docs))
         if not docs:
             return total
-        before, word, doc = streams(docs, lanes)
-        h = np.zeros((word.shape[1], self.shape.hidden), dtype=np.float32)
-        for t in range(0, len(word), steps):
-            live = int((word[t] >= 0).sum())  # lanes are sorted by length
-            w, d = word[t : t + steps, :live], doc[t : t + steps, :live]
-            out, h, _ = self._steps(before[t : t + steps, :live], h[:live], False)
-            ok = w >= 0
-            total += np.bincount(d[ok], weights=self.score_p(out[ok], w[ok]), minlength=len(docs))
+        lane = Streams(docs, lanes)
+        h = np.zeros((len(lane.length), self.shape.hidden), dtype=np.float32)
+        for before, word, doc in lane.windows(steps):
+            out, h, _ = self._steps(before, h[: word.shape[1]], False)
+            ok = word >= 0
+            total += np.bincount(doc[ok], weights=self.score_p(out[ok], word[ok]), minlength=len(docs))
         return total
 
-    def train(self, docs: list[np.ndarray], lanes: int = 256, steps: int = 16, rate: float = 0.1,
+    def train(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 16, rate: float = 0.1,
               memory: dict[str, np.ndarray] | None = None) -> int:
         """One pass of truncated back-propagation with Adagrad; words learned from.
         Few words run in fewer lanes, so that they give updates enough."""
@@ -204,64 +220,72 @@ class Model:
             return 0
         lanes = min(lanes, max(8, sum(map(len, docs)) // 1000))
         memory = memory if memory is not None else {}
-        before, word, _ = streams(docs, lanes)
-        h = np.zeros((word.shape[1], self.shape.hidden), dtype=np.float32)
-        for t in range(0, len(word), steps):
-            live = int((word[t] >= 0).sum())
-            w, b = word[t : t + steps, :live], before[t : t + steps, :live]
-            states, h_end, saved = self._steps(b, h[:live], True)
-            grads = self._back(b, w, states, saved)
+        lane, learned = Streams(docs, lanes), 0
+        h = np.zeros((len(lane.length), self.shape.hidden), dtype=np.float32)
+        for before, word, _ in lane.windows(steps):
+            states, h_end, saved = self._steps(before, h[: word.shape[1]], True)
+            grads = self._back(before, word, states, saved)
             h = h_end
-            weight = np.float32(np.sqrt((w >= 0).sum() / (steps * word.shape[1])))
+            known = int((word >= 0).sum())
+            learned += known
+            weight = np.float32(np.sqrt(known / (steps * len(lane.length))))
             for k, g in grads.items():
                 g = np.clip(g * weight, -1, 1)
                 m = memory.setdefault(k, np.full(g.shape, 1e-2, dtype=np.float32))
                 m += g * g
                 self.p[k] -= (rate * g / np.sqrt(m)).astype(np.float32)
-        return int((word >= 0).sum())
+        return learned
 
     def _back(self, before, word, states, saved) -> dict[str, np.ndarray]:
         s, p, n = self.shape, self.p, self.shape.hidden
         ok = word >= 0
-        flat = states[ok]
-        lp, cls, lc, within = self.log_p(flat, word[ok])
+        flat, target = states[ok], word[ok]
+        cls = np.where(target < s.short, target // s.per_class, target - s.short + s.short_classes)
         scale = np.float32(1.0 / np.sqrt(max(1, len(flat))))
-        dc = np.exp(lc)
+        dc = _softmax(flat @ p["C"] + p["c"])
         dc[np.arange(len(cls)), cls] -= 1
         dc *= scale
         g = {"C": flat.T @ dc, "c": dc.sum(axis=0), "O": np.zeros_like(p["O"]), "o": np.zeros_like(p["o"])}
         df = dc @ p["C"].T
-        for k, rows, lw, m in within:
-            dw = np.exp(lw)
-            dw[np.arange(len(rows)), m] -= 1
-            dw *= scale
-            g["O"][k], g["o"][k] = flat[rows].T @ dw, dw.sum(axis=0)
-            df[rows] += dw @ p["O"][k].T
+        # rows of one class lie together
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(s.short_classes + 1))
+        of_class, member = flat[order], target[order] % s.per_class
+        inner = np.zeros_like(of_class)
+        for k in range(s.short_classes):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                dw = _softmax(of_class[a:b] @ p["O"][k] + p["o"][k])
+                dw[np.arange(b - a), member[a:b]] -= 1
+                dw *= scale
+                g["O"][k], g["o"][k] = of_class[a:b].T @ dw, dw.sum(axis=0)
+                inner[a:b] = dw @ p["O"][k].T
+        df[order] += inner
         dstates = np.zeros_like(states)
         dstates[ok] = df
-        du, dv = np.zeros_like(p["U"]), np.zeros_like(p["V"])
         dx = np.zeros((*before.shape, 3 * n), dtype=np.float32)
         dh = np.zeros_like(states[0])
+        ut, vt = np.ascontiguousarray(p["U"].T), np.ascontiguousarray(p["V"].T)
         for t in range(len(before) - 1, -1, -1):
             h, z, r, rh, cand = saved[t]
             d = dstates[t] + dh
-            dcand = d * (1 - z) * (1 - cand * cand)
-            dz = d * (h - cand) * z * (1 - z)
-            drh = dcand @ p["V"].T
-            dr = drh * h * r * (1 - r)
-            dg = np.concatenate([dz, dr], axis=1)
-            du += h.T @ dg
-            dv += rh.T @ dcand
+            dz = d * z
+            dcand = (d - dz) * (1 - cand * cand)
+            drh = dcand @ vt
+            dr = drh * r
+            dg = np.concatenate([(dz - dz * z) * (h - cand), (dr - dr * r) * h], axis=1)
             dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dg, dcand
-            dh = d * z + drh * r + dg @ p["U"].T
+            dh = dz + dr + dg @ ut
             dh[before[t] < 0] = 0
-        at = np.maximum(before, 0).ravel()
+        # the recurrent weights from all steps at once
+        held, mixed = (np.concatenate([x[i] for x in saved]) for i in (0, 3))
         flat_dx = dx.reshape(-1, 3 * n)
+        g["U"], g["V"] = held.T @ flat_dx[:, : 2 * n], mixed.T @ flat_dx[:, 2 * n :]
+        at = np.maximum(before, 0).ravel()
         order = np.argsort(at, kind="stable")
         firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
         by_word = np.zeros((len(p["E"]), 3 * n), dtype=np.float32)
         by_word[at[order][firsts]] = np.add.reduceat(flat_dx[order], firsts, axis=0)
         g["b"] = by_word.sum(axis=0)
         g["W"], g["E"] = p["E"].T @ by_word, by_word @ p["W"].T
-        g["U"], g["V"] = du, dv
         return g

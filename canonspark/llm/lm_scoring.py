@@ -5,14 +5,16 @@
 2. *Head.*  The most frequent words, at most ``head`` of them, travel to the
    tasks; the first ``short`` are the network's short list, the others lie in
    classes of about equal mass.  All words beyond the head are one class.
-3. *Training.*  The network (see ``gru``) learns from all training documents, on
-   every partition from the same weights; the weights are averaged by words
-   learned, for ``rounds`` rounds.
-4. *Scoring.*  One pass over the texts, every document whole, with its state
-   carried across windows.  A word is charged its class and, inside the class,
-   its output (short list) or its share of the counts.  Words beyond the head are
-   given out with their number in the document and joined with the counts, which
-   adds their part of both scores.
+3. *Coding.*  One pass splits the texts and writes them as the network's numbers.
+   Words beyond the head are given out with their number in the document and
+   joined with the counts, which adds their part of both scores.
+4. *Training.*  The network (see ``gru``) learns from all training documents.  They are
+   dealt to shards by hash, one for every ``SHARD_WORDS`` words, and read in a fixed
+   order; each shard starts with the same weights, and the results are averaged by
+   words learned.  So the weights follow from the table, not from its partitions.
+5. *Scoring.*  Every document whole, with its state carried across windows.  A word
+   is charged its class and, inside the class, its output (short list) or its
+   share of the counts.
 
 P(word) = P(class | state) * P(word | class [, state]); inside the last class a
 word has (c + 1) / (sum of c + number of words + 1), an unknown word counts as one
@@ -23,21 +25,25 @@ mark and one unknown word, as the base is.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.llm.gru import Model, Shape, pack, start, unpack
-from canonspark.llm.textops import small_batches, space_words, written
+from canonspark.llm.textops import SPACE_WORD_BYTES, coded_words, encode, small_batches, written
 
 END = b" "            # the end mark; no word holds a space
 HEAD = 100_000        # words that travel to the tasks (about 3 MB)
-ROUNDS = 2            # each over all training documents
-COUNT_LIMIT = 400_000  # distinct words a task counts before it gives them out
+ROUNDS = 1            # each over all training documents
+SHARD_WORDS = 8_000_000  # words that one copy of the network learns from in a row
+BATCH_WORDS = 4_000_000  # words that a task scores at once
+BLOCK = 8_000_000     # bytes of text that are split at once
+COUNT_ROWS = 1_000_000  # counts that a task holds before it gives them out
+FIXED = 1 << 24       # weights are summed in fixed point
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,22 +51,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter[bytes] = Counter()
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bytes, np.ndarray]]:
+    """Rows, their texts put together, and the byte at which each begins."""
     for pdf in batches:
-        for text in pdf["text"]:
-            counts.update(space_words(text))
-            if len(counts) > COUNT_LIMIT:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                counts.clear()
-        counts[END] += len(pdf)
-    if counts:
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        texts = [encode(t) for t in pdf["text"]]
+        sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes[1:] // BLOCK)) + 1).tolist(), len(texts)] if texts else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield pdf.iloc[a:b], b"\n".join(texts[a:b]), sizes[a:b] - sizes[a]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words; those of several blocks are put together before they leave it."""
+    held: list[pa.Table] = []
+
+    def together() -> Iterator[pa.RecordBatch]:
+        if held:
+            t = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            held.clear()
+            yield from t.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=65_536)
+
+    for rows, data, _ in _blocks(batch.to_pandas() for batch in batches):
+        code, _, names = coded_words(data, SPACE_WORD_BYTES)
+        held.append(pa.table({"word": names, "n": pa.array(np.bincount(code, minlength=len(names)), pa.int64())}))
+        held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([len(rows)], pa.int64())}))
+        if sum(map(len, held)) > COUNT_ROWS:
+            yield from together()
+    yield from together()
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word binary, n long)`` of all texts, the end mark included."""
-    return (training.select("text").mapInPandas(_count, "word binary, n long")
+    return (training.select("text").mapInArrow(_count, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -125,76 +148,122 @@ def vocabulary(counts: DataFrame, head: int, shape: Shape) -> Vocabulary:
     return Vocabulary([(bytes(r["word"]), r["n"]) for r in top.collect()], total, size, shape)
 
 
-def _trainer(vocab, weights, shape: Shape, batch_words: int = 400_000):
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
+CODED = "rid long, doc_id long, held_out boolean, shard long, place long, n_tokens long, n_known long, base double, " \
+        "lm double, codes binary, words array<binary>, times array<long>"
+
+
+def _coder(vocab, shards: int):
+    """Texts as the network's numbers, with all that doesn't depend on its state."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(unpack(weights.value, shape), shape)
-        words, memory, docs, waiting = 0, {}, [], 0
+        v = vocab.value
+        base_log = np.log10((v.count + 1) / (v.total + v.size + 1))
+        base_log[-1] = 0.0  # the words beyond the head are joined later
+        share = v.share / math.log(10)
+        end = v.place[END]
+        for rows, data, begins in _blocks(batches):
+            code, starts, names = coded_words(data, SPACE_WORD_BYTES)
+            names = names.to_pylist()
+            at = v.places(names)[code] if names else np.zeros(0, np.int64)
+            doc = np.searchsorted(begins, starts, side="right") - 1
+            docs = len(rows)
+            first = np.searchsorted(doc, np.arange(docs + 1))
+            numbers = v.number[at].astype("<u2")
+            mark = np.array([v.number[end]], "<u2").tobytes()
+            rare = np.flatnonzero(at < 0)
+            pair, times = np.unique(doc[rare] * max(1, len(names)) + code[rare], return_counts=True)
+            of = np.searchsorted(pair // max(1, len(names)), np.arange(docs + 1))
+            word = [names[k] for k in (pair % max(1, len(names))).tolist()]
+            more = ([END], [1]) if end < 0 else ([], [])  # without training documents the end mark is unknown
+            yield pd.DataFrame({
+                "rid": rows["rid"], "doc_id": rows["doc_id"], "held_out": rows["held_out"],
+                "shard": rows["place"] % shards, "place": rows["place"],
+                "n_tokens": np.diff(first) + 1,
+                "n_known": np.bincount(doc[at >= 0], minlength=docs) + int(end >= 0),
+                "base": np.bincount(doc, weights=base_log[at], minlength=docs) + base_log[end],
+                "lm": np.bincount(doc, weights=share[at], minlength=docs) + share[end],
+                "codes": [numbers[a:b].tobytes() + mark for a, b in zip(first, first[1:])],
+                "words": [word[a:b] + more[0] for a, b in zip(of, of[1:])],
+                "times": [times[a:b].tolist() + more[1] for a, b in zip(of, of[1:])]})
+
+    return run
+
+
+def _trainer(weights, shape: Shape):
+    """Rows come shard by shard; each shard learns from the same start."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, memory, docs, waiting, words, shard = None, {}, [], 0, 0, None
+
+        def learn():
+            nonlocal words, docs, waiting
+            words += model.train(docs, memory=memory)
+            docs, waiting = [], 0
+
+        def result() -> pd.DataFrame:
+            # fixed point, so that the sum doesn't depend on its order
+            flat = np.rint(pack(model.p).astype(np.float64) * FIXED).astype(np.int64)
+            return pd.DataFrame({"i": np.arange(len(flat)), "w": flat, "n": words})
+
         for pdf in batches:
-            for text in pdf["text"]:
-                docs.append(vocab.value.numbers([*space_words(text), END]))
+            for own, codes in zip(pdf["shard"], pdf["codes"]):
+                if own != shard:
+                    if model is not None:
+                        learn()
+                        yield result()
+                    model, memory, words, shard = Model(unpack(weights.value, shape), shape), {}, 0, own
+                docs.append(np.frombuffer(codes, "<u2"))
                 waiting += len(docs[-1])
-                if waiting >= batch_words:
-                    words += model.train(docs, memory=memory)
-                    docs, waiting = [], 0
-        words += model.train(docs, memory=memory)
-        if words:
-            flat = pack(model.p).astype(np.float64)
-            yield pd.DataFrame({"i": np.arange(len(flat)), "w": flat * words, "n": words})
+                if waiting >= SHARD_WORDS:
+                    learn()
+        if model is not None:
+            learn()
+            yield result()
 
     return run
 
 
-def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` rounds of averaging; the driver holds one weight
-    vector (about 50,000 numbers) at a time."""
-    spark, shape = training.sparkSession, vocab.shape
+def train(coded: DataFrame, vocab: Vocabulary, shards: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after ``rounds`` rounds of averaging over the shards, by words learned; the
+    driver holds one weight vector (about 50,000 numbers) at a time.  Shards follow
+    from the documents, not from where they lie."""
+    spark, shape = coded.sparkSession, vocab.shape
     flat = pack(start(shape, vocab.word_log_p, vocab.class_log_p))
-    shared = spark.sparkContext.broadcast(vocab)
+    rows = (coded.where("not held_out").select("shard", "place", "doc_id", "codes")
+            .repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "codes"))
     for _ in range(rounds):
         weights = spark.sparkContext.broadcast(flat)
-        rows = (training.select("text").mapInPandas(_trainer(shared, weights, shape), "i long, w double, n double")
-                .groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas())
-        if len(rows):
+        each = small_batches(rows).mapInPandas(_trainer(weights, shape), "i long, w long, n long")
+        got = (each.groupBy("i").agg(F.sum(F.col("w").cast("decimal(20,0)") * F.col("n").cast("decimal(12,0)")).alias("w"),
+                                     F.sum("n").alias("n"))
+               .select("i", (F.col("w").cast("double") / F.col("n") / FIXED).alias("w")).toPandas())
+        if len(got):
             flat = np.zeros(len(flat))
-            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
+            flat[got["i"].to_numpy()] = got["w"].to_numpy()
         weights.unpersist()
     return flat.astype(np.float32)
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, " \
-         "words array<binary>, times array<long>"
-
-
-def _scorer(vocab, weights, shape: Shape, batch_words: int = 500_000):
+def _scorer(weights, shape: Shape):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocab.value
         model = Model(unpack(weights.value, shape), shape)
-        base_log = np.log10((v.count + 1) / (v.total + v.size + 1))
-        base_log[-1] = 0.0  # the words beyond the head are joined later
-        share = v.share / math.log(10)
+        held: list[pd.DataFrame] = []
+        docs: list[np.ndarray] = []
+        waiting = 0
 
-        def finish(rows: list[tuple], docs: list[np.ndarray]) -> pd.DataFrame:
-            lm = model.score(docs) / math.log(10)
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")])
-            out["lm"] += lm
-            return out
+        def finish() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True)
+            rows["lm"] += model.score(docs) / math.log(10)
+            return rows
 
-        rows, docs, waiting = [], [], 0
         for pdf in batches:
-            for rid, doc_id, out_of, text in zip(pdf["rid"], pdf["doc_id"], pdf["held_out"], pdf["text"]):
-                words = [*space_words(text), END]
-                at = v.places(words)
-                beyond = np.flatnonzero(at < 0)
-                rare = Counter([words[i] for i in beyond.tolist()])
-                docs.append(v.number[at])
-                rows.append((rid, doc_id, out_of, len(words), len(words) - len(beyond), float(base_log[at].sum()),
-                             float(share[at].sum()), list(rare), list(rare.values())))
-                waiting += len(words)
-                if waiting >= batch_words:
-                    yield finish(rows, docs)
-                    rows, docs, waiting = [], [], 0
-        if rows:
-            yield finish(rows, docs)
+            held.append(pdf.drop(columns="codes"))
+            docs += [np.frombuffer(c, "<u2") for c in pdf["codes"]]
+            waiting += int(pdf["n_tokens"].sum())
+            if waiting >= BATCH_WORDS:
+                yield finish()
+                held, docs, waiting = [], [], 0
+        if held:
+            yield finish()
 
     return run
 
@@ -215,12 +284,18 @@ def score(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS, shape: S
     training = docs.where(~held_out(F.col("doc_id")))
     counts = written(word_counts(training), "counts")
     vocab = vocabulary(counts, head, shape)
-    flat = train(training, vocab, rounds)
+    # one shard for so many words: a number that follows from the texts alone
+    shards = max(1, math.ceil(vocab.total / SHARD_WORDS))
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
-                       held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = written(rows.mapInPandas(_scorer(sc.broadcast(vocab), sc.broadcast(flat), shape), SCORED), "scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
+                       held_out(F.col("doc_id")).alias("held_out"),
+                       F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"), "text")
+    # written: the texts are split once, training and scoring read numbers
+    coded = written(rows.mapInPandas(_coder(sc.broadcast(vocab), shards), CODED), "coded")
+    flat = train(coded, vocab, shards, rounds)
+    lines = coded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "codes")
+    scored = lines.mapInPandas(_scorer(sc.broadcast(flat), shape), SCORED)
+    rare = coded.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     tail = rare.join(counts, "word", "left").groupBy("rid").agg(
@@ -231,7 +306,7 @@ def score(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS, shape: S
     def plus(c: str, size: float) -> Column:
         return F.col(c) + F.coalesce(F.col("logs") - F.col("times") * size, F.lit(0.0))
 
-    return (scored.drop("words", "times").join(tail, "rid", "left")
+    return (scored.join(tail, "rid", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
                     F.lit(vocab.total).cast("long").alias("train_tokens"),

@@ -47,8 +47,39 @@ def test_every_training_document_is_learned_from(spark):
     v = M.Vocabulary([(b"w%d" % i, 30 - i) for i in range(14)] + [(M.END, 9)], 400, 20, SMALL)
     first = gru.pack(gru.start(SMALL, v.word_log_p, v.class_log_p))
     for doc_id in (1, 2, 3, 4, 5, None):
-        one = spark.createDataFrame([(doc_id, "w1 w2 w3 w1 w2 zz")], "doc_id long, text string").coalesce(1)
-        assert not np.array_equal(M.train(one, v), first), doc_id
+        codes = v.numbers([b"w1", b"w2", b"w3", b"w1", b"w2", b"zz", M.END]).astype("<u2").tobytes()
+        one = spark.createDataFrame([(0, 1, doc_id, False, bytearray(codes))],
+                                    "shard long, place long, doc_id long, held_out boolean, codes binary")
+        assert not np.array_equal(M.train(one, v, 1), first), doc_id
+
+
+def test_score_does_not_depend_on_partitions(spark, monkeypatch):
+    """Several shards, the table in 1, 4 and 8 partitions."""
+    monkeypatch.setattr(M, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = [{r["doc_id"]: r["score"] for r in M.score(docs.repartition(n)).collect()} for n in (1, 4, 8)]
+    for other in got[1:]:
+        assert got[0].keys() == other.keys()
+        assert all(math.isclose(v, other[k], rel_tol=1e-5) for k, v in got[0].items())
+
+
+def test_very_long_text_beside_short_ones():
+    """A million words in one lane and 300 short texts: memory is that of the words and a window."""
+    import tracemalloc
+    v = M.Vocabulary([(b"w%d" % i, 30 - i) for i in range(14)] + [(M.END, 9)], 400, 20, SMALL)
+    model = gru.Model(gru.start(SMALL, v.word_log_p, v.class_log_p), SMALL)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 11, 1_000_000).astype(np.uint16)] + [rng.integers(0, 11, 20).astype(np.uint16)] * 300
+    tracemalloc.start()
+    lane, most = gru.Streams(docs, 512), 0
+    for i, (before, word, doc) in enumerate(lane.windows(64)):
+        if i > 20:
+            break
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200_000_000
+    short = [d[:5000] for d in docs[:3]]
+    assert np.allclose(model.score(short), [model.score([d])[0] for d in short], rtol=1e-4)
 
 
 def test_model_is_a_distribution():
@@ -76,7 +107,7 @@ def test_gradients_equal_differences():
     p = {k: x.astype(np.float64) for k, x in gru.start(SMALL, v.word_log_p, v.class_log_p).items()}
     p["E"] *= 10
     model = gru.Model(p, SMALL)
-    before, word, _ = gru.streams(docs, 2)
+    before, word, _ = next(gru.Streams(docs, 2).windows(100))
     h = np.zeros((word.shape[1], SMALL.hidden))
 
     def loss():
