@@ -3,14 +3,15 @@
 A document is *bad* if its label says low quality or toxic.  Two classifiers
 see different things: one the words of the text (sparse logistic regression
 over word presence, L1) and its shape, the other the page's and the document's
-metadata.  In every round both are fitted, calibrated on a held-back part of the
-labels, and give their most confident unlabelled documents to the other one as
-pseudo-labels.  At the end the calibrated views are combined by a logistic
-regression on the held-back part, and all documents are scored.
-
-Only the fit is bounded: it takes about ``fit_rows`` labelled and ``pool_rows``
-unlabelled documents (whole texts), chosen by a hash of the id.  Scoring is one
-pass over the texts; the metadata of pages is joined by id.
+metadata.  In every round both are fitted and calibrated on a held-back part of the
+labels.  Between rounds both are applied to *all* unlabelled documents, and each
+gives those of which it is most confident to the other one as pseudo-labels.  At
+the end the calibrated views are combined by a logistic regression on the held-back
+part, and all documents are scored.
+
+Only the fit is bounded: it takes about ``fit_rows`` labelled documents (whole texts),
+chosen by a hash of the id, and from each exchange the ``given`` most confident
+documents of each class and view.  All pages of a document are its metadata.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canonspark.llm.textops import alnum_words, encode, small_batches
+from canonspark.llm.textops import ALNUM_WORD_BYTES, alnum_words, coded_words, encode, small_batches, written
 from canonspark.llm.url_filters import host_of
 
-FIT_ROWS, POOL_ROWS = 4000, 2000
+FIT_ROWS = 4000              # labelled documents that the fit takes
 ROUNDS, GIVEN, CONFIDENT = 3, 300, 0.98
+PAGE_LEAST = 5               # documents of the fit that have a page's category, for it to count
+BLOCK = 4_000_000            # bytes of text that are scored at once
 SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 
 
@@ -179,20 +182,22 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def metadata(source: Column, lang: Column, n_chars: Column, host: Column, url: Column) -> Column:
-    """Categories of a document and its page; missing ones are left out."""
+def metadata(source: Column, lang: Column, n_chars: Column) -> Column:
+    """Categories of a document's own columns; missing ones are left out."""
     parts = [F.concat(F.lit(name), value.cast("string")) for name, value in (
-        ("source=", source), ("lang=", lang), ("length=", F.floor(F.log2(n_chars + 1))),
-        ("host=", host), ("suffix=", F.element_at(F.split(host, r"\."), -1)),
-        ("scheme=", F.lower(F.substring_index(url, ":", 1))), ("query=", F.contains(url, F.lit("?"))))]
+        ("source=", source), ("lang=", lang), ("length=", F.floor(F.log2(n_chars + 1))))]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
 def page_metadata(pages: DataFrame, doc_id: Column) -> DataFrame:
-    """One row for each document with a page: host and URL of the first page."""
-    rows = pages.select("page_id", doc_id.alias("doc_id"), host_of(F.col("url")).alias("host"), "url")
-    return rows.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min_by(F.struct("host", "url"), F.struct("page_id", "url")).alias("p")).select("doc_id", "p.host", "p.url")
+    """``(doc_id, category)``, once each: host, suffix, scheme and query of all pages of a document."""
+    host = host_of(F.col("url"))
+    parts = F.array(*[F.concat(F.lit(name), value) for name, value in (
+        ("host=", host), ("suffix=", F.element_at(F.split(host, r"\."), -1)),
+        ("scheme=", F.lower(F.substring_index("url", ":", 1))),
+        ("query=", F.contains("url", F.lit("?")).cast("string")))])
+    rows = pages.select(doc_id.alias("doc_id"), F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("category"))
+    return rows.where("doc_id is not null").distinct()
 
 
 @dataclass
@@ -222,41 +227,45 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), c.flatten()
 
 
-def cotrain(sample: pa.Table, rounds: int = ROUNDS) -> CoTrained:
-    """``sample``: words (64-bit names), shape, meta (texts) and bad (1, 0, null where
-    unlabelled), in a fixed order."""
-    offsets, words = _lists(sample["words"])
-    shape = np.asarray(_lists(sample["shape"])[1], dtype=float).reshape(-1, SHAPE)
-    m_offsets, categories = _lists(sample["meta"])
-    categories = categories.to_pylist()
-    cats = _names(categories)
-    designs = {"text": Design(offsets, np.asarray(words, dtype=np.int64), shape),
-               "meta": Design(m_offsets, cats, np.zeros((len(sample), 1)))}
-    strength = {"text": 2e-4, "meta": 1e-3}
-    y = sample["bad"].to_numpy(zero_copy_only=False).astype(float)
-    known = np.flatnonzero(~np.isnan(y))
-    back = np.sort(np.random.default_rng(5).permutation(known)[: len(known) // 4])  # held back for calibration
-    own = np.setdiff1d(known, back)
-    pool = np.flatnonzero(np.isnan(y))
-    train = {v: dict(zip(own.tolist(), y[own])) for v in designs}
-    model, scale, z = {}, {}, {}
-    for _ in range(max(1, rounds)):
+class CoTraining:
+    """The state of the two views: rows with their features, and which of them each view learns from."""
+
+    def __init__(self, labelled: pa.Table):
+        """``labelled``: words (64-bit names), shape, meta (texts) and bad (1 or 0), in a fixed order."""
+        self.rows = labelled
+        y = labelled["bad"].to_numpy(zero_copy_only=False).astype(float)
+        # held back for calibration
+        self.back = np.sort(np.random.default_rng(5).permutation(len(y))[: len(y) // 4])
+        self.y = y
+        own = np.setdiff1d(np.arange(len(y)), self.back)
+        self.train = {v: dict(zip(own.tolist(), y[own])) for v in ("text", "meta")}
+
+    def give(self, rows: pa.Table, view: list[str]) -> None:
+        """Pseudo-labelled rows (``bad`` is the label) for the views named, row by row."""
+        first = len(self.rows)
+        self.rows = pa.concat_tables([self.rows, rows.select(self.rows.column_names).cast(self.rows.schema)])
+        for i, (v, bad) in enumerate(zip(view, rows["bad"].to_pylist())):
+            self.train[v][first + i] = bad
+
+    def fit(self) -> CoTrained:
+        offsets, words = _lists(self.rows["words"])
+        shape = np.asarray(_lists(self.rows["shape"])[1], dtype=float).reshape(-1, SHAPE)
+        m_offsets, categories = _lists(self.rows["meta"])
+        categories = categories.to_pylist()
+        cats = _names(categories)
+        designs = {"text": Design(offsets, np.asarray(words, dtype=np.int64), shape),
+                   "meta": Design(m_offsets, cats, np.zeros((len(self.rows), 1)))}
+        strength, back = {"text": 2e-4, "meta": 1e-3}, self.back
+        model, scale, z = {}, {}, {}
         for v, design in designs.items():
-            at = np.array(sorted(train[v]), dtype=int)
-            model[v], z[v] = SparseLogit.fit(design, at, np.array([train[v][i] for i in at.tolist()]), strength[v])
-            scale[v] = calibrate(z[v][back][:, None], y[back])
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(z[v] * scale[v][0] + scale[v][1])
-            fresh = np.array([i for i in pool.tolist() if i not in train[other]], dtype=int)
-            for label, sure in ((1.0, p[fresh]), (0.0, 1 - p[fresh])):
-                best = fresh[np.argsort(-sure, kind="stable")[:GIVEN]]
-                given = best[(p[best] if label else 1 - p[best]) >= CONFIDENT]
-                train[other].update(dict.fromkeys(given.tolist(), label))
-    combine = calibrate(np.column_stack([
-        z[v][back] * scale[v][0] + scale[v][1] for v in designs]), y[back])
-    weight = dict(zip(model["meta"].names.tolist(), model["meta"].weights.tolist()))
-    meta_weights = {c: weight[n] for c, n in zip(categories, cats.tolist()) if n in weight}
-    return CoTrained(model["text"], model["meta"], meta_weights, combine, scale["text"], scale["meta"])
+            at = np.array(sorted(self.train[v]), dtype=int)
+            model[v], z[v] = SparseLogit.fit(design, at, np.array([self.train[v][i] for i in at.tolist()]), strength[v])
+            scale[v] = calibrate(z[v][back][:, None], self.y[back])
+        combine = calibrate(np.column_stack([
+            z[v][back] * scale[v][0] + scale[v][1] for v in designs]), self.y[back])
+        weight = dict(zip(model["meta"].names.tolist(), model["meta"].weights.tolist()))
+        meta_weights = {c: weight[n] for c, n in zip(categories, cats.tolist()) if n in weight}
+        return CoTrained(model["text"], model["meta"], meta_weights, combine, scale["text"], scale["meta"])
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,32 +275,93 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "words": [w for w, _ in f], "shape": [s for _, s in f]})
 
 
-def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int = FIT_ROWS,
-        pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> CoTrained:
-    """Fit on about ``fit_rows`` labelled and ``pool_rows`` unlabelled documents.
-    ``labels(doc_id, quality, toxic)``: a null counts as good, contradicting rows as
-    bad; ``pages(doc_id, host, url)``: see ``page_metadata``."""
-    marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(
+def _marked(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(
         ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("double")).alias("bad"))
 
-    def share(df: DataFrame, rows: int, name: str) -> DataFrame:
-        part = rows / max(1, df.count())
-        return df.where(F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(2**32)) < int(2**32 * min(1.0, part)))
-
-    ids = small_batches(documents).select("doc_id").where("doc_id is not null")
-    chosen = share(marked, fit_rows, "fit").unionByName(
-        share(ids, pool_rows, "pool").distinct().join(marked, "doc_id", "left_anti").withColumn(
-            "bad", F.lit(None).cast("double")))
-    # about fit_rows + pool_rows ids by construction
-    sample = F.broadcast(chosen)
-    texts = documents.select("doc_id", "text", "source", "lang", "n_chars").join(sample, "doc_id")
-    rows = (texts.join(pages, "doc_id", "left").select(
-        "doc_id", "text", "bad", metadata(*[F.col(c) for c in ("source", "lang", "n_chars", "host", "url")]).alias("meta"))
-        .mapInPandas(_features, "doc_id long, bad double, meta array<string>, words array<long>, shape array<double>")
-        .toArrow())
+
+def _rows_of(documents: DataFrame, chosen: DataFrame, pages: DataFrame) -> pa.Table:
+    """Features of the documents ``chosen(doc_id, bad)``, a bounded number of them; of
+    rows that repeat an id the one with the smallest text is taken."""
+    few = F.broadcast(chosen)
+    texts = (documents.select("doc_id", "text", "source", "lang", "n_chars").join(few, "doc_id")
+             .groupBy("doc_id", "bad").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")))
+    mine = pages.join(few.select("doc_id"), "doc_id", "left_semi")
+    # categories of hosts that hardly any of these documents has say nothing; so a document's list is bounded
+    known = mine.groupBy("category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGE_LEAST).select("category")
+    lists = mine.join(known, "category").groupBy("doc_id").agg(F.sort_array(F.collect_list("category")).alias("c"))
+    own = metadata(*[F.col(f"d.{c}") for c in ("source", "lang", "n_chars")])
+    rows = (texts.join(lists, "doc_id", "left")
+            .select("doc_id", F.col("d.text").alias("text"), "bad",
+                    F.concat(own, F.coalesce("c", F.expr("cast(array() as array<string>)"))).alias("meta"))
+            .mapInPandas(_features, "doc_id long, bad double, meta array<string>, words array<long>, shape array<double>")
+            .toArrow())
     # an order of its own, whatever the partitions
-    rows = rows.take(pc.sort_indices(rows.select(["doc_id", "bad"]), [("doc_id", "ascending"), ("bad", "ascending")]))
-    return cotrain(rows, rounds)
+    return rows.take(pc.sort_indices(rows.select(["doc_id", "bad"]), [("doc_id", "ascending"), ("bad", "ascending")]))
+
+
+def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int = FIT_ROWS,
+        rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
+    """Fit on about ``fit_rows`` labelled documents and, after each of ``rounds`` - 1 exchanges, on the
+    ``given`` documents of each class of which each view is most confident among all
+    unlabelled ones.  ``labels(doc_id, quality, toxic)``: a null counts as good,
+    contradicting rows as bad; ``pages(doc_id, category)``: see ``page_metadata``."""
+    marked = _marked(labels)
+    part = min(1.0, fit_rows / max(1, marked.count()))
+    sampled = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(2**32)) < int(2**32 * part))
+    state = CoTraining(_rows_of(documents, sampled, pages))
+    model = state.fit()
+    known = small_batches(documents).where("doc_id is not null")
+    seen: set[tuple[int, str]] = set()
+    for i in range(rounds - 1):
+        # logits alone are joined with the labels, texts stay where they are
+        scored = written(_scored(known, model, pages, []).groupBy("doc_id").agg(
+            F.min("_qt").alias("text"), F.min("_qm").alias("meta")).join(marked, "doc_id", "left_anti"), "scored")
+        rows, to = [], []
+        for v, other in (("text", "meta"), ("meta", "text")):
+            for bad, order in ((1.0, F.desc(v)), (0.0, F.asc(v))):
+                sure = F.col(v) >= _LOGIT if bad else F.col(v) <= -_LOGIT
+                old = [d for d, o in seen if o == other]  # bounded by what was given
+                best = scored.where(sure & ~F.col("doc_id").isin(old) if old else sure).orderBy(order, "doc_id").limit(given)
+                for r in best.select("doc_id").collect():
+                    if (r[0], other) not in seen:
+                        seen.add((r[0], other))
+                        rows.append((r[0], bad))
+                        to.append(other)
+        if not rows:
+            break
+        spark = documents.sparkSession
+        once = spark.createDataFrame(sorted(set(rows)), "doc_id long, bad double")
+        table = _rows_of(documents, once, pages)
+        place = {key: k for k, key in enumerate(zip(table["doc_id"].to_pylist(), table["bad"].to_pylist()))}
+        state.give(table.take(pa.array([place[r] for r in rows])), to)
+        model = state.fit()
+    return model
+
+
+_LOGIT = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+
+def _present(data: bytes, begins: np.ndarray, places: Weighted, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of the model's features that each text of a block holds, each once."""
+    code, starts, names = coded_words(data, ALNUM_WORD_BYTES)
+    docs = len(begins)
+    if len(code) == 0 or len(weights) == 0:
+        return np.zeros(docs)
+    features = [places[w] for w in names.to_pylist()]
+    size = np.fromiter(map(len, features), np.int64, len(features))
+    if not size.any():
+        return np.zeros(docs)
+    flat = np.fromiter((x for f in features for x in f), np.int64, int(size.sum()))
+    first = np.cumsum(size) - size
+    doc = np.searchsorted(begins, starts, side="right") - 1
+    some = size[code] > 0
+    pair = np.unique(doc[some] * len(names) + code[some])  # words of a text, each once
+    doc, code = pair // len(names), pair % len(names)
+    n = size[code]
+    at = np.repeat(first[code], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    have = np.unique(np.repeat(doc, n) * len(weights) + flat[at])
+    return np.bincount(have // len(weights), weights=weights[have % len(weights)], minlength=docs)
 
 
 def text_logit(model: CoTrained):
@@ -302,24 +372,46 @@ def text_logit(model: CoTrained):
         places = Weighted(m)
         for texts in batches:
             z = m.logit([_NONE] * len(texts), np.array([shape_of(t) for t in texts], dtype=float).reshape(-1, SHAPE))
-            for i, t in enumerate(texts):
-                found = set().union(*(places[w] for w in set(alnum_words(t))))
-                z[i] += m.weights[sorted(found)].sum()
+            raw = [encode(t) for t in texts]
+            sizes = np.cumsum([0] + [len(b) + 1 for b in raw])
+            cuts = [0, *(np.flatnonzero(np.diff(sizes[1:] // BLOCK)) + 1).tolist(), len(raw)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y:
+                    z[x:y] += _present(b" ".join(raw[x:y]), sizes[x:y] - sizes[x], places, m.weights)
             yield pd.Series(z * a[0] + a[1], dtype=float)
 
     return run
 
 
-def meta_logit(model: CoTrained, categories: Column) -> Column:
-    """The metadata view's logit; its weights are those of the sample's categories."""
-    weights = F.from_json(F.lit(json.dumps(model.meta_weights)), "map<string,double>")
+def _meta_weights(model: CoTrained) -> Column:
+    return F.from_json(F.lit(json.dumps(model.meta_weights)), "map<string,double>")
+
+
+def meta_logit(model: CoTrained, categories: Column, pages: Column | None = None) -> Column:
+    """The metadata view's logit; its weights are those of the sample's categories.
+    ``pages``: the summed weights of the pages' categories."""
+    weights = _meta_weights(model)
     a, m = model.meta_scale, model.meta
     flat = float(m.bias - m.mean[0] / m.scale[0] * m.dense[0])
     total = F.aggregate(F.array_distinct(categories), F.lit(flat),
                         lambda acc, c: acc + F.coalesce(F.element_at(weights, c), F.lit(0.0)))
+    if pages is not None:
+        total = total + F.coalesce(pages, F.lit(0.0))
     return total * float(a[0]) + float(a[1])
 
 
+def _scored(documents: DataFrame, model: CoTrained, pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Logits of both views, ``_qt`` and ``_qm``, beside ``doc_id`` and the columns ``keep``."""
+    columns = [c for c in documents.columns if c in keep or c in ("doc_id", "source", "lang", "n_chars")]
+    rows = documents.withColumn("_qt", text_logit(model)("text")).select(*columns, "_qt")
+    side = (pages.select(F.col("doc_id").alias("_qid"), F.element_at(_meta_weights(model), F.col("category")).alias("w"))
+            .where("w is not null").groupBy("_qid").agg(F.sum("w").alias("_qw")))
+    # hashed on the small side, so that rows with whole texts are not sorted
+    rows = rows.join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("_qid"), "left")
+    return rows.withColumn("_qm", meta_logit(model, metadata(*[F.col(c) for c in ("source", "lang", "n_chars")]),
+                                             F.col("_qw"))).drop("_qid", "_qw")
+
+
 def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: bool = True,
           result: str = "quality_score") -> DataFrame:
     """The rows of ``documents(doc_id, text, lang, source, n_chars, ...)`` with a
@@ -335,14 +427,8 @@ def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: b
     that texts are not shuffled.  An empty table gives an empty result.
     """
     own = small_batches(documents).drop(result)
-    rows = own.withColumn("_qt", text_logit(model)("text"))
-    if not keep_text:
-        rows = rows.drop("text")
-    side = pages.select(F.col("doc_id").alias("_qid"), F.col("host").alias("_qhost"), F.col("url").alias("_qurl"))
-    # hashed on the small side, so that rows with whole texts are not sorted
-    rows = rows.join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("_qid"), "left")
-    rows = rows.withColumn("_qm", meta_logit(model, metadata(
-        *[F.col(c) for c in ("source", "lang", "n_chars", "_qhost", "_qurl")])))
+    kept = [x for x in own.columns if keep_text or x != "text"]
+    rows = _scored(own, model, pages, kept)
     c = [float(x) for x in model.combine]
 
     def good(z: Column) -> Column:
@@ -350,7 +436,6 @@ def judge(documents: DataFrame, model: CoTrained, pages: DataFrame, keep_text: b
 
     both = good(F.least(F.greatest(F.col("_qt"), F.lit(-12.0)), F.lit(12.0)) * c[0]
                 + F.least(F.greatest(F.col("_qm"), F.lit(-12.0)), F.lit(12.0)) * c[1] + F.lit(c[2]))
-    kept = [x for x in own.columns if keep_text or x != "text"]
     return rows.withColumn(result, F.struct(
         good(F.col("_qt")).alias("text_score"), good(F.col("_qm")).alias("meta_score"), both.alias("score"),
         (both >= 0.5).alias("kept"))).select(*kept, result)

@@ -31,6 +31,7 @@ _ALNUM_TABLE = bytes(
 )
 
 _LOWER_BYTE = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+ALNUM_WORD_BYTES = np.frombuffer(_ALNUM_TABLE, np.uint8) != 32
 SPACE_WORD_BYTES = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
 
 

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -22,32 +21,76 @@ def test_held_out_accuracy(spark):
         assert r["kept"] < 0.1 if r["bad"] else r["kept"] > 0.97, r
 
 
-def test_confident_labels_pass_between_the_views():
-    """Metadata tells the class of documents whose words are new."""
+def test_confident_labels_pass_between_the_views(spark):
+    """Metadata tells the class of documents whose words are new, among all that have no label."""
     rng = np.random.default_rng(0)
-    rows = []
+    rows, labels = [], []
     for i in range(400):
-        bad = i % 2
-        new = i >= 200                     # unlabelled, with words no labelled text holds
-        words = [1000 * bad + int(w) + (500 if new else 0) for w in rng.integers(0, 30, 12)]
-        rows.append((sorted(set(words)), [0.0] * Q.SHAPE, [f"host={'bad' if bad else 'good'}"],
-                     np.nan if new else float(bad)))
-    df = pd.DataFrame(rows, columns=["words", "shape", "meta", "bad"])
-    sample = pa.Table.from_pandas(df, preserve_index=False)
-    truth = np.array([i % 2 for i in range(200, 400)])
+        bad, new = i % 2, i >= 200         # unlabelled, with words no labelled text holds
+        text = " ".join(f"{'pq'[bad]}{'new' if new else ''}{int(w)}" for w in rng.integers(0, 30, 12))
+        rows.append((i, text, "en", f"s{bad}", 9))
+        labels += [] if new else [(i, 1 - bad, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "doc_id long, category string")
+    test = [(Q.text_features(r[1])[0], r[0] % 2) for r in rows[200:]]
 
     def right(m):
-        z = m.text.logit([np.array(w) for w in df["words"][200:]], np.zeros((200, Q.SHAPE)))
-        return ((z > 0) == truth).mean()
+        z = m.text.logit([f for f, _ in test], np.array([Q.shape_of(r[1]) for r in rows[200:]]))
+        return np.mean((z > 0) == np.array([b for _, b in test], bool))
 
-    assert right(Q.cotrain(sample, 1)) < 0.7 and right(Q.cotrain(sample, 3)) > 0.9
+    assert right(Q.fit(docs, marks, pages, rounds=1)) < 0.7 and right(Q.fit(docs, marks, pages, rounds=3)) > 0.9
+    # the confident ones are looked for among all documents, however few may be given
+    assert right(Q.fit(docs, marks, pages, rounds=3, given=20)) > 0.7
+
+
+def test_text_logit_equals_the_model(spark, monkeypatch):
+    """Scores in blocks against one text at a time."""
+    monkeypatch.setattr(Q, "BLOCK", 60)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"word{int(w)}" for w in rng.integers(0, 40, rng.integers(0, 30))) for _ in range(80)]
+    texts += [None, "", "  ", "Word1!word2 " * 5000]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(i, int("word7" in (t or "")), 0) for i, t in enumerate(texts)],
+                                   "doc_id long, quality int, toxic int")
+    m = Q.fit(docs, labels, spark.createDataFrame([], "doc_id long, category string"), rounds=1)
+    got = {r["doc_id"]: r["z"] for r in docs.select("doc_id", Q.text_logit(m)("text").alias("z")).collect()}
+    f = [Q.text_features(t) for t in texts]
+    want = m.text.logit([x for x, _ in f], np.array([s for _, s in f])) * m.text_scale[0] + m.text_scale[1]
+    assert np.allclose([got[i] for i in range(len(texts))], want)
+
+
+def test_all_pages_of_a_document_count(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/en/7"), (2, "https://b.net/de/7?x=1"), (3, None), (4, "http://b.net/9"),
+                                   (5, "http://b.net/9")], "page_id long, url string")
+    got = sorted(map(tuple, Q.page_metadata(pages, page_doc_id(F.col("url"))).collect()))
+    assert got == sorted([(7, "host=a.org"), (7, "suffix=org"), (7, "scheme=http"), (7, "query=false"), (7, "host=b.net"),
+                          (7, "suffix=net"), (7, "scheme=https"), (7, "query=true"), (9, "host=b.net"), (9, "suffix=net"),
+                          (9, "scheme=http"), (9, "query=false")])
+
+
+def test_an_id_on_many_rows_reaches_the_driver_once(spark):
+    docs = spark.createDataFrame([(i if i < 100 else 5, f"text {i}", "en", "s", 1) for i in range(1500)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    chosen = spark.createDataFrame([(i, 1.0) for i in range(100)], "doc_id long, bad double")
+    assert len(Q._rows_of(docs, chosen, spark.createDataFrame([], "doc_id long, category string"))) == 100
+
+
+def test_without_labels_everything_is_kept(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 1) for i in range(20)] + [(99, "long " * 100_000, "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "doc_id long, category string")
+    got = Q.judge(docs, Q.fit(docs, none, pages), pages).collect()
+    assert len(got) == 21 and all(r["quality_score"]["kept"] for r in got)
 
 
 def test_metadata_logit_in_the_plan_equals_the_model(spark):
     n = 300
     sample = pa.table({"words": [[1]] * n, "shape": [[0.0] * Q.SHAPE] * n, "bad": [float(i % 2) for i in range(n)],
                        "meta": [["a=1" if i % 2 else "b=1", "c=%d" % (i % 3)] for i in range(n)]})
-    m = Q.cotrain(sample)
+    m = Q.CoTraining(sample).fit()
     cats = [["a=1", "c=0"], ["b=1"], [], ["new"]]
     df = spark.createDataFrame([(c,) for c in cats], "c array<string>")
     got = [r[0] for r in df.select(Q.meta_logit(m, F.col("c"))).collect()]
@@ -62,7 +105,7 @@ def test_nulls_repeats_and_empty_tables(spark):
     docs = docs.withColumn("host", F.lit(1)).withColumn("quality_score", F.lit(1))
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, None, None), (None, 0, 0)],
                                    "doc_id long, quality int, toxic int")
-    pages = spark.createDataFrame([], "doc_id long, host string, url string")
+    pages = spark.createDataFrame([], "doc_id long, category string")
     model = Q.fit(docs, labels, pages)
     got = Q.judge(docs, model, pages).collect()
     assert len(got) == 64 and all(r["quality_score"]["kept"] is not None for r in got)
