@@ -40,9 +40,109 @@ def test_empty_tables_and_no_labels(spark):
     assert L.identify(docs.limit(0), none).count() == 0
 
 
-def test_page_evidence_takes_the_first_page(spark):
+def test_all_pages_of_a_document_are_evidence(spark):
     pages = spark.createDataFrame(
         [(2, "http://b.org/en/7", "<html lang='en'>"), (1, "https://www.A.net/de/7.html?x=1", '<HTML class="x" LANG="de-AT">'),
-         (3, None, None), (4, "http://c.com/x", "")], "page_id long, url string, html string")
-    got = [tuple(r) for r in L.page_evidence(pages, page_doc_id(F.col("url"))).collect()]
-    assert got == [(7, "a.net", "de", "net")]
+         (5, "http://b.org/en/7?x", "<html lang='en'>"), (3, None, None), (4, "http://c.com/x", "")],
+        "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in L.page_evidence(pages, page_doc_id(F.col("url"))).collect())
+    assert got == [(7, "a.net", "de", "net", 1), (7, "b.org", "en", "org", 2)]
+
+
+def brute(docs, evidence):
+    """Posterior of every row, spelled out."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    langs = sorted({d[2] for d in docs if d[2] is not None})
+    tri = {x: Counter() for x in langs}
+    for d in docs:
+        if d[2] is not None:
+            tri[d[2]].update(L.trigram_buckets(d[1]).tolist())
+
+    def parent(h):
+        return ".".join(h.split(".")[-2:])
+
+    def values(d):
+        """kind -> value -> how many of the document's pages give it."""
+        mine = [e for e in evidence if e[0] == d[0] and d[0] is not None]
+        out = {k: Counter() for k in ("host", "parent", "declared", "suffix")}
+        for e in mine:
+            for kind, v in (("host", e[1]), ("parent", e[1] and parent(e[1])), ("declared", e[2]), ("suffix", e[3])):
+                if v is not None:
+                    out[kind][v] += e[4]
+        if not mine and d[3] is not None:
+            out["host"][d[3]] += 1
+            out["parent"][parent(d[3])] += 1
+        return out
+
+    said = [values(d) for d in docs]
+    counts = Counter((k, v, d[2]) for d, s in zip(docs, said) if d[2] for k in s for v in s[k].elements())
+    size = Counter((k, d[2]) for d, s in zip(docs, said) if d[2] for k in s for v in s[k].elements())
+    n_docs = Counter(d[2] for d in docs if d[2])
+    every = {x: (n_docs[x] + 1) / (sum(n_docs.values()) + len(langs)) for x in langs}
+    out = []
+    for d, s in zip(docs, said):
+        b = L.trigram_buckets(d[1]).tolist()
+        ll = {}
+        for x in langs:
+            mine = Counter(b) if d[2] == x else Counter()
+            total = sum(tri[x].values()) - sum(mine.values()) + L.BUCKETS
+            ll[x] = sum(math.log((tri[x][g] - mine[g] + 1) / total) for g in b) * min(1, L.EVIDENCE / max(1, len(b)))
+        post = {x: v - max(ll.values()) + math.log(every[x]) for x, v in ll.items()}
+
+        def count(kind, v, x):
+            return max(0, counts[kind, v, x] - (s[kind][v] if d[2] == x else 0))
+
+        for x in langs:
+            for kind in ("declared", "suffix"):
+                n = sum(size[kind, y] for y in langs) or 1
+                for v in s[kind]:
+                    base = L.STRENGTH * (sum(count(kind, v, y) for y in langs) + 1) / n
+                    post[x] += math.log((count(kind, v, x) + base) / (size[kind, x] + L.STRENGTH))
+            for h in s["host"]:
+                up = (count("parent", parent(h), x) + L.STRENGTH * every[x]) / (
+                    sum(count("parent", parent(h), y) for y in langs) + L.STRENGTH)
+                own = (count("host", h, x) + L.STRENGTH * up) / (sum(count("host", h, y) for y in langs) + L.STRENGTH)
+                post[x] += math.log(own / every[x])
+        best = max(langs, key=lambda x: (round(post[x], 9), [-ord(c) for c in x]))
+        p = np.array([post[x] for x in langs])
+        out.append((best, float(1 / np.exp(p - p.max()).sum())))
+    return out
+
+
+def test_posteriors_equal_the_definition(spark):
+    """Several pages a document, repeated ids and rows, ties, a long text, columns with clashing names."""
+    import random
+    rng = random.Random(3)
+    words = {"de": ["der", "die", "und", "nicht"], "en": ["the", "and", "of", "not"], "fr": ["le", "la", "et", "pas"]}
+    docs = []
+    for i in range(60):
+        x = rng.choice(list(words))
+        text = " ".join(rng.choices(words[x] + ["data"], k=rng.randrange(0, 9)))
+        docs.append((i, text, x if rng.random() < 0.7 else None, rng.choice(["src1", "src2", None])))
+    docs += [(3, "der die", "de", "src1"), (3, "der die", "de", "src1"), (None, "the", None, "src1"), (None, None, "en", None),
+             (99, "le la et " * 30_000, None, "src9")]
+    ev = [(rng.randrange(70), rng.choice(["a.x.org", "b.x.org", "y.net", None]), rng.choice(["de", "en", None]),
+           rng.choice(["org", "net"]), rng.randrange(1, 4)) for _ in range(80)]
+    ev = list({e[:4]: e for e in ev}.values())
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    df = df.withColumns({"language": F.lit(1), "host": F.lit(2), "n": F.lit(3), "kind": F.lit(4)})
+    e = spark.createDataFrame(ev, "doc_id long, host string, declared string, suffix string, n long")
+    got = [((r["doc_id"], r["text"], r["lang"], r["source"]), r["language"]["lang"], r["language"]["prob"])
+           for r in L.identify(df, e).collect()]
+    want = [(d, *b) for d, b in zip(docs, brute(docs, ev))]
+    got, want = sorted(got, key=lambda r: str(r[0])[:200]), sorted(want, key=lambda r: str(r[0])[:200])
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want):
+        assert abs(g[2] - w[2]) < 1e-6 and (g[1] == w[1] or w[2] < 0.51), (g[0], g[1:], w[1:])
+
+
+def test_plan_is_small_for_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 40} text", f"l{i % 40:02d}", f"s{i % 7}") for i in range(200)],
+                                 "doc_id long, text string, lang string, source string")
+    none = spark.createDataFrame([], "doc_id long, host string, declared string, suffix string")
+    df = L.identify(docs, none)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    assert {r["language"]["lang"] for r in df.collect()} <= {f"l{i:02d}" for i in range(40)}
