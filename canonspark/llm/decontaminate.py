@@ -17,8 +17,8 @@ first m bytes of a band's patterns (m = the shortest one),
 
 Texts stay where they are: the search is one pass over the rows, and only the
 pattern tables travel.  They are cut into parts of at most ``part`` windows;
-each part is a pass over the same rows, so no table of unproven size is
-broadcast.
+each part is a pass over the rows as the last one wrote them, so that the driver and
+the tasks hold one part at a time.
 """
 
 from __future__ import annotations
@@ -156,6 +156,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     n = patterns.count()
     parts = max(1, -(-n // part))
     for i in range(parts):
+        if i:
+            df = written(df, "searched")  # each part is a plan, and a table in memory, of its own
         mine = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i)
         table = {bytes(r["pattern"]): tuple(r["ids"]) for r in mine.collect()}
         search = F.pandas_udf(_search(banded(table)), RESULT)

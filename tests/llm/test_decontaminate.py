@@ -40,6 +40,17 @@ def test_equals_brute_force_in_one_and_many_parts(spark):
             assert (g["n_words"], g["n_hit"], list(g["items"]), g["contaminated"]) == brute(t, items, 4), (seed, t)
 
 
+def test_one_search_a_part(spark):
+    """Each part's plan evaluates one UDF, and the rows before it are a table."""
+    docs = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2} w{i + 3}") for i in range(60)], "item_id long, text string")
+    for part, parts in ((100, 1), (5, 12)):
+        df = D.contamination(docs, bench, 4, part)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, parts
+        assert [list(r["benchmark_hits"]["items"]) for r in df.collect()] == [["1", "2"]]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
