@@ -10,8 +10,9 @@ found from a guess:
    (Phrases of the border that don't occur have no rows.)
 3. A frequent phrase of the border is a *failure* of the sample: its extensions
    were not counted.  It joins the proposal, and a further pass counts what the
-   border has gained, until no pass finds a failure: at most one pass a word of the
-   longest phrase.  The result is exact whatever the sample held.
+   border has gained, and with every phrase that it counts also that phrase's
+   extensions, so that it leaves no failure: the next border is closed.  The result
+   is exact whatever the sample held.
 
 Tasks ask for membership of the proposal in a bit table of fixed size, the only
 thing that is broadcast; a false member only means that more is counted.  Blocks of
@@ -31,17 +32,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canonspark.llm.bittable import BITS, Members, bit_table
 from canonspark.llm.textops import coded_words, encode, small_batches, written
 
-SAMPLE, LEAST, LONGEST, TOP, BITS = 8, 30, 4, 2000, 1 << 26
+SAMPLE, LEAST, LONGEST, TOP = 8, 30, 4, 2000
 LANG = "und"
-BLOCK = 12_000_000  # bytes of text that a task counts at once
+BLOCK = 3_000_000  # bytes of text that a task counts at once (about 150 MB of arrays)
+
+ROWS = 32_768      # counts in a batch that a task gives out
 
 _SPACE, _CUT = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.array([1 if c in _SPACE else 2 if c in _CUT else 0 for c in range(256)], np.uint8)
 _CUTS = re.compile(b"[" + re.escape(_CUT) + b"]")
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-COUNT_SCHEMA = "lang string, k int, phrase string, n long"
+COUNT_SCHEMA = "key string, n long"  # the phrase, a tab, the language: one short key to group by
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,76 +63,65 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
 
 
-class _Members:
-    """The bit table: two bits a phrase."""
-
-    def __init__(self, table: np.ndarray | None):
-        self.table = table
-
-    def places(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        m = np.uint64(n - 1)
-        return h & m, (h >> np.uint64(32)) & m
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            return np.zeros(len(h), bool)
-        out = np.ones(len(h), bool)
-        for p in self.places(h, len(self.table) * 64):
-            out &= (self.table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 def _words(data: bytes):
     """Code of every word, number of its piece, and the words of the codes."""
     code, starts, names = coded_words(data, _KIND == 0)
-    piece = np.searchsorted(np.flatnonzero(_KIND[np.frombuffer(data, np.uint8)] == 2), starts)
+    piece = np.cumsum(_KIND[np.frombuffer(data, np.uint8)] == 2, dtype=np.int32)[starts]
     return code, piece, names
 
 
-def _count_block(lang: str, data: bytes, low: int, high: int, known: tuple[int, ...], now: _Members | None,
-                 before: _Members | None):
+def _counted(code: np.ndarray, places: np.ndarray, k: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes, word by word, and counts of the phrases of k words at ``places``."""
+    key, words = code[places], [np.arange(size)]
+    for j in range(1, k):
+        unique, key, n = np.unique(key * size + code[places + j], return_inverse=True, return_counts=True)
+        words = [w[unique // size] for w in words] + [unique % size]
+    return words, n
+
+
+def _count_block(lang: str, data: bytes, low: int, high: int, known: tuple[int, ...], now: Members | None,
+                 before: Members | None):
     """Counts of the phrases of ``low`` to ``high`` words whose first and last words are
-    members of ``now`` (phrases of lengths that are not ``known`` all are), less those that
-    ``before`` let through."""
+    members of ``now`` (phrases of lengths that are not ``known`` all are).  With ``before``,
+    less those that it let through, and what is counted is a member for longer ones."""
     code, piece, names = _words(data)
     if len(code) == 0:
         return
-    total, size = len(code), len(names)
+    size = len(names)
     word = _word_hashes(lang, names.to_pylist())
     if low == 1:
-        yield 0, pa.array([""]), np.array([total])
+        yield 0, pa.array([""]), np.array([len(code)])
         yield 1, names.cast(pa.string()), np.bincount(code, minlength=size)
 
     def members(table, k, h):
         return np.ones(len(h), bool) if table is None or k not in known else table.has(h)
 
-    at = np.arange(total)                       # places of phrases of k words that may grow
-    new, old = members(now, 1, word)[code], (before.has(word)[code] if before else np.zeros(total, bool))
+    at = np.arange(len(code), dtype=np.int32)   # places of phrases of k words that may grow
+    new, old = members(now, 1, word)[code], (before.has(word)[code] if before else np.zeros(len(code), bool))
     h = word[code]
-    ids = code                                  # a number for each phrase of k words, by place
-    firsts = [np.arange(size)]                  # code of every word of the phrase behind an id
     for k in range(2, high + 1):
-        # places i where the phrases of k - 1 words at i and i + 1 are both members, in one piece
+        # places where the phrases of k - 1 words at i and i + 1 are both members, in one piece
         follows = np.flatnonzero((at[1:] == at[:-1] + 1) & new[1:] & new[:-1])
         start = at[follows]
         same = piece[start] == piece[start + k - 1]
         follows, start = follows[same], start[same]
         if len(start) == 0:
             return
-        fresh = ~(old[follows] & old[follows + 1])
-        key = ids[follows] * size + code[start + k - 1]
-        unique, ids, n = np.unique(key, return_inverse=True, return_counts=True)
-        ids = ids.astype(np.int64)
-        head, tail = unique // size, unique % size
-        firsts = [w[head] for w in firsts] + [tail]
-        if k >= low:
-            some = np.bincount(ids[fresh], minlength=len(unique))
-            keep = np.flatnonzero(some)
-            parts = [names.take(pa.array(w[keep])).cast(pa.string()) for w in firsts]
-            yield k, pc.binary_join_element_wise(*parts, " "), some[keep]
+        was = old[follows] & old[follows + 1]
+        fresh = start if before is None else start[~was]
+        if k >= low and len(fresh):
+            words, n = _counted(code, fresh, k, size)
+            parts = [names.take(pa.array(w)).cast(pa.string()) for w in words]
+            yield k, pc.binary_join_element_wise(*parts, " "), n
+        if k == high:
+            return
         h = _extend(h[follows], word[code[start + k - 1]])
-        old = (old[follows] & old[follows + 1] & before.has(h)) if before else np.zeros(len(h), bool)
         new = members(now, k, h)
+        if before is None:
+            old = np.zeros(len(h), bool)
+        else:
+            old = was & before.has(h)
+            new |= ~was
         at = start
 
 
@@ -156,45 +149,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 def _counter(low: int, high: int, known: tuple[int, ...], now, before):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [None if t is None else _Members(t.value) for t in (now, before)]
+        tables = [None if t is None else Members(t.value) for t in (now, before)]
         for lang, data in _blocks(batches):
             for k, phrase, n in _count_block(lang, data, low, high, known, *tables):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]).take(pa.array(np.zeros(len(phrase), np.int64))),
-                     pa.array(np.full(len(phrase), k, np.int32)), phrase, pa.array(n.astype(np.int64))],
-                    names=["lang", "k", "phrase", "n"])
+                for at in range(0, len(phrase), ROWS):
+                    key = pc.binary_join_element_wise(phrase[at:at + ROWS], lang, "\t")
+                    yield pa.RecordBatch.from_arrays([key, pa.array(n[at:at + ROWS].astype(np.int64))], names=["key", "n"])
 
     return run
 
 
 def _counts(texts: DataFrame, low: int, high: int, known=(), now=None, before=None, least: int = 1) -> DataFrame:
     rows = small_batches(texts).mapInArrow(_counter(low, high, tuple(known), now, before), COUNT_SCHEMA)
-    sums = rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return sums.where((F.col("n") >= least) | (F.col("k") == 0))
+    # no phrase holds a tab
+    phrase = F.substring_index("key", "\t", 1)
+    sums = rows.groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("key").startswith("\t"))
+    return sums.select(F.substring("key", F.length(phrase) + 2, F.length("key")).alias("lang"),
+                       F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("k"), phrase.alias("phrase"), "n")
+
+
+def _phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(batch.num_rows, np.uint64)
+    for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        w = _word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))
+        h = w[:1]
+        for j in range(1, len(w)):
+            h = _extend(h, w[j:j + 1])
+        out[i] = h[0]
+    return out
 
 
 def _bits(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bit table of ``phrases(lang, phrase)``: at most ``bits / 64`` rows reach the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, phrase = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hashes = np.empty(len(lang), np.uint64)
-            for i, (x, p) in enumerate(zip(lang, phrase)):
-                w = _word_hashes(x, p.encode("utf-8", "surrogatepass").split(b" "))
-                h = w[:1]
-                for j in range(1, len(w)):
-                    h = _extend(h, w[j:j + 1])
-                hashes[i] = h[0]
-            p = np.concatenate(_Members(None).places(hashes, bits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((p >> np.uint64(6)).astype(np.int64)),
-                 pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["cell", "mask"])
-
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "cell long, mask long")
-    got = rows.groupBy("cell").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[got["cell"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
-    return table
+    return bit_table(phrases.select("lang", "phrase"), _phrase_hashes, bits)
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE,
@@ -224,17 +210,12 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         proposed = first.unionByName(more)
 
     known = tuple(range(1, longest))
-    now, before = sc.broadcast(table), None
+    now = sc.broadcast(table)
     found = written(_counts(texts, 1, longest, known, now, least=least), "frequent")
     failed = written(found.where(F.col("k").between(1, longest - 1)).join(proposed, ["lang", "phrase"], "left_anti"), "failed")
-    while not failed.isEmpty():
-        if before is not None:
-            before.unpersist()
-        before, table = now, table | _bits(failed, bits)
-        now = sc.broadcast(table)
-        new = written(_counts(texts, 2, longest, known, now, before, least=least), "frequent")
-        found = found.unionByName(new)
-        failed = new.where(f"k < {longest}")
+    if not failed.isEmpty():
+        before, now = now, sc.broadcast(table | _bits(failed, bits))
+        found = found.unionByName(written(_counts(texts, 2, longest, known, now, before, least=least), "frequent"))
     return found
 
 
