@@ -21,7 +21,9 @@ PASSAGE = 51  # words; a passage of over 50 words that repeats leaves, whatever
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go.  Null and empty texts are judged by
+    shape and metadata, rows that repeat an id each for itself; without labels
+    all stay, an empty table stays empty."""
     pages = written(quality.page_metadata(read_table(spark, sf_dir, "pages"), page_doc_id(F.col("url"))), "pages")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), pages)
     return quality.judge(docs, model, pages).where("quality_score.kept").select(*COLUMNS)
@@ -30,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays,
     once.  Rows without an id stay; an id that names several texts goes only if
-    none of them stays."""
+    none of them stays.  Texts without words are near nothing and stay."""
     judged = near_dedup.near_duplicates(docs)
     gone = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
                    .where("not kept").select("doc_id"), "gone")
@@ -53,13 +55,16 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.  Null and empty texts stay, repeated rows are judged
+    alike; without a benchmark all stay."""
     r = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return r.where("not benchmark_hits.contaminated").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes of a document (none to three)."""
+    """One row for each copy that the mix takes of a document (none to three).  Null and
+    empty texts have size 0, a null source is a source; rows that agree in id, source
+    and size share their copies, dealt out by a hash; an empty table stays empty."""
     sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
     r = mixing.mix(sized).where("mix.copies > 0")
     return r.select(*COLUMNS, "size", "mix.target", "mix.source_size",
