@@ -616,13 +616,13 @@ x AS (SELECT n.group_key, n.norm, n.n, coalesce(s.xx, 0.0) AS xx
       FROM nodes n LEFT JOIN (SELECT group_key, norm, sum(weight * weight) AS xx FROM t GROUP BY ALL) s USING (group_key, norm)),
 dots AS (SELECT a.group_key, a.norm AS a, b.norm AS b, sum(a.weight * b.weight) AS dot
          FROM t a JOIN t b ON a.group_key = b.group_key AND a.gram = b.gram GROUP BY ALL),
-d AS (SELECT p.group_key, p.norm AS a, q.norm AS b, q.n,
+pair AS (SELECT p.group_key, p.norm AS a, q.norm AS b, q.n,
              CASE WHEN p.norm = q.norm THEN 0.0 ELSE sqrt(greatest(0.0, p.xx + q.xx - 2 * coalesce(dot, 0.0))) END AS dist
       FROM x p JOIN x q ON p.group_key = q.group_key
       LEFT JOIN dots ON dots.group_key = p.group_key AND dots.a = p.norm AND dots.b = q.norm),
 ks AS (SELECT unnest([2, 3, 5]) AS k),
-m AS (SELECT d.group_key, k, a, length(a) % k AS ca, length(b) % k AS cb, sum(n * dist) AS total, sum(n) AS size
-      FROM d, ks GROUP BY ALL),
+m AS (SELECT group_key, k, a, length(a) % k AS ca, length(b) % k AS cb, sum(n * dist) AS total, sum(n) AS size
+      FROM pair, ks GROUP BY ALL),
 s AS (SELECT group_key, k, a, max(CASE WHEN ca = cb THEN size END) AS own,
              max(CASE WHEN ca = cb AND size > 1 THEN total / (size - 1) END) AS da,
              min(CASE WHEN ca <> cb THEN total / size END) AS db
