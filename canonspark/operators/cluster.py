@@ -26,7 +26,7 @@ and never below the true label, so the fixpoint is the sequential result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canonspark.operators.rank import row_number_within
@@ -132,36 +132,58 @@ def cluster_values(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFr
     return _ckpt(number_clusters(assign_leaders(nodes, edges, algorithm)))
 
 
+def _undominated(points: DataFrame) -> DataFrame:
+    """``points(group_key, norm, at, lab, new)`` without those that an earlier (or equal)
+    point of the same value with a label as low makes needless."""
+    w = (Window.partitionBy("group_key", "norm").orderBy("at", "lab", "new")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return (points.withColumn("_low", F.min("lab").over(w))
+            .where(F.col("_low").isNull() | (F.col("lab") < F.col("_low"))).drop("_low"))
+
+
 def first_fit_exact(norm_long: DataFrame, edges: DataFrame) -> DataFrame:
     """C2 on occurrences (D13 ``exact``): two equal values may land in
     different clusters, as in the sequential rule over rows.
 
-    An occurrence of x links to the last earlier occurrence of every value
-    similar to x and of x itself (labels never rise along one value, so that
-    one link per value is enough); the first-fit solver then runs on this
-    occurrence graph.  Values without any edge keep one cluster per value.
-    Returns ``group_key, occ, norm, leader`` for every occurrence.
+    Labels never rise along one value, so a value is a falling step function:
+    points ``(at, lab)``, one per change of its label.  It starts with the label
+    that the first occurrences alone give (the first-fit solver over values).  A
+    step of y at t reaches a similar x at the first occurrence of x after t; steps
+    are sent on until none lowers a label earlier than known.  Rounds move points,
+    not occurrences x similar values.  Values without any edge keep one cluster per
+    value.  Returns ``group_key, occ, norm, leader`` for every occurrence.
     """
-    from canonspark.operators.asof import last_before
+    from canonspark.operators.asof import first_after, last_before
 
     occ = norm_long.select("group_key", "norm", "occ")
     vals = edges.select("group_key", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
         edges.select("group_key", F.col("b").alias("x"), F.col("a").alias("y")))
-    active = vals.select("group_key", "x").distinct()
-    pairs = vals.unionByName(active.withColumn("y", F.col("x")))
-    # queries: occurrences of x; refs: occurrences of y; key (group, x, y)
-    q = (occ.join(pairs, (occ.group_key == pairs.group_key) & (occ.norm == pairs.x))
-         .select(occ.group_key, "x", "y", F.col("occ"), F.lit(0).alias("is_ref"),
-                 F.lit(None).cast(occ.schema["occ"].dataType).alias("ref")))
-    r = (occ.join(pairs, (occ.group_key == pairs.group_key) & (occ.norm == pairs.y))
-         .select(occ.group_key, "x", "y", F.col("occ"), F.lit(1).alias("is_ref"), F.col("occ").alias("ref")))
-    linked = last_before(q.unionByName(r), ["group_key", "x", "y"], ["occ", "is_ref"], "ref", "pred")
-    occ_edges = (linked.where((F.col("is_ref") == 0) & F.col("pred").isNotNull())
-                 .select("group_key", F.col("pred").alias("u"), F.col("occ").alias("v")))
-    act_occ = occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_semi")
-    lab = assign_leaders(act_occ, occ_edges, "first_fit")
+    active = vals.select("group_key", F.col("x").alias("norm")).distinct()
+    act = _ckpt(occ.join(active, ["group_key", "norm"], "left_semi"))
+    none = F.lit(None).cast(occ.schema["occ"].dataType)
+    firsts = act.groupBy("group_key", "norm").agg(F.min("occ").alias("occ"))
+    points = _ckpt(assign_leaders(firsts, edges, "first_fit").select(
+        "group_key", "norm", F.col("occ").alias("at"), F.col("leader").alias("lab"), F.lit(False).alias("new")))
+    moved = points
+    while not moved.isEmpty():
+        sent = (moved.withColumnRenamed("norm", "y").join(vals, ["group_key", "y"])
+                .groupBy("group_key", F.col("x").alias("norm"), "lab").agg(F.min("at").alias("at"))
+                .withColumn("new", F.lit(True)))
+        sent = _undominated(points.unionByName(sent)).where("new")
+        timed = sent.select("group_key", "norm", F.col("at").alias("occ"), "lab", none.alias("ref")).unionByName(
+            act.withColumns({"lab": none, "ref": F.col("occ")}))
+        # ``at`` is an occurrence of another value, so the order is total but for labels sent at once
+        reached = (first_after(timed, ["group_key", "norm"], ["occ", "lab"], "ref", "at")
+                   .where(F.col("lab").isNotNull() & F.col("at").isNotNull())
+                   .select("group_key", "norm", "at", "lab", F.lit(True).alias("new")))
+        points = _ckpt(_undominated(points.withColumn("new", F.lit(False)).unionByName(reached)))
+        moved = points.where("new")
+    steps = points.select("group_key", "norm", F.col("at").alias("occ"), F.lit(0).alias("is_occ"), "lab")
+    lab = (last_before(steps.unionByName(act.withColumns({"is_occ": F.lit(1), "lab": none})),
+                       ["group_key", "norm"], ["occ", "is_occ"], "lab", "leader")
+           .where("is_occ = 1"))
     first = occ.groupBy("group_key", "norm").agg(F.min("occ").alias("first"))
-    rest = (occ.join(active.withColumnRenamed("x", "norm"), ["group_key", "norm"], "left_anti")
+    rest = (occ.join(active, ["group_key", "norm"], "left_anti")
             .join(first, ["group_key", "norm"]).withColumn("leader", F.col("first")).drop("first"))
     return lab.select("group_key", "occ", "norm", "leader").unionByName(
         rest.select("group_key", "occ", "norm", "leader"))

@@ -71,3 +71,40 @@ def test_empty_values_stay_alone_under_qratio(spark):
     assert s[1] == ("", "single_member") and s[2] == ("acme", "majority")
     g2 = CL.group_by_category(raw, ["name"], "cat")           # ratio: '' == '' -> one cluster
     assert len({r.cluster_id for r in g2.clustered.collect()}) == 2
+
+
+def test_links_do_not_grow_with_similar_values(spark, monkeypatch):
+    from canonspark.functions.similarity import ratio
+    from canonspark.operators import asof
+    rnd = random.Random(3)
+    pool = ["abcdefgh" + c + d for c in "klmn" for d in "pqrs"]
+    values = [rnd.choice(pool) for _ in range(200)]
+    seen, plain = [], asof.last_before
+
+    def counted(df, *args, **kw):
+        seen.append(df.count())
+        return plain(df, *args, **kw)
+
+    monkeypatch.setattr(asof, "last_before", counted)
+    got, _ = _run(spark, values)
+    want = seq_first_fit_rows(values, lambda a, b: ratio(a, b) >= 75)
+    assert _as_partition([got[i] for i in range(len(values))]) == _as_partition(want)
+    assert max(seen) <= 2 * len(values)   # was 2 rows an occurrence and similar value
+
+
+def test_label_falls_twice(spark):
+    # leaders A, C, E; B links A and C, D links C and E: later ones fall step by step
+    from canonspark.functions.similarity import ratio
+    a, b, c, d, e = "aaaaaaaaaa", "aaaaaabbbb", "aabbbbbbbb", "bbbbbbbbcc", "bbbbbccccc"
+    values = [e, c, a, d, b, c, d, e, d, e, b, a]
+    got, _ = _run(spark, values)
+    want = seq_first_fit_rows(values, lambda x, y: ratio(x, y) >= 75)
+    assert _as_partition([got[i] for i in range(len(values))]) == _as_partition(want)
+
+
+def test_first_after(spark):
+    from canonspark.operators.asof import first_after
+    rows = [("k", i, i if i % 3 == 0 else None) for i in range(20)] + [("z", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = {(r.g, r.o): r.nxt for r in first_after(df, ["g"], ["o"], "v", "nxt", num_partitions=5).collect()}
+    assert got == {("k", i): next((j for j in range(i + 1, 20) if j % 3 == 0), None) for i in range(20)} | {("z", 1): None}
