@@ -16,6 +16,9 @@ A text's *marks* are its characters with a running number (the second ``e`` is
   ``(group, la, lb, m-subset of the first marks)``.  m falls with the length, so
   that a text has few subsets.  A pair is kept at its first common subset only,
   and only with o common marks in all; then a bounded ``levenshtein`` prunes.
+  Among many texts, lengths that leave few letters over (``la - o`` and ``lb - o``) are
+  joined on what is left when as many letters are taken out: a pair meets if and only
+  if it has a common subsequence of o characters, so the join has results alone.
 * Partial family: a window that scores t shares ``o = ceil(t ls / (200 - t))`` marks
   with the shorter text; the first ``ls - o + m`` marks of the shorter one meet all
   marks of the longer one.
@@ -47,6 +50,7 @@ from canonspark.session import ensure_checkpoint_dir
 INDEL_FAMILY = {"ratio", "QRatio", "token_sort_ratio"}
 # subset size by the length of the longer text: rare marks say less in long texts
 SUBSET_STEPS = ((12, 3), (24, 2))
+DELETIONS, KEYS = 3, 500  # letters left out of a text, and strings of a text that are used as keys
 HOT_KEYS, CELL_ROWS = 1000, 4000  # hot keys that are told apart; rows of one side of a cell
 SLACK = 1e-9  # thresholds may be fractions; a need is never rounded up past its value
 
@@ -137,6 +141,40 @@ def _subset_size(longer: Column, need: Column) -> Column:
     return F.least(size, F.greatest(need, F.lit(0)))
 
 
+def _strings_left(n: Column, out: Column) -> Column:
+    """Ways to take ``out`` of n letters (up to ``DELETIONS``, else null)."""
+    n = n.cast("double")
+    return F.when(out == 0, F.lit(1.0)).when(out == 1, n).when(out == 2, n * (n - 1) / 2).when(
+        out == 3, n * (n - 1) * (n - 2) / 6)
+
+
+def _without(text: Column, out: int) -> Column:
+    """The strings that are left of a text without ``out`` of its letters."""
+    n = F.length(text)
+
+    def drop(kept: Column, at: Column, left: int) -> Column:
+        if not left:
+            return F.array(F.concat(kept, F.substr(text, at)))
+        places = F.when(at <= n, F.sequence(at, n)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.flatten(F.transform(places, lambda i: drop(F.concat(kept, F.substr(text, at, i - at)), i + 1, left - 1)))
+
+    return F.array_distinct(drop(F.lit(""), F.lit(1), out))
+
+
+def _pairs_deleted(placed: DataFrame, texts: int) -> DataFrame:
+    """Pairs with a common subsequence of ``need`` characters: equal without the others."""
+    keys = F.lit(None).cast("array<string>")
+    for out in range(DELETIONS, -1, -1):
+        keys = F.when(F.col("len") - F.col("need") == out, _without(F.col("k"), out)).otherwise(keys)
+    keyed = placed.withColumn("key", F.explode(keys))
+    a = keyed.where("len <= other").select("group_key", "key", F.col("len").alias("la"), F.col("other").alias("lb"),
+                                           F.col("norm").alias("a"), F.col("occ").alias("ua"))
+    b = keyed.where("len >= other").select("group_key", "key", F.col("other").alias("la"), F.col("len").alias("lb"),
+                                           F.col("norm").alias("b"), F.col("occ").alias("ub"))
+    j = _cells(a, b, ["group_key", "key", "la", "lb"], texts).where("la < lb or a < b")
+    return _oriented(j).dropDuplicates(["group_key", "a", "b"])
+
+
 def _oriented(pairs: DataFrame) -> DataFrame:
     """One orientation (a < b) for the pairs of every generator."""
     swap = F.col("a") > F.col("b")
@@ -165,8 +203,14 @@ def _pairs_indel(nodes: DataFrame, key: Column, t: float, texts: int, in_order:
     total = F.col("len") + F.col("other")
     need = _need(t, total)
     placed = (k.join(lengths, "group_key").withColumn("other", F.explode("lens")).drop("lens")
-              .withColumn("need", need).where(F.col("need") <= F.least("len", "other"))
-              .withColumn("m", _subset_size(F.greatest("len", "other"), F.col("need")))
+              .withColumn("need", need).where(F.col("need") <= F.least("len", "other")))
+    deleted = None
+    if in_order and texts > CELL_ROWS:
+        few = F.coalesce(F.greatest(*[_strings_left(n, n - F.col("need")) for n in (F.col("len"), F.col("other"))])
+                         <= KEYS, F.lit(False)) & (F.greatest("len", "other") - F.col("need") <= DELETIONS)
+        deleted = _pairs_deleted(placed.where(few), texts)
+        placed = placed.where(~few)
+    placed = (placed.withColumn("m", _subset_size(F.greatest("len", "other"), F.col("need")))
               .withColumn("head", F.slice("marks", F.lit(1), F.col("len") - F.col("need") + F.col("m")))
               .withColumn("key", F.explode(_subsets(F.col("head"), F.col("m")))))
     a = placed.where("len <= other").select(
@@ -184,7 +228,7 @@ def _pairs_indel(nodes: DataFrame, key: Column, t: float, texts: int, in_order:
     if in_order:
         # Levenshtein is at most the Indel distance la + lb - 2 * need
         j = j.where(F.expr("levenshtein(ka, kb, la + lb - 2 * need) >= 0"))
-    return _oriented(j)
+    return _oriented(j) if deleted is None else _oriented(j).unionByName(deleted)
 
 
 def _pairs_partial(nodes: DataFrame, key: Column, t: float, texts: int) -> DataFrame:

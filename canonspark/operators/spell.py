@@ -11,9 +11,14 @@ edit costs at most one deletion on each side, so two words within distance 2
 share a string obtained by at most two deletions from each (at most 254 strings a
 word).  Longer ones are cut into five segments: an edit touches two neighbouring
 segments at most (a transposition across a cut), so two edits leave one whole,
-shifted by two places at most (5 keys, at most 125 probes).  A bounded
-Levenshtein prunes in the JVM; the exact distance is then checked on the
-candidate pairs only.
+shifted by two places at most (5 keys, at most 125 probes).  Keys meet by their
+hash; the distance of every candidate is checked.
+
+A bounded Levenshtein distance in the JVM decides most candidates.  A transposition
+is two Levenshtein edits and leaves the letters as they are, so at distance 2 only
+words of the same letters can be one edit apart, at distance 3 the letters differ by
+one edit at most, and at distance 4 they are the same.  Only such pairs have their
+exact distance computed.
 
 A word longer than the longest dictionary word plus 3 is not looked up, as the
 reference has it; no dictionary word is within two edits of it anyway.
@@ -109,6 +114,25 @@ def _probe_keys(word: Column, distance: int) -> Column:
     return F.filter(F.array_distinct(F.array(*out)), lambda x: x.isNotNull())
 
 
+def _hashes(keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.xxhash64(k))
+
+
+def _letters(word: str) -> Column:
+    """The letters of a word in alphabetical order."""
+    return F.array_join(F.sort_array(F.split(F.col(word), "")), "")
+
+
+def _may_be_within(distance: int) -> Column:
+    """With n transpositions among the edits: Levenshtein at most ``distance + n``, and
+    the letters at most ``distance - n`` edits apart (``apart``: of the sorted letters,
+    of which a replaced one moves, which is two)."""
+    fits = F.col("lev") <= distance
+    for n in range(1, distance + 1):
+        fits = fits | ((F.col("lev") <= distance + n) & (F.col("apart") <= 2 * (distance - n)))
+    return fits
+
+
 def should_check(word: Column, longest: Column) -> Column:
     return (~F.lower(word).rlike(FLOAT_PATTERN)) & (~F.lower(word).isin(*SKIP_WORDS)) \
         & (F.length(word) <= longest + F.lit(LONG_WORD_SLACK))
@@ -129,18 +153,23 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
     short, long = d.where(F.length("dword") <= SHORT), d.where(F.length("dword") > SHORT)
     by_deletes = (
         unknown.where(F.length("word") <= SHORT + max_distance)
-        .select("word", F.explode(_deletes_sql("word")).alias("key"))
-        .join(short.select("dword", "freq", F.explode(_deletes_sql("dword")).alias("key")), "key").drop("key"))
+        .select("word", F.explode(_hashes(_deletes_sql("word"))).alias("key"))
+        .join(short.select("dword", "freq", F.explode(_hashes(_deletes_sql("dword"))).alias("key")), "key").drop("key"))
     by_segments = (
         unknown.where(F.length("word") > SHORT - max_distance)
         .select("word", F.explode(_probe_keys(F.col("word"), max_distance)).alias("key"))
         .join(long.select("dword", "freq", F.explode(_segment_keys(F.col("dword"))).alias("key")), "key")
         .drop("key"))
     # a transposition is two Levenshtein edits, so two edits are four at most
-    near = (F.abs(F.length("word") - F.length("dword")) <= max_distance) & F.expr(
-        f"levenshtein(word, dword, {2 * max_distance}) >= 0")
-    cand = (by_deletes.unionByName(by_segments).where(near).select("word", "dword", "freq").distinct()
-            .withColumn("tier", dl_udf("word", "dword"))
+    near = F.abs(F.length("word") - F.length("dword")) <= max_distance
+    cand = (by_deletes.unionByName(by_segments).where(near)
+            .withColumn("lev", F.expr(f"levenshtein(word, dword, {2 * max_distance})")).where("lev >= 0")
+            .withColumn("apart", F.when(F.col("lev") <= 1, F.lit(0)).otherwise(
+                F.levenshtein(_letters("word"), _letters("dword"))))
+            .where(_may_be_within(max_distance)).distinct())
+    sure = (F.col("lev") <= 1) | ((F.col("lev") == 2) & (F.col("apart") > 0))
+    cand = (cand.where(sure).withColumn("tier", F.col("lev"))
+            .unionByName(cand.where(~sure).withColumn("tier", dl_udf("word", "dword")))
             .where((F.col("tier") >= 1) & (F.col("tier") <= max_distance)))
     best = (cand.groupBy("word")
             .agg(F.min_by(F.struct("dword", "tier"),

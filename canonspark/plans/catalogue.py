@@ -18,6 +18,7 @@ from canonspark.operators import profile as PF
 from canonspark.operators import reshape as R
 from canonspark.operators import spell as SP
 from canonspark.operators import summary as SM
+from canonspark.operators.rank import row_number_within
 from canonspark.plans import cleaning as CL
 from canonspark.plans import oracle as O
 from canonspark.sources import csv as CSV
@@ -339,9 +340,15 @@ CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) k
 WHERE v > 0 OR length(word) % 2 = 0"""
 
 
-def _spell_fixture(spark, sf):
-    TB.dictionary(spark, sf).createOrReplaceTempView("dict")
-    return spark.sql(SPELL_FIXTURE_SQL)
+def _spell_fixture(dictionary: DataFrame) -> DataFrame:
+    """The rows of ``SPELL_FIXTURE_SQL``, numbered by many tasks."""
+    words = (dictionary.where("length(word) between 9 and 14 and freq >= 5")
+             .select("word", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v"))
+             .where("v > 0 or length(word) % 2 = 0"))
+    return row_number_within(words, [], ["word", "v"], "row_id").selectExpr(
+        "row_id", "concat('len', length(word)) AS category",
+        """CASE v WHEN 0 THEN word WHEN 1 THEN concat(substring(word, 1, 5), substring(word, 7))
+           ELSE concat(substring(word, 1, 4), 'q', substring(word, 5)) END AS name""").checkpoint(eager=True)
 
 
 SPELL_FIXTURE_LONG = O.melt_sql(SPELL_FIXTURE_SQL.replace("as string", "as varchar"), ["name"], "category")
@@ -355,8 +362,8 @@ SELECT group_key, CAST(cluster_id AS BIGINT) AS cluster_id, cluster_tag, size, s
 def q_category_suggestions_dictionary(spark, sf):
     """G1 with the documents' dictionary: a dictionary word of the cluster (A12, A13),
     else the vote of the corrected texts, else majority or single member."""
-    d = TB.dictionary(spark, sf)
-    g = CL.group_by_category(_spell_fixture(spark, sf), ["name"], "category", threshold=85, dictionary=d)
+    d = TB.dictionary(spark, sf).checkpoint(eager=True)
+    g = CL.group_by_category(_spell_fixture(d), ["name"], "category", threshold=85, dictionary=d)
     return _sugg_out(g)
 
 

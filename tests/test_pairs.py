@@ -135,3 +135,18 @@ def test_cells_are_even(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
     assert sum(per) == 1600 * 1600 + 58 * 400
     assert len(per) >= 28 and per[-1] <= 2 * per[len(per) // 2]
+
+
+def test_many_texts_meet_by_what_is_left(spark):
+    # the first two have all letters in common and two replacements between them, but score 80
+    rnd = random.Random(5)
+    words = ["abcdefghij", "jbcdefghia", "abcdefgij", "abcdefghqij", "", "a", "ab", "x\U0001F600yzzzzzz", "x\U0001F600yzzzzz"]
+    words += ["".join(rnd.choice("abc") for _ in range(rnd.randint(6, 14))) for _ in range(60)]
+    words = sorted(set(words))
+    nodes = spark.createDataFrame([("g", w, i) for i, w in enumerate(words)], "group_key string, norm string, occ int")
+    for t in (85, 75, 60):
+        want = {(a, b) for a, b in itertools.combinations(words, 2) if S.ratio(a, b) >= t}
+        got = [(r.a, r.b) for r in PR._pairs_indel(nodes, F.col("norm"), float(t), 10**6).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+        if t == 85:
+            assert set(got) == want

@@ -190,3 +190,28 @@ def test_spelling_of_long_words(spark):
         near = sorted((SP.damerau_levenshtein(w, k), k) for k in set(known) if abs(len(k) - len(w)) <= 2)
         if near and near[0][0] <= 2:
             assert got[w] == (near[0][1], near[0][0]), w
+
+
+def test_transpositions_among_the_edits(spark):
+    # one edit or two by transpositions, with and without another edit between the letters
+    words = {"abdcef": "abcdef", "badcef": "abcdef", "bxadcef": None, "abdxcef": "abcdef", "fbcdea": "abcdef",
+             "abcfed": "abcdef", "abdcxf": "abcdef", "defabc": None}
+    dictionary = spark.createDataFrame([("abcdef", 5)], "word string, freq long")
+    got = {r.word: (r.correction, r.tier) for r in SP.correct_words(
+        spark.createDataFrame([(w,) for w in words], "word string"), dictionary).collect()}
+    for w in words:
+        d = SP.damerau_levenshtein(w, "abcdef")
+        assert got[w] == (("abcdef", d) if d <= 2 else (w, None)), w
+
+
+def test_few_exact_distances(spark, monkeypatch):
+    # replaced letters are told by the bounded distance alone
+    def none(*_):
+        raise AssertionError("no exact distance is needed here")
+
+    monkeypatch.setattr(SP, "damerau_levenshtein", none)
+    monkeypatch.setattr(SP, "dl_udf", lambda a, b: F.raise_error(F.lit("no exact distance is needed here")).cast("int"))
+    words = spark.createDataFrame([("abcdxf",), ("abxdyf",), ("abcde",), ("qrcdst",)], "word string")
+    dictionary = spark.createDataFrame([("abcdef", 5)], "word string, freq long")
+    got = {r.word: (r.correction, r.tier) for r in SP.correct_words(words, dictionary).collect()}
+    assert got == {"abcdxf": ("abcdef", 1), "abxdyf": ("abcdef", 2), "abcde": ("abcdef", 1), "qrcdst": ("qrcdst", None)}
