@@ -221,7 +221,8 @@ def _pairs_query(raw_fn, cols, category, scorer, t=75):
     def run(spark, sf):
         raw = raw_fn(spark, sf)
         mode = "category" if category else "direct"
-        nodes = R.distinct_values(R.normalise_long(R.melt(raw, cols, category=category), mode))
+        # normalised once per raw value, and the table read once, not by every part of the join
+        nodes = R.nodes_from_values(R.raw_values(R.melt(raw, cols, category=category)), mode).checkpoint(eager=True)
         return PR.fuzzy_edges(nodes, scorer, t).select("group_key", "a", "b", "score")
     return run
 

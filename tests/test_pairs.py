@@ -150,3 +150,9 @@ def test_many_texts_meet_by_what_is_left(spark):
         assert len(got) == len(set(got)) and want <= set(got)
         if t == 85:
             assert set(got) == want
+
+
+def test_pair_queries_read_the_table_once(spark):
+    from canonspark.plans import catalogue
+    found = catalogue.QUERIES["fuzzy_pairs_token_set_repeats"](spark, "/root/testdata/sf0.001")
+    assert not found.inputFiles()
