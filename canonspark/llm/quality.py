@@ -36,6 +36,7 @@ FIT_ROWS = 4000              # labelled documents that the fit takes
 ROUNDS, GIVEN, CONFIDENT = 3, 300, 0.98
 PAGE_LEAST = 5               # documents of the fit that have a page's category, for it to count
 BLOCK = 4_000_000            # bytes of text that are scored at once
+PIECE = 1 << 18              # features of the fit that the driver works on at once
 SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 
 
@@ -86,32 +87,81 @@ SHAPE = 8
 _NONE = np.empty(0, np.int64)
 
 
+class Names:
+    """64-bit names in rows.  The driver holds each distinct one once and a number of 4
+    bytes for every place, and reads them ``PIECE`` at a time."""
+
+    def __init__(self):
+        self.distinct, self.codes, self.starts = np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, sizes: np.ndarray, flat: list[np.ndarray]) -> None:
+        """More rows: how many names each has, and their names in arrays of any length."""
+        pieces = [x[k : k + PIECE] for x in flat for k in range(0, len(x), PIECE)]
+        old, have = self.distinct, len(self.codes)
+        for x in pieces:
+            self.distinct = np.union1d(self.distinct, x)
+        codes = np.empty(have + sum(map(len, pieces)), np.int32)
+        place = np.searchsorted(self.distinct, old).astype(np.int32)
+        for k in range(0, have, PIECE):
+            codes[k : min(have, k + PIECE)] = place[self.codes[k : k + PIECE]]
+        for x in pieces:
+            codes[have : have + len(x)] = np.searchsorted(self.distinct, x)
+            have += len(x)
+        self.codes = codes
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+
 class Design:
     """Features of the sample: names that at least ``least`` rows have, as numbers in
     rows (compressed), and standardised dense columns."""
 
-    def __init__(self, offsets: np.ndarray, flat: np.ndarray, dense: np.ndarray, least: int = 5):
-        self.size = len(offsets) - 1
-        ordered = np.sort(flat)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(flat) else np.empty(0, int)
-        self.names = ordered[first][np.diff(np.append(first, len(flat))) >= least]
-        del ordered, first
-        at = np.searchsorted(self.names, flat).astype(np.int32)
-        ok = np.zeros(len(flat), dtype=bool)
-        if len(self.names):
-            np.minimum(at, len(self.names) - 1, out=at)
-            ok = self.names[at] == flat
-        self.cols = at[ok]
-        self.starts = np.concatenate([[0], np.cumsum(ok)])[offsets]
+    def __init__(self, rows: Names, dense: np.ndarray, least: int = 5):
+        self.size = len(rows.starts) - 1
+        pieces = [slice(k, k + PIECE) for k in range(0, len(rows.codes), PIECE)]
+        count = np.zeros(len(rows.distinct), np.int64)
+        for k in pieces:
+            count += np.bincount(rows.codes[k], minlength=len(count))
+        keep = count >= least
+        self.names = rows.distinct[keep]
+        number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+        self.cols, sizes, end = np.empty(int(count[keep].sum()), np.int32), np.zeros(self.size, np.int64), 0
+        for k in pieces:
+            at = number[rows.codes[k]]
+            ok = at >= 0
+            n = int(ok.sum())
+            self.cols[end : end + n] = at[ok]
+            end += n
+            row = np.searchsorted(rows.starts, k.start + np.flatnonzero(ok), side="right") - 1
+            if n:  # its rows follow one another
+                sizes[row[0] : row[-1] + 1] += np.bincount(row - row[0])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.mean = dense.mean(axis=0) if self.size else np.zeros(dense.shape[1])
         self.scale = dense.std(axis=0) + 1e-6 if self.size else np.ones(dense.shape[1])
         self.dense = (dense - self.mean) / self.scale
 
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers (within ``rows``) and columns of the present features."""
-        count = np.diff(self.starts)[rows]
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(np.arange(len(rows)), count), self.cols[np.repeat(self.starts[rows], count) + inside]
+    def pieces(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, slice]]:
+        """The rows ``at`` in pieces of about ``PIECE`` present features: columns, how many of
+        them each row has, and which of ``at`` these are."""
+        sizes = np.diff(self.starts)[at]
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1).tolist(), len(at)]
+        return [(np.concatenate([self.cols[self.starts[i] : self.starts[i + 1]] for i in at[a:b].tolist()]), sizes[a:b],
+                 slice(a, b)) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def _row_sums(pieces: list[tuple[np.ndarray, np.ndarray, slice]], w: np.ndarray, n: int) -> np.ndarray:
+    """The sum of its features' weights for each of n rows."""
+    out = np.zeros(n)
+    for cols, sizes, rows in pieces:
+        out[rows] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=w[cols], minlength=len(sizes))
+    return out
+
+
+def _column_sums(pieces: list[tuple[np.ndarray, np.ndarray, slice]], r: np.ndarray, n: int) -> np.ndarray:
+    """The sum of its rows' values for each of n features, in the order of the rows."""
+    out = np.zeros(n)
+    for cols, sizes, rows in pieces:
+        np.add.at(out, cols, np.repeat(r[rows], sizes))
+    return out
 
 
 @dataclass
@@ -132,13 +182,13 @@ class SparseLogit:
         model and its logits for all rows of the sample."""
         w, d, bias = np.zeros(len(design.names)), np.zeros(design.dense.shape[1]), 0.0
         n = len(y)
-        rows, cols = design.take(at)
+        pieces = design.pieces(at)
         x = design.dense[at]
         gw, gd, gb = np.full(len(w), 1e-8), np.full(len(d), 1e-8), 1e-8
         for _ in range(steps if n else 0):
-            p = _sigmoid(np.bincount(rows, weights=w[cols], minlength=n) + x @ d + bias)
+            p = _sigmoid(_row_sums(pieces, w, n) + x @ d + bias)
             r = (p - y) / n
-            g = np.bincount(cols, weights=r[rows], minlength=len(w))
+            g = _column_sums(pieces, r, len(w))
             gw += g * g
             rate = 0.3 / np.sqrt(gw)
             w -= rate * g
@@ -148,9 +198,8 @@ class SparseLogit:
             d -= 0.3 * g / np.sqrt(gd)
             gb += r.sum() ** 2
             bias -= 0.3 * r.sum() / np.sqrt(gb)
-        everyone = np.arange(design.size)
-        rows, cols = design.take(everyone)
-        z = np.bincount(rows, weights=w[cols], minlength=design.size) + design.dense @ d + bias
+        del pieces
+        z = _row_sums(design.pieces(np.arange(design.size)), w, design.size) + design.dense @ d + bias
         keep = w != 0
         return SparseLogit(design.names[keep], w[keep], d, design.mean, design.scale, float(bias)), z
 
@@ -227,12 +276,19 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), c.flatten()
 
 
+def _names_of(rows: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many names each row has, and the names; nothing is copied."""
+    sizes = [np.asarray(pc.list_value_length(c).fill_null(0), dtype=np.int64) for c in rows.chunks]
+    return np.concatenate([np.empty(0, np.int64), *sizes]), [np.asarray(c.flatten(), dtype=np.int64) for c in rows.chunks]
+
+
 class CoTraining:
     """The state of the two views: rows with their features, and which of them each view learns from."""
 
     def __init__(self, labelled: pa.Table):
         """``labelled``: words (64-bit names), shape, meta (texts) and bad (1 or 0), in a fixed order."""
-        self.rows = labelled
+        self.words, self.rows = Names(), labelled.drop_columns(["words"])
+        self.words.add(*_names_of(labelled["words"]))
         y = labelled["bad"].to_numpy(zero_copy_only=False).astype(float)
         # held back for calibration
         self.back = np.sort(np.random.default_rng(5).permutation(len(y))[: len(y) // 4])
@@ -243,18 +299,19 @@ class CoTraining:
     def give(self, rows: pa.Table, view: list[str]) -> None:
         """Pseudo-labelled rows (``bad`` is the label) for the views named, row by row."""
         first = len(self.rows)
+        self.words.add(*_names_of(rows["words"]))
         self.rows = pa.concat_tables([self.rows, rows.select(self.rows.column_names).cast(self.rows.schema)])
         for i, (v, bad) in enumerate(zip(view, rows["bad"].to_pylist())):
             self.train[v][first + i] = bad
 
     def fit(self) -> CoTrained:
-        offsets, words = _lists(self.rows["words"])
         shape = np.asarray(_lists(self.rows["shape"])[1], dtype=float).reshape(-1, SHAPE)
-        m_offsets, categories = _lists(self.rows["meta"])
+        offsets, categories = _lists(self.rows["meta"])
         categories = categories.to_pylist()
         cats = _names(categories)
-        designs = {"text": Design(offsets, np.asarray(words, dtype=np.int64), shape),
-                   "meta": Design(m_offsets, cats, np.zeros((len(self.rows), 1)))}
+        meta = Names()
+        meta.add(np.diff(offsets), [cats])
+        designs = {"text": Design(self.words, shape), "meta": Design(meta, np.zeros((len(self.rows), 1)))}
         strength, back = {"text": 2e-4, "meta": 1e-3}, self.back
         model, scale, z = {}, {}, {}
         for v, design in designs.items():
@@ -335,6 +392,7 @@ def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int
         table = _rows_of(documents, once, pages)
         place = {key: k for k, key in enumerate(zip(table["doc_id"].to_pylist(), table["bad"].to_pylist()))}
         state.give(table.take(pa.array([place[r] for r in rows])), to)
+        del table
         model = state.fit()
     return model
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -112,3 +114,43 @@ def test_nulls_repeats_and_empty_tables(spark):
     right = [r["quality_score"]["kept"] == (r["doc_id"] % 2 == 1) for r in got if r["text"]]
     assert np.mean(right) > 0.9
     assert Q.judge(docs.limit(0), model, pages).count() == 0
+
+
+def test_features_in_pieces_equal_those_read_at_once(monkeypatch):
+    """Names of rows added in two goes, cut anywhere, against sets and sums of whole rows."""
+    monkeypatch.setattr(Q, "PIECE", 7)
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(-40, 40, rng.integers(0, 25))) * 2**55 for _ in range(60)]
+    rows[0] = rows[31] = rows[-1] = np.empty(0, np.int64)
+    names = Q.Names()
+    for part in (rows[:30], rows[30:]):
+        names.add(np.array([len(r) for r in part]), [np.concatenate(part[:11]), np.concatenate(part[11:])])
+    design = Q.Design(names, np.zeros((60, 1)))
+    every, n = np.unique(np.concatenate(rows), return_counts=True)
+    assert design.names.tolist() == every[n >= 5].tolist() and len(design.names) < len(every)
+    at = np.array([1, 2, 5, 30, 31, 58, 59])
+    w, r = rng.normal(size=len(design.names)), rng.normal(size=len(at))
+    present = [np.searchsorted(design.names, x[np.isin(x, design.names)]) for x in (rows[i] for i in at)]
+    pieces = design.pieces(at)
+    assert len(pieces) > 2
+    assert np.allclose(Q._row_sums(pieces, w, len(at)), [w[p].sum() for p in present])
+    want = [sum(y for p, y in zip(present, r) if i in p) for i in range(len(w))]
+    assert np.allclose(Q._column_sums(pieces, r, len(w)), want)
+
+
+def test_the_fit_takes_little_of_the_drivers_memory():
+    """Beside the features themselves; it took over ten times their size."""
+    n, each = 1500, 800
+    words = np.random.default_rng(4).integers(0, 60_000, (n, each))
+    sample = pa.table({"words": pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), words.ravel()),
+                       "shape": [[0.0] * Q.SHAPE] * n, "meta": [["a=%d" % (i % 2)] for i in range(n)],
+                       "bad": [float(i % 2) for i in range(n)]})
+    size = words.nbytes
+    del words
+    tracemalloc.start()
+    try:
+        Q.CoTraining(sample).fit()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * size, (peak, size)
