@@ -35,7 +35,8 @@ from canonspark.llm.url_filters import host_of
 FIT_ROWS = 4000              # labelled documents that the fit takes
 ROUNDS, GIVEN, CONFIDENT = 3, 300, 0.98
 PAGE_LEAST = 5               # documents of the fit that have a page's category, for it to count
-BLOCK = 4_000_000            # bytes of text that are scored at once
+BLOCK = 1_000_000            # bytes of text that are scored at once
+FEATURE_ROWS = 200           # documents whose features leave a task at once
 PIECE = 1 << 18              # features of the fit that the driver works on at once
 SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 
@@ -71,15 +72,23 @@ class Weighted(dict):
     """word -> places of its features with a weight (mostly none), for words seen
     before; emptied at ``limit`` words so that its memory is bounded."""
 
-    def __init__(self, model: "SparseLogit", limit: int = 100_000):
+    def __init__(self, model: "SparseLogit", limit: int = 50_000):
         super().__init__()
-        self.place = {int(x): i for i, x in enumerate(model.names)}
+        # by the name as xxhash gives it; most words are new, so none is made signed
+        self.place = {int(x) % (1 << 64): i for i, x in enumerate(model.names)}
         self.limit = limit
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = got = tuple(self.place[x] for x in word_names(word) if x in self.place)
+        place, name = self.place, xxhash.xxh64_intdigest
+        found = [place[x]] if (x := name(word)) in place else []
+        for k in PREFIXES:
+            if len(word) <= k:
+                break
+            if (x := name(b"\0" + word[:k])) in place:
+                found.append(place[x])
+        self[word] = got = tuple(found)
         return got
 
 
@@ -326,10 +335,12 @@ class CoTraining:
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        f = [text_features(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "bad": pdf["bad"], "meta": pdf["meta"],
-                            "words": [w for w, _ in f], "shape": [s for _, s in f]})
+    for batch in batches:
+        for k in range(0, len(batch), FEATURE_ROWS):
+            pdf = batch.iloc[k : k + FEATURE_ROWS]
+            f = [text_features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "bad": pdf["bad"].array, "meta": pdf["meta"].array,
+                                "words": [w for w, _ in f], "shape": [s for _, s in f]})
 
 
 def _marked(labels: DataFrame) -> DataFrame:

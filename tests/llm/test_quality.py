@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -154,3 +155,34 @@ def test_the_fit_takes_little_of_the_drivers_memory():
     finally:
         tracemalloc.stop()
     assert peak < 4 * size, (peak, size)
+
+
+def test_scoring_takes_little_of_a_workers_memory(spark):
+    """Blocks, words held and frames are small beside a batch of whole texts."""
+    rng = np.random.default_rng(6)
+    names = np.unique(rng.integers(-2**62, 2**62, 200))
+    m = Q.CoTrained(Q.SparseLogit(names, np.ones(len(names)), np.zeros(Q.SHAPE), np.zeros(Q.SHAPE), np.ones(Q.SHAPE), 0.0),
+                    None, {}, None, np.array([1.0, 0.0]), None)
+    texts = pd.Series([" ".join(rng.integers(10**6, 10**7, 250).astype(str)) for _ in range(2000)])
+    run = Q.text_logit(m).func
+    tracemalloc.start()
+    try:
+        z = pd.concat(run(iter([texts])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(z) == 2000 and not z.any()
+    assert peak < 40e6, peak
+    rows = pd.DataFrame({"doc_id": range(2000), "bad": 1.0, "meta": [[]] * 2000, "text": texts})
+    frames = list(Q._features(iter([rows.iloc[5:]])))
+    assert max(map(len, frames)) <= 200 and pd.concat(frames)["doc_id"].tolist() == list(range(5, 2000))
+
+
+def test_places_of_a_word_are_those_of_its_names():
+    words = [b"", b"a", b"abcd", b"abcde", b"abcdef", b"abcdefgh", "été".encode()]
+    every = sorted({x for w in words for x in Q.word_names(w)})[::2]
+    m = Q.SparseLogit(np.array(every), np.ones(len(every)), np.zeros(1), np.zeros(1), np.ones(1), 0.0)
+    places = Q.Weighted(m, limit=3)
+    for w in words * 2:
+        assert list(places[w]) == [every.index(x) for x in Q.word_names(w) if x in every]
+        assert len(places) <= 3
