@@ -74,9 +74,22 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _row_max(x: np.ndarray) -> np.ndarray:
+    """Largest entry of every row, as a column; whole halves at a time, as rows are short."""
+    while x.shape[-1] > 1:
+        half = (x.shape[-1] + 1) // 2
+        x = np.maximum(x[..., :half], x[..., -half:])
+    return x
+
+
+def _flat(x: np.ndarray, ok: np.ndarray, every: bool) -> np.ndarray:
+    """The entries of a window that stand for words, in one row; not copied if all do."""
+    return x.reshape(-1, *x.shape[2:]) if every else x[ok]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Overwrites x."""
-    x -= x.max(axis=-1, keepdims=True)
+    x -= _row_max(x)
     np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
@@ -209,7 +222,9 @@ class Model:
         for before, word, doc in lane.windows(steps):
             out, h, _ = self._steps(before, h[: word.shape[1]], False)
             ok = word >= 0
-            total += np.bincount(doc[ok], weights=self.score_p(out[ok], word[ok]), minlength=len(docs))
+            every = bool(ok.all())
+            doc, out, word = (_flat(x, ok, every) for x in (doc, out, word))
+            total += np.bincount(doc, weights=self.score_p(out, word), minlength=len(docs))
         return total
 
     def train(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 16, rate: float = 0.1,
@@ -239,7 +254,8 @@ class Model:
     def _back(self, before, word, states, saved) -> dict[str, np.ndarray]:
         s, p, n = self.shape, self.p, self.shape.hidden
         ok = word >= 0
-        flat, target = states[ok], word[ok]
+        every = bool(ok.all())
+        flat, target = _flat(states, ok, every), _flat(word, ok, every)
         cls = np.where(target < s.short, target // s.per_class, target - s.short + s.short_classes)
         scale = np.float32(1.0 / np.sqrt(max(1, len(flat))))
         dc = _softmax(flat @ p["C"] + p["c"])
@@ -261,8 +277,11 @@ class Model:
                 g["O"][k], g["o"][k] = of_class[a:b].T @ dw, dw.sum(axis=0)
                 inner[a:b] = dw @ p["O"][k].T
         df[order] += inner
-        dstates = np.zeros_like(states)
-        dstates[ok] = df
+        if every:
+            dstates = df.reshape(states.shape)
+        else:
+            dstates = np.zeros_like(states)
+            dstates[ok] = df
         dx = np.zeros((*before.shape, 3 * n), dtype=np.float32)
         dh = np.zeros_like(states[0])
         ut, vt = np.ascontiguousarray(p["U"].T), np.ascontiguousarray(p["V"].T)

@@ -30,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonspark.llm.gru import Model, Shape, pack, start, unpack
-from canonspark.llm.textops import SPACE_WORD_BYTES, coded_words, encode, small_batches, written
+from canonspark.llm.textops import SPACE_WORD_BYTES, coded_words, small_batches, written
 
 END = b" "            # the end mark; no word holds a space
 HEAD = 100_000        # words that travel to the tasks (about 3 MB)
@@ -51,15 +52,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bytes, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray]]:
     """Rows, their texts put together, and the byte at which each begins."""
-    for pdf in batches:
-        texts = [encode(t) for t in pdf["text"]]
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist()
         sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
         cuts = [0, *(np.flatnonzero(np.diff(sizes[1:] // BLOCK)) + 1).tolist(), len(texts)] if texts else [0]
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
-                yield pdf.iloc[a:b], b"\n".join(texts[a:b]), sizes[a:b] - sizes[a]
+                yield batch.slice(a, b - a), b"\n".join(texts[a:b]), sizes[a:b] - sizes[a]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
             yield from t.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=65_536)
 
-    for rows, data, _ in _blocks(batch.to_pandas() for batch in batches):
+    for rows, data, _ in _blocks(batches):
         code, _, names = coded_words(data, SPACE_WORD_BYTES)
         held.append(pa.table({"word": names, "n": pa.array(np.bincount(code, minlength=len(names)), pa.int64())}))
         held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([len(rows)], pa.int64())}))
@@ -87,13 +88,6 @@ def word_counts(training: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-class _Places(dict):
-    """word -> place in the head, -1 beyond it."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """The head: a place for every word, and by place (the last entry stands for the
     words beyond the head) its count, the number by which the network knows it and
@@ -104,7 +98,8 @@ class Vocabulary:
         words = sorted(words, key=lambda w: (w[0] != END, -w[1], w[0]))
         n, bands = len(words), shape.others - 1
         self.shape, self.total, self.size = shape, total, size
-        self.place = _Places((w, i) for i, (w, _) in enumerate(words))
+        self.place = {w: i for i, (w, _) in enumerate(words)}
+        self.head = pa.array([w for w, _ in words], pa.binary())
         self.count = np.array([c for _, c in words] + [0], dtype=np.int64)
         self.rest = shape.short + bands
         self.number = np.full(n + 1, self.rest, dtype=np.int32)
@@ -125,8 +120,10 @@ class Vocabulary:
         self.class_log_p = np.log(masses / masses.sum())
         self.word_log_p = np.log((per + 0.5) / (per + 0.5).sum(axis=1, keepdims=True)).ravel()
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+    def places(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        """Of each word its place in the head, -1 beyond it."""
+        at = pc.index_in(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), value_set=self.head)
+        return at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return self.number[self.places(words)]
@@ -153,38 +150,47 @@ CODED = "rid long, doc_id long, held_out boolean, shard long, place long, n_toke
         "lm double, codes binary, words array<binary>, times array<long>"
 
 
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values)
+
+
 def _coder(vocab, shards: int):
-    """Texts as the network's numbers, with all that doesn't depend on its state."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as the network's numbers, with all that doesn't depend on its state.  Words stay
+    in Arrow's arrays: most of a large table's words are beyond the head."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         base_log = np.log10((v.count + 1) / (v.total + v.size + 1))
         base_log[-1] = 0.0  # the words beyond the head are joined later
         share = v.share / math.log(10)
-        end = v.place[END]
+        end = v.place.get(END, -1)
         for rows, data, begins in _blocks(batches):
             code, starts, names = coded_words(data, SPACE_WORD_BYTES)
-            names = names.to_pylist()
-            at = v.places(names)[code] if names else np.zeros(0, np.int64)
+            at = v.places(names)[code]
             doc = np.searchsorted(begins, starts, side="right") - 1
-            docs = len(rows)
+            docs, many = len(rows), max(1, len(names))
             first = np.searchsorted(doc, np.arange(docs + 1))
-            numbers = v.number[at].astype("<u2")
-            mark = np.array([v.number[end]], "<u2").tobytes()
+            # the end mark stands after each text's words
+            numbers = np.insert(v.number[at].astype("<u2"), first[1:], v.number[end].astype("<u2"))
+            ends = (2 * (first + np.arange(docs + 1))).astype(np.int32)
             rare = np.flatnonzero(at < 0)
-            pair, times = np.unique(doc[rare] * max(1, len(names)) + code[rare], return_counts=True)
-            of = np.searchsorted(pair // max(1, len(names)), np.arange(docs + 1))
-            word = [names[k] for k in (pair % max(1, len(names))).tolist()]
-            more = ([END], [1]) if end < 0 else ([], [])  # without training documents the end mark is unknown
-            yield pd.DataFrame({
-                "rid": rows["rid"], "doc_id": rows["doc_id"], "held_out": rows["held_out"],
-                "shard": rows["place"] % shards, "place": rows["place"],
-                "n_tokens": np.diff(first) + 1,
-                "n_known": np.bincount(doc[at >= 0], minlength=docs) + int(end >= 0),
-                "base": np.bincount(doc, weights=base_log[at], minlength=docs) + base_log[end],
-                "lm": np.bincount(doc, weights=share[at], minlength=docs) + share[end],
-                "codes": [numbers[a:b].tobytes() + mark for a, b in zip(first, first[1:])],
-                "words": [word[a:b] + more[0] for a, b in zip(of, of[1:])],
-                "times": [times[a:b].tolist() + more[1] for a, b in zip(of, of[1:])]})
+            pair, times = np.unique(doc[rare] * many + code[rare], return_counts=True)
+            size = np.bincount(pair // many, minlength=docs)
+            words = names.take(pa.array(pair % many))
+            if end < 0:  # without training documents the end mark is unknown
+                last = np.cumsum(size)
+                words = pa.array(np.insert(np.array(words.to_pylist(), dtype=object), last, END), pa.binary())
+                times, size = np.insert(times, last, 1), size + 1
+            place = rows.column("place").to_numpy()
+            yield pa.RecordBatch.from_arrays([
+                rows.column("rid"), rows.column("doc_id"), rows.column("held_out"),
+                pa.array(place % shards, pa.int64()), rows.column("place"),
+                pa.array(np.diff(first) + 1, pa.int64()),
+                pa.array(np.bincount(doc[at >= 0], minlength=docs) + int(end >= 0), pa.int64()),
+                pa.array(np.bincount(doc, weights=base_log[at], minlength=docs) + base_log[end]),
+                pa.array(np.bincount(doc, weights=share[at], minlength=docs) + share[end]),
+                pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(ends), pa.py_buffer(numbers)]),
+                _lists(words, size), _lists(pa.array(times, pa.int64()), size)],
+                names=[c.split()[0] for c in CODED.split(", ")])
 
     return run
 
@@ -244,26 +250,26 @@ def train(coded: DataFrame, vocab: Vocabulary, shards: int, rounds: int = ROUNDS
 
 
 def _scorer(weights, shape: Shape):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(unpack(weights.value, shape), shape)
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         docs: list[np.ndarray] = []
         waiting = 0
 
-        def finish() -> pd.DataFrame:
-            rows = pd.concat(held, ignore_index=True)
-            rows["lm"] += model.score(docs) / math.log(10)
-            return rows
+        def finish() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            lm = rows["lm"].to_numpy() + model.score(docs) / math.log(10)
+            yield from rows.set_column(rows.column_names.index("lm"), "lm", pa.array(lm)).to_batches()
 
-        for pdf in batches:
-            held.append(pdf.drop(columns="codes"))
-            docs += [np.frombuffer(c, "<u2") for c in pdf["codes"]]
-            waiting += int(pdf["n_tokens"].sum())
+        for batch in batches:
+            held.append(batch.drop_columns(["codes"]))
+            docs += [np.frombuffer(c, "<u2") for c in batch.column("codes").to_pylist()]
+            waiting += int(batch.column("n_tokens").to_numpy().sum())
             if waiting >= BATCH_WORDS:
-                yield finish()
+                yield from finish()
                 held, docs, waiting = [], [], 0
         if held:
-            yield finish()
+            yield from finish()
 
     return run
 
@@ -291,10 +297,10 @@ def score(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS, shape: S
                        held_out(F.col("doc_id")).alias("held_out"),
                        F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"), "text")
     # written: the texts are split once, training and scoring read numbers
-    coded = written(rows.mapInPandas(_coder(sc.broadcast(vocab), shards), CODED), "coded")
+    coded = written(rows.mapInArrow(_coder(sc.broadcast(vocab), shards), CODED), "coded")
     flat = train(coded, vocab, shards, rounds)
     lines = coded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "codes")
-    scored = lines.mapInPandas(_scorer(sc.broadcast(flat), shape), SCORED)
+    scored = lines.mapInArrow(_scorer(sc.broadcast(flat), shape), SCORED)
     rare = coded.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))

@@ -1,8 +1,10 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from canonspark.llm import gru, lm_scoring as M
@@ -140,3 +142,30 @@ def test_state_is_carried_and_documents_do_not_mix():
 
 def test_empty_table(spark):
     assert M.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_stay_exact_beside_null_ones(spark):
+    """Texts and numbers stay in Arrow's arrays; by way of pandas, ids beside a null one became doubles."""
+    ids = [2**53 + 1, None, 2**62 + 3, -2**53 - 1]
+    docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").coalesce(1)
+    got = [r["doc_id"] for r in M.score(docs, head=2, shape=SMALL).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+
+
+def test_coded_rows_hold_every_word(spark):
+    """Numbers of the head's words, and each other word with its count, text by text."""
+    texts = ["a b b zz a yy zz", "", None, "  ", "xx", "b A\tyy"]
+    counts = M.word_counts(spark.createDataFrame([(t,) for t in texts[:1]], "text string"))
+    v = M.vocabulary(counts, 3, SMALL)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6)), pa.array([5, None, 7, 8, 9, 10]), pa.array([False] * 6), pa.array(range(6)), pa.array(texts)],
+        names=["rid", "doc_id", "held_out", "place", "text"])
+    for vocab in (v, M.Vocabulary([], 0, 0, SMALL)):
+        rows = pa.Table.from_batches(M._coder(SimpleNamespace(value=vocab), 4)(iter([batch]))).to_pylist()
+        assert [r["doc_id"] for r in rows] == [5, None, 7, 8, 9, 10] and [r["shard"] for r in rows] == [0, 1, 2, 3, 0, 1]
+        for r, t in zip(rows, texts):
+            words = [*space_words(t), M.END]
+            assert np.frombuffer(r["codes"], "<u2").tolist() == vocab.numbers(words).tolist()
+            rest = Counter(w for w in words if w not in vocab.place)
+            assert dict(zip(r["words"], r["times"])) == rest and len(r["words"]) == len(rest)
+            assert r["n_tokens"] == len(words) and r["n_known"] == sum(w in vocab.place for w in words)
