@@ -17,7 +17,7 @@ documents of each class and view.  All pages of a document are its metadata.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -96,29 +96,73 @@ SHAPE = 8
 _NONE = np.empty(0, np.int64)
 
 
+def _slices(n: int) -> list[slice]:
+    return [slice(k, min(n, k + PIECE)) for k in range(0, n, PIECE)]
+
+
 class Names:
     """64-bit names in rows.  The driver holds each distinct one once and a number of 4
-    bytes for every place, and reads them ``PIECE`` at a time."""
+    bytes for every place, in an array for each time that rows were added, and reads them
+    ``PIECE`` at a time."""
 
     def __init__(self):
-        self.distinct, self.codes, self.starts = np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.distinct, self.codes, self.starts = np.empty(0, np.int64), [], np.zeros(1, np.int64)
 
-    def add(self, sizes: np.ndarray, flat: list[np.ndarray]) -> None:
-        """More rows: how many names each has, and their names in arrays of any length."""
-        pieces = [x[k : k + PIECE] for x in flat for k in range(0, len(x), PIECE)]
-        old, have = self.distinct, len(self.codes)
+    def add(self, sizes: np.ndarray, flat: list[np.ndarray], order: np.ndarray | None = None) -> None:
+        """More rows: how many names each has, and their names in arrays of any length.  ``order``: which
+        of these rows are taken, one after another (a row may come twice); else all."""
+        pieces = [x[k] for x in flat for k in _slices(len(x))]
+        old = self.distinct
         for x in pieces:
             self.distinct = np.union1d(self.distinct, x)
-        codes = np.empty(have + sum(map(len, pieces)), np.int32)
         place = np.searchsorted(self.distinct, old).astype(np.int32)
-        for k in range(0, have, PIECE):
-            codes[k : min(have, k + PIECE)] = place[self.codes[k : k + PIECE]]
+        for codes in self.codes:
+            for k in _slices(len(codes)):
+                codes[k] = place[codes[k]]
+        new, end = np.empty(sum(map(len, pieces)), np.int32), 0
         for x in pieces:
-            codes[have : have + len(x)] = np.searchsorted(self.distinct, x)
-            have += len(x)
-        self.codes = codes
+            new[end : end + len(x)] = np.searchsorted(self.distinct, x)
+            end += len(x)
+        if order is not None:
+            ends = np.cumsum(sizes, dtype=np.int64)
+            new = np.concatenate([new[:0], *(new[e - n : e] for e, n in zip(ends[order].tolist(), sizes[order].tolist()))])
+            sizes = sizes[order]
+        self.codes.append(new)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
 
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Where each piece begins, and its codes."""
+        first = 0
+        for codes in self.codes:
+            for k in _slices(len(codes)):
+                yield first + k.start, codes[k]
+            first += len(codes)
+
+
+Piece = tuple[np.ndarray, np.ndarray, slice]
+
+
+class Pieces:
+    """Rows of a design in pieces of about ``PIECE`` present features: columns, how many of them each
+    row has, and which of the rows these are.  A piece's columns are put together when it is read."""
+
+    def __init__(self, cols: np.ndarray, starts: np.ndarray, at: np.ndarray):
+        begins, ends = starts[at], starts[at + 1]
+        self.cols, self.sizes = cols, ends - begins
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(self.sizes) // PIECE)) + 1).tolist(), len(at)]
+        self.rows = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        self.runs = []  # of a piece's rows that follow one another
+        for k in self.rows:
+            gap = np.flatnonzero(begins[k][1:] != ends[k][:-1])
+            self.runs.append([*zip(begins[k][np.append(0, gap + 1)].tolist(), ends[k][np.append(gap, -1)].tolist())])
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[Piece]:
+        for k, runs in zip(self.rows, self.runs):
+            yield np.concatenate([self.cols[a:b] for a, b in runs]), self.sizes[k], k
+
 
 class Design:
     """Features of the sample: names that at least ``least`` rows have, as numbers in
@@ -126,21 +170,20 @@ class Design:
 
     def __init__(self, rows: Names, dense: np.ndarray, least: int = 5):
         self.size = len(rows.starts) - 1
-        pieces = [slice(k, k + PIECE) for k in range(0, len(rows.codes), PIECE)]
         count = np.zeros(len(rows.distinct), np.int64)
-        for k in pieces:
-            count += np.bincount(rows.codes[k], minlength=len(count))
+        for _, codes in rows.pieces():
+            count += np.bincount(codes, minlength=len(count))
         keep = count >= least
         self.names = rows.distinct[keep]
         number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
         self.cols, sizes, end = np.empty(int(count[keep].sum()), np.int32), np.zeros(self.size, np.int64), 0
-        for k in pieces:
-            at = number[rows.codes[k]]
+        for first, codes in rows.pieces():
+            at = number[codes]
             ok = at >= 0
             n = int(ok.sum())
             self.cols[end : end + n] = at[ok]
             end += n
-            row = np.searchsorted(rows.starts, k.start + np.flatnonzero(ok), side="right") - 1
+            row = np.searchsorted(rows.starts, first + np.flatnonzero(ok), side="right") - 1
             if n:  # its rows follow one another
                 sizes[row[0] : row[-1] + 1] += np.bincount(row - row[0])
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -148,16 +191,12 @@ class Design:
         self.scale = dense.std(axis=0) + 1e-6 if self.size else np.ones(dense.shape[1])
         self.dense = (dense - self.mean) / self.scale
 
-    def pieces(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, slice]]:
-        """The rows ``at`` in pieces of about ``PIECE`` present features: columns, how many of
-        them each row has, and which of ``at`` these are."""
-        sizes = np.diff(self.starts)[at]
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1).tolist(), len(at)]
-        return [(np.concatenate([self.cols[self.starts[i] : self.starts[i + 1]] for i in at[a:b].tolist()]), sizes[a:b],
-                 slice(a, b)) for a, b in zip(cuts, cuts[1:]) if a < b]
+    def pieces(self, at: np.ndarray) -> Pieces:
+        """The rows ``at``."""
+        return Pieces(self.cols, self.starts, at)
 
 
-def _row_sums(pieces: list[tuple[np.ndarray, np.ndarray, slice]], w: np.ndarray, n: int) -> np.ndarray:
+def _row_sums(pieces: Iterable[Piece], w: np.ndarray, n: int) -> np.ndarray:
     """The sum of its features' weights for each of n rows."""
     out = np.zeros(n)
     for cols, sizes, rows in pieces:
@@ -165,9 +204,9 @@ def _row_sums(pieces: list[tuple[np.ndarray, np.ndarray, slice]], w: np.ndarray,
     return out
 
 
-def _column_sums(pieces: list[tuple[np.ndarray, np.ndarray, slice]], r: np.ndarray, n: int) -> np.ndarray:
-    """The sum of its rows' values for each of n features, in the order of the rows."""
-    out = np.zeros(n)
+def _column_sums(pieces: Iterable[Piece], r: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
+    """The sum of its rows' values for each of n features, in the order of the rows; added to ``out``."""
+    out = np.zeros(n) if out is None else out
     for cols, sizes, rows in pieces:
         np.add.at(out, cols, np.repeat(r[rows], sizes))
     return out
@@ -195,9 +234,11 @@ class SparseLogit:
         x = design.dense[at]
         gw, gd, gb = np.full(len(w), 1e-8), np.full(len(d), 1e-8), 1e-8
         for _ in range(steps if n else 0):
-            p = _sigmoid(_row_sums(pieces, w, n) + x @ d + bias)
-            r = (p - y) / n
-            g = _column_sums(pieces, r, len(w))
+            z, r, g = x @ d, np.zeros(n), np.zeros(len(w))
+            for piece in pieces:  # its columns are put together once a step
+                k = piece[2]
+                r[k] = (_sigmoid(_row_sums([piece], w, n)[k] + z[k] + bias) - y[k]) / n
+                g = _column_sums([piece], r, len(w), g)
             gw += g * g
             rate = 0.3 / np.sqrt(gw)
             w -= rate * g
@@ -294,32 +335,39 @@ def _names_of(rows: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray]]:
 class CoTraining:
     """The state of the two views: rows with their features, and which of them each view learns from."""
 
-    def __init__(self, labelled: pa.Table):
-        """``labelled``: words (64-bit names), shape, meta (texts) and bad (1 or 0), in a fixed order."""
-        self.words, self.rows = Names(), labelled.drop_columns(["words"])
-        self.words.add(*_names_of(labelled["words"]))
-        y = labelled["bad"].to_numpy(zero_copy_only=False).astype(float)
+    def __init__(self, labelled: pa.Table, order: np.ndarray | None = None):
+        """``labelled``: words (64-bit names), shape, meta (texts) and bad (1 or 0); ``order``: of its rows,
+        else they are in a fixed order."""
+        order = np.arange(len(labelled)) if order is None else order
+        self.words = Names()
+        self.words.add(*_names_of(labelled["words"]), order)
+        # copied, as Arrow keeps all columns of a batch while one of them is held
+        self.rows = labelled.drop_columns(["words"]).take(pa.array(order))
+        y = self.rows["bad"].to_numpy(zero_copy_only=False).astype(float)
         # held back for calibration
         self.back = np.sort(np.random.default_rng(5).permutation(len(y))[: len(y) // 4])
         self.y = y
         own = np.setdiff1d(np.arange(len(y)), self.back)
         self.train = {v: dict(zip(own.tolist(), y[own])) for v in ("text", "meta")}
 
-    def give(self, rows: pa.Table, view: list[str]) -> None:
-        """Pseudo-labelled rows (``bad`` is the label) for the views named, row by row."""
-        first = len(self.rows)
-        self.words.add(*_names_of(rows["words"]))
-        self.rows = pa.concat_tables([self.rows, rows.select(self.rows.column_names).cast(self.rows.schema)])
-        for i, (v, bad) in enumerate(zip(view, rows["bad"].to_pylist())):
+    def give(self, rows: pa.Table, view: list[str], order: np.ndarray | None = None) -> None:
+        """Pseudo-labelled rows (``bad`` is the label) for the views named, row by row; ``order``: which of
+        ``rows`` these are, else all."""
+        first, order = len(self.rows), np.arange(len(rows)) if order is None else order
+        self.words.add(*_names_of(rows["words"]), order)
+        few = rows.select(self.rows.column_names).take(pa.array(order)).cast(self.rows.schema)
+        self.rows = pa.concat_tables([self.rows, few])
+        for i, (v, bad) in enumerate(zip(view, few["bad"].to_pylist())):
             self.train[v][first + i] = bad
 
     def fit(self) -> CoTrained:
         shape = np.asarray(_lists(self.rows["shape"])[1], dtype=float).reshape(-1, SHAPE)
         offsets, categories = _lists(self.rows["meta"])
-        categories = categories.to_pylist()
+        coded = categories.dictionary_encode()
+        categories = coded.dictionary.to_pylist()
         cats = _names(categories)
         meta = Names()
-        meta.add(np.diff(offsets), [cats])
+        meta.add(np.diff(offsets), [cats[coded.indices.to_numpy()]])
         designs = {"text": Design(self.words, shape), "meta": Design(meta, np.zeros((len(self.rows), 1)))}
         strength, back = {"text": 2e-4, "meta": 1e-3}, self.back
         model, scale, z = {}, {}, {}
@@ -359,13 +407,16 @@ def _rows_of(documents: DataFrame, chosen: DataFrame, pages: DataFrame) -> pa.Ta
     known = mine.groupBy("category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGE_LEAST).select("category")
     lists = mine.join(known, "category").groupBy("doc_id").agg(F.sort_array(F.collect_list("category")).alias("c"))
     own = metadata(*[F.col(f"d.{c}") for c in ("source", "lang", "n_chars")])
-    rows = (texts.join(lists, "doc_id", "left")
+    return (texts.join(lists, "doc_id", "left")
             .select("doc_id", F.col("d.text").alias("text"), "bad",
                     F.concat(own, F.coalesce("c", F.expr("cast(array() as array<string>)"))).alias("meta"))
             .mapInPandas(_features, "doc_id long, bad double, meta array<string>, words array<long>, shape array<double>")
             .toArrow())
-    # an order of its own, whatever the partitions
-    return rows.take(pc.sort_indices(rows.select(["doc_id", "bad"]), [("doc_id", "ascending"), ("bad", "ascending")]))
+
+
+def _ordered(rows: pa.Table) -> np.ndarray:
+    """An order of its own, whatever the partitions."""
+    return pc.sort_indices(rows.select(["doc_id", "bad"]), [("doc_id", "ascending"), ("bad", "ascending")]).to_numpy()
 
 
 def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int = FIT_ROWS,
@@ -377,7 +428,10 @@ def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int
     marked = _marked(labels)
     part = min(1.0, fit_rows / max(1, marked.count()))
     sampled = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(2**32)) < int(2**32 * part))
-    state = CoTraining(_rows_of(documents, sampled, pages))
+    table = _rows_of(documents, sampled, pages)
+    state = CoTraining(table, _ordered(table))
+    del table
+    pa.default_memory_pool().release_unused()
     model = state.fit()
     known = small_batches(documents).where("doc_id is not null")
     seen: set[tuple[int, str]] = set()
@@ -402,8 +456,9 @@ def fit(documents: DataFrame, labels: DataFrame, pages: DataFrame, fit_rows: int
         once = spark.createDataFrame(sorted(set(rows)), "doc_id long, bad double")
         table = _rows_of(documents, once, pages)
         place = {key: k for k, key in enumerate(zip(table["doc_id"].to_pylist(), table["bad"].to_pylist()))}
-        state.give(table.take(pa.array([place[r] for r in rows])), to)
+        state.give(table, to, np.array([place[r] for r in rows]))
         del table
+        pa.default_memory_pool().release_unused()
         model = state.fit()
     return model
 

@@ -157,6 +157,46 @@ def test_the_fit_takes_little_of_the_drivers_memory():
     assert peak < 4 * size, (peak, size)
 
 
+
+def _sample(n: int, each: int) -> pa.Table:
+    words = np.random.default_rng(4).integers(0, 60_000, n * each)
+    return pa.table({"words": pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), pa.array(words)),
+                     "shape": [[i % 7 / 7] * Q.SHAPE for i in range(n)], "meta": [["a=%d" % (i % 2), "b"] for i in range(n)],
+                     "bad": [float(i % 2) for i in range(n)]})
+
+
+def test_the_fit_holds_features_twice_and_no_copy_for_the_rows_it_learns_from(monkeypatch):
+    """As 4-byte numbers of the sample and of the design; with a copy of the rows it took
+    2.3 times the size of the 8-byte names, now 1.8."""
+    monkeypatch.setattr(Q, "PIECE", 1 << 16)
+    sample = _sample(3000, 400)
+    tracemalloc.start()
+    try:
+        state = Q.CoTraining(sample)
+        state.give(sample.slice(0, 600), ["text"] * 600)
+        tracemalloc.reset_peak()
+        state.fit()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.05 * sample["words"].nbytes, peak / sample["words"].nbytes
+
+
+def test_rows_in_an_order_of_their_own_need_no_sorted_copy():
+    """Batches as they come with an order, and rows given twice, against copied tables."""
+    sample, rng = _sample(120, 30), np.random.default_rng(8)
+    sample = pa.Table.from_batches(sample.to_batches(max_chunksize=50))
+    order, given = rng.permutation(120), rng.integers(0, 40, 60)
+    views = ["text", "meta"] * 30
+    one, two = Q.CoTraining(sample, order), Q.CoTraining(sample.take(pa.array(order)))
+    one.give(sample.slice(0, 40), views, given)
+    two.give(sample.slice(0, 40).take(pa.array(given)), views)
+    assert one.rows.equals(two.rows) and one.train == two.train
+    a, b = one.fit(), two.fit()
+    assert a.meta_weights == b.meta_weights and a.combine.tolist() == b.combine.tolist()
+    assert a.text.names.tolist() == b.text.names.tolist() and a.text.weights.tolist() == b.text.weights.tolist()
+
+
 def test_scoring_takes_little_of_a_workers_memory(spark):
     """Blocks, words held and frames are small beside a batch of whole texts."""
     rng = np.random.default_rng(6)
