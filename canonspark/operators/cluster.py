@@ -11,11 +11,15 @@ their own cluster.
 C1 (leader): take the first unassigned value as base, every later unassigned
 value similar to the base joins it.  Leaders are the greedy independent set in
 rank order: a value with no lower neighbour left is a leader, the values above a
-leader are covered, and both leave with their edges.  A value with a single
-lower neighbour left has the opposite state of it; such values form chains,
-which, after the first rounds, are followed by doubling pointers (target, parity), so
-that a line of n similar neighbours takes about log n steps.  A covered value joins its
-lowest leader neighbour.
+leader are covered, and both leave with their edges.  A round deals the edges out by
+ranges of values, and a task applies the rule to its range in order, with what is
+known of values outside.  Neighbours are lower values, so a round settles the lowest
+range whole and a dependency takes a round only where it crosses ranges.  A range has
+half a million edges, so there are no more rounds than that number goes into the edges,
+and few Spark jobs a round, as the driver keeps a record of every job.  A value with a single lower neighbour left has the opposite state of
+it; such values form chains, which, after a round that left most of the edges, are
+followed by doubling pointers (target, parity), so that a line of n similar neighbours
+takes about log n steps.  A covered value joins its lowest leader neighbour.
 
 C2 (first fit): a value joins the first cluster holding any similar earlier
 value.  Its label is the minimum label over earlier neighbours (its own rank
@@ -26,14 +30,21 @@ and never below the true label, so the fixpoint is the sequential result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canonspark.operators.rank import row_number_within
 from canonspark.session import ensure_checkpoint_dir
 
 NODE = ["group_key", "v"]
-CHAIN_FROM = 3  # rounds without looking for chains; most graphs need no more
+LIVE = ["group_key", "u", "v", "state"]
+COVERED, OPEN, LEADS = 0, 1, 2
+BLOCK = 500_000  # edges of a range of values
+SLOW = 0.5  # chains are followed when a round leaves more than this share of the edges
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -84,30 +95,121 @@ def _chains(single: DataFrame) -> DataFrame:
             return ptr
 
 
+def _leaves(array: pa.Array) -> list[list]:
+    """The columns of a key, of its fields if it is a struct."""
+    if pa.types.is_struct(array.type):
+        return [x for part in array.flatten() for x in _leaves(part)]
+    if pa.types.is_integer(array.type) and not array.null_count:
+        return [array.to_numpy(zero_copy_only=False).tolist()]
+    texts = array.dictionary_encode()  # equal texts are one object
+    each = texts.dictionary.to_pylist()
+    return [[None if i is None else each[i] for i in texts.indices.to_pylist()]]
+
+
+def _keys(batch: pa.RecordBatch, node: str) -> list[tuple]:
+    return list(zip(*_leaves(batch.column("group_key")), *_leaves(batch.column(node))))
+
+
+def _whole_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by value, dealt anew so that no value is in two batches."""
+    held: list[pa.RecordBatch] = []
+    of = None
+    for batch in (b for b in batches if b.num_rows):
+        v = _keys(batch, "v")
+        cut = len(v)
+        while cut and v[cut - 1] == v[-1]:
+            cut -= 1
+        if held and (cut or of != v[-1]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+        of = v[-1]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sequential rule within a block of values.  Rows ``(group_key, u, v, state)``
+    sorted by v, with the state of u as far as it is known.  Gives a row without u for
+    every value that is covered or open, and for open ones the rows of their open u."""
+    known: dict[tuple, int] = {}  # of the values of this block
+    for rows in _whole_values(batches):
+        u, v, state = _keys(rows, "u"), _keys(rows, "v"), rows.column("state").to_pylist()
+        at, kept, first, found = 0, [], [], []
+        while at < len(v):
+            me, begin, now, mine = v[at], at, LEADS, []
+            while at < len(v) and v[at] == me:
+                if now != COVERED:
+                    s = known.get(u[at], state[at])
+                    if s == LEADS:
+                        now = COVERED
+                    elif s == OPEN:
+                        now = OPEN
+                        mine.append(at)
+                at += 1
+            known[me] = now
+            if now != LEADS:
+                first.append(begin)
+                found.append(now)
+            if now == OPEN:
+                kept += mine
+        shape = pa.schema([rows.schema.field(c).with_nullable(True) for c in LIVE])
+        whole = rows.take(pa.array(first, pa.int64()))
+        none = pa.nulls(len(first), shape.field("u").type)
+        yield pa.RecordBatch.from_arrays([whole.column("group_key"), none, whole.column("v"),
+                                          pa.array(found, pa.int32())], schema=shape)
+        yield pa.RecordBatch.from_arrays(rows.take(pa.array(kept, pa.int64())).select(LIVE).columns, schema=shape)
+
+
+def _with_state(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """The state of u put on every edge; whoever has none leads."""
+    known = states.select("group_key", F.col("v").alias("u"), "state")
+    return edges.select("group_key", "u", "v").join(known, ["group_key", "u"], "left").select(
+        "group_key", "u", "v", F.coalesce("state", F.lit(LEADS)).alias("state"))
+
+
+def _chained(live: DataFrame) -> DataFrame:
+    """``(group_key, v, state)`` of the values that chains of single lower neighbours
+    link to a leader."""
+    live = live.where(F.col("state") != COVERED)
+    low = live.groupBy("group_key", "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"))
+    lead = live.select("group_key", F.col("u").alias("root")).distinct().join(
+        low.select("group_key", F.col("v").alias("root")), ["group_key", "root"], "left_anti")
+    return _ckpt(_chains(low.where("n = 1")).join(lead, ["group_key", "root"], "left_semi").select(
+        "group_key", "v", F.when(F.col("odd"), F.lit(COVERED)).otherwise(F.lit(LEADS)).alias("state")))
+
+
 def leader_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(group_key, occ, ...)`` -> same rows plus ``leader`` (an occ).
-    Every round decides at least the lowest value left of each group.  Whoever is never
-    covered leads, so the covered values are all that is kept of a round."""
-    live, covered = edges, []
-    while not live.isEmpty():
-        low = live.groupBy("group_key", "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"))
-        lead = live.select("group_key", F.col("u").alias("v")).distinct().join(low.select(*NODE), NODE, "left_anti")
-        if len(covered) >= CHAIN_FROM:
-            single = _ckpt(low.where("n = 1").select("group_key", "v", "u"))
-            ends = _chains(single).join(lead.withColumnRenamed("v", "root"), ["group_key", "root"], "left_semi")
-            lead = lead.unionByName(ends.where("not odd").select(*NODE))
-        covered.append(_ckpt(live.join(lead.withColumnRenamed("v", "u"), ["group_key", "u"], "left_semi")
-                             .select(*NODE).distinct()))
-        live = _ckpt(live.join(covered[-1], NODE, "left_anti")
-                     .join(covered[-1].withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti"))
-    if not covered:
-        return nodes.withColumn("leader", F.col("occ"))
+    Every round settles at least the lowest block of values that are left.  Whoever is
+    never covered leads, so the covered values are all that is kept of a round."""
+    live = _with_state(edges, edges.select("group_key", "v", F.lit(OPEN).alias("state")).distinct())
+    schema = T.StructType([T.StructField(c, live.schema[c].dataType) for c in LIVE])
+    covered, left = [], edges.count()
+    while True:
+        out = _ckpt(live.select(*LIVE).repartitionByRange(1 + left // BLOCK, "group_key", "v")
+                    .sortWithinPartitions("group_key", "v").mapInArrow(_settle, schema))
+        states, rest = out.where("u is null"), out.where("u is not null")
+        covered.append(states.where(F.col("state") == COVERED).select(*NODE))
+        before, left = left, rest.count()
+        if not left:
+            break
+        live = _with_state(rest, states)
+        if left > before * SLOW:
+            live = _ckpt(live)
+            ends = _chained(live)
+            covered.append(ends.where(F.col("state") == COVERED).select(*NODE))
+            new = ends.select("group_key", F.col("v").alias("u"), F.col("state").alias("new"))
+            live = (live.join(ends, NODE, "left_anti").join(new, ["group_key", "u"], "left")
+                    .withColumn("state", F.coalesce("new", "state")))
     every = covered[0]
     for c in covered[1:]:
         every = every.unionByName(c)
     cover = (edges.join(every.withColumnRenamed("v", "u"), ["group_key", "u"], "left_anti")
              .groupBy("group_key", "v").agg(F.min("u").alias("lab")))
-    return _labelled(nodes, cover)
+    return _labelled(nodes, _ckpt(cover))
 
 
 def assign_leaders(nodes: DataFrame, edges: DataFrame, algorithm: str) -> DataFrame:

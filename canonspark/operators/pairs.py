@@ -205,6 +205,10 @@ def _pairs_indel(nodes: DataFrame, key: Column, t: float, texts: int, in_order:
     placed = (k.join(lengths, "group_key").withColumn("other", F.explode("lens")).drop("lens")
               .withColumn("need", need).where(F.col("need") <= F.least("len", "other")))
     deleted = None
+    if texts > CELL_ROWS:
+        # a row becomes many keys: deal the rows out by number, not by their bytes
+        placed = placed.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                                    "group_key", "norm", "other")
     if in_order and texts > CELL_ROWS:
         few = F.coalesce(F.greatest(*[_strings_left(n, n - F.col("need")) for n in (F.col("len"), F.col("other"))])
                          <= KEYS, F.lit(False)) & (F.greatest("len", "other") - F.col("need") <= DELETIONS)

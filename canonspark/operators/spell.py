@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canonspark.functions import text as TX
+from canonspark.session import ensure_checkpoint_dir
 
 # Words the spell checker leaves unchanged
 SKIP_WORDS = ("nan",)
@@ -88,30 +89,34 @@ def _deletes_sql(col: str) -> Column:
       )))""")
 
 
-def _segments(n: Column) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of the segments of a word of length n."""
-    cuts = [F.floor(n * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
-    return [(lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+def _segment(n: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i of a word of length n."""
+    lo, hi = (F.floor(n * x / SEGMENTS).cast("int") for x in (i, i + 1))
+    return lo + 1, hi - lo
+
+
+def _segment_key(word: Column, n: Column, i: Column, by: Column) -> Column:
+    """Segment i of a word of length n, as it stands in ``word`` moved by some places."""
+    at, size = _segment(n, i)
+    return F.when((at + by >= 1) & (at + by + size - 1 <= F.length(word)), F.struct(
+        i.alias("i"), n.alias("n"), F.substr(word, at + by, size).alias("s")))
+
+
+def _each(first: int, last: int, body) -> Column:
+    return F.transform(F.sequence(F.lit(first), F.lit(last)), body)
 
 
 def _segment_keys(word: Column) -> Column:
-    n = F.length(word)
-    return F.array(*[F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(word, at, size).alias("s"))
-                     for i, (at, size) in enumerate(_segments(n))])
+    return _each(0, SEGMENTS - 1, lambda i: _segment_key(word, F.length(word), i, F.lit(0)))
 
 
 def _probe_keys(word: Column, distance: int) -> Column:
     """The segment keys of every word within the distance: its length and the place
-    of the segment that is left whole differ by that much at most."""
-    out = []
-    for by in range(-distance, distance + 1):
-        n = F.length(word) + by
-        for i, (at, size) in enumerate(_segments(n)):
-            for shift in range(-distance, distance + 1):
-                fits = (at + shift >= 1) & (at + shift + size - 1 <= F.length(word))
-                out.append(F.when(fits, F.struct(F.lit(i).alias("i"), n.alias("n"),
-                                                 F.substr(word, at + shift, size).alias("s"))))
-    return F.filter(F.array_distinct(F.array(*out)), lambda x: x.isNotNull())
+    of the segment that is left whole differ by that much at most.  Loops in the
+    expression, as plans hold every expression written out."""
+    out = _each(-distance, distance, lambda by: F.flatten(_each(0, SEGMENTS - 1, lambda i: _each(
+        -distance, distance, lambda shift: _segment_key(word, F.length(word) + by, i, shift)))))
+    return F.filter(F.array_distinct(F.flatten(out)), lambda x: x.isNotNull())
 
 
 def _hashes(keys: Column) -> Column:
@@ -140,13 +145,14 @@ def should_check(word: Column, longest: Column) -> Column:
 
 def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """``words(word)`` (distinct) -> ``word, correction, tier`` (tier NULL: kept as is)."""
+    ensure_checkpoint_dir(words.sparkSession)
     d = dictionary.select(F.col("word").alias("dword"), F.col("freq").cast("long").alias("freq"))
     longest = d.agg(F.max(F.length("dword"))).first()[0] or 0  # one scalar
     w = words.select("word").distinct()
-    known = w.join(d, w.word == d.dword, "left_semi").withColumn("tier", F.lit(0)) \
-             .withColumn("correction", F.col("word"))
-    unknown = (w.join(d, w.word == d.dword, "left_anti")
-               .where(should_check(F.col("word"), F.lit(longest))))
+    # checkpoints where a table is read more than once: the driver plans it once then
+    w = (w.join(d.select("dword").distinct(), w.word == F.col("dword"), "left")
+         .select("word", F.col("dword").isNotNull().alias("known")).checkpoint(eager=True))
+    unknown = w.where(~F.col("known") & should_check(F.col("word"), F.lit(longest))).select("word")
     # words of other lengths than the unknown ones have no place in the join
     span = unknown.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
     d = d.where(F.length("dword").between((span[0] or 0) - max_distance, (span[1] or 0) + max_distance))
@@ -166,7 +172,7 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
             .withColumn("lev", F.expr(f"levenshtein(word, dword, {2 * max_distance})")).where("lev >= 0")
             .withColumn("apart", F.when(F.col("lev") <= 1, F.lit(0)).otherwise(
                 F.levenshtein(_letters("word"), _letters("dword"))))
-            .where(_may_be_within(max_distance)).distinct())
+            .where(_may_be_within(max_distance)).distinct().checkpoint(eager=True))
     sure = (F.col("lev") <= 1) | ((F.col("lev") == 2) & (F.col("apart") > 0))
     cand = (cand.where(sure).withColumn("tier", F.col("lev"))
             .unionByName(cand.where(~sure).withColumn("tier", dl_udf("word", "dword")))
@@ -175,9 +181,9 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
             .agg(F.min_by(F.struct("dword", "tier"),
                           F.struct("tier", (-F.col("freq")).alias("nf"), "dword")).alias("b"))
             .select("word", F.col("b.dword").alias("correction"), F.col("b.tier").alias("tier")))
-    fixed = known.select("word", "correction", "tier").unionByName(best)
-    return (w.join(fixed, "word", "left")
-            .select("word", F.coalesce("correction", "word").alias("correction"), "tier"))
+    return (w.join(best, "word", "left")
+            .select("word", F.coalesce("correction", "word").alias("correction"),
+                    F.when(F.col("known"), F.lit(0)).otherwise(F.col("tier")).alias("tier")))
 
 
 def correct_phrases(phrases: DataFrame, dictionary: DataFrame, col: str = "norm") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from canonspark.functions import text as TX
 from canonspark.operators import spell as SP
+from canonspark.session import ensure_checkpoint_dir
 
 # Suggestion modes and the confidence of a corrected vote
 SINGLE = "single_member"
@@ -50,6 +51,8 @@ def suggest(clustered: DataFrame, dictionary: DataFrame | None = None) -> DataFr
             "corrected", F.when(F.array_join(TX.words("norm"), " ") == "", F.col("norm"))
             .otherwise(F.array_join(TX.words("norm"), " ")))
     else:
+        ensure_checkpoint_dir(c.sparkSession)
+        spell_members = spell_members.checkpoint(eager=True)  # read three times
         flagged = SP.in_dictionary(spell_members, dictionary)
         dict_pick = (flagged.where("in_dict").groupBy("group_key", "cluster_id")
                      .agg(F.min_by("norm", "occ").alias("dict_word")))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +92,35 @@ def test_cluster_numbering(spark):
     ids = {r.norm: (r.cluster_id, r.cluster_tag) for r in got}
     assert ids == {"v0": (1, "cluster_1"), "v1": (2, "cluster_2"), "v2": (1, "cluster_1"),
                    "v3": (3, "cluster_3")}
+
+
+@pytest.mark.parametrize("block, most", [(500, 5), (100, 24)])
+def test_leader_rounds_follow_blocks_not_dependencies(spark, monkeypatch, block, most):
+    # every third value leads and depends on the leader before it
+    written = []
+    plain = CL._ckpt
+    monkeypatch.setattr(CL, "_ckpt", lambda df: (written.append(1), plain(df))[1])
+    monkeypatch.setattr(CL, "BLOCK", block)
+    got = _run(spark, 150, [(i, j) for i in range(150) for j in (i + 1, i + 2) if j < 150], "leader")
+    assert got == {i: i - i % 3 for i in range(150)}
+    assert len(written) <= most
+
+
+def test_a_value_may_span_batches():
+    key = pa.struct([("col_ord", pa.int32()), ("row_id", pa.int64())])
+
+    def batch(rows):
+        cell = [None if r is None else {"col_ord": 0, "row_id": r} for r in sum(([u, v] for u, v, _ in rows), [])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(["g"] * len(rows)), pa.array(cell[::2], key), pa.array(cell[1::2], key),
+             pa.array([s for _, _, s in rows], pa.int32())], names=CL.LIVE)
+
+    # 1 and 2 are of another block; 5 is covered by its last neighbour, 6 by none, 8 waits for 2
+    rows = [(1, 5, CL.OPEN), (2, 5, CL.OPEN), (3, 5, CL.LEADS), (5, 6, CL.OPEN), (1, 7, CL.COVERED),
+            (6, 7, CL.OPEN), (2, 8, CL.OPEN), (5, 8, CL.OPEN), (7, 8, CL.COVERED)]
+    for size in range(1, len(rows) + 1):
+        parts = [batch(rows[i:i + size]) for i in range(0, len(rows), size)]
+        out = [(r["u"] and r["u"]["row_id"], r["v"]["row_id"], r["state"] if r["u"] is None else None)
+               for b in CL._settle(iter([batch([]), *parts])) for r in b.to_pylist()]
+        assert sorted(out, key=str) == sorted(
+            [(None, 5, CL.COVERED), (None, 7, CL.COVERED), (None, 8, CL.OPEN), (2, 8, None)], key=str), size

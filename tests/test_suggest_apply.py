@@ -215,3 +215,11 @@ def test_few_exact_distances(spark, monkeypatch):
     dictionary = spark.createDataFrame([("abcdef", 5)], "word string, freq long")
     got = {r.word: (r.correction, r.tier) for r in SP.correct_words(words, dictionary).collect()}
     assert got == {"abcdxf": ("abcdef", 1), "abxdyf": ("abcdef", 2), "abcde": ("abcdef", 1), "qrcdst": ("qrcdst", None)}
+
+
+def test_the_plan_of_corrections_is_short(spark):
+    # the driver keeps the plan of every query that has run
+    c = _clustered(spark, [("colur", 0, 1), ("coluor", 1, 1)])
+    s = SG.suggest(c, _dict(spark, [("colour", 10)]))
+    assert s.first().suggestion == "colour"
+    assert s._jdf.queryExecution().sparkPlan().toString().count("\n") < 90
